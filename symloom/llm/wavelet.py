@@ -146,10 +146,27 @@ class Shard:
         return now
 
 
+class Pieces(dict):
+    """piece of text without blanks -> its ids as bytes. A piece that is not known is noted in ``asked``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: set[str] = set()
+
+    def __missing__(self, piece: str) -> bytes:
+        self.asked.add(piece)
+        return b""
+
+
 class Encoder:
-    """The tokenizers library over the stretches between blanks, each remembered: none of its pre-tokens crosses white space."""
+    """The tokenizers library over the stretches between blanks, each remembered.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    No pre-token of the files read here crosses white space, joins letters with marks or depends on the case of ASCII
+    letters. So a plain word with a last mark is its word and its mark, a plain ASCII word is known by its lower-case form,
+    and many plain words go to the library as one text, whose ids are parted where a token ends a word.
+    """
+
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -157,23 +174,60 @@ class Encoder:
         self.of.no_truncation()
         self.of.no_padding()
         self.size = self.of.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
-        self.limit = limit
+        suffix = json.loads(self.of.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(self.of.get_vocab().values()) + 1, bool)
+        for token, i in self.of.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.parted = bool(suffix)
+        self.known, self.limit = Pieces(), limit
+
+    def learn(self, pieces: set[str]) -> None:
+        known, plain, odd, built = self.known, set(), set(), []
+        for piece in pieces:
+            word, mark = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
+            if not self.parted or not word.isalpha():
+                odd.add(piece)
+                continue
+            low = word.lower() if word.isascii() else word
+            if low not in known:
+                plain.add(low)
+            if mark and mark not in known:
+                odd.add(mark)
+            if low != piece:
+                built.append((piece, low, mark))
+        words = list(plain)
+        if words:
+            ids = np.asarray(self.of.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(words):
+                raw, at = ids.tobytes(), 0
+                for word, stop in zip(words, stops.tolist(), strict=True):
+                    known[word] = raw[at:stop]
+                    at = stop
+            else:  # a letter that the library does not take for one
+                odd.update(words)
+        rest = list(odd)
+        for piece, got in zip(rest, self.of.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[piece] = np.asarray(got.ids, "<u4").tobytes()
+        for piece, low, mark in built:
+            known[piece] = known[low] + known[mark] if mark else known[low]
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
-        pieces = text.replace("\n", " ").split(" ") if text else []
-        known = self.known
-        new = [x for x in set(pieces) if x not in known]
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(pieces))
-            for x, got in zip(new, self.of.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[x] = np.asarray(got.ids, "<u4").tobytes()
+        if not text:
+            return b""
+        known, pieces = self.known, text.replace("\n", " ").split(" ")
         out = b"".join(map(known.__getitem__, pieces))
-        if len(known) > self.limit or any(len(x) > 4096 for x in new):
-            known.clear()
+        if known.asked:
+            if len(known) > self.limit:
+                known.clear()
+                known.asked.update(pieces)
+            asked, known.asked = known.asked, set()
+            self.learn(asked)
+            out = b"".join(map(known.__getitem__, pieces))
+            for piece in asked:
+                if len(piece) > 256:
+                    known.pop(piece, None)
         return out
 
 
