@@ -7,6 +7,7 @@ empty text has none.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,6 +77,12 @@ class WordHashes(dict):
         return h
 
 
+@functools.lru_cache(maxsize=1)
+def worker_words() -> WordHashes:
+    """The words this Python worker knows, over all its batches."""
+    return WordHashes()
+
+
 def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
     words = WORD.findall(text.lower()) if text else []
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import SIMILARITY, WordHashes, batches_by_bytes, cut, map_rows, shingles, word_hashes
+from symloom.llm.common import SIMILARITY, batches_by_bytes, cut, map_rows, shingles, word_hashes, worker_words
 from symloom.llm.components import components
 
 
@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, key, n (distinct shingles), bands; key is null and n 0 where a text has no words."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        known, minhash = WordHashes(), MinHash(bands, rows)
+        known, minhash = worker_words(), MinHash(bands, rows)
         keys, sizes, all_bands = [], [], []
         for text in batch.column(1).to_pylist():
             words = word_hashes(text, known)
@@ -180,7 +180,7 @@ def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9
     wanted = wanted.join(large, "cluster", "left").select(F.col("rep").alias("doc_id"), "key", "cluster", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
     def sets(batch: pa.RecordBatch) -> dict:
-        known, keep, out = WordHashes(), [], []
+        known, keep, out = worker_words(), [], []
         for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             words = word_hashes(text, known)
             if len(words) and text_key(words) == key:  # another row may share the doc_id
