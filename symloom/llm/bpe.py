@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,36 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+class Pieces(dict):
+    """Stretch of raw text without blanks -> its ids; at most ``limit`` are kept.
+
+    Letters and marks are never one pre-token and ASCII case does not matter, so a plain word with a last mark is its word
+    and its mark, and a plain ASCII word is its lower-case form.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        word, mark = piece[:-1], piece[-1:]
+        if mark in (".", ",") and word.isalpha():
+            got = self[word] + self[mark]
+        elif piece.isascii() and piece.isalpha() and (low := piece.lower()) != piece:
+            got = self[low]
+        else:
+            got = self.encode(piece)
+        if len(piece) <= 256:
+            self[piece] = got
+        return got
+
+
 class Bpe:
     """``limit`` bounds the cache of encoded pieces."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -58,8 +85,7 @@ class Bpe:
         pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
         self.alphabet = byte_alphabet()
-        self.limit = limit
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self.piece, limit)
 
     def merge(self, symbols: list[int]) -> list[int]:
         n = len(symbols)
@@ -116,19 +142,7 @@ class Bpe:
 
     def encode_bytes(self, text: str | None) -> bytes:
         """No pre-token crosses white space, so stretches between blanks are encoded (and remembered) on their own."""
-        if not text:
-            return b""
-        known, out = self.pieces, []
-        for raw in text.replace("\n", " ").split(" "):
-            got = known.get(raw)
-            if got is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                got = self.piece(raw)
-                if len(raw) <= 256:
-                    known[raw] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
