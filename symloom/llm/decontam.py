@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import SHINGLE, SIMILARITY, WORD, WordHashes, map_rows, mixed, shingles, word_hashes, worker_words
+from symloom.llm.common import SHINGLE, SIMILARITY, WORD, WordHashes, batches_by_bytes, map_rows, mixed, shingles, word_hashes, worker_words
 
 BLOCKS, WIDTH, RADIUS = 8, 16, 31
 SPREAD = RADIUS // BLOCKS
@@ -196,18 +197,19 @@ SCHEMA = "doc_id long, item_id long, start_word long, n_words long, hamming long
 ARROW = pa.schema([(n, pa.float64() if n == "similarity" else pa.int64()) for n in ("doc_id", "item_id", "start_word", "n_words", "hamming", "similarity", "start_char", "end_char")])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, least: float = SIMILARITY, slack: int = 1, slice_words: int = 2_000_000) -> DataFrame:
-    """All contaminated spans; one scan of ``docs`` for each slice of the benchmark, no shuffle."""
+def slices_of(benchmark: DataFrame, slice_words: int) -> Iterator[Index | None]:
+    """Indexes over the benchmark, each of at most about ``slice_words`` words; what is collected for one is bounded by that."""
     sized = benchmark.select("item_id", "text").filter("text is not null")
     words = sized.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
     slices = max(1, -(-int(words) * 5 // (slice_words * 4)))
-    out = None
     for k in range(slices):
         mine = sized if slices == 1 else sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        ix = index([tuple(r) for r in mine.orderBy("item_id", "text").collect()])  # bounded by slice_words
-        got = _scan(docs, ix, least, slack)
-        out = got if out is None else out.unionByName(got)
-    return out
+        yield index([tuple(r) for r in mine.orderBy("item_id", "text").collect()])
+
+
+def find(docs: DataFrame, benchmark: DataFrame, *, least: float = SIMILARITY, slack: int = 1, slice_words: int = 2_000_000) -> DataFrame:
+    """All contaminated spans; one scan of ``docs`` for each slice of the benchmark, no shuffle."""
+    return functools.reduce(DataFrame.unionByName, [_scan(docs, ix, least, slack) for ix in slices_of(benchmark, slice_words)])
 
 
 def _scan(docs: DataFrame, ix: Index | None, least: float, slack: int) -> DataFrame:
@@ -223,7 +225,18 @@ def _scan(docs: DataFrame, ix: Index | None, least: float, slack: int) -> DataFr
     return map_rows(docs.select("doc_id", "text"), run, SCHEMA, ARROW)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:  # noqa: ANN003
-    """The rows of ``docs`` without a contaminated span, with the columns they had. Only the ids of matches are shuffled or broadcast by AQE."""
-    found = find(docs, benchmark, **how).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_found"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, *, least: float = SIMILARITY, slack: int = 1, slice_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` without a contaminated span, with the columns they had; rows are judged where they are read, no shuffle."""
+    at = docs.columns.index("text")
+    batches_by_bytes(docs.sparkSession)
+    for ix in slices_of(benchmark, slice_words):
+        if ix is None:
+            continue
+        sent = docs.sparkSession.sparkContext.broadcast(ix)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                yield batch.filter(pa.array([not matches(t, sent.value, worker_words(), least, slack) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.llm.common import SIMILARITY, batches_by_bytes, cut, map_rows, shingles, word_hashes, worker_words
@@ -239,3 +239,14 @@ def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9
     class_of = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
     by_key = rooted.join(class_of, "root").select("key", "class_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
     return sig.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
+    """One row of each class stays (the least doc_id), with the columns it had; rows without a doc_id stay."""
+    classes = join(docs, **how)
+    kept = cut(classes.filter("doc_id = class_id").select("doc_id").distinct())
+    out = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
+    if kept.count() < classes.filter("doc_id = class_id").count():  # repeated ids: one row for each
+        first = Window.partitionBy("doc_id").orderBy("text")
+        out = out.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    return out.unionByName(docs.filter("doc_id is null"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import bpe, chat, langid, quality, secrets, wavelet
+from symloom.llm import ann, bpe, chat, decontam, html, jaccard, langid, quality, secrets, wavelet
 from symloom.llm.common import scratch, table
 
 
@@ -15,6 +15,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_versions(table(spark, sf_dir, "documents"), "doc_id", "text")
     return secrets.digest(found, "doc_id")
@@ -27,6 +32,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(chat.from_rows(rows))))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = langid.predict(docs, langid.fit(docs))
@@ -43,6 +56,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (quality.fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tokens")
     wavelet.write(table(spark, sf_dir, "documents"), vocabulary(), out)
@@ -50,7 +67,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_secret_scan, op3_chat_format, op6_language_id, op7_bpe, op8_quality, op10_token_files]
+    own = [op1_ann, op2_secret_scan, op3_chat_format, op4_jaccard_join, op5_html, op6_language_id, op7_bpe, op8_quality, op9_decontamination, op10_token_files]
     return {f.__name__: f for f in own}
 
 
