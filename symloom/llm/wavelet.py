@@ -18,7 +18,9 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -39,12 +41,13 @@ def build(ids: np.ndarray, levels: int) -> tuple[list[bytes], list[int]]:
     """(planes, zeros of each plane)."""
     now, planes, zeros = ids, [], []
     for level in range(levels - 1, -1, -1):
-        bit = (now >> now.dtype.type(level)) & now.dtype.type(1)
-        one = bit.astype(bool)
+        one = (now & now.dtype.type(1 << level)) != 0
         planes.append(np.packbits(one).tobytes())
-        low = now[~one]
-        zeros.append(len(low))
-        now = np.concatenate((low, now[one]))
+        zeros.append(len(now) - int(np.count_nonzero(one)))
+        up = np.empty_like(now)
+        np.compress(~one, now, out=up[: zeros[-1]])
+        np.compress(one, now, out=up[zeros[-1] :])
+        now = up
     return planes, zeros
 
 
@@ -136,37 +139,33 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids, from the last plane up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             up, z = np.empty_like(now), self.zeros[level]
-            up[~one] = now[:z]
-            up[one] = now[z:] | np.uint32(1 << (self.levels - 1 - level))
+            now[z:] |= kind(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~one)] = now[:z]
+            up[np.flatnonzero(one)] = now[z:]
             now = up
         return now
 
 
-class Pieces(dict):
-    """piece of text without blanks -> its ids as bytes. A piece that is not known is noted in ``asked``."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.asked: set[str] = set()
-
-    def __missing__(self, piece: str) -> bytes:
-        self.asked.add(piece)
-        return b""
-
-
 class Encoder:
     """The tokenizers library over the stretches between blanks, each remembered.
 
-    No pre-token of the files read here crosses white space, joins letters with marks or depends on the case of ASCII
-    letters. So a plain word with a last mark is its word and its mark, a plain ASCII word is known by its lower-case form,
-    and many plain words go to the library as one text, whose ids are parted where a token ends a word.
+    No pre-token of the files read here crosses white space, joins letters or digits with marks, or depends on the case of ASCII
+    letters. So a stop or comma after a letter or digit may stand apart, a plain ASCII word is known by its lower-case
+    form, and many plain words go to the library as one text, whose ids are parted where a token ends a word. Words that the file's
+    normalizer leaves as they are go to a copy without it. Two generations are kept, of ``limit`` pieces each; a piece of the
+    older one that is met again moves to the newer.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    #: Texts whose unknown pieces are learned together.
+    GROUP = 128
+    JOINED = re.compile(r"[^\w\s][.,]|_[.,]")
+
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -174,61 +173,84 @@ class Encoder:
         self.of.no_truncation()
         self.of.no_padding()
         self.size = self.of.get_vocab_size(with_added_tokens=True)
-        suffix = json.loads(self.of.to_str())["model"].get("end_of_word_suffix")
+        spec = json.loads(self.of.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
         self.ends = np.zeros(max(self.of.get_vocab().values()) + 1, bool)
         for token, i in self.of.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.parted = bool(suffix)
-        self.known, self.limit = Pieces(), limit
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = limit
+
+    def words(self, tokenizer, words: list[str]) -> list[str]:  # noqa: ANN001
+        """Learns plain words; gives back those that the library does not take as one word each."""
+        if not words:
+            return []
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words):
+            return words
+        raw, at = ids.tobytes(), 0
+        for word, stop in zip(words, stops.tolist(), strict=True):
+            self.known[word] = raw[at:stop]
+            at = stop
+        return []
 
     def learn(self, pieces: set[str]) -> None:
-        known, plain, odd, built = self.known, set(), set(), []
+        known, old, same, other, odd, built = self.known, self.old, set(), [], [], []
         for piece in pieces:
-            word, mark = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-            if not self.parted or not word.isalpha():
-                odd.add(piece)
-                continue
-            low = word.lower() if word.isascii() else word
-            if low not in known:
-                plain.add(low)
-            if mark and mark not in known:
-                odd.add(mark)
-            if low != piece:
-                built.append((piece, low, mark))
-        words = list(plain)
-        if words:
-            ids = np.asarray(self.of.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) == len(words):
-                raw, at = ids.tobytes(), 0
-                for word, stop in zip(words, stops.tolist(), strict=True):
-                    known[word] = raw[at:stop]
-                    at = stop
-            else:  # a letter that the library does not take for one
-                odd.update(words)
-        rest = list(odd)
-        for piece, got in zip(rest, self.of.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            got = old.get(piece)
+            if got is not None:
+                known[piece] = got
+            elif not self.parted or not piece.isalpha():
+                odd.append(piece)
+            elif piece.isascii():
+                low = piece.lower()
+                if low != piece:
+                    built.append((piece, low))
+                if low not in known:
+                    same.add(low)
+            elif piece == piece.lower() and unicodedata.is_normalized("NFC", piece):
+                same.add(piece)
+            else:
+                other.append(piece)
+        odd += self.words(self.plain, list(same)) + self.words(self.of, other)
+        for piece, got in zip(odd, self.of.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             known[piece] = np.asarray(got.ids, "<u4").tobytes()
-        for piece, low, mark in built:
-            known[piece] = known[low] + known[mark] if mark else known[low]
+        for piece, low in built:
+            known[piece] = known[low]
 
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids."""
+    def pieces(self, text: str | None) -> list[str]:
         if not text:
-            return b""
-        known, pieces = self.known, text.replace("\n", " ").split(" ")
-        out = b"".join(map(known.__getitem__, pieces))
-        if known.asked:
-            if len(known) > self.limit:
-                known.clear()
-                known.asked.update(pieces)
-            asked, known.asked = known.asked, set()
-            self.learn(asked)
-            out = b"".join(map(known.__getitem__, pieces))
+            return []
+        if self.parted and not self.JOINED.search(text):
+            text = text.replace(".", " .").replace(",", " ,")
+        return text.replace("\n", " ").split(" ")
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        for at in range(0, len(texts), self.GROUP):
+            if len(self.known) > self.limit:
+                self.old, self.known = self.known, {}
+            known = self.known
+            group = [self.pieces(t) for t in texts[at : at + self.GROUP]]
+            held = [list(map(known.get, own)) for own in group]
+            gaps = [[i for i, x in enumerate(got) if x is None] if None in got else [] for got in held]
+            asked = {own[i] for own, gap in zip(group, gaps, strict=True) for i in gap}
+            if asked:
+                self.learn(asked)
+            for own, got, gap in zip(group, held, gaps, strict=True):
+                for i in gap:
+                    got[i] = known[own[i]]
+                yield b"".join(got)
             for piece in asked:
                 if len(piece) > 256:
                     known.pop(piece, None)
-        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -258,8 +280,8 @@ def write(docs: DataFrame, path: str, out: str, *, end_id: int = 1, shard_tokens
             return pa.RecordBatch.from_pydict({"part": [part], "before": [before], "n_tokens": [n], "blob": [blob]}, schema=SHARDS_ARROW)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = enc.encode(text) + end
+            for doc, own in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                got = own + end
                 held.append(got)
                 ids.append(doc)
                 counts.append(len(got) // 4)
