@@ -40,10 +40,14 @@ def suffixes(functions: DataFrame, most: int = 3) -> DataFrame:
 
 
 def candidates() -> Column:
-    """Keys to try for a call, in order: as written when it is a path, through an import, in the module, in the crate, bare."""
+    """Keys to try for a call, in order: relative paths and paths as written, through an import, in the module, in the crate, bare."""
     n, path = F.col("callee_name"), F.col("callee_name").contains("::")
-    inside = F.when(n.startswith("crate::"), F.concat_ws("@", n, "crate"))
-    return F.array(inside, F.when(path, n), F.col("target"), F.concat_ws("::", "crate", "module", n), F.concat_ws("::", "module", n), F.concat_ws("::", "crate", n), F.when(~path, n))
+    module = F.nullif("module", F.lit(""))
+    own = lambda c: F.when(c.startswith("crate::"), F.concat_ws("@", c, "crate"))
+    rest = F.regexp_replace(n, "^(self|super)::", "")
+    above = F.nullif(F.regexp_replace("module", "(^|::)[^:]*$", ""), F.lit(""))
+    relative = F.when(n.startswith("super::"), F.concat_ws("::", "crate", above, rest)).when(n.startswith("self::"), F.concat_ws("::", "crate", module, rest))
+    return F.array(own(n), relative, F.when(path, n), own(F.col("target")), F.col("target"), F.concat_ws("::", "crate", module, n), F.concat_ws("::", module, n), F.concat_ws("::", "crate", n), F.when(~path, n))
 
 
 def resolve(raw: DataFrame, functions: DataFrame, imports: DataFrame | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ class Config:
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, version, dependencies: (name, kind)) of every ``Cargo.toml`` below a folder that names a package."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "Cargo.toml").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "Cargo.toml").text(root, wholetext=True)
     schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("version", pa.string()), ("dependencies", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
