@@ -59,7 +59,7 @@ def fold(events: DataFrame) -> DataFrame:
             "conv_id",
             "at",
             "message",
-            F.coalesce(F.expr("element_at(filter(steps, x -> x.role <> ''), -1).role"), F.lit("")).alias("role"),
+            F.coalesce(F.expr("try_element_at(filter(steps, x -> x.role <> ''), -1).role"), F.lit("")).alias("role"),
             F.array_join(F.transform("live", lambda s: s["text"]), "").alias("text"),
         )
     )

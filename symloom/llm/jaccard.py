@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import SIMILARITY, batches_by_bytes, cut, map_rows, shingles, word_hashes, worker_words
+from symloom.llm.common import SIMILARITY, batches_by_bytes, cut, free, map_rows, shingles, word_hashes, worker_words
 from symloom.llm.components import components
 
 
@@ -248,5 +248,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
     out = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
     if kept.count() < classes.filter("doc_id = class_id").count():  # repeated ids: one row for each
         first = Window.partitionBy("doc_id").orderBy("text")
-        out = out.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+        k = free(out.columns, "_k")
+        out = out.withColumn(k, F.row_number().over(first)).filter(F.col(k) == 1).drop(k)
     return out.unionByName(docs.filter("doc_id is null"))

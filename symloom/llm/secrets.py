@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import cut
+from symloom.llm.common import cut, free
 
 
 @dataclass(frozen=True)
@@ -140,9 +140,10 @@ def redacted(text: Column, spans: Column, rules: tuple[Rule, ...] = RULES) -> Co
 def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", n_chars: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows of ``docs`` with their secrets replaced, found through the ledger scan; ``n_chars`` follows the new text. Clean rows stay as they are."""
     _, ledger = scan_versions(docs, path, text, None, rules)
-    found = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    hashed = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    new = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("_spans"), rules))
-    rows = hashed.join(found, "_blob", "left")
-    count = F.when(F.col("_spans").isNull(), F.col(n_chars)).otherwise(F.length("_text").cast(docs.schema[n_chars].dataType))
-    return rows.withColumn("_text", new).select(*[F.col("_text").alias(c) if c == text else count.alias(c) if c == n_chars else F.col(c) for c in docs.columns])
+    blob, spans, body = (free(docs.columns, x) for x in ("_blob", "_spans", "_body"))
+    found = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    hashed = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    clean = F.col(spans).isNull()
+    rows = hashed.join(found, blob, "left").withColumn(body, F.when(clean, F.col(text)).otherwise(redacted(F.col(text), F.col(spans), rules)))
+    count = F.when(clean, F.col(n_chars)).otherwise(F.length(body).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else None
+    return rows.select(*[F.col(body).alias(c) if c == text else count.alias(c) if c == n_chars else F.col(c) for c in docs.columns])

@@ -18,7 +18,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import struct
 import unicodedata
 import zlib
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -161,11 +161,10 @@ class Encoder:
     older one that is met again moves to the newer.
     """
 
-    #: Texts whose unknown pieces are learned together.
-    GROUP = 128
-    JOINED = re.compile(r"[^\w\s][.,]|_[.,]")
+    #: A stop or comma after anything but a blank, a digit or an old letter: the text's stops and commas stay where they are.
+    JOINED = r"[^A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F} \n][.,]"
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -222,35 +221,42 @@ class Encoder:
         for piece, low in built:
             known[piece] = known[low]
 
-    def pieces(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if self.parted and not self.JOINED.search(text):
-            text = text.replace(".", " .").replace(",", " ,")
-        return text.replace("\n", " ").split(" ")
-
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        for at in range(0, len(texts), self.GROUP):
-            if len(self.known) > self.limit:
-                self.old, self.known = self.known, {}
-            known = self.known
-            group = [self.pieces(t) for t in texts[at : at + self.GROUP]]
-            held = [list(map(known.get, own)) for own in group]
-            gaps = [[i for i, x in enumerate(got) if x is None] if None in got else [] for got in held]
-            asked = {own[i] for own, gap in zip(group, gaps, strict=True) for i in gap}
-            if asked:
-                self.learn(asked)
-            for own, got, gap in zip(group, held, gaps, strict=True):
-                for i in gap:
-                    got[i] = known[own[i]]
-                yield b"".join(got)
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; number of ids of each text).
+
+        Arrow cuts the texts and numbers their distinct pieces; each distinct piece is looked up once for the whole batch.
+        """
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
+        known = self.known
+        texts = pc.fill_null(texts, "")
+        if self.parted:
+            apart = pc.replace_substring(pc.replace_substring(texts, ".", " ."), ",", " ,")
+            texts = pc.if_else(pc.match_substring_regex(texts, self.JOINED), texts, apart)
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        got = list(map(known.get, names))
+        asked = {x for x, y in zip(names, got, strict=True) if y is None}
+        if asked:
+            self.learn(asked)
+            got = list(map(known.__getitem__, names))
             for piece in asked:
                 if len(piece) > 256:
                     known.pop(piece, None)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), "<u4")
+        first = np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        n = size[index]
+        ends = np.cumsum(n)
+        at = np.repeat(first[index] - (ends - n), n)
+        at += np.arange(len(at))
+        bounds = np.concatenate(([0], ends))[parts.offsets.to_numpy()]
+        return flat[at], np.diff(bounds)
 
     def encode(self, text: str | None) -> bytes:
-        return next(self.encode_all([text]))
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -269,23 +275,29 @@ def write(docs: DataFrame, path: str, out: str, *, end_id: int = 1, shard_tokens
         enc, part = loaded(path), TaskContext.get().partitionId()
         levels = max(1, max(enc.size - 1, end_id).bit_length())
         small = np.uint16 if levels <= 16 else np.uint32
-        end = np.asarray([end_id], "<u4").tobytes()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         ids: list[int | None] = []
         counts: list[int] = []
         n = before = 0
 
         def flush() -> pa.RecordBatch:
-            blob = pack(ids, counts, np.frombuffer(b"".join(held), "<u4").astype(small), levels)
+            blob = pack(ids, counts, np.concatenate(held).astype(small), levels)
             return pa.RecordBatch.from_pydict({"part": [part], "before": [before], "n_tokens": [n], "blob": [blob]}, schema=SHARDS_ARROW)
 
         for batch in batches:
-            for doc, own in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
-                got = own + end
-                held.append(got)
+            got, own = enc.encode_all(batch.column(1))
+            with_end = np.full(len(got) + len(own), end_id, got.dtype)
+            with_end[np.arange(len(got)) + np.repeat(np.arange(len(own)), own)] = got
+            stops = np.cumsum(own + 1).tolist()
+            at = first = 0
+            for k, (doc, stop) in enumerate(zip(batch.column(0).to_pylist(), stops, strict=True)):
                 ids.append(doc)
-                counts.append(len(got) // 4)
+                counts.append(stop - at)
                 n += counts[-1]
+                at = stop
+                if n >= shard_tokens or k == len(stops) - 1:
+                    held.append(with_end[first:stop])
+                    first = stop
                 if n >= shard_tokens:
                     yield flush()
                     before, n, held, ids, counts = before + n, 0, [], [], []
