@@ -164,7 +164,7 @@ class Encoder:
     #: A stop or comma after anything but a blank, a digit or an old letter: the text's stops and commas stay where they are.
     JOINED = r"[^A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F} \n][.,]"
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
