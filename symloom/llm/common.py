@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -46,6 +47,17 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def spread_join(left: DataFrame, groups: DataFrame, on: str, by: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """Join rows to a table of one row for each ``on``, where one key may hold a large share of ``left``.
+
+    ``left`` is dealt by the key and a salt from the hash of ``by``, and each group's row is repeated for every salt. Both sides then have an
+    exchange of their own, so that AQE can split what is still large.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    repeated = groups.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+
+
 def batches_by_bytes(spark: SparkSession) -> None:
     """Arrow batches are cut by bytes as well as rows, so very long texts do not fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

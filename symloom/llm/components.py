@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import cut
+from symloom.llm.common import cut, spread_join
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); the root is the least node of its component.
 
     Each round rewires every edge to its neighbourhood's least node, and ends when the edges no longer change; the number
-    of rounds grows with the logarithm of the longest path. Joins with a hub's key are split by AQE. Loops and repeated
+    of rounds grows with the logarithm of the longest path. A hub's edges are salted, and split further by AQE. Loops and repeated
     edges are allowed; edges with a null end are dropped; without edges there are no rows.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
@@ -25,9 +25,9 @@ def components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
     mark = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = spread_join(both, _least(both), "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         m = _least(large)
-        small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v")))
+        small = spread_join(large, m, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v")))
         now = cut(small.filter("u > v").distinct())
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == mark:

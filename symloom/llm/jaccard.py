@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import SIMILARITY, batches_by_bytes, cut, free, map_rows, shingles, word_hashes, worker_words
+from symloom.llm.common import SIMILARITY, batches_by_bytes, cut, free, map_rows, shingles, spread_join, word_hashes, worker_words
 from symloom.llm.components import components
 
 
@@ -171,13 +171,13 @@ def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9
     reps = cut(sig.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.any_value("bands").alias("bands")))
     in_band = reps.select("key", F.explode("bands").alias("band"))
     lead = in_band.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("m")).filter("m > 1").select("band", "lead")
-    stars = in_band.join(lead, "band").filter("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = spread_join(in_band, lead, "band", "key").filter("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
     member = cut(components(stars).select(F.col("node").alias("key"), F.col("root").alias("cluster")))
 
     light = reps.select("key", "rep", "copies", "n")
     wanted = member.join(light, "key")
     large = wanted.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")).filter("blocks > 1")
-    wanted = wanted.join(large, "cluster", "left").select(F.col("rep").alias("doc_id"), "key", "cluster", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    wanted = spread_join(wanted, large, "cluster", "key", "left").select(F.col("rep").alias("doc_id"), "key", "cluster", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
     def sets(batch: pa.RecordBatch) -> dict:
         known, keep, out = worker_words(), [], []
@@ -237,7 +237,7 @@ def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9
         whole = whole.union(components(parts).select(F.col("node").alias("key"), "root"))
     rooted = light.join(whole, "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
     class_of = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_key = rooted.join(class_of, "root").select("key", "class_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    by_key = spread_join(rooted, class_of, "root", "key").select("key", "class_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
     return sig.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
 
 
