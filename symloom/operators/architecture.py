@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.text import health_score, health_status
 from symloom.operators.predicates import not_public, topk
+from symloom.sources.tables import shared_dir
 
 VIOLATION = ("kind", "source", "target", "from_layer", "to_layer", "from_crate", "to_crate", "severity")
 
@@ -63,9 +64,7 @@ def reachable(edges: DataFrame, *, rounds: int = 64) -> DataFrame:
 
     Each round's pairs are cut by a reliable checkpoint in the shared folder. Meant for crate graphs, whose closure is small beside the call graph.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    shared_dir(edges.sparkSession)
     now = edges.select("src", "dst").distinct().checkpoint(eager=True)
     n = now.count()
     for _ in range(rounds):

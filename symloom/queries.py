@@ -16,8 +16,10 @@ from symloom.operators import impact as I
 from symloom.operators import resolve as N
 from symloom.operators import search as V
 from symloom.operators import stats as S
-from symloom.operators.predicates import in_file, named
-from symloom.sources import star
+from symloom.operators.predicates import in_file, named, topk
+from symloom.plans import ingest
+from symloom.sources import rust, star, workspace
+from symloom.sources.tables import scratch
 from symloom.streaming import incremental as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -689,3 +691,207 @@ def _(g: Graph, *_):
 @query("A21_incremental_statistics", "SELECT (SELECT count(*) FROM events) AS files, (SELECT max(ts) FROM events) AS last_analyzed, count(*) AS symbols, count(DISTINCT crate) AS crates FROM functions")
 def _(g: Graph, spark: SparkSession, d: str):
     return W.statistics(g.functions, table(spark, d, "events").select(F.col("ts").alias("mtime")))
+
+
+# -- ingest: the projection written as Rust source, parsed and resolved again
+
+def sources(g: Graph) -> DataFrame:
+    """(path, crate, text): one file for each crate and module; a function for each part, whose body calls its callees by path."""
+    target = g.functions.select(F.col("id").alias("dst"), F.concat(F.lit("crate_"), F.col("crate").substr(7, 9), F.lit("::"), F.lower("module"), F.lit("::f"), F.col("id").cast("string")).alias("path"))
+    bodies = g.calls.select("src", "dst").distinct().join(target, "dst").groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit("();")))), " ").alias("body"))
+    vis = F.when(F.col("visibility") == "private", "").otherwise(F.concat("visibility", F.lit(" ")))
+    text = F.concat(F.when(F.col("is_test"), "#[test]\n").otherwise(""), vis, F.lit("fn f"), F.col("id").cast("string"), F.lit("() { "), F.coalesce("body", F.lit("")), F.lit(" }\n"))
+    f = g.functions.join(bodies, "id", "left").select(F.concat(F.lit("crate_"), F.col("crate").substr(7, 9)).alias("crate"), F.lower("module").alias("module"), F.struct("id", text.alias("text")).alias("s"))
+    files = f.groupBy("crate", "module").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "").alias("text"))
+    return files.select(F.concat_ws("/", F.lit("/ws"), "crate", F.lit("src"), F.concat("module", F.lit(".rs"))).alias("path"), "crate", "text")
+
+
+RUST = ", r AS (SELECT id, 'crate_' || substr(crate, 7) AS c, lower(module) AS m, 'crate_' || substr(crate, 7) || '::' || lower(module) || '::f' || id AS q, visibility, is_test FROM functions)"
+
+
+@query("S1_scan_functions", RUST + " SELECT q AS qualified_name, c AS crate, visibility, is_test FROM r")
+def _(g: Graph, *_):
+    return rust.tables(rust.scan(sources(g)))["functions"].select("qualified_name", "crate", "visibility", "is_test")
+
+
+@query("P10_scan_calls", RUST + " SELECT DISTINCT a.q AS caller, b.q AS callee_name, 'Associated' AS call_type FROM calls c JOIN r a ON a.id = c.src JOIN r b ON b.id = c.dst")
+def _(g: Graph, *_):
+    return rust.tables(rust.scan(sources(g)))["raw_calls"].select("caller", "callee_name", "call_type")
+
+
+@query("S10_ingest_edges", RUST + " SELECT DISTINCT a.q AS src, b.q AS dst FROM calls c JOIN r a ON a.id = c.src JOIN r b ON b.id = c.dst")
+def _(g: Graph, *_):
+    built, _ = ingest.build(sources(g))
+    of = lambda k: built.functions.select(F.col("id").alias(k), F.col("qualified_name").alias(f"{k}_name"))
+    return built.calls.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
+
+
+@query("S16_report", "SELECT (SELECT count(*) FROM crates) AS crates, (SELECT count(*) FROM functions) AS functions, (SELECT count(*) FROM actors) AS types, (SELECT count(*) FROM calls) AS calls")
+def _(g: Graph, *_):
+    return workspace.report(g.functions, g.actors, g.calls, g.crates)
+
+
+@query("S5_package_ids", "SELECT CASE WHEN p_partkey % 3 > 0 THEN '/ws/' || p_brand END AS path, CASE WHEN p_partkey % 3 > 0 THEN 'p' || p_partkey END AS name, CASE WHEN p_partkey % 3 > 0 THEN '1.' || p_size END AS version FROM part", star_sql=False)
+def _(_g: Graph, spark: SparkSession, d: str):
+    part = table(spark, d, "part")
+    tail = F.concat(F.lit("@1."), F.col("p_size").cast("string"))
+    brand = F.replace("p_brand", F.lit("#"), F.lit("%"))
+    pid = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("registry+https://x#p"), F.col("p_partkey").cast("string"), tail)).otherwise(F.concat(F.lit("path+file:///ws/"), brand, F.lit("#p"), F.col("p_partkey").cast("string"), tail))
+    path, name, version = workspace.package_id(pid)
+    return part.select(F.replace(path, F.lit("%"), F.lit("#")).alias("path"), name.alias("name"), version.alias("version"))
+
+
+@query("S6_kept_dependencies", ", d AS (SELECT src, dst, CASE CAST(substr(src, 7) AS INT) % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'dev' ELSE 'build' END AS kind FROM depends_on) SELECT src, dst, kind FROM d WHERE kind IN ('normal', 'dev')")
+def _(g: Graph, *_):
+    kind = F.element_at(F.array(*map(F.lit, ("normal", "dev", "build"))), F.substring("src", 7, 9).cast("int") % 3 + 1)
+    return g.depends_on.withColumn("kind", kind).filter(workspace.kept_dependency(F.col("kind"), workspace.Config(include_dev=True)))
+
+
+@query("S7_excluded", "SELECT name FROM crates WHERE NOT contains(name, '#1') AND NOT contains(name, '22')")
+def _(g: Graph, *_):
+    return g.crates.filter(~workspace.excluded(F.col("name"), ("#1*", "22"))).select("name")
+
+
+@query("S4_discover", """, RECURSIVE_START AS (SELECT name, 0 AS depth FROM crates WHERE name = 'Brand#7'),
+l1 AS (SELECT DISTINCT d.dst AS name FROM depends_on d JOIN RECURSIVE_START s ON s.name = d.src), l2 AS (SELECT DISTINCT d.dst AS name FROM depends_on d JOIN l1 ON l1.name = d.src), l3 AS (SELECT DISTINCT d.dst AS name FROM depends_on d JOIN l2 ON l2.name = d.src)
+SELECT name, CAST(min(depth) AS INT) AS depth FROM (SELECT * FROM RECURSIVE_START UNION ALL SELECT name, 1 FROM l1 UNION ALL SELECT name, 2 FROM l2 UNION ALL SELECT name, 3 FROM l3) GROUP BY name""")
+def _(g: Graph, *_):
+    deps = g.depends_on.groupBy(F.col("src").alias("name")).agg(F.collect_list(F.struct(F.col("dst").alias("name"), F.lit("normal").alias("kind"))).alias("dependencies"))
+    none = F.array().cast("array<struct<name:string,kind:string>>")
+    found = g.crates.join(deps, "name", "left").select(F.concat(F.lit("/ws/"), "name").alias("path"), "name", F.lit("1").alias("version"), F.coalesce("dependencies", none).alias("dependencies"))
+    return workspace.discover(found, workspace.Config(), ["Brand#7"])[0].select("name", "depth")
+
+
+@query("S10_write_and_read", "SELECT crate, count(*) AS n FROM functions GROUP BY crate")
+def _(g: Graph, spark: SparkSession, _d):
+    at = scratch(spark, "graph")
+    g.write(at)
+    return Graph.read(spark, at).functions.groupBy("crate").agg(F.count("*").alias("n"))
+
+
+@query("I1_stream_state", "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS hash FROM documents", star_sql=False)
+def _(_g: Graph, spark: SparkSession, d: str):
+    at = scratch(spark, "stream")
+    feed = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parque*").select(F.col("doc_id").cast("string").alias("path"), "text")
+    W.content_hash(feed).select("path", "hash").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/state")
+
+
+@query("I9_refresh", ", r AS (SELECT 'crate_' || substr(crate, 7) AS c, lower(module) AS m, id FROM functions) SELECT c AS crate, count(*) AS n FROM r WHERE m <> 'small' GROUP BY c")
+def _(g: Graph, spark: SparkSession, _d):
+    store = W.Store(spark, scratch(spark, "store"))
+    listing = sources(g).withColumn("mtime", F.lit("2024-01-01").cast("timestamp"))
+    store.refresh(listing)
+    store.refresh(listing.filter("path not like '%/small.rs'"))
+    return rust.tables(store.symbols())["functions"].groupBy("crate").agg(F.count("*").alias("n"))
+
+
+@query("I5_affected_calls", RAW + "SELECT call_id FROM raw WHERE string_split(callee_name, '::')[-1] IN (SELECT CAST(id AS VARCHAR) FROM functions WHERE id % 9 = 0 OR id % 9 = 4)")
+def _(g: Graph, *_):
+    names = g.functions.select(F.col("id").cast("string").alias("name"), "id")
+    return W.affected_calls(raw_calls(g), names.filter("id % 9 = 0"), names.filter("id % 9 = 4")).select("call_id")
+
+
+# -- more of resolution
+
+IMPLS = ", i AS (SELECT crate, file, line_start AS line, 'T' || id AS type_name, CASE id % 4 WHEN 0 THEN 'Clone' WHEN 1 THEN 'Display' WHEN 2 THEN 'Own' END AS trait_name FROM functions)"
+
+
+def impls(g: Graph) -> DataFrame:
+    trait = F.when(F.col("id") % 4 == 0, "Clone").when(F.col("id") % 4 == 1, "Display").when(F.col("id") % 4 == 2, "Own")
+    return g.functions.select("crate", "file", F.col("line_start").alias("line"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("type_name"), trait.alias("trait_name"))
+
+
+@query("R7_trait_dispatch", IMPLS + " SELECT crate, line, crate || '::' || type_name || '::' || m AS target, CAST(0.8 AS DOUBLE) AS confidence FROM i JOIN (VALUES ('Clone', 'clone'), ('Clone', 'clone_from'), ('Display', 'fmt')) t(n, m) ON n = trait_name")
+def _(g: Graph, *_):
+    return N.trait_dispatch(impls(g)).select("crate", "line", "target", "confidence")
+
+
+@query("J15_implements", IMPLS + " SELECT DISTINCT i.type_name AS src, i.trait_name AS dst FROM i WHERE trait_name IN ('Own', 'Clone')")
+def _(g: Graph, spark: SparkSession, _d):
+    types = impls(g).select(F.col("type_name").alias("name"), F.col("type_name").alias("id"), F.lit("Struct").alias("kind"))
+    traits = spark.createDataFrame([("Own", "Own", "Trait"), ("Clone", "Clone", "Trait")], "name string, id string, kind string")
+    return N.implements(impls(g), types.union(traits))
+
+
+@query("P17_best_impls", IMPLS + ", d AS (SELECT crate, file, line, type_name, trait_name FROM i UNION ALL SELECT crate, file, line, type_name, NULL FROM i) SELECT file, line, type_name, max(trait_name) AS trait_name FROM d GROUP BY ALL")
+def _(g: Graph, *_):
+    d = impls(g)
+    return N.best_impls(d.unionByName(d.withColumn("trait_name", F.lit(None).cast("string")))).select("file", "line", "type_name", "trait_name")
+
+
+@query("R13_method_lookup", "SELECT crate AS type_name, name AS method, coalesce(min(id) FILTER (WHERE id % 2 = 0), min(id)) AS id, count(*) FILTER (WHERE id % 2 = 0) = 0 AS by_trait FROM functions GROUP BY ALL")
+def _(g: Graph, *_):
+    rows = g.functions.select(F.col("crate").alias("type_name"), F.col("name").alias("method"), "id")
+    return N.method_lookup(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"))
+
+
+@query("R9_dispatched", "SELECT id, qualified_name, CAST(CASE WHEN name = 'red widget' THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence FROM functions WHERE name IN ('red widget', 'blue bolt') AND module = CASE WHEN name = 'red widget' THEN 'SMALL' ELSE 'ECONOMY' END")
+def _(g: Graph, spark: SparkSession, _d):
+    files = g.functions.select("file", F.concat(F.lit("use "), F.lower("module"), F.lit(";")).alias("text")).distinct()
+    rules = spark.createDataFrame([("use small", "red widget", 0.95), ("use economy", "blue bolt", 0.9)], "marker string, method string, confidence double")
+    return N.dispatched(g.functions, files, rules)
+
+
+@query("R15_matched_patterns", "SELECT CAST(doc_id AS VARCHAR) AS file, 'a' AS family, 'word' AS name FROM documents WHERE regexp_matches(text, 'the [a-z]+') UNION ALL SELECT CAST(doc_id AS VARCHAR), 'b', 'digits' FROM documents WHERE regexp_matches(text, '[0-9]{8}')", star_sql=False)
+def _(_g: Graph, spark: SparkSession, d: str):
+    p = spark.createDataFrame([("a", "word", N.checked_pattern("the [a-z]+")), ("b", "digits", N.checked_pattern("[0-9]{8}"))], "family string, name string, regex string")
+    return N.matched_patterns(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text"), p)
+
+
+MACROS = ", m AS (SELECT 'm' || id AS macro_id, crate, 'x, ' || upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) || ', y' AS arguments, upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) AS n FROM functions WHERE id % 5 = 0)"
+
+
+def macros(g: Graph) -> DataFrame:
+    return g.functions.filter("id % 5 = 0").select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("macro_id"), "crate", F.concat(F.lit("x, "), T.pascal(T.segment(F.col("name"), 1, " ")), F.lit(", y")).alias("arguments"))
+
+
+@query("P32_indicator_names", MACROS + " SELECT DISTINCT crate, n AS name FROM m")
+def _(g: Graph, *_):
+    return N.indicator_names(macros(g))
+
+
+@query("P34_generated_calls", MACROS + ", n AS (SELECT DISTINCT crate, n FROM m) SELECT crate, n || '::new' AS target, CAST(0.95 AS DOUBLE) AS confidence FROM n UNION ALL SELECT crate, 'make' || n, CAST(0.7 AS DOUBLE) FROM n")
+def _(g: Graph, *_):
+    crates = g.functions.select("crate").distinct()
+    return N.generated_calls(crates.select("crate", F.explode(F.array(F.lit("{}::new"), F.lit("make{}"))).alias("pattern")), N.indicator_names(macros(g)))
+
+
+@query("J17_constructor_calls", MACROS + " SELECT DISTINCT m.macro_id, f.id AS dst FROM m JOIN functions f ON f.crate = m.crate AND f.name = 'red widget' AND f.module LIKE 'S%'")
+def _(g: Graph, *_):
+    return N.constructor_calls(macros(g), g.functions, module_like="^S", name="red widget")
+
+
+@query("P14_import_depth", "SELECT crate, line_start AS line, CAST(id % 5 AS INT) AS depth FROM functions WHERE id % 5 > 2 AND id % 7 <> 0")
+def _(g: Graph, *_):
+    path = F.concat(F.lit("a"), F.expr("repeat('::b', cast(id % 5 as int))"), F.when(F.col("id") % 7 == 0, "prelude").otherwise(""))
+    return R.deep_imports(g.functions.select("crate", "file", F.col("line_start").alias("line"), path.alias("module_path"))).select("crate", "line", "depth")
+
+
+@query("X10_methods", "SELECT id, replace(name, ' ', '_') AS method FROM functions")
+def _(g: Graph, *_):
+    return g.functions.select("id", T.method_of_pattern(F.concat(F.lit("[<X>]::a::"), F.replace("name", F.lit(" "), F.lit("_")), F.lit("(1)"))).alias("method"))
+
+
+@query("X14_cosine_pairs", """SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 9) AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""", star_sql=False)
+def _(_g: Graph, spark: SparkSession, d: str):
+    e = table(spark, d, "embeddings")
+    b = e.select(F.col("vec_id").alias("b"), (F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("eb"))
+    return e.select(F.col("vec_id").alias("a"), "embedding").join(b, "a").select("a", "b", F.round(V.cosine(F.col("embedding"), F.col("eb")), 9).alias("similarity"))
+
+
+@query("X16_type_complexity", "SELECT id, id % 3 + id % 4 + 2 * CAST(is_test AS INT) AS complexity FROM functions")
+def _(g: Graph, *_):
+    n = lambda k: F.array_repeat(F.lit("x"), (F.col("id") % k).cast("int"))
+    return g.functions.select("id", T.type_complexity(n(3), n(4), F.lit(None).cast("array<string>"), F.col("is_test")).cast("long").alias("complexity"))
+
+
+@query("T3_top_similar_crates", "SELECT crate, count(*) AS n FROM functions GROUP BY crate ORDER BY n DESC, crate LIMIT 7")
+def _(g: Graph, *_):
+    return topk(g.functions.groupBy("crate").agg(F.count("*").alias("n")), [F.desc("n")], ["crate"], 7)
+
+
+@query("A19_budgeted_sample", "SELECT crate, k, id FROM (SELECT *, CAST(row_number() OVER (PARTITION BY crate ORDER BY qualified_name, id) AS INT) AS k FROM functions) WHERE k <= greatest(1, 100 // (SELECT count(*) FROM crates))")
+def _(g: Graph, *_):
+    return C.sample_per_crate(g.functions, per_crate=max(1, 100 // g.crates.count())).select("crate", "k", "id")
