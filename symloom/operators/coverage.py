@@ -79,12 +79,14 @@ def high_coupling(functions: DataFrame, calls: DataFrame, *, more_than: int = 10
 def coverage_by_crate(functions: DataFrame, *, test_name: str = "test") -> DataFrame:
     """Share of each crate's plain functions that some test in the crate names: a test's name holds the function's name.
 
-    The theta join is made an equi-join: names within a crate are few, so it joins distinct (crate, name) pairs on the crate
-    and then keeps those that contain one another.
+    The test names' substrings are exploded, so containment is an equi-join on (crate, name): the work grows with the tests
+    (and the squared length of their names), not with tests times functions.
     """
     names = functions.filter(known_false("is_test")).select("crate", "name").distinct()
     tests = functions.filter("is_test").select("crate", F.concat(F.lit(f"{test_name}_"), "name").alias("test")).distinct()
-    tested = names.join(tests, "crate", "inner").filter(F.col("test").contains(F.col("name"))).select("crate", "name").distinct().withColumn("tested", F.lit(1))
+    starts = tests.select("crate", "test", F.explode(F.sequence(F.lit(1), F.length("test"))).alias("at"))
+    parts = starts.select("crate", F.explode(F.transform(F.sequence(F.lit(1), F.length("test") - F.col("at") + 1), lambda n: F.substr("test", F.col("at"), n))).alias("name"))
+    tested = names.join(parts, ["crate", "name"], "left_semi").withColumn("tested", F.lit(1))
     plain = functions.filter(known_false("is_test")).join(tested, ["crate", "name"], "left")
     out = plain.groupBy("crate").agg(F.count("*").alias("total"), F.count("tested").alias("tested"))
     return out.select("crate", "total", "tested", F.floor(100 * F.col("tested") / F.col("total")).alias("percent"))
