@@ -35,7 +35,7 @@ def byte_alphabet() -> list[str]:
 
 
 class Pieces(dict):
-    """Stretch of raw text without blanks -> its ids; at most ``limit`` are kept.
+    """Stretch of raw text without blanks -> its ids. Two generations of at most ``limit`` are kept; what is met again moves to the newer.
 
     Letters and marks are never one pre-token and ASCII case does not matter, so a plain word with a last mark is its word
     and its mark, and a plain ASCII word is its lower-case form.
@@ -43,11 +43,16 @@ class Pieces(dict):
 
     def __init__(self, encode: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
+        got = self.old.get(piece)
+        if got is not None:
+            self[piece] = got
+            return got
         word, mark = piece[:-1], piece[-1:]
         if mark in (".", ",") and word.isalpha():
             got = self[word] + self[mark]
@@ -63,7 +68,7 @@ class Pieces(dict):
 class Bpe:
     """``limit`` bounds the cache of encoded pieces."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

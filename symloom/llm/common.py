@@ -86,7 +86,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, a
 class WordHashes(dict):
     """word -> 64-bit hash, kept for at most ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
