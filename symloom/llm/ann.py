@@ -182,10 +182,11 @@ def entries(vectors: DataFrame, keep: int) -> DataFrame:
     return part.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"), F.sum("n").alias("n"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float = 0.96, sample: int = 8192, chunk: int = 8000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float = 0.96, sample: int = 8192, chunk: int = 8000, ask: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score. ``queries`` are rows (vec_id, embedding) of ``vectors``; a row is not its own candidate.
 
-    ``sample`` bounds the vectors that the partitions and the classifier are fitted on.
+    ``sample`` bounds the vectors that the partitions and the classifier are fitted on; about ``chunk`` entries meet about ``ask`` queries in a
+    task, whatever the sizes of the tables and parts.
     """
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
@@ -212,9 +213,13 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float
 
     placed = cut(base.withColumn("part", F.pandas_udf(home, "int")("vec")).select("part", "vec", "ids"))
     chunks = placed.groupBy("part").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))  # at most 2^most_depth rows
-    dealt = placed.join(F.broadcast(chunks), "part").select("part", F.pmod(F.xxhash64("vec", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), "vec", "ids")
-    asked = entries(queries, 1).filter(F.length("vec") == width).select("vec")
-    routed = asked.withColumn("part", F.explode(F.pandas_udf(route, "array<int>")("vec"))).join(F.broadcast(chunks), "part").select("vec", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    asked = cut(entries(queries, 1).filter(F.length("vec") == width).select("vec"))
+    turns = max(1, -(-asked.count() // ask))
+    dealt = placed.join(F.broadcast(chunks), "part").select(
+        "part", F.pmod(F.xxhash64("vec", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "vec", "ids"
+    )
+    turn = F.pmod(F.xxhash64("vec", F.lit(2)), F.lit(turns)).cast("int").alias("turn")
+    routed = asked.withColumn("part", F.explode(F.pandas_udf(route, "array<int>")("vec"))).join(F.broadcast(chunks), "part").select("vec", "part", turn, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"vec": [], "vec_id": [], "score": []}).astype({"vec": object, "vec_id": "int64", "score": "float64"})
@@ -240,7 +245,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float
                 out += [(vec, i, -s) for s, i in rows]
         return pd.DataFrame(out, columns=["vec", "vec_id", "score"])
 
-    found = dealt.groupBy("part", "chunk").cogroup(routed.groupBy("part", "chunk")).applyInPandas(rerank, "vec binary, vec_id long, score double")
+    found = dealt.groupBy("part", "chunk", "turn").cogroup(routed.groupBy("part", "chunk", "turn")).applyInPandas(rerank, "vec binary, vec_id long, score double")
     top = Window.partitionBy("vec").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= keep).groupBy("vec").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("best"))
     named = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter("query_id is not null")

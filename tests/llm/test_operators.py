@@ -493,7 +493,7 @@ def test_ann_recall(spark):
     rows = [(i, (centres[rng.integers(30)] + rng.standard_normal(24)).astype(np.float32).tolist()) for i in range(4000)]
     df = spark.createDataFrame([(i, v, 0, 1, 1) for i, v in rows], VECTORS)
     got = collections.defaultdict(dict)
-    for r in ann.search(df, df.filter("vec_id % 50 = 0")).collect():
+    for r in ann.search(df, df.filter("vec_id % 50 = 0"), chunk=300, ask=30).collect():
         got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
     want = brute_nearest(rows, [i for i in range(4000) if i % 50 == 0])
     assert set(got) == set(want) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
