@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import inspect
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ from symloom.operators import coverage as C
 from symloom.operators import impact as I
 from symloom.operators import search as V
 from symloom.operators import stats as S
-from symloom.operators.predicates import named
+from symloom.operators.predicates import in_file, named
+from symloom.sources import rust
+from symloom.streaming.incremental import Store, content_hash, file_report, outdated, statistics
 
 UNKNOWN_METHOD, BAD_PARAMETERS, FAILED = -32601, -32602, -32603
 
@@ -34,8 +37,8 @@ class CallError(Exception):
 class Engine:
     """``edge``: the columns that name a call edge. ``types`` and ``embeddings`` (id, embedding, crate) are optional tables."""
 
-    def __init__(self, graph: Graph, *, types: DataFrame | None = None, embeddings: DataFrame | None = None, width: int = 384, edge: tuple[str, ...] = ("src", "dst", "line")):
-        self.g, self.types, self.embeddings, self.width, self.edge = graph, types, embeddings, width, edge
+    def __init__(self, graph: Graph, *, types: DataFrame | None = None, embeddings: DataFrame | None = None, width: int = 384, edge: tuple[str, ...] = ("src", "dst", "line"), store: Store | None = None):
+        self.g, self.types, self.embeddings, self.width, self.edge, self.store = graph, types, embeddings, width, edge, store
         self.spark = graph.functions.sparkSession
         self.methods: dict[str, Callable[..., DataFrame]] = {n.removeprefix("do_"): getattr(self, n) for n in dir(self) if n.startswith("do_")}
 
@@ -77,8 +80,6 @@ class Engine:
         return rows if separate else rows.drop("target").groupBy("id", "crate", "name", "qualified_name", "is_test", "line_start").agg(F.min("distance").alias("distance"))
 
     def do_analyze_file_changes(self, files: list, depth: int = 2) -> DataFrame:
-        from symloom.operators.predicates import in_file
-
         changed = self.g.functions.filter(in_file(files)).select(F.col("id").alias("target"))
         return I.batch_impact(self.g.functions, self.g.calls, changed, depth=depth, edge=self.edge)
 
@@ -137,6 +138,25 @@ class Engine:
             raise CallError(BAD_PARAMETERS, "no embeddings are loaded")
         return V.search_text(self.embeddings, query, width=self.width, k=limit, crate=crate_filter)
 
+    def _listing(self, folder: str) -> tuple[Store, DataFrame]:
+        if self.store is None:
+            raise CallError(BAD_PARAMETERS, "no store is open")
+        return self.store, rust.files(self.spark, folder).withColumn("mtime", F.current_timestamp())
+
+    def do_incremental_update(self, folder: str) -> DataFrame:
+        """Bring the store up to the files below a folder; counts of what it holds then."""
+        store, listing = self._listing(folder)
+        store.refresh(listing)
+        return statistics(rust.tables(store.symbols())["functions"], store.state())
+
+    def do_incremental_file_analysis(self, folder: str) -> DataFrame:
+        """Functions of each changed file, before and now; the store stays as it is."""
+        store, listing = self._listing(folder)
+        stale = outdated(store.state(), content_hash(listing))
+        now = listing.join(stale, "path", "left_semi")
+        old = rust.tables(store.symbols())["functions"]
+        return file_report(old.join(stale.withColumnRenamed("path", "file"), "file", "left_semi"), rust.tables(rust.scan(now))["functions"])
+
     def do_get_function_details(self, function: str) -> DataFrame:
         return S.function_details(self.g.functions, self.g.calls, function)
 
@@ -167,6 +187,18 @@ class Engine:
         return A.spawn_groups(self.g.actors, self.g.spawns, by)
 
 
+def serve(engine: Engine, lines: Iterable[str], out: TextIO) -> None:
+    """One JSON request a line, one JSON answer a line; lines that are no JSON object are skipped."""
+    for line in lines:
+        try:
+            request = json.loads(line)
+        except ValueError:
+            continue
+        if isinstance(request, dict):
+            out.write(json.dumps(engine.respond(request), default=str) + "\n")
+            out.flush()
+
+
 def explained(df: DataFrame, mode: str = "formatted") -> str:
     """The plan as text."""
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)

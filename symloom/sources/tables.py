@@ -1,10 +1,13 @@
-"""Paths in the folder that driver and executors share."""
+"""Paths in the folder that driver and executors share, and tables kept by content."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,3 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, kind: str) -> str:
     """A fresh path for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def cached(spark: SparkSession, root: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that was written under ``key`` (a hash of what it was made from, as of manifests), made and written where there is none."""
+    at = f"{root.rstrip('/')}/{key}"
+    try:
+        return spark.read.parquet(at)
+    except AnalysisException as e:
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise
+    make().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+def content_key(rows: DataFrame, *columns: str) -> str:
+    """A key that changes with the rows' content and not with their order."""
+    h = F.xxhash64(*columns).cast("decimal(38,0)")
+    got = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).alias("h"), F.coalesce(F.sum(h % 1000003), F.lit(0)).alias("k")).first()
+    return f"{got['n']}-{got['h']}-{got['k']}".replace("--", "-m")

@@ -110,3 +110,47 @@ def test_stream_equals_batch(spark, tree, tmp_path):
     s.watch(str(tree), str(tmp_path / "ckpt")).awaitTermination()
     batch = {r["id"] for r in rust.tables(rust.scan(rust.files(spark, str(tree))))["functions"].collect()}
     assert {r["id"] for r in rust.tables(s.symbols())["functions"].collect()} == batch
+
+
+def test_engine_over_a_store(spark, tree, tmp_path):
+    import io
+    import json
+
+    from symloom.plans.engine import serve
+
+    g = ingest.populate(spark, str(tree), str(tmp_path / "out"))
+    e = Engine(g, store=Store(spark, str(tmp_path / "store")))
+    first = e.call("incremental_update", {"folder": str(tree)}).first()
+    assert first["files"] == 2 and first["symbols"] == g.functions.count()
+    (tree / "my_crate" / "src" / "util.rs").write_text("pub fn helper(a: i64) {}\n")
+    report = {r["path"].rpartition("/")[2]: (r["before"], r["after"]) for r in e.call("incremental_file_analysis", {"folder": str(tree)}).collect()}
+    assert report == {"util.rs": (3, 1)}
+    out = io.StringIO()
+    serve(e, ['{"id": 1, "method": "get_function_details", "params": {"function": "helper"}}', "no json", '{"id": 2, "method": "incremental_update"}'], out)
+    answers = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert answers[0]["result"] and answers[1]["error"]["code"] == BAD_PARAMETERS
+
+
+def test_cached_tables(spark, tmp_path):
+    from symloom.sources.tables import cached, content_key
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    made = []
+
+    def make():
+        made.append(1)
+        return rows
+
+    key = content_key(rows, "k", "v")
+    assert key == content_key(rows.orderBy("v", ascending=False), "k", "v") != content_key(rows.filter("k = 1"), "k", "v")
+    assert [cached(spark, str(tmp_path), key, make).count() for _ in range(2)] == [2, 2] and made == [1]
+
+
+def test_command_line(spark, tree, tmp_path, capfd):
+    from symloom.__main__ import main
+
+    out = str(tmp_path / "out")
+    assert main(["analyze", str(tree), out]) == 0
+    assert main(["impact", f"{out}/graph", "my_crate::util::deep::down"]) == 0
+    assert main(["health", f"{out}/graph"]) == 0
+    assert "my_crate::util::helper" in capfd.readouterr().out
