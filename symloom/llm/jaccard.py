@@ -127,7 +127,8 @@ def linked(rows: list[np.ndarray], cols: list[np.ndarray], similarity: float) ->
     n_cols = np.array([len(c) for c in cols], np.float64)
     for at, counts in overlaps(rows, cols):
         n_rows = np.array([len(r) for r in rows[at : at + len(counts)]], np.float64)
-        mask = counts * (1 + similarity) >= similarity * (n_rows[:, None] + n_cols) - 1e-6
+        # in float64: float32 rounds ties away
+        mask = np.multiply(counts, 1 + similarity, dtype=np.float64) >= similarity * (n_rows[:, None] + n_cols) - 1e-6
         for k in range(len(counts)):
             yield at + k, mask[k]
 

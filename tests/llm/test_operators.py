@@ -249,6 +249,20 @@ def test_jaccard_join(spark, real, block):
         assert got == brute_join(rows)
 
 
+def test_jaccard_ties():
+    """4k shared shingles of 5k are 0.8, and one shingle more in the union is less."""
+    for k in range(1, 1500):
+        whole = np.arange(5 * k + 1, dtype=np.uint64)
+        (_, mask), = jaccard.linked([whole[: 4 * k]], [whole[: 5 * k], whole], 0.8)
+        assert mask.tolist() == [True, False], k
+
+
+def test_jaccard_join_of_a_tie(spark):
+    words = [f"word{k}" for k in range(19)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_texts"]) for r in jaccard.join(docs(spark, (1, " ".join(words[:16]), "en"), (2, " ".join(words), "en"))).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 1)}
+
+
 def test_jaccard_odd_rows(odd, nothing):
     got = jaccard.join(odd).collect()
     assert len(got) == odd.count()
