@@ -9,8 +9,9 @@ Where the markup has an article, its blocks stay even if the neighbour shares th
 articles, and deleting those would lose text. Without one, the shared blocks go; if no block would be left, the neighbour is a copy and
 they stay.
 
-Hosts with many pages are dealt into shards of about ``shard`` pages by a hash of page_id, and pages stream through a task in order, so
-a host that holds a third of all pages does not meet in one task. Null html is empty; a page without text gives an empty
+Hosts with many pages are dealt into ranges of about ``shard`` pages in the order of (path, page_id, url), and pages stream through a task
+in order, so a host that holds a third of all pages does not meet in one task. The edge pages of a range are also sent to the
+ranges beside it, where they are neighbours only, so how pages are dealt changes no result. Null html is empty; a page without text gives an empty
 string; null URLs are one host; repeated rows are pages of their own. Extra columns are ignored.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import os.path
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -165,23 +167,77 @@ def main_text(lines: list[str], zones: list[int], shared: set[int]) -> str:
     return "\n".join(kept)
 
 
+def place(path: str, page_id: int | None, url: str | None) -> tuple:
+    """Sorts as the columns do in Spark: by code points, nulls first."""
+    return path, page_id is not None, page_id or 0, url or ""
+
+
+class Ranges:
+    """The ranges of one host: where each but the first begins, and the first and last place that each holds."""
+
+    def __init__(self, begins: list[tuple]):
+        self.begins = sorted(begins)
+        self.edges: dict[int, tuple[tuple, tuple]] = {}
+
+    def of(self, at: tuple) -> int:
+        return bisect_right(self.begins, at)
+
+    def places(self, at: tuple) -> list[int]:
+        """The range of a page, then those beside it that it is an edge page for."""
+        k = self.of(at)
+        first, last = self.edges[k]
+        return [k] + [j for j, edge in ((k - 1, first), (k + 1, last)) if at == edge and j in self.edges]
+
+
+def ranges(light: DataFrame, shard: int) -> dict[str, Ranges]:
+    """Ranges of the hosts with many pages, by host, from host, path, page_id and url. A page begins a range by its hash, so ranges hold
+    ``shard`` pages in the mean; fewer than 100,000 hosts can be so large and about as many pages begin a range, so what is sent is bounded."""
+    spark, least = light.sparkSession, max(shard, light.count() // 100_000)
+    hosts = [(r["host"],) for r in light.groupBy("host").count().filter(F.col("count") > least).collect()]
+    if not hosts:
+        return {}
+    light = light.join(F.broadcast(spark.createDataFrame(hosts, "host string")), "host").select("host", "path", "page_id", "url")
+    begins: dict[str, list[tuple]] = {h: [] for (h,) in hosts}
+    for h, *at in light.filter(F.pmod(F.xxhash64("path", "page_id", "url"), F.lit(least)) == 0).distinct().collect():
+        begins[h].append(place(*at))
+    out = {h: Ranges(x) for h, x in begins.items()}
+    sent = spark.sparkContext.broadcast(out)
+
+    def deal(batch: pa.RecordBatch) -> dict:
+        rows = zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True)
+        return {k: batch.column(c) for c, k in enumerate(("host", "path", "page_id", "url"))} | {"shard": [sent.value[h].of(place(*at)) for h, *at in rows]}
+
+    arrow = pa.schema([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("shard", pa.int32())])
+    held = map_rows(light, deal, "host string, path string, page_id long, url string, shard int", arrow)
+    at = F.struct("path", "page_id", "url")
+    for r in held.groupBy("host", "shard").agg(F.min(at).alias("first"), F.max(at).alias("last")).collect():
+        out[r["host"]].edges[r["shard"]] = place(*r["first"]), place(*r["last"])
+    return out
+
+
 def extract(pages: DataFrame, *, shard: int = 128) -> DataFrame:
     """page_id, url, text, n_chars, n_shared (blocks that the paired page shares)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?[^/?#]*([^?#]*)", 1), F.lit(""))
-    hosted = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
-    n = pages.count()
-    # fewer than 100,000 hosts can be so large, so what is broadcast is bounded
-    large = hosted.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > max(shard, n // 100_000)).select("host", F.ceil(F.col("n") / shard).cast("int").alias("shards"))
+    # pages that are alike in all else are in the order of their html
+    hosted = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html", F.xxhash64("html").alias("mark"))
+    dealing = pages.sparkSession.sparkContext.broadcast(ranges(hosted.select("host", "path", "page_id", "url"), shard))
 
     def parse(batch: pa.RecordBatch) -> dict:
         got = [blocks(x) for x in batch.column(4).to_pylist()]
-        return {k: batch.column(i) for i, k in enumerate(("page_id", "url", "host", "path"))} | {"lines": [[t for t, _ in x] for x in got], "zones": [[z for _, z in x] for x in got]}
+        at, to, own = [], [], []
+        for k, (page, url, host, path) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True)):
+            places = dealing.value[host].places(place(path, page, url)) if host in dealing.value else [0]
+            at += [k] * len(places)
+            to += places
+            own += [True] + [False] * (len(places) - 1)
+        taken = pa.array(at, pa.int64())
+        kept = {k: batch.column(i).take(taken) for i, k in ((0, "page_id"), (1, "url"), (2, "host"), (3, "path"), (5, "mark"))}
+        return kept | {"shard": to, "own": own, "lines": [[t for t, _ in got[k]] for k in at], "zones": [[z for _, z in got[k]] for k in at]}
 
-    arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("zones", pa.list_(pa.int8()))])
-    parsed = map_rows(hosted, parse, "page_id long, url string, host string, path string, lines array<string>, zones array<byte>", arrow)
-    sharded = parsed.join(F.broadcast(large), "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards")
-    dealt = sharded.repartition("host", "shard").sortWithinPartitions("host", "shard", "path", "page_id", "url").select("page_id", "url", "lines", "zones", "host", "shard", "path")
+    arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("mark", pa.int64()), ("shard", pa.int32()), ("own", pa.bool_()), ("lines", pa.list_(pa.string())), ("zones", pa.list_(pa.int8()))])
+    parsed = map_rows(hosted, parse, "page_id long, url string, host string, path string, mark long, shard int, own boolean, lines array<string>, zones array<byte>", arrow)
+    dealt = parsed.repartition("host", "shard").sortWithinPartitions("host", "shard", "path", "page_id", "url", "mark").select("page_id", "url", "lines", "zones", "host", "shard", "path", "own")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64())])
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +251,13 @@ def extract(pages: DataFrame, *, shard: int = 128) -> DataFrame:
         before = page = None
         for batch in batches:
             rows = []
-            for after in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
-                if page is not None:
+            for after in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
+                if page is not None and page[7]:
                     rows.append(row(before, page, after))
                 before, page = page, after
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(out.names, map(list, zip(*rows, strict=True)), strict=True)), schema=out)
-        if page is not None:
+        if page is not None and page[7]:
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(out.names, row(before, page, None), strict=True)}, schema=out)
 
     batches_by_bytes(pages.sparkSession)

@@ -357,6 +357,21 @@ def test_differencing(spark):
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_differencing_is_the_same_however_a_host_is_dealt(spark):
+    """Menus are shared within a section only; ids and whole URLs repeat, and some are null."""
+    page = lambda k, s: f"<div>Site</div><div>Section {s}</div><p>story {k}</p><div>Foot of {s}</div>"
+    rows = [(k, f"http://h.example/{k // 2:03d}/{k % 2}", page(k, k // 2), "x", 1, 1) for k in range(60)]
+    rows += [(7, "http://h.example/copies", page(k, "c"), "x", 1, 1) for k in range(4)] + [(None, f"http://h.example/null/{k}", page(k, "n"), "x", 1, 1) for k in range(4)] + [(100 + k, None, page(k, "u"), "x", 1, 1) for k in range(5)]
+    random.Random(3).shuffle(rows)
+    seen = []
+    for shard in (128, 9, 3, 1):
+        got = html.extract(spark.createDataFrame(rows, PAGES), shard=shard).collect()
+        text = {r["page_id"]: r["text"] for r in got if r["url"] and r["page_id"] is not None and "copies" not in r["url"]}
+        assert text == {k: f"story {k}" for k in range(60)}
+        seen.append(sorted(map(str, got)))
+    assert len(seen[0]) == len(rows) and all(x == seen[0] for x in seen)
+
+
 def test_pages(spark, sf):
     pages = table(spark, sf, "pages")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(pages).collect()}
