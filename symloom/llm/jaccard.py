@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from symloom.llm.common import SIMILARITY, batches_by_bytes, cut, free, map_rows, shingles, spread_join, word_hashes, worker_words
 from symloom.llm.components import components
@@ -165,8 +166,26 @@ VERIFIED = "key long, root long, blocks int, docs long, texts long"
 VERIFIED_ARROW = pa.schema([("key", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32()), ("docs", pa.int64()), ("texts", pa.int64())])
 
 
-def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9995, hashes: int = 256, block: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
     """doc_id, class_id (the least doc_id of its class), n_links (other documents that reach the similarity), n_texts (other texts)."""
+    return classes(docs, **how).drop("key", "root")
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with the key of their text in a further column."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = (word_hashes(t, worker_words()) for t in batch.column(at).to_pylist())
+            yield batch.append_column(name, pa.array([text_key(w) if len(w) else None for w in words], pa.int64()))
+
+    batches_by_bytes(docs.sparkSession)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9995, hashes: int = 256, block: int = 1_000_000) -> DataFrame:
+    """The rows of ``join`` with the key of their text and of their class (``root``), both null without words."""
     bands, rows = banding(similarity, recall, hashes)
     sig = cut(signatures(docs, bands, rows))
     reps = cut(sig.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.any_value("bands").alias("bands")))
@@ -192,6 +211,9 @@ def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9
 
     arrow = pa.schema([("key", pa.int64()), ("cluster", pa.int64()), ("copies", pa.int64()), ("blocks", pa.int32()), ("grams", pa.binary())])
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("key", "text", "cluster", "copies", "blocks")
+    if not reps.filter("rep is null").isEmpty():  # texts that no row with a doc_id holds
+        unnamed = keyed(docs.filter("doc_id is null").select("text"), "key").join(wanted.filter("doc_id is null").drop("doc_id"), "key")
+        texts = texts.unionByName(unnamed)
     grams = map_rows(texts, sets, "key long, cluster long, copies long, blocks int, grams binary", arrow)
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     dealt = (
@@ -238,17 +260,24 @@ def join(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9
         whole = whole.union(components(parts).select(F.col("node").alias("key"), "root"))
     rooted = light.join(whole, "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
     class_of = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_key = spread_join(rooted, class_of, "root", "key").select("key", "class_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
-    return sig.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
+    by_key = spread_join(rooted, class_of, "root", "key").select("key", "root", "class_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    return sig.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", "key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
-    """One row of each class stays (the least doc_id), with the columns it had; rows without a doc_id stay."""
-    classes = join(docs, **how)
-    kept = cut(classes.filter("doc_id = class_id").select("doc_id").distinct())
-    out = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
-    if kept.count() < classes.filter("doc_id = class_id").count():  # repeated ids: one row for each
-        first = Window.partitionBy("doc_id").orderBy("text")
-        k = free(out.columns, "_k")
-        out = out.withColumn(k, F.row_number().over(first)).filter(F.col(k) == 1).drop(k)
-    return out.unionByName(docs.filter("doc_id is null"))
+    """One row of each class stays (the least doc_id; without one only where no row of the class has one), with the columns it had. Rows
+    without words stay, each doc_id and text once."""
+    found = classes(docs, **how)
+    n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:
+        kept = cut(found.filter("doc_id = class_id").select("doc_id"))
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    # ids that repeat or are null name no row: the key of the text does
+    k, best = free(docs.columns, "_k"), free(docs.columns, "_best")
+    first = found.filter("key is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"))
+    kept = cut(first.select(F.col("b.key").alias(k), F.col("b.doc_id").alias(best)))
+    rows = keyed(docs, k)
+    held = rows.join(kept, k).filter(F.col("doc_id").eqNullSafe(F.col(best))).drop(best)
+    bare = rows.filter(F.col(k).isNull())
+    out = held.unionByName(bare.filter("doc_id is not null")).withColumn(best, F.row_number().over(Window.partitionBy("doc_id", k, F.when(F.col(k).isNull(), F.col("text"))).orderBy("text")))
+    return out.filter(F.col(best) == 1).select(docs.columns).unionByName(bare.filter("doc_id is null").select(docs.columns))

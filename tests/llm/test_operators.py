@@ -275,6 +275,20 @@ def test_jaccard_odd_rows(odd, nothing):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 8, 9] and kept.columns == odd.columns
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    a, b, c, d, e = map(text, "abcde")
+    near = lambda t: t + " and more"
+    rows = [(5, a), (5, b), (2, c), (7, c), (7, near(c)), (7, e), (None, d), (None, near(d)), (None, near(a)), (8, None), (8, None), (8, "ÄÖ"), (None, "")]
+    made = docs(spark, *[(i, t, "en") for i, t in rows])
+    links = sorted((str(r["doc_id"]), r["n_links"]) for r in jaccard.join(made).collect())
+    assert links == sorted([("5", 1), ("5", 0), ("2", 2), ("7", 2), ("7", 2), ("7", 0), ("None", 1), ("None", 1), ("None", 1), ("8", 0), ("8", 0), ("8", 0), ("None", 0)])
+    kept = jaccard.keep_one(made)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == made.columns and sum(t in (d, near(d)) for _, t in got) == 1
+    assert sorted((x for x in got if x[1] not in (d, near(d))), key=str) == sorted([(5, a), (5, b), (2, c), (7, e), (8, None), (8, "ÄÖ"), (None, "")], key=str)
+
+
 def test_banding_reaches_the_recall():
     for s, r, h in itertools.product((0.5, 0.8, 0.95), (0.9, 0.9995), (64, 256)):
         bands, rows = jaccard.banding(s, r, h)
