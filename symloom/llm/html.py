@@ -3,11 +3,13 @@
 A page is read into text blocks in page order, each with a zone: inside the marked article (``article``, ``main``), in a part whose
 markup names it as no text (menus, site headers, footers, sidebars, notices, adverts, forms, comments), or neither. Pages
 are sorted by URL path within their host, and each is paired with the neighbour whose path shares the longer beginning
-(ties: the one before). The blocks of the two are aligned by a longest common subsequence, and shared blocks are deleted.
+(ties: the one before). The blocks of the two are aligned by a longest common subsequence, in which an article's block meets only blocks of
+an article, and every shared block is up for deletion, whatever its zone.
 
-Where the markup has an article, its blocks stay even if the neighbour shares them: sites repeat passages and whole
-articles, and deleting those would lose text. Without one, the shared blocks go; if no block would be left, the neighbour is a copy and
-they stay.
+Rules on top, in this order. A shared block goes, unless both pages have it in their marked article: that is a passage which the site
+repeats (or a copy of the page), and a line of the site stands outside of articles on one of them. If nothing but what markup names
+as no text would be left, the neighbour is a copy and its shared blocks outside such parts stay. Of what is left, markup then takes the
+blocks that it names as no text and, where the page marks an article, those beside it.
 
 Hosts with many pages are dealt into ranges of about ``shard`` pages in the order of (path, page_id, url), and pages stream through a task
 in order, so a host that holds a third of all pages does not meet in one task. The edge pages of a range are also sent to the
@@ -22,6 +24,7 @@ import os.path
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -159,12 +162,29 @@ def common(a: list, b: list) -> tuple[list[int], list[int]]:
     return left[::-1], right[::-1]
 
 
-def main_text(lines: list[str], zones: list[int], shared: set[int]) -> str:
-    if ARTICLE in zones:
-        kept = [x for x, z in zip(lines, zones, strict=True) if z == ARTICLE]
-    else:
-        kept = [x for i, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == OTHER and i not in shared] or [x for x, z in zip(lines, zones, strict=True) if z == OTHER]
-    return "\n".join(kept)
+def align(page: list[tuple[str, int]], mate: list[tuple[str, int]]) -> set[int]:
+    """Places in ``page`` of the blocks that it shares with ``mate``."""
+    return set(common([(t, z == ARTICLE) for t, z in page], [(t, z == ARTICLE) for t, z in mate])[0])
+
+
+@dataclass(frozen=True)
+class Main:
+    """A page's text, and how many blocks differencing deleted, the rule on repeated passages kept, and markup took afterwards."""
+
+    text: str
+    deleted: int
+    repeated: int
+    markup: int
+
+
+def main_text(page: list[tuple[str, int]], shared: set[int]) -> Main:
+    passages = {i for i in shared if page[i][1] == ARTICLE}
+    left = [i for i in range(len(page)) if i not in shared or i in passages]
+    if all(page[i][1] == DROP for i in left):
+        left = [i for i in range(len(page)) if i not in shared or page[i][1] == OTHER]
+    zone = min((page[i][1] for i in left), default=DROP)
+    kept = [page[i][0] for i in left if page[i][1] == zone != DROP]
+    return Main("\n".join(kept), len(page) - len(left), len(passages), len(left) - len(kept))
 
 
 def place(path: str, page_id: int | None, url: str | None) -> tuple:
@@ -216,7 +236,8 @@ def ranges(light: DataFrame, shard: int) -> dict[str, Ranges]:
 
 
 def extract(pages: DataFrame, *, shard: int = 128) -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (blocks that the paired page shares)."""
+    """page_id, url, text, n_chars; n_shared (blocks that the paired page shares), and of these n_deleted and n_repeated (kept as passages of
+    the article); n_markup (blocks that only markup took)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?[^/?#]*([^?#]*)", 1), F.lit(""))
     # pages that are alike in all else are in the order of their html
@@ -238,15 +259,17 @@ def extract(pages: DataFrame, *, shard: int = 128) -> DataFrame:
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("mark", pa.int64()), ("shard", pa.int32()), ("own", pa.bool_()), ("lines", pa.list_(pa.string())), ("zones", pa.list_(pa.int8()))])
     parsed = map_rows(hosted, parse, "page_id long, url string, host string, path string, mark long, shard int, own boolean, lines array<string>, zones array<byte>", arrow)
     dealt = parsed.repartition("host", "shard").sortWithinPartitions("host", "shard", "path", "page_id", "url", "mark").select("page_id", "url", "lines", "zones", "host", "shard", "path", "own")
-    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64())])
+    counts = ("n_chars", "n_shared", "n_deleted", "n_repeated", "n_markup")
+    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), *((n, pa.int64()) for n in counts)])
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(before: tuple | None, page: tuple, after: tuple | None) -> tuple:
             same = [len(os.path.commonprefix([x[6], page[6]])) if x and x[4:6] == page[4:6] else -1 for x in (before, after)]
             mate = None if max(same) < 0 else before if same[0] >= same[1] else after
-            shared = set(common(page[2], mate[2])[0]) if mate else set()
-            text = main_text(page[2], page[3], shared)
-            return page[0], page[1], text, len(text), len(shared)
+            own = list(zip(page[2], page[3], strict=True))
+            shared = align(own, list(zip(mate[2], mate[3], strict=True))) if mate else set()
+            got = main_text(own, shared)
+            return page[0], page[1], got.text, len(got.text), len(shared), got.deleted, got.repeated, got.markup
 
         before = page = None
         for batch in batches:
@@ -261,4 +284,4 @@ def extract(pages: DataFrame, *, shard: int = 128) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(out.names, row(before, page, None), strict=True)}, schema=out)
 
     batches_by_bytes(pages.sparkSession)
-    return dealt.mapInArrow(difference, "page_id long, url string, text string, n_chars long, n_shared long")
+    return dealt.mapInArrow(difference, "page_id long, url string, text string, " + ", ".join(f"{n} long" for n in counts))

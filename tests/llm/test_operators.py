@@ -320,8 +320,7 @@ PAGE = "<html><head><title>t &amp; u</title><style>p{}</style><script>var x = '<
 
 
 def text_of(source, shared=()):
-    got = html.blocks(source)
-    return html.main_text([t for t, _ in got], [z for _, z in got], set(shared))
+    return html.main_text(html.blocks(source), set(shared)).text
 
 
 @pytest.mark.parametrize(
@@ -365,8 +364,7 @@ def test_differencing(spark):
     rows = [(k, f"http://h.example/a/{k}", page(k), "x", 1, 1) for k in range(5)] + [(9, "http://lone.example/", page(9), "x", 1, 1), (10, "http://c.example/a?x=1", page(10), "x", 1, 1), (11, "http://c.example/a?x=2", page(10), "x", 1, 1), (12, None, None, "x", 1, 1)]
     for shard in (128, 3):
         got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES), shard=shard).collect()}
-        if shard == 128:
-            assert all(got[k] == f"story {k}\nmore of {k}" for k in range(5))
+        assert all(got[k] == f"story {k}\nmore of {k}" for k in range(5))
         assert got[9] == "Site name\nstory 9\nmore of 9\nAll rights" and got[10] == got[11] == "Site name\nstory 10\nmore of 10\nAll rights" and got[12] == ""
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
 
@@ -386,6 +384,74 @@ def test_differencing_is_the_same_however_a_host_is_dealt(spark):
     assert len(seen[0]) == len(rows) and all(x == seen[0] for x in seen)
 
 
+def brute_pages(rows):
+    """(page_id, url) -> text: every page of a host is looked at for the nearest URL beside it, and the alignment is a plain table."""
+    hosts = collections.defaultdict(list)
+    for i, url, source in rows:
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", url or "")
+        hosts[m[1].lower() if m else ""].append(((m[2] if m else re.match("[^/?#]*([^?#]*)", url or "")[1], i is not None, i or 0, url or ""), (i, url), html.blocks(source)))
+    out = {}
+    for pages in hosts.values():
+        pages.sort(key=lambda p: p[0])
+        for k, (at, name, page) in enumerate(pages):
+            alike = [(len(list(itertools.takewhile(lambda x: x[0] == x[1], zip(at[0], pages[j][0][0], strict=False)))), -j, pages[j][2]) for j in (k - 1, k + 1) if 0 <= j < len(pages)]
+            mate = max(alike, key=lambda x: x[:2])[2] if alike else []
+            key = lambda b: (b[0], b[1] == html.ARTICLE)
+            size = [[0] * (len(mate) + 1) for _ in range(len(page) + 1)]
+            for i, j in itertools.product(range(len(page)), range(len(mate))):
+                size[i + 1][j + 1] = size[i][j] + 1 if key(page[i]) == key(mate[j]) else max(size[i][j + 1], size[i + 1][j])
+            shared, i, j = set(), len(page), len(mate)
+            while i and j:
+                if key(page[i - 1]) == key(mate[j - 1]):
+                    i, j = i - 1, j - 1
+                    shared.add(i)
+                elif size[i][j - 1] >= size[i - 1][j]:
+                    j -= 1
+                else:
+                    i -= 1
+            article = [t for t, z in page if z == html.ARTICLE]
+            own = [t for k, (t, z) in enumerate(page) if z == html.OTHER and k not in shared] or [t for t, z in page if z == html.OTHER]
+            out[name] = "\n".join(article or own)
+    return out
+
+
+@pytest.mark.parametrize("shard", [128, 4])
+@pytest.mark.parametrize("marked", [True, False])
+def test_pages_are_those_of_brute_force(spark, sf, shard, marked):
+    """Also on the same pages without markup of any kind, where differencing alone decides."""
+    pages = table(spark, sf, "pages")
+    if not marked:
+        pages = pages.withColumn("html", F.regexp_replace("html", "<(/?)(article|nav|footer|header|aside|form)", "<$1div")).withColumn("html", F.regexp_replace("html", " (class|id|role)=.[^\"\\']*.", ""))
+    want = brute_pages([(r["page_id"], r["url"], r["html"]) for r in pages.collect()])
+    got = html.extract(pages, shard=shard).collect()
+    assert {(r["page_id"], r["url"]): r["text"] for r in got} == want
+    assert all(r["n_deleted"] + r["n_repeated"] <= r["n_shared"] for r in got)
+    assert marked or any(r["n_deleted"] for r in got)
+
+
+def test_a_large_host_is_the_same_for_any_number_of_partitions(spark):
+    """1,000 pages without an article; the menus are those of a section of five pages."""
+    page = lambda k: f"<div>Site</div><div>Section {k // 5}</div><p>story {k}</p><div>Notice of {k // 5}</div>"
+    rows = spark.createDataFrame([(k, f"http://h.example/{k // 5:04d}/{k % 5}", page(k), "x", 1, 1) for k in range(1000)], PAGES)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, shard in (("1", 128), ("8", 128), ("61", 128), ("8", 7), ("8", 5000)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r["page_id"]: r["text"] for r in html.extract(rows, shard=shard).collect()}
+            assert got == {k: f"story {k}" for k in range(1000)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_repeated_passage_stays_and_a_site_line_goes():
+    one = [("menu", html.DROP), ("site", html.OTHER), ("passage", html.ARTICLE), ("story 1", html.ARTICLE), ("foot 1", html.OTHER)]
+    two = [("menu", html.DROP), ("passage", html.OTHER), ("site", html.OTHER), ("passage", html.ARTICLE), ("story 2", html.ARTICLE)]
+    assert html.align(one, two) == {0, 1, 2}
+    assert html.main_text(one, html.align(one, two)) == html.Main("passage\nstory 1", 2, 1, 1)
+    plain = [(t, html.OTHER) for t, _ in one]
+    assert html.main_text(plain, html.align(plain, [(t, html.OTHER) for t, _ in two])).text == "story 1\nfoot 1"
+
+
 def test_pages(spark, sf):
     pages = table(spark, sf, "pages")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(pages).collect()}
