@@ -189,7 +189,6 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float
     task, whatever the sizes of the tables and parts.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     keep = k + 1
     base = cut(entries(vectors, keep))
     sizes = base.groupBy(F.length("vec").alias("bytes")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bytes").limit(1).collect()

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one under /tmp where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master (tests) takes one under /tmp; any
+    other is refused, because its executors could not read what another wrote."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    at = at or "/tmp/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -47,6 +52,12 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch`` named and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread_join(left: DataFrame, groups: DataFrame, on: str, by: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """Join rows to a table of one row for each ``on``, where one key may hold a large share of ``left``.
 
@@ -58,10 +69,23 @@ def spread_join(left: DataFrame, groups: DataFrame, on: str, by: str, how: str =
     return salted.join(repeated, [on, "_salt"], how).drop("_salt")
 
 
-def batches_by_bytes(spark: SparkSession) -> None:
-    """Arrow batches are cut by bytes as well as rows, so very long texts do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def small(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes of texts, one row at least, so that very long texts do not
+    fill a worker. This is settled where a plan runs; settings of the session stay as they are."""
+    for batch in batches:
+        if batch.num_rows <= rows and batch.nbytes <= size:
+            yield batch
+            continue
+        weight = np.ones(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(weight), 0
+        while at < batch.num_rows:
+            begun = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, begun + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def free(columns: list[str], name: str) -> str:
@@ -76,10 +100,9 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, a
     """``mapInArrow`` where ``fn`` turns one batch into columns."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             yield pa.RecordBatch.from_pydict(fn(batch), schema=arrow)
 
-    batches_by_bytes(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

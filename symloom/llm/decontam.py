@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A window of a document is as long (in words) as a benchmark item. Windows are taken where a document shares a shingle with an
-item, so that the shingle stands in the window as it stands in the item, and ``slack`` words to either side: a window that
-shares no shingle has similarity 0. Each window and each item has a 128-bit SimHash of its weighted shingles. Multi-index
+item, so that the shingle stands in the window as it stands in the item, ``slack`` words to either side, and at every start between two
+such alignments that are closer than the item's length (words were put in or left out): a window that shares no shingle has similarity 0. Each window and each item has a 128-bit SimHash of its weighted shingles. Multi-index
 Hamming lookup: the fingerprint is cut into eight blocks of 16 bits; within ``radius`` 31 at least one block differs in three bits or
 fewer, so looking up each block's neighbourhood finds every fingerprint within the radius. Candidates are then verified by exact weighted
 Jaccard similarity of the shingle multisets; a shingle weighs as many as its words have characters.
@@ -10,8 +10,8 @@ Jaccard similarity of the shingle multisets; a shingle weighs as many as its wor
 Rows: doc_id, item_id, start_word, n_words, hamming, similarity, start_char, end_char; for one item, windows that overlap a
 better one are left out (ties: the first). Words are ``\\w+`` of the lower-cased text, shingles five words; an item of one to
 four words is one shingle of its length. Null, empty and wordless texts and items match nothing. Repeated rows are matched each. Items are
-broadcast in slices of at most ``slice_words`` words, so a benchmark of any size is scanned in bounded memory; slices are
-read in turn. Extra columns are ignored.
+broadcast in slices of about ``slice_chars`` characters (one item at least), which bounds their words in any script, so a benchmark of any size is
+scanned in bounded memory; slices are read in turn. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import SHINGLE, SIMILARITY, WORD, WordHashes, batches_by_bytes, map_rows, mixed, shingles, word_hashes, worker_words
+from symloom.llm.common import SHINGLE, SIMILARITY, WORD, WordHashes, map_rows, mixed, shingles, small, word_hashes, worker_words
 
 BLOCKS, WIDTH, RADIUS = 8, 16, 31
 SPREAD = RADIUS // BLOCKS
@@ -133,6 +133,16 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float((w * np.minimum(na, nb)).sum() / (w * np.maximum(na, nb)).sum())
 
 
+def between(begin: np.ndarray, item: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Also every start between two alignments of an item that are closer than its length: words put in or left out shift the rest of a passage."""
+    order = np.lexsort((begin, item))
+    begin, item = begin[order], item[order]
+    gap = np.where(item[1:] == item[:-1], begin[1:] - begin[:-1], 0)
+    n = np.where((gap > 1) & (gap < sizes[item[:-1]]), gap - 1, 0)
+    more = np.repeat(begin[:-1] - (np.cumsum(n) - n), n) + 1 + np.arange(n.sum())
+    return np.concatenate((begin, more)), np.concatenate((item, np.repeat(item[:-1], n)))
+
+
 def matches(text: str | None, ix: Index, known: WordHashes, least: float, slack: int) -> list[tuple]:
     words = word_hashes(text, known)
     out: list[tuple] = []
@@ -161,7 +171,7 @@ def matches(text: str | None, ix: Index, known: WordHashes, least: float, slack:
             items_.append(item[go])
     if not starts_:
         return out
-    begin, item = np.concatenate(starts_), np.concatenate(items_)
+    begin, item = between(np.concatenate(starts_), np.concatenate(items_), ix.sizes)
     size = np.minimum(ix.sizes[item], len(words))
     begin = np.clip(begin, 0, len(words) - size)
     windows = np.unique(np.stack([begin, size], 1), axis=0)
@@ -197,19 +207,19 @@ SCHEMA = "doc_id long, item_id long, start_word long, n_words long, hamming long
 ARROW = pa.schema([(n, pa.float64() if n == "similarity" else pa.int64()) for n in ("doc_id", "item_id", "start_word", "n_words", "hamming", "similarity", "start_char", "end_char")])
 
 
-def slices_of(benchmark: DataFrame, slice_words: int) -> Iterator[Index | None]:
-    """Indexes over the benchmark, each of at most about ``slice_words`` words; what is collected for one is bounded by that."""
+def slices_of(benchmark: DataFrame, slice_chars: int) -> Iterator[Index | None]:
+    """Indexes over the benchmark, each of about ``slice_chars`` characters; what is collected for one is bounded by that."""
     sized = benchmark.select("item_id", "text").filter("text is not null")
-    words = sized.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
-    slices = max(1, -(-int(words) * 5 // (slice_words * 4)))
+    chars = sized.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    slices = max(1, -(-int(chars) * 5 // (slice_chars * 4)))
     for k in range(slices):
         mine = sized if slices == 1 else sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         yield index([tuple(r) for r in mine.orderBy("item_id", "text").collect()])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, least: float = SIMILARITY, slack: int = 1, slice_words: int = 2_000_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, least: float = SIMILARITY, slack: int = 1, slice_chars: int = 12_000_000) -> DataFrame:
     """All contaminated spans; one scan of ``docs`` for each slice of the benchmark, no shuffle."""
-    return functools.reduce(DataFrame.unionByName, [_scan(docs, ix, least, slack) for ix in slices_of(benchmark, slice_words)])
+    return functools.reduce(DataFrame.unionByName, [_scan(docs, ix, least, slack) for ix in slices_of(benchmark, slice_chars)])
 
 
 def _scan(docs: DataFrame, ix: Index | None, least: float, slack: int) -> DataFrame:
@@ -225,17 +235,16 @@ def _scan(docs: DataFrame, ix: Index | None, least: float, slack: int) -> DataFr
     return map_rows(docs.select("doc_id", "text"), run, SCHEMA, ARROW)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, least: float = SIMILARITY, slack: int = 1, slice_words: int = 2_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, least: float = SIMILARITY, slack: int = 1, slice_chars: int = 12_000_000) -> DataFrame:
     """The rows of ``docs`` without a contaminated span, with the columns they had; rows are judged where they are read, no shuffle."""
     at = docs.columns.index("text")
-    batches_by_bytes(docs.sparkSession)
-    for ix in slices_of(benchmark, slice_words):
+    for ix in slices_of(benchmark, slice_chars):
         if ix is None:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(ix)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
+            for batch in small(batches):
                 yield batch.filter(pa.array([not matches(t, sent.value, worker_words(), least, slack) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import batches_by_bytes, map_rows
+from symloom.llm.common import map_rows, small
 
 # Element and class names.
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea select title".split())
@@ -272,7 +272,7 @@ def extract(pages: DataFrame, *, shard: int = 128) -> DataFrame:
             return page[0], page[1], got.text, len(got.text), len(shared), got.deleted, got.repeated, got.markup
 
         before = page = None
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for after in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
                 if page is not None and page[7]:
@@ -283,5 +283,4 @@ def extract(pages: DataFrame, *, shard: int = 128) -> DataFrame:
         if page is not None and page[7]:
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(out.names, row(before, page, None), strict=True)}, schema=out)
 
-    batches_by_bytes(pages.sparkSession)
     return dealt.mapInArrow(difference, "page_id long, url string, text string, " + ", ".join(f"{n} long" for n in counts))

@@ -6,7 +6,7 @@
 3. One shuffle on band hashes. A bucket gives a star of edges to its least member, never all its pairs. The components of
    all stars are candidate clusters: two texts that share a bucket are in one cluster, so no candidate pair is lost.
 4. Each clustered text's full shingle set is sent to its cluster once, and every pair within the cluster is verified there
-   on the full sets. A cluster with more than ``block`` shingles is dealt into blocks, and each pair of blocks is a task of
+   on the full sets. A cluster with more than ``block`` shingles or ``block_texts`` texts is dealt into blocks, and each pair of blocks is a task of
    its own, so memory is bounded. Pairs are counted, not emitted: a task returns a row for each text with its links
    and the least text it is connected to.
 5. Components over the verified links give the classes.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from symloom.llm.common import SIMILARITY, batches_by_bytes, cut, free, map_rows, shingles, spread_join, word_hashes, worker_words
+from symloom.llm.common import SIMILARITY, cut, free, map_rows, shingles, small, spread_join, word_hashes, worker_words
 from symloom.llm.components import components
 
 
@@ -176,15 +176,14 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             words = (word_hashes(t, worker_words()) for t in batch.column(at).to_pylist())
             yield batch.append_column(name, pa.array([text_key(w) if len(w) else None for w in words], pa.int64()))
 
-    batches_by_bytes(docs.sparkSession)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
-def classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9995, hashes: int = 256, block: int = 1_000_000) -> DataFrame:
+def classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = 0.9995, hashes: int = 256, block: int = 1_000_000, block_texts: int = 512) -> DataFrame:
     """The rows of ``join`` with the key of their text and of their class (``root``), both null without words."""
     bands, rows = banding(similarity, recall, hashes)
     sig = cut(signatures(docs, bands, rows))
@@ -196,7 +195,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float =
 
     light = reps.select("key", "rep", "copies", "n")
     wanted = member.join(light, "key")
-    large = wanted.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    large = wanted.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / block_texts)).cast("int").alias("blocks")).filter("blocks > 1")
     wanted = spread_join(wanted, large, "cluster", "key", "left").select(F.col("rep").alias("doc_id"), "key", "cluster", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
     def sets(batch: pa.RecordBatch) -> dict:
@@ -235,7 +234,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float =
             root, n_docs, n_texts = verify(keys, [np.frombuffer(h[4], np.uint64) for h in rows_], np.array([h[1] for h in rows_], np.int64), side, now[1] != now[2], similarity)
             out.extend(zip(keys.tolist(), root.tolist(), [h[2] for h in rows_], n_docs.tolist(), n_texts.tolist(), strict=True))
 
-        for batch in batches:
+        for batch in small(batches):
             c, i, j, *rest = [batch.column(k).to_pylist() for k in range(8)]
             for group, row in zip(zip(c, i, j, strict=True), zip(*rest, strict=True), strict=True):
                 if group != now:
@@ -251,7 +250,6 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float =
         if out:
             yield pa.RecordBatch.from_pydict(dict(zip(VERIFIED_ARROW.names, map(list, zip(*out, strict=True)), strict=True)), schema=VERIFIED_ARROW)
 
-    batches_by_bytes(docs.sparkSession)
     verified = cut(dealt.mapInArrow(check, VERIFIED))
     counts = verified.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     whole = verified.filter("blocks = 1").select("key", "root")

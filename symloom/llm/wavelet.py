@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import batches_by_bytes
+from symloom.llm.common import small
 
 MAGIC = b"WMTX0001"
 BLOCK = 512
@@ -284,7 +284,7 @@ def write(docs: DataFrame, path: str, out: str, *, end_id: int = 1, shard_tokens
             blob = pack(ids, counts, np.concatenate(held).astype(small), levels)
             return pa.RecordBatch.from_pydict({"part": [part], "before": [before], "n_tokens": [n], "blob": [blob]}, schema=SHARDS_ARROW)
 
-        for batch in batches:
+        for batch in small(batches):
             got, own = enc.encode_all(batch.column(1))
             with_end = np.full(len(got) + len(own), end_id, got.dtype)
             with_end[np.arange(len(got)) + np.repeat(np.arange(len(own)), own)] = got
@@ -305,7 +305,6 @@ def write(docs: DataFrame, path: str, out: str, *, end_id: int = 1, shard_tokens
             yield flush()
 
     spark = docs.sparkSession
-    batches_by_bytes(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS).write.parquet(out)
@@ -320,7 +319,7 @@ def read(spark, out: str, *, keep_ids: bool = False) -> DataFrame:  # noqa: ANN0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, before, blob in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            for part, before, blob in (tuple(batch.column(c)[k].as_py() for c in range(3)) for k in range(batch.num_rows)):
                 shard = Shard(blob)
                 raw = memoryview(shard.tokens().astype("<u4").tobytes())
                 at, rows = 0, []
@@ -333,7 +332,6 @@ def read(spark, out: str, *, keep_ids: bool = False) -> DataFrame:  # noqa: ANN0
     stored = spark.read.schema(SHARDS).parquet(out)
     sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each part of the write
     ahead = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     rows = stored.select("part", "before", "blob").mapInArrow(run, READ)
     cols = ["doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"]
     return rows.join(F.broadcast(ahead), "part").select(*cols, *(["ids"] if keep_ids else []))
