@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.llm.common import small
+
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.S)
@@ -45,11 +47,11 @@ def unescaped_role(x: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescaped(x))
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, at, message, role, text), one row for each message that is left."""
-    e = events.select("conv_id", "seq", "message", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def fold(events: DataFrame, message: tuple[str, ...] = ("message",)) -> DataFrame:
+    """(conv_id, at, the columns that name a message, role, text), one row for each message that is left."""
+    e = events.select("conv_id", "seq", *message, F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     step = F.struct("seq", "kind", "role", "text")
-    got = e.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min("seq").alias("at"))
+    got = e.groupBy("conv_id", *message).agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min("seq").alias("at"))
     restart = F.expr("array_max(transform(steps, (x, i) -> if(x.kind in ('message', 'edit', 'regenerate', 'delete'), i, 0)))")
     live = F.slice("steps", restart + 1, F.size("steps"))
     return (
@@ -58,7 +60,7 @@ def fold(events: DataFrame) -> DataFrame:
         .select(
             "conv_id",
             "at",
-            "message",
+            *message,
             F.coalesce(F.expr("try_element_at(filter(steps, x -> x.role <> ''), -1).role"), F.lit("")).alias("role"),
             F.array_join(F.transform("live", lambda s: s["text"]), "").alias("text"),
         )
@@ -66,24 +68,28 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, at, message, formatted, loss_start, loss_end): a turn's rendering, and the masked span in it or nulls."""
+    """(conv_id, at, the other columns, formatted, loss_start, loss_end): a turn's rendering, and the masked span in it or nulls."""
     head = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"))
     body = escaped(F.col("text"))
     learned = F.col("role") == LEARNED
     return messages.select(
-        "conv_id",
-        "at",
-        "message",
+        *[c for c in messages.columns if c not in ("role", "text")],
         F.concat(head, body, F.lit(END + "\n")).alias("formatted"),
         F.when(learned, F.length(head)).alias("loss_start"),
         F.when(learned, F.length(head) + F.length(body)).alias("loss_end"),
     )
 
 
+COPY = ("turn", "copy")
+
+
 def from_rows(conversations: DataFrame) -> DataFrame:
-    """Plain rows (conv_id, turn, role, text) as events; repeated rows of a turn are messages of their own."""
-    tie = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.struct("turn", F.row_number().over(tie).alias("copy")).alias("message"), F.lit("message").alias("kind"), "role", "text")
+    """Plain rows (conv_id, turn, role, text) as events whose messages are named by ``COPY``; repeated rows of a turn are messages of their own.
+
+    The copies of a turn are numbered where the fold then meets them: both are dealt by (conversation, turn), so the texts move once.
+    """
+    plain = conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return plain.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -103,7 +109,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
         def row(x: list) -> list:
             return [x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5]]
 
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for conv, formatted, a, b in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
                 if now is None or now[0] != conv:
@@ -123,5 +129,6 @@ def read_back(rendered: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(DIGEST_ARROW.names, row(now), strict=True)}, schema=DIGEST_ARROW)
 
-    dealt = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "at", "message")
+    names = [c for c in rendered.columns if c not in ("conv_id", "at", "formatted", "loss_start", "loss_end")]
+    dealt = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "at", *names)
     return dealt.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, DIGEST)
