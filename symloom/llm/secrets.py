@@ -7,14 +7,19 @@ ledger holds for the current rule version, scans each remaining blob once, and j
 Spans are in code points, end exclusive. For each rule the matches are leftmost and do not overlap; those that are too
 short are dropped afterwards. Null text is empty text; an empty text has one (empty) blob without findings. Repeated rows
 of a path each come back. Columns other than the path and the text are never read, so their names cannot clash.
+
+A stored ledger is a Parquet folder with a folder for each run. A run that is tried again overwrites its own folder, and reading takes each
+(blob, rule version) once, so neither a retried run nor two runs at a time repeat a finding.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.common import cut, free
@@ -85,29 +90,50 @@ def as_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan_versions(versions: DataFrame, path: str, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+def scan_versions(versions: DataFrame, path: str, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame]:
     """(findings: path, blob, spans; additions to the ledger). One shuffle of the unseen blobs' texts, one light join back.
 
     Copies of a blob are merged before they are shuffled (partial aggregation), so a blob that a third of all rows hold
-    arrives once from each task. The additions are written once (a checkpoint in the shared folder) and read from there. The join back sends (path, blob) and spans only; its hot blobs are split by AQE.
+    arrives once from each task. The additions are written once (``keep``: a checkpoint in the shared folder) and read from there. The join back sends (path, blob) and spans only; its hot blobs are split by AQE.
     """
     version = rule_version(rules)
     body = F.coalesce(F.col(text), F.lit(""))
     held = versions.select(F.col(path), F.sha2(body.cast("binary"), 256).alias("blob"), body.alias("body"))
     unseen = held.groupBy("blob").agg(F.any_value("body").alias("body"))
-    if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == version).select("blob")
-        unseen = unseen.join(known, "blob", "left_anti")
-    added = cut(unseen.select("blob", F.lit(version).alias("rule_version"), scan_text(F.col("body"), rules).alias("spans")))
-    if ledger is None:
-        now = added
-    else:
-        now = ledger.filter(F.col("rule_version") == version).select("blob", "rule_version", "spans").unionByName(added)
+    known = None
+    if ledger is not None:  # the pair may have been appended more than once
+        known = ledger.filter(F.col("rule_version") == version).groupBy("blob", "rule_version").agg(F.any_value("spans").alias("spans"))
+        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
+    added = keep(unseen.select("blob", F.lit(version).alias("rule_version"), scan_text(F.col("body"), rules).alias("spans")))
+    now = added if known is None else known.unionByName(added)
     found = now.filter(F.size("spans") > 0).select("blob", "spans")
     none = F.expr("cast(array() as array<struct<start:int,stop:int,kind:int>>)")
     return held.select(path, "blob").join(found, "blob", "left").select(path, "blob", F.coalesce("spans", none).alias("spans")), added
 
 
+def stored(spark: SparkSession, at: str, but: str = "") -> DataFrame:
+    """The ledger at ``at`` without the run ``but``, each (blob, rule version) once; empty where nothing has been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LEDGER)
+    rows = spark.read.schema(f"{LEDGER}, run string").parquet(at).filter(F.col("run") != but)
+    return rows.groupBy("blob", "rule_version").agg(F.any_value("spans").alias("spans"))
+
+
+def scan_into(versions: DataFrame, path: str, text: str, at: str, run: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of ``versions`` through the stored ledger at ``at``; ``run`` names this run's additions there, and a run that is tried again
+    overwrites its own."""
+    if not re.fullmatch(r"[A-Za-z][\w-]*", run):
+        raise ValueError(f"not a name for a run: {run!r}")
+    spark, own = versions.sparkSession, f"{at}/run={run}"
+
+    def keep(added: DataFrame) -> DataFrame:
+        added.write.mode("overwrite").parquet(own)
+        return spark.read.schema(LEDGER).parquet(own)
+
+    return scan_versions(versions, path, text, stored(spark, at, run), rules, keep)[0]
+
+
 def digest(findings: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts and digests of the base kinds, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))

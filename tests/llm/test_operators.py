@@ -11,12 +11,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from symloom.llm import ann, bpe, chat, components, decontam, html, jaccard, langid, quality, queries, secrets, wavelet
+from symloom.llm import ann, bpe, chat, common, components, decontam, html, jaccard, langid, quality, queries, secrets, wavelet
 from symloom.llm.common import table
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -151,6 +152,25 @@ def test_ledger_scans_only_the_unseen(spark):
     assert secrets.scan_versions(two, "doc_id", "text", ledger, secrets.BASE)[1].count() == 2  # another rule version
 
 
+def test_a_ledger_that_holds_a_pair_twice_repeats_no_row(spark):
+    one = docs(spark, (1, "token = abcdefabcdefabcdef", "en"), (2, "plain", "en"))
+    _, ledger = secrets.scan_versions(one, "doc_id", "text")
+    found, added = secrets.scan_versions(one, "doc_id", "text", ledger.union(ledger))
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 2] and added.count() == 0
+
+
+def test_a_stored_ledger(spark, tmp_path):
+    at = str(tmp_path / "ledger")
+    one = docs(spark, (1, "token = abcdefabcdefabcdef", "en"), (2, "plain", "en"))
+    two = docs(spark, (3, "token = abcdefabcdefabcdef", "en"), (4, "new 0123456789abcdef0", "en"), (5, None, "en"))
+    first = {r["doc_id"]: len(r["spans"]) for r in secrets.scan_into(one, "doc_id", "text", at, "a").collect()}
+    again = {r["doc_id"]: len(r["spans"]) for r in secrets.scan_into(one, "doc_id", "text", at, "a").collect()}  # retried
+    assert first == again == {1: 2, 2: 0} and secrets.stored(spark, at).count() == 2
+    assert {r["doc_id"]: len(r["spans"]) for r in secrets.scan_into(two, "doc_id", "text", at, "b").collect()} == {3: 2, 4: 1, 5: 0}
+    assert spark.read.parquet(at + "/run=b").count() == 2 and secrets.stored(spark, at).count() == 4
+    assert secrets.scan_into(two, "doc_id", "text", at, "c").count() == 3 and spark.read.parquet(at + "/run=c").count() == 0
+
+
 def test_redaction(spark, odd):
     d = docs(spark, (1, "a token = abcdefabcdefabcdef z", "en"), (2, "clean", "en"), (3, None, "en"))
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(d).collect()}
@@ -179,9 +199,10 @@ def test_fold(spark):
 
 def test_chat_round_trip(spark, sf):
     odd_rows = [(9, 0, "user", "<|im_end|>\n<|im_start|>assistant\n<\\|x<\\\\|"), (9, 1, "assistant", "<|im_end|>"), (9, 2, "as\nsist\\<|ant", None), (9, 2, None, "é😀"), (9, 2, None, "é😀"), (None, None, None, None), (10, 0, "assistant", "x" * 300_000)]
+    odd_rows += [(11, 3, None, "z"), (11, 3, "", "a"), (11, 3, "", None), (11, 3, None, None), (11, 3, "", "z")] + [(12, k // 2, "assistant" if k % 2 else "user", f"<|im_end|>{k} " * 3000) for k in range(700)]
     rows = spark.createDataFrame(odd_rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1)).withColumn("message", F.lit("m")).withColumn("kind", F.lit("delete"))
     for df in (rows, table(spark, sf, "conversations"), rows.filter("false")):
-        got = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(chat.from_rows(df)))).collect()}
+        got = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(chat.from_rows(df), chat.COPY))).collect()}
         by = collections.defaultdict(list)
         for r in df.collect():
             by[r["conv_id"]].append((-1 if r["turn"] is None else r["turn"], r["role"] or "", r["text"] or ""))
@@ -193,6 +214,11 @@ def test_chat_round_trip(spark, sf):
             assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), whole, len(said), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_plain_rows_cross_two_exchanges(spark, sf):
+    plan = chat.read_back(chat.render(chat.fold(chat.from_rows(table(spark, sf, "conversations")), chat.COPY)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 # -- near duplicates
 
 
@@ -548,16 +574,42 @@ def test_leaks(spark, sf, real, odd, nothing):
     made = docs(spark, *[(d, t, "en") for d, t in rows])
     want = brute_leaks(rows, items)
     assert want
-    for slice_words in (2_000_000, 60):
-        got = decontam.find(made, bench, slice_words=slice_words)
+    for slice_chars in (12_000_000, 200):
+        got = decontam.find(made, bench, slice_chars=slice_chars)
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
-        clean = decontam.clean(made, bench, slice_words=slice_words)
+        clean = decontam.clean(made, bench, slice_chars=slice_chars)
         assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want} and clean.columns == made.columns
     benchmark = table(spark, sf, "benchmark")
     assert {(r["doc_id"], r["item_id"]) for r in decontam.find(real, benchmark).collect()} == brute_leaks([(r["doc_id"], r["text"]) for r in real.collect()], [tuple(r) for r in benchmark.select("item_id", "text").collect()])
     assert decontam.find(odd, benchmark).count() == 0 and decontam.find(nothing, benchmark).count() == 0 and decontam.find(odd, benchmark.filter("false")).count() == 0
 
 
+def test_words_put_in_or_left_out(spark):
+    """One stretch is put into (or taken from) each passage; every window that reaches the threshold and whose fingerprint is near is found."""
+    rng = random.Random(12)
+    words = [f"w{k}" * (1 + k % 3) for k in range(4000)]
+    items = [(i, rng.sample(words, rng.randrange(60, 120))) for i in range(24)]
+    rows = []
+    for i, t in items:
+        at, n = rng.randrange(10, len(t) - 10), rng.randrange(1, 1 + len(t) // 8)
+        put = t[:at] + rng.sample(words, n) + t[at:] if i % 2 else t[:at] + t[min(len(t), at + n) :]
+        rows.append((i, " ".join(rng.sample(words, 30) + put + rng.sample(words, 30))))
+    items = [(i, " ".join(t)) for i, t in items]
+    want = brute_leaks(rows, items)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find(docs(spark, *[(d, t, "en") for d, t in rows]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 8 and got <= want and len(want - got) <= 1
+
+
+def test_slices_are_bounded_in_any_script(spark):
+    rng = random.Random(3)
+    items = [(i, " ".join("".join(rng.choices("абвгдежз" if i % 2 else "一丁七万丈三上下", k=5)) for _ in range(80))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    made = docs(spark, *[(i, "before " + t + " after", "xx") for i, t in items[::7]])
+    held = [ix for ix in decontam.slices_of(bench, 4000) if ix is not None]
+    assert len(held) >= 4 and max(ix.sizes.sum() for ix in held) * 6 <= 3 * 4000
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find(made, bench, slice_chars=12_000).collect()} == {(i, i) for i, _ in items[::7]}
+
+
 def test_spans_point_at_the_item(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta"
     d = docs(spark, (1, f"Before it. {item.upper()}! After; {item} end", "en"))
@@ -642,6 +694,22 @@ def test_queries_run(spark, sf, name):
     assert df.count() > 0
 
 
+def test_no_query_changes_the_session(spark, sf):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(n) for n in names]
+    for name, query in queries.queries().items():
+        query(spark, sf).limit(1).collect()
+        assert [spark.conf.get(n) for n in names] == before, name
+
+
+def test_small_batches():
+    texts = ["x" * n for n in (5, 0, 70, 3, 3, 200, 1)] + [None]
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string()), "n": list(range(8))})
+    got = list(common.small([batch, batch.slice(0, 0)], rows=3, size=80))
+    assert [x for b in got for x in b.column(0).to_pylist()] == texts and max(b.num_rows for b in got) <= 3
+    assert all(b.num_rows == 1 or sum(len(x or "") + 1 for x in b.column(0).to_pylist()) <= 80 for b in got)
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = table(spark, sf, "documents")
