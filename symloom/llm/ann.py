@@ -2,15 +2,17 @@
 
 Fit (on a bounded sample): a k-nearest-neighbour graph of the sample is cut into 2^d parts of equal size by recursive
 bisection (median of a smoothed vector on the graph) and refined by balanced swaps; a small classifier (one hidden layer) learns each vector's part, with the
-parts of its neighbours as soft labels. The number of parts a query is routed to is the least for which queries held out of
-the classifier's fit reach the target recall against brute force within the sample.
+parts of its neighbours as soft labels. A query is routed to its most probable parts until their probabilities sum to a share, so a query near
+the middle of a part goes to few; the share is the least for which queries held out of the classifier's fit reach the target recall against brute force
+within the sample.
 
 Index: every row. Equal vectors are one entry that keeps the least ``k + 1`` ids (merged in each task before they are shuffled), so
 a vector that a third of all rows hold is one entry. An entry goes to its most probable part; large parts are dealt into chunks. Search: each
 distinct query vector goes to the chunks of its most probable parts, is reranked there by exact cosine, and the best are merged.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, and so do vectors of another length than the most
-common one. Ties go to the smaller id; repeated rows are candidates each; with fewer candidates than ``k`` all found are returned. An empty
+Vectors are compared with those of their own length, in double precision on the components as they are stored. The ``routers`` most common
+lengths have partitions of their own; any other length is one part, searched whole. Vectors that are null, empty, zero, or hold null or
+non-finite components take no part. Ties go to the smaller id; repeated rows are candidates each; with fewer candidates than ``k`` all found are returned. An empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -25,13 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import cut
+from symloom.llm.common import cut, spread_join
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that no square overflows or vanishes; cosines do not change by a bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
+def matrix(vecs) -> np.ndarray:  # noqa: ANN001
+    return np.frombuffer(b"".join(map(bytes, vecs)), np.float64).reshape(len(vecs), -1)
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """(n, k) nearest others by cosine, in blocks."""
     out = np.zeros((len(x), k), np.int64)
@@ -83,9 +95,11 @@ def balanced_parts(graph: np.ndarray, depth: int, *, seed: int = 5, rounds: int
 
 @dataclass
 class Router:
+    """``share``: of the probability that a query's parts hold together."""
+
     w1: np.ndarray
     w2: np.ndarray
-    probes: int
+    share: float
     dim: int
 
     @property
@@ -96,6 +110,19 @@ class Router:
         h = np.maximum(x.astype(np.float32) @ self.w1[:-1] + self.w1[-1], 0)
         return h @ self.w2[:-1] + self.w2[-1]
 
+    def ahead(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(parts by falling probability, probability of those before each)."""
+        z = self.logits(x).astype(np.float64)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        order = np.argsort(-p, 1, kind="stable")
+        sorted_p = np.take_along_axis(p, order, 1)
+        return order, np.cumsum(sorted_p, 1) - sorted_p
+
+    def route(self, x: np.ndarray) -> list[np.ndarray]:
+        order, before = self.ahead(x)
+        return [o[b <= self.share] for o, b in zip(order, before, strict=True)]
+
 
 def classifier(x: np.ndarray, target: np.ndarray, *, hidden: int = 128, epochs: int = 25, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -133,23 +160,19 @@ def fit(sample: np.ndarray, n: int, *, k: int = 5, recall: float = 0.96, part_ro
         depth += 1
     parts = 1 << depth
     if depth == 0:
-        return Router(np.zeros((dim + 1, 1), np.float32), np.zeros((2, 1), np.float32), 1, dim)
+        return Router(np.zeros((dim + 1, 1), np.float32), np.zeros((2, 1), np.float32), 1.0, dim)
     graph = neighbour_graph(x, min(near, len(x) - 1))
     part = balanced_parts(graph, depth)
     target = np.eye(parts, dtype=np.float32)[part] * 0.5 + np.eye(parts, dtype=np.float32)[part[graph]].mean(1) * 0.5
     held = np.arange(len(x)) % 8 == 0
     w1, w2 = classifier(x[~held], target[~held])
-    router = Router(w1, w2, parts, dim)
-    z = router.logits(x)
-    home = z.argmax(1)
-    order = np.argsort(-z[held], 1)
+    router = Router(w1, w2, 1.0, dim)
+    home = router.logits(x).argmax(1)
+    order, before = router.ahead(x[held])
     truth = graph_best(x, np.flatnonzero(held), k)
     place = np.argsort(order, 1)  # how soon a query probes each part
-    soon = np.take_along_axis(place, home[truth], 1)
-    for p in range(1, parts + 1):
-        if (soon < p).mean() >= recall:
-            router.probes = p
-            break
+    needed = np.sort(np.take_along_axis(before, np.take_along_axis(place, home[truth], 1), 1).ravel())
+    router.share = float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))])
     return router
 
 
@@ -162,78 +185,96 @@ def graph_best(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def usable(v: list | None) -> bytes | None:
+    """The components as doubles, without negative zeros; None where the vector takes no part."""
+    if not v or None in v:
+        return None
+    a = np.asarray(v, np.float64)
+    return (a + 0.0).tobytes() if np.isfinite(a).all() and a.any() else None
+
+
 def entries(vectors: DataFrame, keep: int) -> DataFrame:
-    """(vec: float32 bytes, ids: the least ``keep`` ids, n): one row for each distinct usable vector."""
+    """(vec: bytes of doubles, ids: the least ``keep`` ids, n): one row for each distinct usable vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[bytes, list[int]] = {}
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or not v or None in v:
-                    continue
-                a = np.asarray(v, np.float32)
-                if np.isfinite(a).all() and a.any():
-                    held.setdefault((a + np.float32(0)).tobytes(), []).append(i)
+                if i is not None and (vec := usable(v)) is not None:
+                    held.setdefault(vec, []).append(i)
             yield pa.RecordBatch.from_pydict({"vec": list(held), "ids": [sorted(x)[:keep] for x in held.values()], "n": [len(x) for x in held.values()]}, schema=arrow)
 
     arrow = pa.schema([("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
-    part = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "vec binary, ids array<long>, n long")
-    # each task has sent at most ``keep`` ids of a vector for each batch
-    return part.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"), F.sum("n").alias("n"))
+    part = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec binary, ids array<long>, n long")
+    # each task sends at most ``keep`` ids of a vector for each batch; a vector that many hold is first merged by salt
+    least = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, keep)
+    salt = F.pmod(F.element_at("ids", 1), F.lit(64))
+    few = part.groupBy("vec", salt.alias("salt")).agg(least("ids").alias("ids"), F.sum("n").alias("n"))
+    return few.groupBy("vec").agg(least("ids").alias("ids"), F.sum("n").alias("n"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float = 0.96, sample: int = 8192, chunk: int = 8000, ask: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float = 0.96, sample: int = 8192, chunk: int = 8000, ask: int = 20_000, routers: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score. ``queries`` are rows (vec_id, embedding) of ``vectors``; a row is not its own candidate.
 
-    ``sample`` bounds the vectors that the partitions and the classifier are fitted on; about ``chunk`` entries meet about ``ask`` queries in a
-    task, whatever the sizes of the tables and parts.
+    ``sample`` bounds the vectors that the partitions and the classifier of a length are fitted on; about ``chunk`` entries meet about ``ask`` queries
+    in a task, whatever the sizes of the tables and parts.
     """
     spark = vectors.sparkSession
     keep = k + 1
     base = cut(entries(vectors, keep))
-    sizes = base.groupBy(F.length("vec").alias("bytes")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bytes").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n = sizes[0]["bytes"], sizes[0]["n"]
-    base = base.filter(F.length("vec") == width)
+    sizes = base.groupBy(F.length("vec").alias("bytes")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bytes").limit(routers).collect()
     part_of_one = F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) / float(1 << 30)
-    some = base.filter(part_of_one < min(1.0, 1.3 * sample / n)).select("vec", part_of_one.alias("u")).orderBy("u", "vec").limit(sample).toPandas()
-    drawn = np.frombuffer(b"".join(map(bytes, some["vec"])), np.float32).reshape(-1, width // 4)
-    router = fit(drawn, n, k=k, recall=recall)
-    sent = spark.sparkContext.broadcast(router)  # a few matrices, whatever the table's size
+    fitted: dict[int, tuple[int, Router]] = {}  # length in bytes -> (first part, router)
+    first = 0
+    for width, n in sizes:
+        some = base.filter((F.length("vec") == width) & (part_of_one < min(1.0, 1.3 * sample / n))).select("vec", part_of_one.alias("u")).orderBy("u", "vec").limit(sample).toPandas()
+        router = fit(matrix(some["vec"]), n, k=k, recall=recall)
+        fitted[width] = first, router
+        first += router.parts
+    sent = spark.sparkContext.broadcast(fitted)  # a few matrices, whatever the table's size
+
+    def routed_to(vec: pd.Series, most: bool) -> list[np.ndarray]:
+        """Parts of each vector; a length without a router is the part of its negative number of bytes."""
+        out: list[np.ndarray] = [np.array([-len(v)], np.int32) for v in vec]
+        wide = np.array([len(v) for v in vec])
+        for width, (at, router) in sent.value.items():
+            rows = np.flatnonzero(wide == width)
+            if len(rows):
+                x = unit(matrix(vec.iloc[rows]))
+                got = router.logits(x).argmax(1)[:, None] if most else router.route(x)
+                for r, p in zip(rows.tolist(), got, strict=True):
+                    out[r] = (p + at).astype(np.int32)
+        return out
 
     def home(vec: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(vec), np.float32).reshape(len(vec), -1).astype(np.float64)
-        return pd.Series(sent.value.logits(unit(x)).argmax(1).astype(np.int32))
+        return pd.Series([int(p[0]) for p in routed_to(vec, True)], dtype="int32")
 
     def route(vec: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(vec), np.float32).reshape(len(vec), -1).astype(np.float64)
-        return pd.Series(list(np.argsort(-sent.value.logits(unit(x)), 1)[:, : sent.value.probes].astype(np.int32)))
+        return pd.Series(routed_to(vec, False))
 
     placed = cut(base.withColumn("part", F.pandas_udf(home, "int")("vec")).select("part", "vec", "ids"))
-    chunks = placed.groupBy("part").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))  # at most 2^most_depth rows
-    asked = cut(entries(queries, 1).filter(F.length("vec") == width).select("vec"))
+    # one row for each part, and for each length that has no router
+    chunks = placed.groupBy("part").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    asked = cut(entries(queries, 1).select("vec"))
     turns = max(1, -(-asked.count() // ask))
-    dealt = placed.join(F.broadcast(chunks), "part").select(
+    dealt = placed.join(chunks, "part").select(
         "part", F.pmod(F.xxhash64("vec", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "vec", "ids"
     )
     turn = F.pmod(F.xxhash64("vec", F.lit(2)), F.lit(turns)).cast("int").alias("turn")
-    routed = asked.withColumn("part", F.explode(F.pandas_udf(route, "array<int>")("vec"))).join(F.broadcast(chunks), "part").select("vec", "part", turn, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    routed = asked.withColumn("part", F.explode(F.pandas_udf(route, "array<int>")("vec"))).join(chunks, "part").select("vec", "part", turn, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"vec": [], "vec_id": [], "score": []}).astype({"vec": object, "vec_id": "int64", "score": "float64"})
         if left.empty or right.empty:
-            return empty
-        x = np.frombuffer(b"".join(map(bytes, left["vec"])), np.float32).reshape(len(left), -1).astype(np.float64)
-        low = np.array([i[0] for i in left["ids"]])
-        order = np.argsort(low, kind="stable")
+            return pd.DataFrame({"vec": [], "vec_id": [], "score": []}).astype({"vec": object, "vec_id": "int64", "score": "float64"})
+        x = scaled(matrix(left["vec"]))
+        order = np.argsort(np.array([i[0] for i in left["ids"]]), kind="stable")
         x, ids = x[order], [left["ids"].iloc[i] for i in order]
         norm = np.sqrt((x * x).sum(1))
         out = []
         for at in range(0, len(right), 256):
             vecs = right["vec"].iloc[at : at + 256]
-            q = np.frombuffer(b"".join(map(bytes, vecs)), np.float32).reshape(len(vecs), -1).astype(np.float64)
-            rough = (q @ x.T) / norm
+            q = scaled(matrix(vecs))
+            rough = (q @ x.T) / norm / np.sqrt((q * q).sum(1))[:, None]
             near = np.argpartition(-rough, min(4 * keep, len(x)) - 1, 1)[:, : 4 * keep] if len(x) > 4 * keep else np.tile(np.arange(len(x)), (len(q), 1))
             for r, (vec, cand) in enumerate(zip(vecs, near, strict=True)):
                 if len(x) > 4 * keep:  # ties at the edge
@@ -247,12 +288,13 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float
     found = dealt.groupBy("part", "chunk", "turn").cogroup(routed.groupBy("part", "chunk", "turn")).applyInPandas(rerank, "vec binary, vec_id long, score double")
     top = Window.partitionBy("vec").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= keep).groupBy("vec").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("best"))
-    named = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter("query_id is not null")
+    named = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("query_id is not null")
 
-    def raw(v: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(x, np.float32) + np.float32(0)).tobytes() if x is not None and len(x) and not any(y is None or y != y for y in x) else None for x in v])
+    def raw(vecs: pd.Series) -> pd.Series:
+        return pd.Series([usable(None if v is None else [None if y != y else y for y in v]) for v in vecs])
 
-    keyed = named.select("query_id", F.pandas_udf(raw, "binary")("embedding").alias("vec"))
+    keyed = named.select("query_id", F.pandas_udf(raw, "binary")("embedding").alias("vec")).filter("vec is not null")
     own = F.filter("best", lambda b: b["vec_id"] != F.col("query_id"))
-    rows = keyed.join(best, "vec").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("at", "b"))
+    # many queries may hold one vector
+    rows = spread_join(keyed, best, "vec", "query_id").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("at", "b"))
     return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b")["vec_id"].alias("vec_id"), F.col("b")["score"].alias("score"))

@@ -661,7 +661,9 @@ def test_ann_recall(spark):
     hits = np.mean([len({v for v, _ in got[q].values()} & {v for v, _ in w}) / 5 for q, w in want.items()])
     assert hits >= 0.9
     model = ann.fit(np.array([v for _, v in rows], np.float32), 4000)
-    assert model.parts == 8 and model.probes < 8  # queries go to some parts only
+    assert model.parts == 8
+    probes = [len(p) for p in model.route(ann.unit(np.array([v for i, v in rows if i % 50 == 0])))]
+    assert np.mean(probes) < 6 and min(probes) < max(probes)  # queries go to some parts only, sure ones to fewer
 
 
 def test_balanced_parts():
@@ -680,11 +682,33 @@ def test_ann_ties_copies_and_odd_vectors(spark):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert set(got) == {0, 50, 200}
     assert got[0] == [(i, 1.0) for i in (1, 2, 3, 4, 5)] and got[50] == [(i, 1.0) for i in range(5)] and [v for v, _ in got[200]] == [0, 1, 2, 3, 4]
+    lengths = spark.createDataFrame([(i, [1.0, float(i)] if i % 3 else [1.0, float(i), 2.0], 0, 0, 0) for i in range(12)] + [(90, [7.0], 0, 0, 0)], VECTORS)
+    for routers in (1, 4):
+        near = collections.defaultdict(list)
+        for r in ann.search(lengths, lengths, k=2, routers=routers).orderBy("query_id", "rank").collect():
+            near[r["query_id"]].append(r["vec_id"])
+        assert near[9] == [6, 3] and near[11] == [10, 8] and set(near) == set(range(12))
     few = df.filter("vec_id in (0, 200)")
     assert ann.search(few, few).count() == 2
     assert ann.search(df.filter("false"), df.filter("false")).count() == 0
 
 
+def test_ann_keeps_doubles(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 6)) * np.array([[1e300], [1e-300], [1e-5], [1.0]])[np.arange(40) % 4]
+    x[1] = x[0] * (1 + 1e-9)  # one vector as floats
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0, 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, part int, vec int")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    y = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    for q in range(40):
+        s = (y @ y[q]) / (np.sqrt((y * y).sum(1)) * np.sqrt(y[q] @ y[q]))
+        want = [int(j) for j in np.lexsort((np.arange(40), -np.round(s, 13))) if j != q][:5]
+        found = [v for v, _ in got[q]]
+        assert len(set(found)) == 5 and q not in found and np.allclose(s[found], s[want], rtol=0, atol=1e-15) and np.allclose([c for _, c in got[q]], s[found], rtol=0, atol=1e-15)
+
+
 # -- queries and the pipeline
 
 
