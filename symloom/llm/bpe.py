@@ -6,6 +6,9 @@ An entry whose symbols have changed since it was queued is stale and is skipped.
 strings. The tokenizer file (a ``tokenizers`` JSON with a byte alphabet, NFC + lower case, and an end-of-word suffix)
 is a parameter and is read in each worker, so nothing of it is shipped or copied.
 
+Which characters are letters, digits or blanks, and how they are lowered and composed, is taken from this interpreter's Unicode tables for the
+characters that they assign, which is stable between versions. For all others the ``tokenizers`` library is asked, character by character, once a worker.
+
 Null and empty texts have no ids. Repeated rows are encoded each; extra columns pass by. Ties cannot occur: equal ranks
 mean the same pair, and the leftmost position is merged first.
 """
@@ -34,6 +37,31 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+class Classes(dict):
+    """Character -> itself, or for one that this interpreter's tables do not assign, a character of the class that the library gives it."""
+
+    #: Unicode classes, and a character of each that no pattern names by itself.
+    SHOWN = ((r"\p{L}", "é"), (r"\p{N}", "²"), (r"\s", "\u2003"))
+
+    def __init__(self, path: str):
+        super().__init__()
+        from tokenizers import Regex, Tokenizer, normalizers
+
+        whole = Tokenizer.from_file(path).normalizer
+        self.normal = whole.normalize_str if whole is not None else str
+        self.marks = [normalizers.Replace(Regex(pattern), shown) for pattern, shown in self.SHOWN]
+
+    def __missing__(self, c: str) -> str:
+        got = c
+        if unicodedata.category(c) == "Cn":
+            got = next((shown for mark, (_, shown) in zip(self.marks, self.SHOWN, strict=True) if mark.normalize_str(c) == shown), "\uffff")
+        self[c] = got
+        return got
+
+    def knows(self, text: str) -> bool:
+        return text.isascii() or all(self[c] == c for c in text)
+
+
 class Pieces(dict):
     """Stretch of raw text without blanks -> its ids. Two generations of at most ``limit`` are kept; what is met again moves to the newer.
 
@@ -90,6 +118,7 @@ class Bpe:
         pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
         self.alphabet = byte_alphabet()
+        self.classes = Classes(path)
         self.pieces = Pieces(self.piece, limit)
 
     def merge(self, symbols: list[int]) -> list[int]:
@@ -125,8 +154,8 @@ class Bpe:
         return out
 
     def split(self, text: str) -> list[str]:
-        """Pre-tokens. Characters that the interpreter's Unicode tables do not assign count as neither letter nor digit."""
-        shown = text if text.isascii() else "".join("\uffff" if unicodedata.category(c) == "Cn" else c for c in text)
+        """Pre-tokens."""
+        shown = text if text.isascii() else "".join(map(self.classes.__getitem__, text))
         return [text[m.start() : m.end()] for m in self.words.finditer(shown)]
 
     def piece(self, raw: str) -> bytes:
@@ -136,9 +165,11 @@ class Bpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            text = unicodedata.normalize("NFC", part)
-            # each character is lowered on its own: a final capital sigma has no word-end form
-            text = text.replace("Σ", "σ").lower()
+            if self.classes.knows(part):
+                # each character is lowered on its own: a final capital sigma has no word-end form
+                text = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            else:
+                text = self.classes.normal(part)
             for word in self.split(text):
                 symbols = [self.alphabet[b] for b in word.encode("utf-8", "replace")]
                 symbols[-1] += self.suffix
