@@ -209,10 +209,10 @@ class Ranges:
         return [k] + [j for j, edge in ((k - 1, first), (k + 1, last)) if at == edge and j in self.edges]
 
 
-def ranges(light: DataFrame, shard: int) -> dict[str, Ranges]:
+def ranges(light: DataFrame, shard: int, n: int) -> dict[str, Ranges]:
     """Ranges of the hosts with many pages, by host, from host, path, page_id and url. A page begins a range by its hash, so ranges hold
     ``shard`` pages in the mean; fewer than 100,000 hosts can be so large and about as many pages begin a range, so what is sent is bounded."""
-    spark, least = light.sparkSession, max(shard, light.count() // 100_000)
+    spark, least = light.sparkSession, max(shard, n // 100_000)
     hosts = [(r["host"],) for r in light.groupBy("host").count().filter(F.col("count") > least).collect()]
     if not hosts:
         return {}
@@ -235,14 +235,16 @@ def ranges(light: DataFrame, shard: int) -> dict[str, Ranges]:
     return out
 
 
-def extract(pages: DataFrame, *, shard: int = 128) -> DataFrame:
+def extract(pages: DataFrame, *, shard: int = 128, task: int = 2048) -> DataFrame:
     """page_id, url, text, n_chars; n_shared (blocks that the paired page shares), and of these n_deleted and n_repeated (kept as passages of
-    the article); n_markup (blocks that only markup took)."""
+    the article); n_markup (blocks that only markup took). About ``task`` pages meet in a task, however many there are (more where there are over 200 million)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?[^/?#]*([^?#]*)", 1), F.lit(""))
     # pages that are alike in all else are in the order of their html
     hosted = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html", F.xxhash64("html").alias("mark"))
-    dealing = pages.sparkSession.sparkContext.broadcast(ranges(hosted.select("host", "path", "page_id", "url"), shard))
+    spark, n = pages.sparkSession, pages.count()
+    dealing = spark.sparkContext.broadcast(ranges(hosted.select("host", "path", "page_id", "url"), shard, n))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, n // task))
 
     def parse(batch: pa.RecordBatch) -> dict:
         got = [blocks(x) for x in batch.column(4).to_pylist()]
@@ -258,7 +260,7 @@ def extract(pages: DataFrame, *, shard: int = 128) -> DataFrame:
 
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("mark", pa.int64()), ("shard", pa.int32()), ("own", pa.bool_()), ("lines", pa.list_(pa.string())), ("zones", pa.list_(pa.int8()))])
     parsed = map_rows(hosted, parse, "page_id long, url string, host string, path string, mark long, shard int, own boolean, lines array<string>, zones array<byte>", arrow)
-    dealt = parsed.repartition("host", "shard").sortWithinPartitions("host", "shard", "path", "page_id", "url", "mark").select("page_id", "url", "lines", "zones", "host", "shard", "path", "own")
+    dealt = parsed.repartition(parts, "host", "shard").sortWithinPartitions("host", "shard", "path", "page_id", "url", "mark").select("page_id", "url", "lines", "zones", "host", "shard", "path", "own")
     counts = ("n_chars", "n_shared", "n_deleted", "n_repeated", "n_markup")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), *((n, pa.int64()) for n in counts)])
 

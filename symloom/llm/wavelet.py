@@ -1,12 +1,15 @@
 """Token-id output as wavelet matrices.
 
-A shard holds the ids of consecutive documents, in ascending doc_id order, as one compressed blob: a wavelet matrix of
-succinct bit planes (most significant bit first, each stably partitioned by the bit) with rank directories, and the
-documents' ids and token counts. ``Shard`` reads one blob and answers token access, counting (rank) and occurrence
-lookup (select) without unpacking the ids; ``tokens`` unpacks all of them.
+A shard holds the ids of consecutive documents, in ascending doc_id order, as one blob: a wavelet matrix of succinct bit planes (most significant
+bit first, each stably partitioned by the bit) with rank and select directories, and the documents' ids and token counts. ``Shard`` reads
+one blob and answers token access, counting (rank) and occurrence lookup (select); each touches some stretches of the planes,
+which are compressed one by one, so a lookup unpacks a bounded part of the blob. ``tokens`` unpacks all of it.
 
-Layout of a blob: 8 bytes ``WMTX0001``, a little-endian 32-bit length, then a zstd frame of the header and the planes. The
-header is JSON: documents, counts, n, levels, zeros. After it come the planes, each ceil(n / 8) bytes, bits in big-endian order.
+Layout of a blob, little-endian: 8 bytes ``WMTX0002``; 32-bit lengths of the header and of the directory; the header, the directory (a zstd frame each); the
+stretches (a zstd frame each). The header is JSON: documents, counts, n, levels, zeros (of each plane) and ends (of the stretches' frames). A plane is ceil(n /
+8) bytes, bits in big-endian order, cut into stretches of STRETCH bits. The directory holds for each plane the ones before each
+stretch (32 bits each), the ones before each BLOCK bits within its stretch (16 bits each), and for ones, then zeros, the block that holds each
+SAMPLE-th (32 bits each).
 
 Writing is one range exchange by doc_id. A task streams its sorted texts, and starts a new shard when one has
 ``shard_tokens`` ids, so memory is bounded by a shard and the longest text. A null text is an empty text. Rows with the
@@ -33,8 +36,9 @@ from pyspark.sql import functions as F
 
 from symloom.llm.common import small
 
-MAGIC = b"WMTX0001"
-BLOCK = 512
+MAGIC = b"WMTX0002"
+BLOCK, STRETCH, SAMPLE = 512, 65_536, 8192
+_ONES = np.array([x.bit_count() for x in range(256)], np.uint8)
 
 
 def build(ids: np.ndarray, levels: int) -> tuple[list[bytes], list[int]]:
@@ -51,73 +55,132 @@ def build(ids: np.ndarray, levels: int) -> tuple[list[bytes], list[int]]:
     return planes, zeros
 
 
+def directory(plane: bytes, n: int) -> list[bytes]:
+    """Ones before each stretch, ones before each block in its stretch, and the blocks of the sampled ones and zeros."""
+    blocks = -(-n // BLOCK)
+    whole = np.zeros(blocks * BLOCK // 64, np.uint64)
+    whole.view(np.uint8)[: len(plane)] = np.frombuffer(plane, np.uint8)
+    ones = np.concatenate(([0], np.cumsum(np.bitwise_count(whole).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64))))
+    per = STRETCH // BLOCK
+    coarse = ones[:blocks:per]
+    fine = ones[:blocks] - np.repeat(coarse, per)[:blocks]
+    zeros = np.minimum(np.arange(blocks + 1) * BLOCK, n) - ones
+    samples = [np.searchsorted(x, np.arange(0, max(1, x[-1]), SAMPLE), "right") - 1 for x in (ones, zeros)]
+    return [coarse.astype("<u4").tobytes(), fine.astype("<u2").tobytes(), *(x.clip(0).astype("<u4").tobytes() for x in samples)]
+
+
 def pack(docs: list[int | None], counts: list[int], ids: np.ndarray, levels: int) -> bytes:
     planes, zeros = build(ids, levels)
-    head = json.dumps({"docs": docs, "counts": counts, "n": len(ids), "levels": levels, "zeros": zeros}).encode()
-    body = zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(head)) + head + b"".join(planes))
-    return MAGIC + struct.pack("<I", len(body)) + body
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    step = STRETCH // 8
+    frames = [squeeze(plane[at : at + step]) for plane in planes for at in range(0, len(plane), step)]
+    ends = np.cumsum([len(f) for f in frames]).tolist()
+    head = squeeze(json.dumps({"docs": docs, "counts": counts, "n": len(ids), "levels": levels, "zeros": zeros, "ends": ends}).encode())
+    index = squeeze(b"".join(part for plane in planes for part in directory(plane, len(ids))))
+    return MAGIC + struct.pack("<II", len(head), len(index)) + head + index + b"".join(frames)
 
 
 class Shard:
+    """``unpacked`` counts the stretches that have been unpacked."""
+
     def __init__(self, blob: bytes):
-        if blob[:8] != MAGIC or len(blob) != 12 + struct.unpack_from("<I", blob, 8)[0]:
+        if blob[:8] != MAGIC or len(blob) < 16:
+            raise ValueError("not a wavelet matrix file")
+        head, index = struct.unpack_from("<II", blob, 8)
+        if len(blob) < 16 + head + index:
             raise ValueError("not a whole wavelet matrix file")
-        body = zstandard.ZstdDecompressor().decompress(blob[12:])
-        size = struct.unpack_from("<I", body)[0]
-        head = json.loads(body[4 : 4 + size])
-        self.docs, self.counts, self.n, self.levels, self.zeros = (head[k] for k in ("docs", "counts", "n", "levels", "zeros"))
-        wide = (self.n + 7) // 8
-        self.planes = [np.frombuffer(body, np.uint8, wide, 4 + size + k * wide) for k in range(self.levels)]
+        own = json.loads(zstandard.ZstdDecompressor().decompress(blob[16 : 16 + head]))
+        self.docs, self.counts, self.n, self.levels, self.zeros, ends = (own[k] for k in ("docs", "counts", "n", "levels", "zeros", "ends"))
+        self.body = memoryview(blob)[16 + head + index :]
+        if len(self.body) != (ends[-1] if ends else 0):
+            raise ValueError("not a whole wavelet matrix file")
+        self.ends = [0, *ends]
+        self.wide, self.unpacked = -(-self.n // STRETCH), 0
+        self.stretches: dict[int, np.ndarray] = {}
+        self._index = blob[16 + head : 16 + head + index]
 
     @functools.cached_property
-    def ranks(self) -> list[np.ndarray]:
-        """Ones before each block of each plane."""
-        out = []
-        for plane in self.planes:
-            whole = np.zeros(-(-len(plane) * 8 // BLOCK) * BLOCK // 8, np.uint8)
-            whole[: len(plane)] = plane
-            out.append(np.concatenate(([0], np.cumsum(np.bitwise_count(whole).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)))))
+    def ranks(self) -> list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Of each plane: ones before each stretch, ones before each block in its stretch, blocks of the sampled zeros and ones."""
+        raw, at, out = zstandard.ZstdDecompressor().decompress(self._index), 0, []
+        for z in self.zeros:
+            parts = []
+            for kind, size in (("<u4", self.wide), ("<u2", -(-self.n // BLOCK)), ("<u4", -(-max(1, self.n - z) // SAMPLE)), ("<u4", -(-max(1, z) // SAMPLE))):
+                parts.append(np.frombuffer(raw, kind, size, at))
+                at += parts[-1].nbytes
+            out.append((parts[0], parts[1], [parts[3], parts[2]]))
         return out
 
+    def _bytes(self, level: int, stretch: int) -> np.ndarray:
+        k = level * self.wide + stretch
+        if k not in self.stretches:
+            self.stretches[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.body[self.ends[k] : self.ends[k + 1]]), np.uint8)
+            self.unpacked += 1
+        return self.stretches[k]
+
+    def _plane(self, level: int) -> np.ndarray:
+        return np.concatenate([self._bytes(level, k) for k in range(self.wide)])
+
+    def _before(self, level: int, block: int) -> int:
+        """Ones before a block (or all, for the one after the last)."""
+        if block * BLOCK >= self.n:
+            return self.n - self.zeros[level]
+        coarse, fine, _ = self.ranks[level]
+        return int(coarse[block * BLOCK // STRETCH]) + int(fine[block])
+
     def _ones(self, level: int, at: int) -> int:
         """Ones among the first ``at`` bits of a plane."""
-        block, plane = at // BLOCK, self.planes[level]
-        first, last = block * BLOCK // 8, at // 8
-        n = int(self.ranks[level][block]) + int(np.bitwise_count(plane[first:last]).sum())
-        return n + (int(plane[last] >> (8 - at % 8)).bit_count() if at % 8 else 0)
+        if at >= self.n:
+            return self.n - self.zeros[level]
+        block = at // BLOCK
+        part = self._bytes(level, at // STRETCH)
+        first, last = block * BLOCK % STRETCH // 8, at % STRETCH // 8
+        n = self._before(level, block) + int(np.bitwise_count(part[first:last]).sum())
+        return n + (int(part[last] >> (8 - at % 8)).bit_count() if at % 8 else 0)
 
     def _find(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) such bit of a plane."""
-        low, high = 0, self.n
-        while low < high:
+        """Place of the k-th (from 0) such bit of a plane: its samples bound the blocks, the ranks of blocks are halved, one block is read."""
+        samples = self.ranks[level][2][bit]
+        low, high = int(samples[k // SAMPLE]), int(samples[k // SAMPLE + 1]) + 1 if k // SAMPLE + 1 < len(samples) else -(-self.n // BLOCK)
+        ahead = lambda b: self._before(level, b) if bit else min(b * BLOCK, self.n) - self._before(level, b)
+        while high - low > 1:
             mid = (low + high) // 2
-            ones = self._ones(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
+            if ahead(mid) <= k:
+                low = mid
             else:
-                low = mid + 1
-        return low
+                high = mid
+        part = self._bytes(level, low * BLOCK // STRETCH)
+        first = low * BLOCK % STRETCH // 8
+        bits = np.unpackbits(part[first : first + BLOCK // 8])
+        return low * BLOCK + int(np.flatnonzero(bits == bit)[k - ahead(low)])
 
     def access(self, at: int) -> int:
+        if not 0 <= at < self.n:
+            raise IndexError(at)
         value = 0
         for level in range(self.levels):
-            bit = int(self.planes[level][at // 8] >> (7 - at % 8)) & 1
+            bit = int(self._bytes(level, at // STRETCH)[at % STRETCH // 8] >> (7 - at % 8)) & 1
             ones = self._ones(level, at)
             at = self.zeros[level] + ones if bit else at - ones
             value = value << 1 | bit
         return value
 
-    def rank(self, token: int, at: int) -> int:
-        """Occurrences of ``token`` among the first ``at`` ids."""
-        low, high = 0, at
+    def _range(self, token: int, high: int) -> tuple[int, int]:
+        """Where the occurrences of ``token`` among the first ``high`` ids stand after the last plane."""
+        low = 0
         if token >> self.levels:
-            return 0
+            return 0, 0
         for level in range(self.levels):
             a, b = self._ones(level, low), self._ones(level, high)
             if token >> (self.levels - 1 - level) & 1:
                 low, high = self.zeros[level] + a, self.zeros[level] + b
             else:
                 low, high = low - a, high - b
+        return low, high
+
+    def rank(self, token: int, at: int) -> int:
+        """Occurrences of ``token`` among the first ``at`` ids."""
+        low, high = self._range(token, at)
         return high - low
 
     def count(self, token: int) -> int:
@@ -125,24 +188,46 @@ class Shard:
 
     def select(self, token: int, k: int) -> int:
         """Place of the k-th (from 0) occurrence of ``token``."""
-        if not 0 <= k < self.count(token):
+        low, high = self._range(token, self.n)
+        if not 0 <= k < high - low:
             raise IndexError(k)
-        at = 0
-        for level in range(self.levels):
-            ones = self._ones(level, at)
-            at = self.zeros[level] + ones if token >> (self.levels - 1 - level) & 1 else at - ones
-        at += k
+        at = low + k
         for level in range(self.levels - 1, -1, -1):
             bit = token >> (self.levels - 1 - level) & 1
             at = self._find(level, bit, at - self.zeros[level] if bit else at)
         return at
 
+    def places(self, token: int) -> np.ndarray:
+        """Places of all occurrences: ``select`` of each, plane by plane from the last up."""
+        low, high = self._range(token, self.n)
+        at = np.arange(low, high)
+        for level in range(self.levels - 1, -1, -1):
+            bit = token >> (self.levels - 1 - level) & 1
+            k = at - self.zeros[level] if bit else at
+            coarse, fine, _ = self.ranks[level]
+            first = np.arange(len(fine)) * BLOCK
+            ahead = coarse[first // STRETCH].astype(np.int64) + fine
+            if not bit:
+                ahead = first - ahead
+            block = np.searchsorted(ahead, k, "right") - 1
+            plane = np.zeros(len(fine) * BLOCK // 8, np.uint8)
+            raw = self._plane(level)
+            plane[: len(raw)] = raw if bit else ~raw
+            rows = plane.reshape(-1, BLOCK // 8)[block]
+            sums = np.cumsum(_ONES[rows], 1, dtype=np.int32)
+            left = k - ahead[block]
+            byte = (sums <= left[:, None]).sum(1)
+            left -= np.where(byte > 0, sums[np.arange(len(k)), byte - 1], 0)
+            bits = np.cumsum(np.unpackbits(rows[np.arange(len(k)), byte][:, None], axis=1), 1, dtype=np.int32)
+            at = block * BLOCK + byte * 8 + (bits <= left[:, None]).sum(1)
+        return at
+
     def tokens(self) -> np.ndarray:
         """All ids, from the last plane up."""
         kind = np.uint16 if self.levels <= 16 else np.uint32
         now = np.zeros(self.n, kind)
-        for level in range(self.levels - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n).view(bool)
+        for level in range(self.levels - 1, -1, -1) if self.n else ():
+            one = np.unpackbits(self._plane(level), count=self.n).view(bool)
             up, z = np.empty_like(now), self.zeros[level]
             now[z:] |= kind(1 << (self.levels - 1 - level))
             up[np.flatnonzero(~one)] = now[:z]
@@ -150,6 +235,17 @@ class Shard:
             now = up
         return now
 
+    def check(self, end_id: int) -> None:
+        """Every document ends where select places the end id, and rank counts as many there. Raises where the file contradicts itself."""
+        found = self.places(end_id)
+        last = np.cumsum(self.counts) - 1
+        at = np.searchsorted(found, last)
+        if sum(self.counts) != self.n or len(found) != self.count(end_id) or (at >= len(found)).any() or (found[at] != last).any():
+            raise ValueError("the documents' counts and the planes differ")
+        for k in {0, len(found) // 2, len(found) - 1} if len(found) else ():
+            if self.select(end_id, k) != found[k] or self.rank(end_id, int(found[k])) != k or self.access(int(found[k])) != end_id:
+                raise ValueError("the directories and the planes differ")
+
 
 class Encoder:
     """The tokenizers library over the stretches between blanks, each remembered.
@@ -235,7 +331,7 @@ class Encoder:
             texts = pc.if_else(pc.match_substring_regex(texts, self.JOINED), texts, apart)
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         got = list(map(known.get, names))
         asked = {x for x, y in zip(names, got, strict=True) if y is None}
         if asked:
@@ -274,14 +370,14 @@ def write(docs: DataFrame, path: str, out: str, *, end_id: int = 1, shard_tokens
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = loaded(path), TaskContext.get().partitionId()
         levels = max(1, max(enc.size - 1, end_id).bit_length())
-        small = np.uint16 if levels <= 16 else np.uint32
+        kind = np.uint16 if levels <= 16 else np.uint32
         held: list[np.ndarray] = []
         ids: list[int | None] = []
         counts: list[int] = []
         n = before = 0
 
         def flush() -> pa.RecordBatch:
-            blob = pack(ids, counts, np.concatenate(held).astype(small), levels)
+            blob = pack(ids, counts, np.concatenate(held).astype(kind), levels)
             return pa.RecordBatch.from_pydict({"part": [part], "before": [before], "n_tokens": [n], "blob": [blob]}, schema=SHARDS_ARROW)
 
         for batch in small(batches):
@@ -314,13 +410,15 @@ READ = "part int, before long, doc_id long, n_tokens long, ids_crc32 long, ids b
 READ_ARROW = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
-def read(spark, out: str, *, keep_ids: bool = False) -> DataFrame:  # noqa: ANN001
-    """doc_id, start, n_tokens, ids_crc32 (and the ids) of every document in a folder that ``write`` made."""
+def read(spark, out: str, *, end_id: int = 1, keep_ids: bool = False) -> DataFrame:  # noqa: ANN001
+    """doc_id, start, n_tokens, ids_crc32 (and the ids) of every document in a folder that ``write`` made; each shard's documents are first
+    held against the places of the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, before, blob in (tuple(batch.column(c)[k].as_py() for c in range(3)) for k in range(batch.num_rows)):
                 shard = Shard(blob)
+                shard.check(end_id)
                 raw = memoryview(shard.tokens().astype("<u4").tobytes())
                 at, rows = 0, []
                 for doc, n in zip(shard.docs, shard.counts, strict=True):

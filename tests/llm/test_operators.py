@@ -137,8 +137,46 @@ def test_wavelet(ids, token):
 
 
 def test_wavelet_refuses_a_cut_file():
+    blob = wavelet.pack([1], [3], np.array([1, 2, 3], np.uint16), 2)
+    for size in range(len(blob)):
+        with pytest.raises(ValueError):
+            wavelet.Shard(blob[:size])
     with pytest.raises(ValueError):
-        wavelet.Shard(wavelet.pack([1], [3], np.array([1, 2, 3], np.uint16), 2)[:-1])
+        wavelet.Shard(wavelet.pack([1], [2], np.array([1, 2, 3], np.uint16), 2)).check(1)
+
+
+def test_wavelet_over_many_stretches():
+    """Directories and lookups over more than one stretch, and what a lookup unpacks."""
+    rng = np.random.default_rng(2)
+    ids = np.where(rng.random(300_000) < 0.01, 1, rng.integers(2, 1000, 300_000)).astype(np.uint16)
+    ids[65_530:65_541] = ids[131_071:131_074] = ids[-1] = 1
+    blob = wavelet.pack([5], [len(ids)], ids, 10)
+    s = wavelet.Shard(blob)
+    assert (s.tokens() == ids).all()
+    for token in (1, 2, 999):
+        places = np.flatnonzero(ids == token)
+        assert (s.places(token) == places).all() and s.count(token) == len(places)
+        for k in [*range(0, len(places), 97), len(places) - 1]:
+            assert s.select(token, k) == places[k] and s.rank(token, int(places[k])) == k
+    assert len(s.places(0)) == 0 and s.rank(1, 65_536) == (ids[:65_536] == 1).sum()
+    for at in (0, 65_535, 65_536, 200_001, 299_999):
+        fresh = wavelet.Shard(blob)
+        assert fresh.access(at) == ids[at] and fresh.unpacked <= fresh.levels
+        assert fresh.wide == 5 and fresh.levels * fresh.wide == 50
+    with pytest.raises(IndexError):
+        s.access(300_000)
+    s.check(1)
+
+
+@pytest.mark.parametrize("n", [1, 511, 512, 513, 65_535, 65_536, 65_537])
+def test_wavelet_at_the_edges_of_blocks(n):
+    for ids in (np.ones(n, np.uint16), np.zeros(n, np.uint16), np.arange(n).astype(np.uint16) % 2):
+        s = wavelet.Shard(wavelet.pack([1], [n], ids, 1))
+        assert (s.tokens() == ids).all()
+        for token in (0, 1):
+            places = np.flatnonzero(ids == token)
+            assert (s.places(token) == places).all() and s.rank(token, n) == len(places)
+            assert all(s.select(token, k) == places[k] for k in {0, len(places) // 2, len(places) - 1} if 0 <= k < len(places))
 
 
 @pytest.mark.parametrize("shard", [1, 300, 1 << 20])
