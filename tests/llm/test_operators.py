@@ -6,6 +6,7 @@ import collections
 import hashlib
 import html as entities
 import itertools
+import math
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -607,6 +609,81 @@ def test_quality(spark, sf, real, odd, nothing):
     quality.fit(real, mixed)
 
 
+def slow_quality(text, model):
+    """The score from the fitted weights, count by count."""
+    x = [0.0] * quality.SIZE
+    words = (text or "").split()
+    if not words:
+        x[0] = 1.0
+    else:
+        raw = text.encode()
+        x[: len(quality.NAMES)] = quality.ratios(text, raw, words)
+        grams, named = collections.Counter(), collections.Counter()
+        for k in range(len(raw)):
+            for n, mul in ((1, 0x9E3779B1), (2, 0x85EBCA77), (3, 0xC2B2AE3D)):
+                if k + n <= len(raw):
+                    code = raw[k] if n == 1 else raw[k] * 257 + raw[k + 1] if n == 2 else (raw[k] * 257 + raw[k + 1]) * 263 + raw[k + 2]
+                    grams[(code * mul & 0xFFFFFFFF) >> 23] += 1
+        for w in words:
+            named[xxhash.xxh64_intdigest(w.encode()) >> 55] += 1
+        for at, counts in ((len(quality.NAMES), grams), (len(quality.NAMES) + quality.WIDTH, named)):
+            long = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values()))
+            for b, n in counts.items():
+                x[at + b] = math.log1p(n) / long
+    u = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean.tolist(), model.scale.tolist(), model.weights.tolist(), strict=True))
+    return 1 / (1 + math.exp(-max(-30, min(30, model.slope * (u - model.cut) + math.log(0.7 / 0.3)))))
+
+
+def test_quality_scores_are_those_of_brute_force(spark, sf, real):
+    model = quality.fit(real, table(spark, sf, "labels"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(real, model).collect()}
+    rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
+    assert len(got) == len(rows) and all(abs(got[i] - slow_quality(t, model)) < 1e-3 for i, t in rows)
+    query = {r["doc_id"]: (r["score"], r["held_out"], r["predicted"]) for r in queries.op8_quality(spark, sf).collect()}
+    assert all(query[i] == (got[i], crc(i, 4) == 2, int(got[i] >= 0.7)) for i, _ in rows)
+
+
+def slow_language(text, model):
+    """The language from the fitted weights, gram by gram."""
+    letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    said = " " + re.sub(" +", " ", letters) + " "
+    codes, counts = [ord(c) for c in said], collections.Counter()
+    for k in range(len(codes)):
+        two = (codes[k] * 0x9E3779B1 + codes[k + 1]) & 0xFFFFFFFF if k + 1 < len(codes) else None
+        three = (two * 0x85EBCA77 + codes[k + 2]) & 0xFFFFFFFF if k + 2 < len(codes) else None
+        for code, mul in ((codes[k], 0xC2B2AE3D), (two, 0x27D4EB2F), (three, 0x165667B1)):
+            if code is not None:
+                counts[(code * mul & 0xFFFFFFFF) >> 18] += 1
+    long = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values()))
+    x = {b: math.log1p(n) / long for b, n in counts.items()}
+    of = lambda w: sum(v * float(w[b]) for b, v in x.items()) + float(w[-1])
+    z = [of(model.family_w[:, f]) for f in range(len(model.families))]
+    family = max(range(len(z)), key=lambda f: z[f])
+    own = model.members(model.families[family])
+    votes, margin = collections.Counter(), collections.Counter()
+    for (a, b), w in model.pairs.items():
+        if a in own:
+            m = of(w)
+            votes[a if m > 0 else b] += 1
+            margin[a] += m
+            margin[b] -= m
+    best = max(own, key=lambda a: votes[a] + 1e-3 * math.tanh(margin[a]))
+    sure = 1 / (1 + math.exp(-4 * margin[best] / (len(own) - 1))) if len(own) > 1 else 1.0
+    return best, math.exp(z[family]) / sum(map(math.exp, z)) * sure
+
+
+def test_languages_are_those_of_brute_force(spark, sf, real):
+    model = langid.fit(real)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in queries.op6_language_id(spark, sf).collect()}
+    rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
+    assert len(got) == len(rows)
+    for i, t in rows:
+        lang, score = slow_language(t, model)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-3 and got[i][2] == (crc(i, 5) == 0)
+
+
 # -- decontamination
 
 
