@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from symloom.llm import bpe, decontam, jaccard, quality, secrets
-from symloom.llm.common import scratch, table
+from symloom.llm.common import discard, scratch, table
 from symloom.llm.queries import vocabulary
 
 
@@ -47,12 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; each result is written to the shared folder and read again, and goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             at = scratch(spark, f"stage{k}")
             docs.write.parquet(at)
             docs = spark.read.parquet(at)
+            if before:
+                discard(spark, before)
+            before = at
     return docs
