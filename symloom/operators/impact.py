@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.text import diff_files, diff_functions
 from symloom.operators.predicates import in_file, topk
+from symloom.sources.tables import scratch
+
+
+def representative(paths: DataFrame, length: int, more: int) -> DataFrame:
+    """Some paths (of ``length`` edges) of each (target, at) that stand for all of them: whatever ``more`` edges are to come, if one path holds none of
+    them, so does one that is kept.
+
+    The least of all paths is kept; for each of its edges, the least path without it; for each edge of that, the least path without both;
+    and so on, ``more`` times. If a path holds none of the edges to come, then so does one found on the way, because each step bans one
+    of them. What is kept depends on the depth alone, not on the number of paths.
+    """
+    of = Window.partitionBy("target", "at")
+    least, banned, level = ["_0"], {"_0": []}, ["_0"]
+    out = paths.withColumn("_0", F.min("path").over(of))
+    for _ in range(more):
+        level = [f"{c}_{k}" for c in level for k in range(length)]
+        for c in level:
+            before, _, k = c.rpartition("_")
+            banned[c] = [*banned[before], F.col(before)[int(k)]]
+            without = F.lit(True)
+            for e in banned[c]:
+                without = without & ~F.array_contains("path", e)
+            out = out.withColumn(c, F.min(F.when(without, F.col("path"))).over(of))
+        least += level
+    return out.filter(F.array_contains(F.array_compact(F.array(*least)), F.col("path"))).select("target", "at", "path")
 
 
 def expand(calls: DataFrame, targets: DataFrame, depth: int, edge: tuple[str, ...] = ("order_key", "seq")) -> DataFrame:
     """(target, id, distance): every caller that reaches a target by a path of at most ``depth`` edges, no edge twice.
 
     ``targets`` has one column ``target``. Each level is one equi-join on the callee; parallel edges between two functions are
-    edges of their own, so a path carries the ids of its edges. The last level needs no path and is made distinct before the
-    union. A function that a third of all calls reach is split by AQE in the level's join.
+    edges of their own, so a path carries the ids of its edges. Of the paths to a function only some that stand for all go on, so a hub's callers do not
+    multiply from level to level; the last level needs no path and is made distinct before the union. From the third level on, what goes on is
+    written to the shared folder, so a deep expansion is planned and computed level by level.
     """
     edges = calls.select(F.struct(*edge).alias("edge"), "src", "dst")
     front = targets.distinct().select("target", F.col("target").alias("at"), F.array().cast(f"array<{edges.schema['edge'].dataType.simpleString()}>").alias("path"))
@@ -24,7 +50,13 @@ def expand(calls: DataFrame, targets: DataFrame, depth: int, edge: tuple[str, ..
         found = step.select("target", F.col("src").alias("id")).distinct().withColumn("distance", F.lit(level))
         out = found if out is None else out.unionByName(found)
         if level < depth:
-            front = step.select("target", F.col("src").alias("at"), F.array_append("path", F.col("edge")).alias("path"))
+            # paths that differ in order alone hold the same edges
+            longer = step.select("target", F.col("src").alias("at"), F.array_sort(F.array_append("path", F.col("edge"))).alias("path")).distinct()
+            front = representative(longer, level, depth - level)
+            if level >= 3:
+                at = scratch(calls.sparkSession, "frontier")
+                front.write.parquet(at)
+                front = calls.sparkSession.read.parquet(at)
     return out
 
 

@@ -559,10 +559,10 @@ def _(g: Graph, *_):
     return N.first_of(g.functions, ["name", "crate"], ["line_start", "id"]).select("name", "crate", "id")
 
 
-@query("R8_pattern_links", ", m AS (SELECT DISTINCT crate, 'X::' || split_part(name, ' ', 2) AS pattern, split_part(name, ' ', 2) AS w FROM functions WHERE id % 50 = 0) SELECT m.pattern || '@' || m.crate AS macro_id, m.crate, f.id AS dst, CAST(0.9 AS DOUBLE) AS confidence FROM m JOIN functions f ON f.crate = m.crate AND split_part(f.name, ' ', 2) = m.w")
+@query("R8_pattern_links", ", m AS (SELECT DISTINCT crate, 'X::' || split_part(name, ' ', 2) AS pattern, split_part(name, ' ', 2) AS w FROM functions) SELECT m.pattern || '@' || m.crate AS macro_id, m.crate, f.id AS dst, CAST(0.9 AS DOUBLE) AS confidence FROM m JOIN functions f ON f.crate = m.crate AND split_part(f.name, ' ', 2) = m.w")
 def _(g: Graph, *_):
     word = T.segment(F.col("name"), 2, " ")
-    m = g.functions.filter("id % 50 = 0").select("crate", F.concat(F.lit("X::"), word).alias("p")).distinct().select("crate", F.concat_ws("@", "p", "crate").alias("macro_id"), F.concat("p", F.lit("(")).alias("pattern"))
+    m = g.functions.select("crate", F.concat(F.lit("X::"), word).alias("p")).distinct().select("crate", F.concat_ws("@", "p", "crate").alias("macro_id"), F.concat("p", F.lit("(")).alias("pattern"))
     return N.pattern_links(m, g.functions.withColumn("name", word))
 
 
@@ -572,9 +572,9 @@ def _(g: Graph, *_):
     return N.associated(raw_calls(g), types, g.functions.withColumn("name", F.col("id").cast("string")))
 
 
-@query("R2_import_table", ", i AS (SELECT crate, file, 'dep::' || lower(module) AS module_path, name, id FROM functions WHERE id % 3 = 0) SELECT crate, file, CASE WHEN id % 2 = 0 THEN 'x' || id ELSE name END AS local_name, module_path || '::' || name AS target, 'dep' AS to_crate FROM i")
+@query("R2_import_table", ", i AS (SELECT crate, file, 'dep::' || lower(module) AS module_path, name, id FROM functions) SELECT crate, file, CASE WHEN id % 2 = 0 THEN 'x' || id ELSE name END AS local_name, module_path || '::' || name AS target, 'dep' AS to_crate FROM i")
 def _(g: Graph, *_):
-    rows = g.functions.filter("id % 3 = 0")
+    rows = g.functions
     alias = F.when(F.col("id") % 2 == 0, F.concat(F.lit("x"), F.col("id").cast("string")))
     item = F.array(F.struct(F.col("name").alias("name"), alias.alias("alias")))
     return N.import_table(rows.select("crate", "file", F.concat(F.lit("dep::"), F.lower("module")).alias("module_path"), F.lit("Simple").alias("import_type"), item.alias("items")))
@@ -839,11 +839,11 @@ def _(_g: Graph, spark: SparkSession, d: str):
     return N.matched_patterns(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text"), p)
 
 
-MACROS = ", m AS (SELECT 'm' || id AS macro_id, crate, 'x, ' || upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) || ', y' AS arguments, upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) AS n FROM functions WHERE id % 5 = 0)"
+MACROS = ", m AS (SELECT 'm' || id AS macro_id, crate, 'x, ' || upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) || ', y' AS arguments, upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) AS n FROM functions)"
 
 
 def macros(g: Graph) -> DataFrame:
-    return g.functions.filter("id % 5 = 0").select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("macro_id"), "crate", F.concat(F.lit("x, "), T.pascal(T.segment(F.col("name"), 1, " ")), F.lit(", y")).alias("arguments"))
+    return g.functions.select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("macro_id"), "crate", F.concat(F.lit("x, "), T.pascal(T.segment(F.col("name"), 1, " ")), F.lit(", y")).alias("arguments"))
 
 
 @query("P32_indicator_names", MACROS + " SELECT DISTINCT crate, n AS name FROM m")

@@ -1,4 +1,10 @@
-"""A deterministic code graph over the star-schema tables, for checks and benchmarks. ``SQL`` is the same rules for another engine."""
+"""A deterministic code graph over the star-schema tables, for checks and benchmarks. ``SQL`` is the same rules for another engine.
+
+Every row of every table takes part. Parts are functions, and two lines of an order that follow one another are a call (of parts) and a spawn
+(of suppliers). So that some functions have no callers and some few, one callee in eight is never called, and one in eight only by callers
+that a rule over both ends picks. Events are sends; the pairs of user and type in them are handlers, but for every third actor. A crate depends
+on the two crates that it calls most.
+"""
 
 from __future__ import annotations
 
@@ -39,10 +45,10 @@ def functions(part: DataFrame) -> DataFrame:
     )
 
 
-def consecutive(lineitem: DataFrame, key: str, residue: tuple[int, int], before: str, after: str) -> DataFrame:
-    """Pairs of consecutive ``key`` values within each order of a residue class."""
+def consecutive(lineitem: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """Pairs of consecutive ``key`` values within each order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = lineitem.filter(F.col("l_orderkey") % residue[0] == residue[1]).select(
+    rows = lineitem.select(
         F.col("l_orderkey").alias("order_key"),
         F.row_number().over(w).alias("seq"),
         F.col(key).alias(before),
@@ -52,6 +58,12 @@ def consecutive(lineitem: DataFrame, key: str, residue: tuple[int, int], before:
     return rows.filter(F.col(after).isNotNull())
 
 
+def called(calls: DataFrame) -> DataFrame:
+    """The calls whose callee's kind admits them: no callers, few callers, any."""
+    kind = (7 * F.col("dst") + 3) % 8
+    return calls.filter((kind > 1) | (kind == 1) & ((5 * F.col("src") + F.col("dst")) % 16 == 0))
+
+
 def crates(part: DataFrame) -> DataFrame:
     num = F.substring("p_brand", 7, 10).cast("int")
     return part.select(F.col("p_brand").alias("name"), num.alias("num"), (num % 5).alias("layer")).distinct()
@@ -59,9 +71,9 @@ def crates(part: DataFrame) -> DataFrame:
 
 def depends_on(fns: DataFrame, calls: DataFrame) -> DataFrame:
     of = lambda a, b: fns.select(F.col("id").alias(a), F.col("crate").alias(b))
-    num = lambda c: F.substring(c, 7, 10).cast("int")
-    pairs = calls.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a <> b").filter((3 * num("a") + 5 * num("b")) % 16 == 0)
-    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    pairs = calls.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    most = Window.partitionBy("a").orderBy(F.desc("n"), "b")  # one row for each pair of crates
+    return pairs.withColumn("k", F.row_number().over(most)).filter("k <= 2").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def actors(supplier: DataFrame, nation: DataFrame) -> DataFrame:
@@ -74,12 +86,12 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     part, lineitem, supplier, events = (table(spark, sf_dir, t) for t in ("part", "lineitem", "supplier", "events"))
     n = supplier.agg(F.count("*")).scalar()  # a subquery of the plans that need it
     fns = functions(part)
-    calls = consecutive(lineitem, "l_partkey", (16, 0), "src", "dst")
-    sends = events.filter("event_id % 2 = 0").select(
+    calls = called(consecutive(lineitem, "l_partkey", "src", "dst"))
+    sends = events.select(
         "event_id", (F.col("user_id") % n).alias("sender"), ((F.col("event_id") * 7 + 3) % n).alias("receiver"), F.col("event_type").alias("message_type"), F.when(F.col("event_id") % 3 == 0, "Ask").otherwise("Tell").alias("method")
     )
-    handles = events.filter("event_id % 2 = 1 and value > 20").select((F.col("user_id") % n).alias("actor"), F.col("event_type").alias("message_type")).distinct()
-    spawns = consecutive(lineitem, "l_suppkey", (32, 1), "parent", "child")
+    handles = events.select((F.col("user_id") % n).alias("actor"), F.col("event_type").alias("message_type")).filter("actor % 3 <> 1").distinct()
+    spawns = consecutive(lineitem, "l_suppkey", "parent", "child")
     return Graph(fns, calls, crates(part), depends_on(fns, calls), actors(supplier, table(spark, sf_dir, "nation")), sends, handles, spawns)
 
 
@@ -93,24 +105,26 @@ WITH RECURSIVE functions AS (
 calls AS (
   SELECT * FROM (
     SELECT l_orderkey AS order_key, row_number() OVER w AS seq, l_partkey AS src, lead(l_partkey) OVER w AS dst, l_linenumber AS line
-    FROM lineitem WHERE l_orderkey % 16 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
-  WHERE dst IS NOT NULL),
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+  WHERE dst IS NOT NULL AND ((7 * dst + 3) % 8 > 1 OR (7 * dst + 3) % 8 = 1 AND (5 * src + dst) % 16 = 0)),
 crates AS (SELECT DISTINCT p_brand AS name, CAST(substr(p_brand, 7) AS INT) AS num, CAST(substr(p_brand, 7) AS INT) % 5 AS layer FROM part),
 depends_on AS (
-  SELECT DISTINCT a.crate AS src, b.crate AS dst FROM calls c JOIN functions a ON a.id = c.src JOIN functions b ON b.id = c.dst
-  WHERE a.crate <> b.crate AND (3 * CAST(substr(a.crate, 7) AS INT) + 5 * CAST(substr(b.crate, 7) AS INT)) % 16 = 0),
+  SELECT src, dst FROM (
+    SELECT a.crate AS src, b.crate AS dst, row_number() OVER (PARTITION BY a.crate ORDER BY count(*) DESC, b.crate) AS k
+    FROM calls c JOIN functions a ON a.id = c.src JOIN functions b ON b.id = c.dst WHERE a.crate <> b.crate GROUP BY a.crate, b.crate)
+  WHERE k <= 2),
 actors AS (
   SELECT s_suppkey AS id, s_name AS name, n_name AS crate, s_suppkey % 3 = 0 AS is_distributed, s_suppkey % 5 = 0 AS is_test
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 sends AS (
   SELECT event_id, user_id % (SELECT count(*) FROM supplier) AS sender, (event_id * 7 + 3) % (SELECT count(*) FROM supplier) AS receiver,
          event_type AS message_type, CASE WHEN event_id % 3 = 0 THEN 'Ask' ELSE 'Tell' END AS method
-  FROM events WHERE event_id % 2 = 0),
+  FROM events),
 handles AS (
-  SELECT DISTINCT user_id % (SELECT count(*) FROM supplier) AS actor, event_type AS message_type FROM events WHERE event_id % 2 = 1 AND value > 20),
+  SELECT DISTINCT user_id % (SELECT count(*) FROM supplier) AS actor, event_type AS message_type FROM events WHERE user_id % (SELECT count(*) FROM supplier) % 3 <> 1),
 spawns AS (
   SELECT * FROM (
     SELECT l_orderkey AS order_key, row_number() OVER w AS seq, l_suppkey AS parent, lead(l_suppkey) OVER w AS child, l_linenumber AS line
-    FROM lineitem WHERE l_orderkey % 32 = 1 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
   WHERE child IS NOT NULL)
 """

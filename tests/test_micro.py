@@ -34,6 +34,40 @@ def test_trails(spark):
     assert {(r["id"], r["distance"]) for r in got.collect()} == {(1, 1), (3, 1), (2, 2), (3, 2), (1, 3), (2, 3)}
 
 
+def trails(edges, target, depth):
+    """(id, distance) of all callers, by walking every path without a repeated edge."""
+    out = set()
+
+    def walk(at, used):
+        for e, a, b in edges:
+            if b == at and e not in used:
+                out.add((a, len(used) + 1))
+                if len(used) + 1 < depth:
+                    walk(a, used | {e})
+
+    walk(target, frozenset())
+    return out
+
+
+@pytest.mark.parametrize(("seed", "depth"), [(0, 3), (1, 3), (2, 4), (3, 5)])
+def test_kept_paths_stand_for_all(spark, seed, depth):
+    """Random graphs with loops, two-cycles and parallel edges."""
+    import random
+
+    rng = random.Random(seed)
+    n = 4 if depth > 3 else 6
+    edges = [(k, rng.randrange(n), rng.randrange(n)) for k in range(12 if depth > 3 else 22)] + [(100, 0, 0), (101, 0, 1), (102, 1, 0)]
+    e = spark.createDataFrame(edges, "eid int, src int, dst int")
+    got = {(r["target"], r["id"], r["distance"]) for r in I.expand(e, spark.createDataFrame([(t,) for t in range(3)], "target int"), depth, ("eid",)).collect()}
+    assert got == {(t, i, d) for t in range(3) for i, d in trails(edges, t, depth)}
+
+
+def test_few_paths_of_a_hub_go_on(spark):
+    """100 callers of a target, all called by one function: three paths of it go on, not 100."""
+    pairs = spark.createDataFrame([(0, 9, [(k,)]) for k in range(100)], "target int, at int, path array<struct<e:int>>")
+    assert I.representative(pairs, 1, 2).count() == 3
+
+
 def test_impact_grows_with_depth(spark):
     e = spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 3, 4)], "eid int, src int, dst int")
     t = spark.createDataFrame([(4,)], "target int")
