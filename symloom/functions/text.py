@@ -20,8 +20,8 @@ def pascal(x: Column) -> Column:
 
 
 def type_of_variable(x: Column) -> Column:
-    """The type that a variable's name suggests; a reference's or handle's suffix goes, an actor's stays."""
-    return F.when(x == "ctx", "Self").when(x.rlike("_(ref|handle)$"), pascal(F.regexp_replace(x, "_(ref|handle)$", ""))).when(x.rlike("_(actor|supervisor|manager|service)$"), pascal(x))
+    """The type that a variable's name suggests: its words, capitalised. A suffix such as actor, supervisor, worker or handler stays."""
+    return pascal(x)
 
 
 def dashes(x: Column) -> Column:
@@ -35,13 +35,20 @@ def module_of_file(file: Column, crate: Column) -> Column:
     return F.concat_ws("::", dashes(crate), F.nullif(dashes(F.replace(inner, F.lit("/"), F.lit("::"))), F.lit("")))
 
 
+#: Folders and file names of tests.
+TEST_FILE = r"(^|/)(tests|examples|benches)/|_tests?\.rs$|(^|/)tests?\.rs$"
+
+
 def is_test_file(file: Column) -> Column:
-    return file.rlike(r"(^|/)(tests|examples|benches)/|_tests?\.rs$")
+    return file.rlike(TEST_FILE)
+
+
+METHOD_OF_PATTERN = r"^[^(]*::\s*([A-Za-z_][A-Za-z0-9_]*)[^(]*\("
 
 
 def method_of_pattern(x: Column) -> Column:
-    """The last ``::name(`` of a call pattern."""
-    return F.nullif(F.regexp_extract(x, r".*::([A-Za-z0-9_]+)\s*\(", 1), F.lit(""))
+    """The name after the last ``::`` before the first ``(`` of a call pattern."""
+    return F.nullif(F.regexp_extract(x, METHOD_OF_PATTERN, 1), F.lit(""))
 
 
 def crate_of_path(file: Column) -> Column:
@@ -56,42 +63,60 @@ def visibility_kind(v: Column) -> Column:
     return F.when(v == "pub", "Public").when(v == "pub(crate)", "Crate").when(v.startswith("pub("), "SuperScope").otherwise("Private")
 
 
-# Macro names by kind.
+# Macro names by kind; any other macro is declarative.
 MACRO_KINDS = {
-    "builtin": "println print eprintln eprint format vec panic assert assert_eq assert_ne debug_assert todo unimplemented unreachable write writeln matches include_str",
-    "logging": "trace debug info warn error log",
-    "decimal": "dec",
-    "async": "select join try_join spawn",
-    "paste": "paste",
-    "declarative": "macro_rules",
-}
+    "paste": ("paste",),
+    "builtin": (
+        "println", "eprintln", "print", "eprint", "format", "write", "writeln",
+        "vec", "assert", "assert_eq", "assert_ne", "debug_assert",
+        "panic", "unreachable", "unimplemented", "todo",
+        "matches", "cfg", "thread_local",
+    ),
+    "logging": ("info", "warn", "error", "debug", "trace"),
+    "decimal": ("dec",),
+    "async": ("select",),
+    "custom": ("distributed_actor", "define_indicator_enums", "generate_builder"),
+}
+OTHER_MACRO = "declarative"
 
 
 def macro_kind(name: Column) -> Column:
-    out = None
-    for kind, names in MACRO_KINDS.items():
-        hit = name.isin(*names.split())
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.otherwise("custom")
+    return F.coalesce(*[F.when(name.isin(*names), kind) for kind, names in MACRO_KINDS.items()], F.lit(OTHER_MACRO))
 
 
 def message_kind(name: Column) -> Column:
     return F.when(name.endswith("Tell"), "Tell").when(name.endswith("Ask"), "Ask").when(name.endswith("Query"), "Query").when(name.endswith("Message"), "Message")
 
 
+# What is no actor's type, and how actors' types end or what they hold.
+NON_ACTOR_FRAMEWORKS = ("tokio", "std", "async_std", "futures", "runtime", "task", "thread", "executor", "spawn_blocking", "smol", "async_global_executor", "blocking", "rayon")
+ACTOR_TRAITS = ("Actor", "Message", "Handler")
+ACTOR_ENDS = ("Actor", "Supervisor", "Worker", "Handler", "Agent", "Service")
+ACTOR_PARTS = ("Actor", "Supervisor", "Manager")
+LIKELY_ACTOR = rf"^(?=\p{{Lu}})(?:.*(?:{'|'.join(ACTOR_ENDS)})$|.*(?:{'|'.join(ACTOR_PARTS)}))"
+
+
 def likely_actor(name: Column) -> Column:
-    return name.rlike(r"^[A-Z][A-Za-z0-9]*(Actor|Supervisor|Manager|Service|Worker|Handler|Coordinator|Controller)$")
+    return ~name.isin(*NON_ACTOR_FRAMEWORKS, *ACTOR_TRAITS) & name.rlike(LIKELY_ACTOR)
+
+
+# The kind of a spawn by the function around it; the first that fits.
+SPAWN_CONTEXTS = (
+    ("on_start", "^on_start$"),
+    ("on_stop", "^on_stop$"),
+    ("message_handler", "^reply$"),
+    ("message_handler", "^handle_"),
+    ("lifecycle_handler", "^on_"),
+    ("spawn_function", "spawn"),
+    ("main_function", "^main$"),
+    ("run_function", "^run$"),
+)
 
 
 def spawn_context(function: Column) -> Column:
-    return (
-        F.when(function == "on_start", "on_start")
-        .when(function.isin("handle", "handle_message"), "message_handler")
-        .when(function.isin("on_stop", "on_panic", "on_link_died"), "lifecycle_handler")
-        .when(function == "main", "main")
-        .when(function.rlike("^(new|build|create|init)"), "constructor")
-        .otherwise("function")
-    )
+    """``kind:name``; outside of functions ``module_level``."""
+    kind = F.coalesce(*[F.when(function.rlike(p), k) for k, p in SPAWN_CONTEXTS], F.lit("regular_function"))
+    return F.when(function.isNull(), "module_level").otherwise(F.concat_ws(":", kind, function))
 
 
 def health_score(violations: Column) -> Column:
@@ -121,6 +146,13 @@ def embedding_text(crate: Column, name: Column, module: Column, doc: Column | No
     return F.concat_ws(" | ", *parts, *([part("doc", doc)] if doc is not None else []))
 
 
+def type_text(crate: Column, name: Column, kind: Column, module: Column, doc: Column, fields: Column, variants: Column) -> Column:
+    """The text that is embedded for a type; unknown and empty parts are skipped."""
+    part = lambda label, c: F.concat(F.lit(f"{label}: "), F.nullif(c, F.lit("")))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.trim(F.split(x, ":")[0])), ", ")
+    return F.concat_ws(" | ", part("crate", crate), part("type", name), part("kind", kind), part("module", module), part("docs", doc), part("fields", listed(fields)), part("variants", listed(variants)))
+
+
 def _lines(spark: SparkSession, diff: str) -> DataFrame:
     return spark.createDataFrame([(diff,)], "diff string").select(F.explode(F.split("diff", "\n")).alias("line"))
 

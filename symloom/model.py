@@ -7,8 +7,9 @@ operators only need ids to be unique, so the star projection keeps the part key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import MISSING, dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ SCHEMAS = {
     "imports": "crate string, file string, line long, module_path string, import_type string, items array<struct<name:string,alias:string>>",
     "impls": "crate string, file string, line long, type_name string, trait_name string, methods array<string>, is_generic boolean",
     "raw_calls": "caller string, callee_name string, call_type string, crate string, module string, file string, line long, is_synthetic boolean, macro_context string, confidence double",
-    "calls": "src string, dst string, line long, call_type string, is_synthetic boolean",
+    "calls": "src string, dst string, line long, is_synthetic boolean",
     "macros": "id string, crate string, file string, line long, line_end long, name string, kind string, arguments string, containing string",
     "actors": "id string, name string, crate string, file string, line long, actor_type string, is_distributed boolean, is_test boolean",
     "spawns": "parent string, child string, crate string, file string, line long, method string, pattern string, context string",
@@ -43,7 +44,7 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Graph:
-    """The tables that the graph operators read. ``id``, ``src`` and ``dst`` share one type."""
+    """The tables that the graph operators read, then those that a source tree also gives. ``id``, ``src`` and ``dst`` share one type."""
 
     functions: DataFrame
     calls: DataFrame
@@ -53,15 +54,31 @@ class Graph:
     sends: DataFrame
     handles: DataFrame
     spawns: DataFrame
+    types: DataFrame | None = None
+    impls: DataFrame | None = None
+    modules: DataFrame | None = None
+    imports: DataFrame | None = None
+    macros: DataFrame | None = None
+    message_types: DataFrame | None = None
+    embeddings: DataFrame | None = None
 
     def write(self, path: str) -> None:
-        """Every table as Parquet below ``path``; each write commits as a whole."""
+        """Every table there is as Parquet below ``path``; each write commits as a whole."""
         for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+            if (table := getattr(self, f.name)) is not None:
+                table.write.mode("overwrite").parquet(f"{path}/{f.name}")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Graph:
-        return Graph(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(Graph)})
+        def load(name: str, needed: bool) -> DataFrame | None:
+            try:
+                return spark.read.parquet(f"{path}/{name}")
+            except AnalysisException as e:
+                if needed or "PATH_NOT_FOUND" not in str(e):
+                    raise
+                return None
+
+        return Graph(**{f.name: load(f.name, f.default is MISSING) for f in fields(Graph)})
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:

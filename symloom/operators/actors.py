@@ -5,10 +5,11 @@ Names and ids: ``spawns`` (parent, child), ``sends`` (sender, receiver) and ``ha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.operators.predicates import false_or_null, topk
+from symloom.operators.resolve import first_of, free
 
 
 def named(actors: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -33,12 +34,13 @@ def send_edges(actors: DataFrame, functions: DataFrame | None, sends: DataFrame,
     rows = sends.filter("message_type is not null and message_type <> 'Unknown'")
     if method is not None:
         rows = rows.filter(F.lower("method") == method.lower())
-    rows = rows.join(actors.select(F.col("id").alias("sender"), F.col("name").alias("_actor")), "sender", "left")
+    own, other = free(rows, "_actor"), free(rows, "_function")
+    rows = rows.join(actors.select(F.col("id").alias("sender"), F.col("name").alias(own)), "sender", "left")
     if functions is not None:
-        rows = rows.join(functions.select(F.col("id").alias("sender"), F.col("name").alias("_function")).dropDuplicates(["sender"]), "sender", "left")
+        rows = rows.join(functions.select(F.col("id").alias("sender"), F.col("name").alias(other)).dropDuplicates(["sender"]), "sender", "left")
     else:
-        rows = rows.withColumn("_function", F.lit(None).cast("string"))
-    return rows.withColumn("sender_name", F.coalesce("_actor", "_function")).filter("sender_name is not null").drop("_actor", "_function")
+        rows = rows.withColumn(other, F.lit(None).cast("string"))
+    return rows.withColumn("sender_name", F.coalesce(own, other)).filter("sender_name is not null").drop(own, other)
 
 
 def distributed_edges(actors: DataFrame, sends: DataFrame) -> DataFrame:
@@ -73,8 +75,12 @@ def message_links(sends: DataFrame, handles: DataFrame) -> DataFrame:
     return sends.select(F.col("sender").alias("actor"), "message_type", F.lit("SENDS").alias("kind")).distinct().union(handles.select("actor", "message_type", F.lit("HANDLES")).distinct())
 
 
-def details(actors: DataFrame, sends: DataFrame, handles: DataFrame, spawns: DataFrame) -> DataFrame:
-    """Each actor with its distinct neighbours. Every edge table is aggregated before the joins, so lists do not multiply."""
+def details(actors: DataFrame, sends: DataFrame, handles: DataFrame, spawns: DataFrame, methods: DataFrame | None = None, fields: DataFrame | None = None, implements: DataFrame | None = None) -> DataFrame:
+    """Each actor with its distinct neighbours. ``methods``, ``fields`` and ``implements`` are (id, name) rows of actors; without them the lists are empty.
+
+    Every edge table is aggregated before the joins, so lists do not multiply.
+    """
+    none = actors.select("id", F.lit(None).cast("string").alias("name")).limit(0)
     lists = lambda df, key, col, name: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(col)).alias(name))
     out = actors
     for part in (
@@ -82,10 +88,15 @@ def details(actors: DataFrame, sends: DataFrame, handles: DataFrame, spawns: Dat
         lists(spawns, "child", "parent", "spawned_by"),
         lists(sends, "sender", "message_type", "sends"),
         lists(handles, "actor", "message_type", "handles"),
+        lists(sends, "sender", "receiver", "sends_to"),
+        lists(sends, "receiver", "sender", "receives_from"),
+        lists(methods if methods is not None else none, "id", "name", "methods"),
+        lists(fields if fields is not None else none, "id", "name", "fields"),
+        lists(implements if implements is not None else none, "id", "name", "implements"),
     ):
         out = out.join(part, "id", "left")
     text = lambda c: F.array_join(F.transform(F.coalesce(c, F.array()), lambda x: x.cast("string")), ",").alias(c)
-    return out.select("id", "name", "crate", "is_distributed", text("spawns"), text("spawned_by"), text("sends"), text("handles"))
+    return out.select("id", "name", "crate", "is_distributed", *map(text, ("methods", "fields", "spawns", "spawned_by", "sends", "handles", "sends_to", "receives_from", "implements")))
 
 
 def distributed(actors: DataFrame, *, crate: str | None = None, exclude_tests: bool = False, limit: int | None = 50) -> DataFrame:
@@ -105,8 +116,7 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    return first_of(rows, key, [F.desc(c) for c in order])
 
 
 def spawn_diagram(actors: DataFrame, spawns: DataFrame) -> DataFrame:
@@ -172,3 +182,21 @@ def merge_actor_types(types: DataFrame, actors: DataFrame) -> DataFrame:
     t = types.select("name", "crate", F.lit(True).alias("has_type"))
     a = actors.select("name", "crate", "is_distributed", F.lit(True).alias("is_actor"))
     return t.join(a, ["name", "crate"], "full_outer").select("name", "crate", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_type", "is_actor", "is_distributed")])
+
+
+def migrate(types: DataFrame, actors: DataFrame, edges: dict[str, tuple[DataFrame, list[str]]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(types, edges) after the actors have become types: a type of an actor's name and crate carries its marks, an actor without one is a type of its own under its id, and every
+    edge end that named an actor names its type. ``edges``: name -> (table, the columns that hold actors' ids). No actor is left beside its type."""
+    a = actors.select("name", "crate", F.col("id").alias("actor_id"), "is_distributed", *[c for c in ("actor_type",) if c in actors.columns])
+    kept = types.join(a.groupBy("name", "crate").agg(F.max("is_distributed").alias("is_distributed"), F.lit(True).alias("is_actor")), ["name", "crate"], "left")
+    kept = kept.select("id", "name", "crate", F.coalesce("is_actor", F.lit(False)).alias("is_actor"), F.coalesce("is_distributed", F.lit(False)).alias("is_distributed"))
+    alone = a.join(types.select("name", "crate"), ["name", "crate"], "left_anti").select(F.col("actor_id").alias("id"), "name", "crate", F.lit(True).alias("is_actor"), F.coalesce("is_distributed", F.lit(False)).alias("is_distributed"))
+    of = a.join(types.groupBy("name", "crate").agg(F.min("id").alias("type_id")), ["name", "crate"]).select("actor_id", "type_id")
+    moved = {}
+    for name, (table, ends) in edges.items():
+        out = table
+        for end in ends:
+            to = free(out, "_to")
+            out = out.join(of.select(F.col("actor_id").alias(end), F.col("type_id").alias(to)), end, "left").withColumn(end, F.coalesce(to, end)).drop(to)
+        moved[name] = out.select(table.columns).distinct()
+    return kept.unionByName(alone), moved

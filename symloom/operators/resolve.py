@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symloom.functions.text import method_of_pattern
+
 
 def import_table(imports: DataFrame) -> DataFrame:
     """(crate, file, local_name, target, to_crate): one row for each imported item; globs are left out."""
@@ -78,14 +80,19 @@ def call_edges(resolved: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def synthetic_edges(calls: DataFrame, functions: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(edges, functions to be created) of synthetic calls (src, target): the exact name, else its last parts, else a new function."""
+    """(edges, functions to be created) of synthetic calls (src, target): the exact name, else its last parts (in the call's ``crate`` first, where it
+    names one), else a new function."""
     exact = functions.groupBy(F.col("qualified_name").alias("target")).agg(F.min("id").alias("exact"))
     parts = F.split("target", "::")
     tail = F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(most)), F.lit(most)), "::")
-    loose = suffixes(functions, most).groupBy("suffix").agg(F.min("id").alias("loose"))
-    rows = calls.join(exact, "target", "left").withColumn("suffix", tail).join(loose, "suffix", "left")
+    ends = suffixes(functions, most)
+    rows = calls.join(exact, "target", "left").withColumn("suffix", tail).join(ends.groupBy("suffix").agg(F.min("id").alias("loose")), "suffix", "left")
     hit = F.coalesce("exact", "loose")
-    edges = rows.select("src", "target", hit.alias("dst"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "suffix").otherwise("created").alias("how"))
+    if "crate" in calls.columns:
+        own = ends.join(functions.select("id", "crate"), "id").groupBy("suffix", "crate").agg(F.min("id").alias("near"))
+        rows, hit = rows.join(own, ["suffix", "crate"], "left"), F.coalesce("exact", "near", "loose")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(hit.isNotNull(), "suffix").otherwise("created")
+    edges = rows.select("src", "target", hit.alias("dst"), how.alias("how"), *[c for c in calls.columns if c not in ("src", "target")])
     new = rows.filter(hit.isNull()).select(F.col("target").alias("qualified_name")).distinct()
     created = new.select("qualified_name", F.element_at(F.split("qualified_name", "::"), -1).alias("name"), F.split("qualified_name", "::")[0].alias("crate"), F.lit(True).alias("is_synthetic"), F.lit(False).alias("is_test"))
     return edges, created
@@ -95,31 +102,61 @@ def associated(raw: DataFrame, types: DataFrame, functions: DataFrame) -> DataFr
     """Type::method over crates: the last two parts name a type and one of its functions; the first crate in order wins."""
     parts = F.split("callee_name", "::")
     rows = raw.filter(F.col("callee_name").contains("::")).select("call_id", F.element_at(parts, -2).alias("type_name"), F.element_at(parts, -1).alias("method"))
-    owned = types.select(F.col("name").alias("type_name"), "crate").distinct().join(functions.select("crate", F.col("name").alias("method"), "id", "qualified_name"), "crate").filter(F.col("qualified_name").contains(F.concat(F.lit("::"), "type_name", F.lit("::"))))
+    of = F.element_at(F.split("qualified_name", "::"), -2)  # the part before a method's name is its type
+    methods = functions.filter(F.col("qualified_name").contains("::")).select("crate", of.alias("type_name"), F.col("name").alias("method"), "id")
+    owned = methods.join(types.select(F.col("name").alias("type_name"), "crate").distinct(), ["crate", "type_name"], "left_semi")
     first = owned.groupBy("type_name", "method").agg(F.min(F.struct("crate", "id")).alias("s"))
     return rows.join(first, ["type_name", "method"], "left").select("call_id", F.col("s.crate").alias("to_crate"), F.col("s.id").alias("callee_id"))
 
 
-# Methods of widely implemented traits that code reaches without naming them.
+# Methods of traits that code reaches without naming them.
 TRAIT_METHODS = {
-    "Display": "fmt", "Debug": "fmt", "Clone": "clone clone_from", "Default": "default", "Drop": "drop", "Iterator": "next size_hint", "IntoIterator": "into_iter", "From": "from", "Into": "into",
-    "TryFrom": "try_from", "TryInto": "try_into", "FromStr": "from_str", "AsRef": "as_ref", "Deref": "deref", "DerefMut": "deref_mut", "PartialEq": "eq ne", "PartialOrd": "partial_cmp", "Ord": "cmp", "Hash": "hash",
-    "Add": "add", "Sub": "sub", "Mul": "mul", "Div": "div", "Serialize": "serialize", "Deserialize": "deserialize", "Future": "poll",
+    "WebSocketActor": ("handle_message", "event_stream", "connect", "disconnect", "subscribe", "is_connected"),
+    "Actor": ("on_start", "on_stop"),
+    "Handler": ("handle",),
+    "StreamHandler": ("handle", "started", "finished"),
+    "Default": ("default",),
+    "Clone": ("clone",),
+    "Debug": ("fmt",),
+    "Display": ("fmt",),
+    "PartialEq": ("eq",),
+    "Eq": (),
+    "PartialOrd": ("partial_cmp",),
+    "Ord": ("cmp",),
+    "Hash": ("hash",),
+    "From": ("from",),
+    "Into": ("into",),
+    "TryFrom": ("try_from",),
+    "TryInto": ("try_into",),
+    "AsRef": ("as_ref",),
+    "AsMut": ("as_mut",),
+    "Deref": ("deref",),
+    "DerefMut": ("deref_mut",),
+    "Iterator": ("next",),
+    "IntoIterator": ("into_iter",),
+    "Serialize": ("serialize",),
+    "Deserialize": ("deserialize",),
+}
+#: Not of that table: traits whose methods operators, scopes and awaits reach.
+MORE_TRAIT_METHODS = {
+    "Drop": ("drop",), "FromStr": ("from_str",), "Future": ("poll",), "Add": ("add",), "Sub": ("sub",), "Mul": ("mul",), "Div": ("div",), "Message": ("handle",),
 }
 
 
-def trait_dispatch(impls: DataFrame, confidence: float = 0.8) -> DataFrame:
-    """Synthetic calls to the methods of known traits, from their implementations."""
-    spark = impls.sparkSession
-    known = spark.createDataFrame([(t, m) for t, ms in TRAIT_METHODS.items() for m in ms.split()], "trait_name string, method string")
-    rows = impls.join(F.broadcast(known), "trait_name")  # a fixed table
-    return rows.select("crate", "file", "line", F.concat_ws("::", "crate", "type_name", "method").alias("target"), F.lit(confidence).alias("confidence"), F.lit(True).alias("is_synthetic"))
+def trait_dispatch(impls: DataFrame, confidence: float = 0.8, more: bool = False) -> DataFrame:
+    """Synthetic calls to the methods of known traits, from their implementations; ``more``: of the further traits too."""
+    spark, known = impls.sparkSession, TRAIT_METHODS | (MORE_TRAIT_METHODS if more else {})
+    fixed = spark.createDataFrame([(t, m) for t, ms in known.items() for m in ms], "trait_name string, method string")
+    rows = impls.join(F.broadcast(fixed), "trait_name")  # a fixed table
+    caller = F.concat_ws("::", F.lit("trait_caller"), "trait_name", "method")
+    return rows.select(
+        "crate", "file", "line", caller.alias("caller"), F.concat_ws("::", "type_name", "method").alias("name"), F.concat_ws("::", "crate", "type_name", "method").alias("target"), F.lit(confidence).alias("confidence"), F.lit(True).alias("is_synthetic")
+    )
 
 
 def pattern_links(expansions: DataFrame, functions: DataFrame, confidence: float = 0.9) -> DataFrame:
-    """Macro expansions to all functions of the crate that the pattern's last ``::name(`` names."""
-    method = F.regexp_extract("pattern", r".*::([A-Za-z0-9_]+)\s*\(", 1)
-    rows = expansions.withColumn("name", method).filter("name <> ''")
+    """Macro expansions (macro_id, crate, pattern) to all functions of the crate that the pattern's ``::name(`` names."""
+    rows = expansions.select("macro_id", "crate", method_of_pattern(F.col("pattern")).alias("name")).filter("name is not null")
     return rows.join(functions.select("crate", "name", F.col("id").alias("dst")), ["crate", "name"]).select("macro_id", "crate", "dst", F.lit(confidence).alias("confidence"))
 
 
@@ -129,10 +166,23 @@ def generated_calls(patterns: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("crate", "target", F.when(F.col("pattern").contains("::"), 0.95).otherwise(0.7).alias("confidence")).distinct()
 
 
+# The dispatching function, a text that its files hold, the method it calls, how sure that is.
+FRAMEWORK_RULES = (
+    *(("websocket_framework::websocket_dispatch", marker, method, 0.95) for marker in ("impl WebSocketActor", "WebSocketActor for ") for method in ("event_stream", "handle_message")),
+    *(("actix_framework::lifecycle_dispatch", marker, method, 0.90) for marker in (".start()", "Actor::start", "actor.start") for method in ("started", "stopping", "stopped")),
+)
+
+
+def framework_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(FRAMEWORK_RULES), "caller string, marker string, method string, confidence double")
+
+
 def dispatched(functions: DataFrame, files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Framework entry points: functions that a rule (marker, method, confidence) names, in files whose text holds the marker."""
-    marked = files.join(F.broadcast(rules), F.col("text").contains(F.col("marker"))).select("file", F.col("method").alias("name"), "confidence").distinct()  # rules are configuration
-    return functions.join(marked, ["file", "name"]).select("id", "qualified_name", "confidence")
+    """Framework entry points: functions that a rule (marker, method, confidence, and other columns that are kept) names, in files whose text
+    holds the marker."""
+    more = [c for c in rules.columns if c not in ("marker", "method", "confidence")]
+    marked = files.join(F.broadcast(rules), F.col("text").contains(F.col("marker"))).select("file", F.col("method").alias("name"), "confidence", *more).distinct()  # rules are configuration
+    return functions.join(marked, ["file", "name"]).select("id", "qualified_name", "confidence", *more)
 
 
 def matched_patterns(files: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -159,23 +209,34 @@ def containing(points: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def consolidated(functions: DataFrame, near: int = 5) -> DataFrame:
-    """Functions of one qualified name whose lines lie within ``near`` of the one before are one; flags are or-ed."""
-    w = Window.partitionBy("qualified_name").orderBy("line_start", "id")
-    new = F.coalesce((F.col("line_start") - F.lag("line_start").over(w)) > near, F.lit(True))
-    grouped = functions.withColumn("_new", new.cast("int")).withColumn("_group", F.sum("_new").over(w))
-    return grouped.groupBy("qualified_name", "_group").agg(F.min("line_start").alias("line_start"), F.count("*").alias("merged"), F.bool_or("is_test").alias("is_test")).drop("_group")
-
-
-def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """(qualified_name, line_start, merged, is_trait_impl): a definition and those of its name that begin at most ``near`` lines after it are one; it is a
+    trait's if one of them is. A later one begins anew, so a chain of small gaps does not grow without end."""
+    rows = functions.groupBy("qualified_name").agg(F.array_sort(F.collect_list(F.struct("line_start", "is_trait_impl"))).alias("all"))  # the definitions of one name
+    lines = F.transform("all", lambda r: r["line_start"].cast("long"))
+    empty = F.array().cast("array<bigint>")
+    starts = F.aggregate(lines, empty, lambda s, x: F.when((F.size(s) == 0) | (x - F.element_at(s, -1) > near), F.array_append(s, x)).otherwise(s))
+    each = rows.select("qualified_name", "all", F.explode(starts).alias("line_start"))
+    held = F.filter("all", lambda r: r["line_start"].between(F.col("line_start"), F.col("line_start") + near))
+    return each.select("qualified_name", "line_start", F.size(held).alias("merged"), F.exists(held, lambda r: F.coalesce(r["is_trait_impl"], F.lit(False))).alias("is_trait_impl"))
+
+
+def free(rows: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def first_of(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """Merged rows without repeats: the first of each key."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    k = free(rows, "_k")
+    return rows.withColumn(k, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(k) == 1).drop(k)
 
 
 def best_impls(impls: DataFrame) -> DataFrame:
     """One implementation block for each (file, line, type), one with a trait's name first."""
-    w = Window.partitionBy("file", "line", "type_name").orderBy(F.col("trait_name").asc_nulls_last())
-    return impls.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    return first_of(impls, ["file", "line", "type_name"], [F.col("trait_name").asc_nulls_last()])
 
 
 def method_lookup(inherent: DataFrame, traits: DataFrame) -> DataFrame:
@@ -184,6 +245,14 @@ def method_lookup(inherent: DataFrame, traits: DataFrame) -> DataFrame:
     return rows.groupBy("type_name", "method").agg(F.min(F.struct("prio", "id")).alias("s")).select("type_name", "method", F.col("s.id").alias("id"), (F.col("s.prio") == 1).alias("by_trait"))
 
 
+def methods_of(functions: DataFrame, impls: DataFrame) -> DataFrame:
+    """(crate, type_name, method, id, trait_name): every method of every type, its own and those of its traits' implementations."""
+    of = F.element_at(F.split("qualified_name", "::"), -2)
+    f = functions.filter("context in ('RegularImpl', 'TraitImpl')").select("crate", "file", of.alias("type_name"), F.col("name").alias("method"), "id")
+    named = impls.select("crate", "file", "type_name", "trait_name", F.explode("methods").alias("method")).distinct()
+    return f.join(named, ["crate", "file", "type_name", "method"], "left").select("crate", "type_name", "method", "id", "trait_name")
+
+
 def implements(impls: DataFrame, types: DataFrame) -> DataFrame:
     """Type -> trait edges by bare names."""
     t = types.select(F.col("name").alias("type_name"), F.col("id").alias("src"))
@@ -197,6 +266,36 @@ def constructor_calls(macros: DataFrame, functions: DataFrame, *, module_like: s
     return macros.join(f, "crate").select("macro_id", "dst").distinct()
 
 
+# How a pasted name is written, and the macro that pastes names of its own.
+PASTE_PATTERNS = (
+    r"define_indicator_enums!\s*\(",
+    r"paste!\s*\{\s*\[\s*<\s*\$\w+\s*>\s*\]::\w+\s*\(",
+    r"\[\s*<\s*\$\w+\s*>\s*\]::\w+\s*\(",
+    r"paste!\s*\{\s*\[\s*<\s*\$\w+\s+\w+\s*>\s*\]::\w+\s*\(",
+    r"\[\s*<\s*\$\w+\s+\w+\s*>\s*\]::\w+\s*\(",
+)
+
+
+def paste_patterns(files: DataFrame) -> DataFrame:
+    """(file, kind, pattern): what each of PASTE_PATTERNS finds in a file's text, over lines; ``kind`` counts them from 0."""
+    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("pattern"))) for k, p in enumerate(PASTE_PATTERNS)]
+    return files.select("file", F.explode(F.concat(*found)).alias("p")).select("file", "p.kind", "p.pattern").distinct()
+
+
+def pattern_names(files: DataFrame) -> DataFrame:
+    """(file, source, name): names that macros may be run over: arguments of the macro that defines enumerations, variants of enumerations,
+    and collections that loops go through."""
+    text = F.col("text")
+    given = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)define_indicator_enums![^(]*\((.*?)\);"), F.lit(1)), lambda x: F.split(x, ",")))
+    names = F.filter(F.transform(given, lambda x: F.trim(F.when(x.contains(":"), F.split(x, ":")[0]).otherwise(x))), lambda x: x.rlike(r"^\w+$"))
+    body = F.regexp_extract_all(text, F.lit(r"(?ms)^[ \t]*(?:pub )?enum\b[^\n]*\n(.*?)^[ \t]*\}[ \t]*$"), F.lit(1))
+    variants = F.filter(F.transform(F.flatten(F.transform(body, lambda b: F.split(b, "\n"))), lambda x: F.trim(F.split(x, ",")[0])), lambda x: x.rlike(r"^\p{Lu}"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.contains("for ") & x.contains(" in "))
+    loops = F.filter(F.transform(lines, lambda x: F.regexp_replace(F.regexp_extract(x, r"^.*? in\s+(\S+)", 1), r"\.(into_)?iter\(\)", "")), lambda x: x.rlike(r"^\w+$"))
+    each = [F.transform(a, lambda x, s=s: F.struct(F.lit(s).alias("source"), x.alias("name"))) for s, a in (("macro", names), ("enum", variants), ("loop", loops))]
+    return files.select("file", F.explode(F.concat(*each)).alias("n")).select("file", "n.source", "n.name").distinct()
+
+
 def indicator_names(macros: DataFrame) -> DataFrame:
     """(crate, name): capitalised words in macro arguments."""
     return macros.select("crate", F.explode(F.regexp_extract_all("arguments", F.lit(r"\b([A-Z][A-Za-z0-9]+)\b"), F.lit(1))).alias("name")).distinct()

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.functions.text import embedding_text
+from symloom.functions.text import embedding_text, type_text
 from symloom.operators.predicates import topk
 
 #: Vector widths by model; any other model is refused.
@@ -40,6 +40,8 @@ def embed_one(text: str, width: int) -> np.ndarray:
 
 
 def embedded(rows: DataFrame, text: str = "text", *, model: str = "local", width: int | None = None) -> DataFrame:
+    if width is None and model not in WIDTHS:
+        raise ValueError(f"unknown model {model!r}; known are {', '.join(WIDTHS)}")
     n = width or WIDTHS[model]
 
     @F.pandas_udf("array<double>")
@@ -54,6 +56,12 @@ def function_rows(functions: DataFrame) -> DataFrame:
     return functions.select("id", F.lit("function").alias("kind"), "crate", embedding_text(F.col("crate"), F.col("name"), F.col("module")).alias("text"))
 
 
+def type_rows(types: DataFrame) -> DataFrame:
+    """id, kind, crate, and the text that is embedded, of types."""
+    text = type_text(*map(F.col, ("crate", "name", "kind", "module", "doc", "fields", "variants")))
+    return types.select("id", F.lit("type").alias("kind"), "crate", text.alias("text"))
+
+
 def search(rows: DataFrame, query: list[float], *, key: str = "id", k: int = 10, crate: str | None = None) -> DataFrame:
     """The k most similar rows to a query vector, which is one literal."""
     if crate is not None:

@@ -19,6 +19,7 @@ from symloom.operators import actors as A
 from symloom.operators import architecture as R
 from symloom.operators import coverage as C
 from symloom.operators import impact as I
+from symloom.operators import resolve as N
 from symloom.operators import search as V
 from symloom.operators import stats as S
 from symloom.operators.predicates import in_file, named
@@ -38,7 +39,11 @@ class Engine:
     """``edge``: the columns that name a call edge. ``types`` and ``embeddings`` (id, embedding, crate) are optional tables."""
 
     def __init__(self, graph: Graph, *, types: DataFrame | None = None, embeddings: DataFrame | None = None, width: int = 384, edge: tuple[str, ...] = ("src", "dst", "line"), store: Store | None = None):
-        self.g, self.types, self.embeddings, self.width, self.edge, self.store = graph, types, embeddings, width, edge, store
+        self.g, self.width, self.edge, self.store = graph, width, edge, store
+        self.types = types if types is not None else graph.types
+        self.embeddings = embeddings if embeddings is not None else graph.embeddings
+        #: Functions of sources; those that were made up as callers or targets are called by nothing.
+        self.written = graph.functions.filter(~F.coalesce("is_synthetic", F.lit(False))) if "is_synthetic" in graph.functions.columns else graph.functions
         self.spark = graph.functions.sparkSession
         self.methods: dict[str, Callable[..., DataFrame]] = {n.removeprefix("do_"): getattr(self, n) for n in dir(self) if n.startswith("do_")}
 
@@ -53,10 +58,10 @@ class Engine:
         return f(*bound.args, **bound.kwargs)
 
     def respond(self, request: dict, most: int = 1000) -> dict:
-        """A request's envelope with at most ``most`` rows."""
+        """A request's envelope with at most ``most`` rows; ``truncated`` tells whether there are more."""
         try:
-            rows = self.call(request.get("method", ""), request.get("params")).limit(most).toJSON().collect()
-            return {"jsonrpc": "2.0", "id": request.get("id"), "result": [json.loads(x) for x in rows]}
+            rows = self.call(request.get("method", ""), request.get("params")).limit(most + 1).toJSON().collect()
+            return {"jsonrpc": "2.0", "id": request.get("id"), "result": [json.loads(x) for x in rows[:most]], "truncated": len(rows) > most}
         except CallError as e:
             return {"jsonrpc": "2.0", "id": request.get("id"), "error": {"code": e.code, "message": str(e)}}
         except Exception as e:  # noqa: BLE001
@@ -88,7 +93,7 @@ class Engine:
         return I.batch_impact(self.g.functions, self.g.calls, found.select(F.col("id").alias("target")), depth=depth, edge=self.edge) if with_impact else found.orderBy(F.desc("in_changed_file"), "id")
 
     def do_find_unreferenced_functions(self, exclude_public: bool = False, exclude_tests: bool = True, crate: str | None = None) -> DataFrame:
-        return C.unreferenced(self.g.functions, self.g.calls, exclude_public=exclude_public, exclude_tests=exclude_tests, crate=crate).orderBy("crate", "name", "id")
+        return C.unreferenced(self.written, self.g.calls, exclude_public=exclude_public, exclude_tests=exclude_tests, crate=crate).orderBy("crate", "name", "id")
 
     def do_find_test_only_functions(self, include_public: bool = True, crate: str | None = None) -> DataFrame:
         return C.test_only(self.g.functions, self.g.calls, include_public=include_public, crate=crate)
@@ -115,7 +120,16 @@ class Engine:
         return A.flow_diagram(self.g.actors, self.g.sends)
 
     def do_get_actor_details(self, name: str) -> DataFrame:
-        return A.details(self.g.actors.filter(F.col("name") == name), self.g.sends, self.g.handles, self.g.spawns)
+        actors = self.g.actors.filter(F.col("name") == name)
+        of = actors.select("id", "crate", F.col("name").alias("type_name"))
+        more = {}
+        if self.g.impls is not None:
+            more["methods"] = N.methods_of(self.written, self.g.impls).join(of.withColumnRenamed("id", "actor"), ["crate", "type_name"]).select(F.col("actor").alias("id"), F.col("method").alias("name"))
+            more["implements"] = self.g.impls.filter("trait_name is not null").join(of, ["crate", "type_name"]).select("id", F.col("trait_name").alias("name"))
+        if self.types is not None:
+            declared = self.types.select("crate", F.col("name").alias("type_name"), F.explode("fields").alias("field"))
+            more["fields"] = declared.join(of, ["crate", "type_name"]).select("id", F.trim(F.split("field", ":")[0]).alias("name"))
+        return A.details(actors, self.g.sends, self.g.handles, self.g.spawns, **more)
 
     def do_get_distributed_actors(self, crate: str | None = None, exclude_tests: bool = False, limit: int = 50) -> DataFrame:
         return A.distributed(self.g.actors, crate=crate, exclude_tests=exclude_tests, limit=limit)
@@ -127,8 +141,10 @@ class Engine:
         return S.symbol_impact(self.g.functions, self.g.calls, symbol)
 
     def do_check_architecture_violations(self, severity: str | None = None, limit: int = 100) -> DataFrame:
+        """The first ``limit`` violations, each with the number that there are."""
         rows = R.all_violations(self.g.functions, self.g.calls, self.g.crates, self.g.depends_on, severity=severity)
-        return rows.orderBy("severity", "kind", "source", "target").limit(limit)
+        shown = rows.orderBy("severity", "kind", "source", "target").limit(limit)
+        return shown.crossJoin(F.broadcast(rows.agg(F.count("*").alias("of"))))  # one row
 
     def do_get_layer_health(self) -> DataFrame:
         return R.layer_health(R.layer_violations(self.g.functions, self.g.calls, self.g.crates), self.g.crates)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import text as T
@@ -346,7 +346,19 @@ def _(g: Graph, *_):
     return S.patterns(g)
 
 
-@query("G9_properties")
+PROPERTIES = ", ".join(
+    f"('{label}', '{name}', '{kind}')"
+    for label, columns in (
+        ("Function", "id bigint, name string, qualified_name string, crate string, module string, file string, visibility string, is_test boolean, line_start bigint"),
+        ("Crate", "name string, num int, layer int"),
+        ("Actor", "id bigint, name string, crate string, is_distributed boolean, is_test boolean"),
+        ("MessageType", "message_type string"),
+    )
+    for name, kind in (c.split() for c in columns.split(", "))
+)
+
+
+@query("G9_properties", f"SELECT * FROM (VALUES {PROPERTIES}) t(label, property, type)", star_sql=False)
 def _(g: Graph, *_):
     return S.properties(g)
 
@@ -408,9 +420,15 @@ def _(g: Graph, *_):
   coalesce((SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT DISTINCT child AS x FROM spawns WHERE parent = a.id)), '') AS spawns,
   coalesce((SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT DISTINCT parent AS x FROM spawns WHERE child = a.id)), '') AS spawned_by,
   coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT message_type AS x FROM sends WHERE sender = a.id)), '') AS sends,
-  coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT message_type AS x FROM handles WHERE actor = a.id)), '') AS handles FROM actors a""")
+  coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT message_type AS x FROM handles WHERE actor = a.id)), '') AS handles,
+  coalesce((SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT DISTINCT receiver AS x FROM sends WHERE sender = a.id)), '') AS sends_to,
+  coalesce((SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT DISTINCT sender AS x FROM sends WHERE receiver = a.id)), '') AS receives_from,
+  coalesce((SELECT string_agg(x, ',' ORDER BY x COLLATE C) FROM (SELECT DISTINCT name AS x FROM functions f WHERE f.id % 40 + 1 = a.id)), '') AS methods,
+  coalesce((SELECT string_agg(x, ',' ORDER BY x COLLATE C) FROM (SELECT DISTINCT module AS x FROM functions f WHERE f.id % 40 + 1 = a.id)), '') AS fields,
+  coalesce((SELECT string_agg(x, ',' ORDER BY x COLLATE C) FROM (SELECT DISTINCT visibility AS x FROM functions f WHERE f.id % 40 + 1 = a.id)), '') AS implements FROM actors a""")
 def _(g: Graph, *_):
-    return A.details(g.actors, g.sends, g.handles, g.spawns)
+    of = lambda c: g.functions.select((F.col("id") % 40 + 1).alias("id"), F.col(c).alias("name"))
+    return A.details(g.actors, g.sends, g.handles, g.spawns, of("name"), of("module"), of("visibility"))
 
 
 @query("G13_distributed_actors", "SELECT id, name, crate FROM actors WHERE is_distributed AND NOT is_test ORDER BY name, id LIMIT 50")
@@ -470,6 +488,12 @@ def _(g: Graph, *_):
     return A.merge_actor_types(g.actors.filter("id % 3 <> 1"), g.actors.filter("id % 4 <> 1"))
 
 
+@query("J20_migrated_edges", "SELECT DISTINCT coalesce(t.id + 1000000, s.sender) AS sender, s.receiver, s.message_type FROM sends s LEFT JOIN (SELECT * FROM actors WHERE id % 3 <> 1) t ON t.id = s.sender")
+def _(g: Graph, *_):
+    types = g.actors.filter("id % 3 <> 1").select((F.col("id") + 1_000_000).alias("id"), "name", "crate")
+    return A.migrate(types, g.actors, {"sends": (g.sends.select("sender", "receiver", "message_type"), ["sender"])})[1]["sends"]
+
+
 @query("J21_upsert", "SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name, o.crate FROM (SELECT * FROM actors WHERE id % 2 = 0) o FULL JOIN (SELECT id, 'new' || id AS name FROM actors WHERE id % 3 = 0) n ON n.id = o.id")
 def _(g: Graph, *_):
     new = g.actors.filter("id % 3 = 0").select("id", F.concat(F.lit("new"), F.col("id").cast("string")).alias("name"))
@@ -548,10 +572,13 @@ def _(g: Graph, *_):
     return N.containing(g.functions.select("file", (F.col("line_start") + 3).alias("line")).distinct(), f)
 
 
-@query("R17_consolidated", """, f2 AS (SELECT crate || '::' || name AS q, id, line_start, is_test FROM functions), n AS (SELECT *, coalesce(line_start - lag(line_start) OVER (PARTITION BY q ORDER BY line_start, id) > 5, true) AS new FROM f2), k AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY q ORDER BY line_start, id) AS g FROM n)
-SELECT q AS qualified_name, min(line_start) AS line_start, count(*) AS merged, bool_or(is_test) AS is_test FROM k GROUP BY q, g""")
+@query("R17_consolidated", """, f2 AS (SELECT crate || '::' || (id % 7) AS q, CAST(row_number() OVER (PARTITION BY crate, id % 7 ORDER BY id) * 2 + id % 3 AS BIGINT) AS line, is_test FROM functions),
+s AS (SELECT q, unnest(list_reduce(list_transform(list_sort(list(line)), x -> [x]), (s, x) -> CASE WHEN x[1] - s[len(s)] > 5 THEN list_concat(s, x) ELSE s END)) AS start FROM f2 GROUP BY q)
+SELECT s.q AS qualified_name, s.start AS line_start, CAST(count(*) AS INT) AS merged, bool_or(is_test) AS is_trait_impl FROM s JOIN f2 ON f2.q = s.q AND f2.line BETWEEN s.start AND s.start + 5 GROUP BY s.q, s.start""")
 def _(g: Graph, *_):
-    return N.consolidated(g.functions.withColumn("qualified_name", F.concat_ws("::", "crate", "name")))
+    w = Window.partitionBy("crate", F.col("id") % 7).orderBy("id")
+    f = g.functions.select(F.concat_ws("::", "crate", (F.col("id") % 7).cast("string")).alias("qualified_name"), (F.row_number().over(w) * 2 + F.col("id") % 3).alias("line_start"), F.col("is_test").alias("is_trait_impl"))
+    return N.consolidated(f)
 
 
 @query("R1_first_of", "SELECT name, crate, id FROM (SELECT *, row_number() OVER (PARTITION BY name, crate ORDER BY line_start, id) AS k FROM functions) WHERE k = 1")
@@ -601,9 +628,12 @@ def _(g: Graph, *_):
     return V.function_rows(g.functions)
 
 
-@query("X13_embedding_vectors")
+@query("X13_embedding_vectors", """, t AS (SELECT id, 'crate: ' || crate || ' | function: ' || name || ' | module: ' || module AS s FROM functions), x AS (SELECT id, s, strlen(s) AS n, string_split(s, ' ') AS w FROM t),
+c AS (SELECT id, ord(s[i]) % 64 AS b, 1.0::DOUBLE / i AS v FROM x, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS i) UNION ALL SELECT id, list_sum(list_transform(range(1, length(w[i]) + 1), k -> ord(w[i][k]))) % 64, 0.5::DOUBLE / i FROM x, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+g AS (SELECT id, b, sum(v) AS v FROM c GROUP BY ALL), v AS (SELECT x.id, k, coalesce(g.v, 0) + 0.1 * sin(n * (k + 1)) AS v FROM x CROSS JOIN (SELECT unnest(range(0, 64)) AS k) LEFT JOIN g ON g.id = x.id AND g.b = k)
+SELECT id, list_transform(list(v ORDER BY k), y -> round(y / sqrt(list_sum(list_transform(list(v), z -> z * z))), 6)) AS embedding FROM v GROUP BY id""")
 def _(g: Graph, *_):
-    return V.embedded(V.function_rows(g.functions), width=64).select("id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
+    return V.embedded(V.function_rows(g.functions), width=64).select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 # -- text
@@ -620,9 +650,54 @@ def _(g: Graph, *_):
     return g.functions.select("id", p.alias("pascal"), T.snake(p).alias("back"))
 
 
-@query("X11_paths", "SELECT id, crate AS crate_of, replace(crate, '-', '_') || '::' || lower(module) AS module_of, false AS is_test_file FROM functions")
+@query("X11_paths", """SELECT id, crate AS crate_of, replace(crate, '-', '_') || '::' || lower(module) AS module_of, line_start % 9 IN (0, 1, 2, 4, 5, 6, 7) AS is_test_file FROM functions""")
+def _(g: Graph, *_):
+    names = ("tests/a.rs", "examples/b/c.rs", "benches/a.rs", "src/attests.rs", "src/a_test.rs", "src/a_tests.rs", "src/test.rs", "src/b/tests.rs", "src/testing/a.rs")
+    path = F.concat(F.lit("/ws/k/"), F.element_at(F.array(*map(F.lit, names)), (F.col("line_start") % 9 + 1).cast("int")))
+    return g.functions.select("id", T.crate_of_path(F.col("file")).alias("crate_of"), T.module_of_file(F.col("file"), F.col("crate")).alias("module_of"), T.is_test_file(path).alias("is_test_file"))
+
+
+NAMED = ("println", "thread_local", "info", "dec", "select", "generate_builder", "paste", "join", "my_macro")
+
+
+@query("P12_macro_kinds", "SELECT id, ['builtin', 'builtin', 'logging', 'decimal', 'async', 'custom', 'paste', 'declarative', 'declarative'][CAST(id % 9 + 1 AS INT)] AS kind FROM functions")
+def _(g: Graph, *_):
+    return g.functions.select("id", T.macro_kind(F.element_at(F.array(*map(F.lit, NAMED)), (F.col("id") % 9 + 1).cast("int"))).alias("kind"))
+
+
+@query("P24_spawn_contexts", """SELECT id, ['on_start:on_start', 'on_stop:on_stop', 'message_handler:reply', 'message_handler:handle_it', 'lifecycle_handler:on_it', 'spawn_function:do_spawn', 'main_function:main', 'run_function:run', 'regular_function:handle', 'module_level'][CAST(id % 10 + 1 AS INT)] AS context FROM functions""")
+def _(g: Graph, *_):
+    names = ("on_start", "on_stop", "reply", "handle_it", "on_it", "do_spawn", "main", "run", "handle", None)
+    return g.functions.select("id", T.spawn_context(F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 10 + 1).cast("int"))).alias("context"))
+
+
+@query("P25_likely_actors", "SELECT id, id % 9 IN (0, 1, 2, 3) AS likely FROM functions")
+def _(g: Graph, *_):
+    names = ("PriceActor", "ActorPool", "MyAgent", "ManagerOfAll", "Actor", "Handler", "tokio", "price_actor", "Widget")
+    return g.functions.select("id", T.likely_actor(F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 9 + 1).cast("int"))).alias("likely"))
+
+
+@query("P33_paste_patterns", """SELECT file, k AS kind, CASE k WHEN 0 THEN 'define_indicator_enums!(' WHEN 2 THEN '[<$' || m || '>]::new(' WHEN 1 THEN 'paste! {' || chr(10) || ' [<$' || m || '>]::new(' ELSE '[<$' || m || ' Input>]::from(' END AS pattern
+  FROM (SELECT DISTINCT file, lower(module) AS m FROM functions), (VALUES (0), (1), (2), (4)) t(k)""")
+def _(g: Graph, *_):
+    m = F.lower("module")
+    text = F.concat(F.lit("define_indicator_enums!(A);\nfn f() { paste! {\n [<$"), m, F.lit(">]::new(1) } }\n[<$"), m, F.lit(" Input>]::from(2)"))
+    return N.paste_patterns(g.functions.select("file", text.alias("text")).distinct())
+
+
+@query("P32_pattern_names", """SELECT file, s AS source, n AS name FROM (SELECT DISTINCT file, module AS m FROM functions), LATERAL (VALUES ('macro', 'alma'), ('macro', lower(m)), ('enum', m), ('enum', 'Tail(u8)'), ('loop', 'ITEMS'), ('loop', lower(m))) t(s, n)""")
+def _(g: Graph, *_):
+    m = F.col("module")
+    text = F.concat(F.lit("define_indicator_enums!(alma: 'x y', "), F.lower(m), F.lit(");\npub enum K {\n    "), m, F.lit(",\n    lower,\n    Tail(u8),\n}\nfor x in ITEMS.iter() {\n  for y in "), F.lower(m), F.lit(" {"))
+    return N.pattern_names(g.functions.select("file", text.alias("text")).distinct())
+
+
+@query("R13_methods_of_types", "SELECT crate, module AS type_name, name AS method, id, CASE WHEN id % 3 = 0 THEN 'Own' END AS trait_name FROM functions WHERE id % 3 < 2")
 def _(g: Graph, *_):
-    return g.functions.select("id", T.crate_of_path(F.col("file")).alias("crate_of"), T.module_of_file(F.col("file"), F.col("crate")).alias("module_of"), T.is_test_file(F.col("file")).alias("is_test_file"))
+    context = F.when(F.col("id") % 3 == 0, "TraitImpl").when(F.col("id") % 3 == 1, "RegularImpl").otherwise("Free")
+    f = g.functions.withColumn("qualified_name", F.concat_ws("::", "crate", "module", "name")).withColumn("context", context).withColumn("file", F.concat("file", F.col("id").cast("string")))
+    blocks = f.filter("id % 3 < 2").select("crate", "file", F.col("module").alias("type_name"), F.when(F.col("id") % 3 == 0, "Own").alias("trait_name"), F.array("name").alias("methods"))
+    return N.methods_of(f, blocks)
 
 
 @query("X21_visibility", "SELECT visibility, CASE visibility WHEN 'pub' THEN 'Public' WHEN 'pub(crate)' THEN 'Crate' ELSE 'Private' END AS kind, count(*) AS n FROM functions GROUP BY ALL")
@@ -802,7 +877,7 @@ def impls(g: Graph) -> DataFrame:
     return g.functions.select("crate", "file", F.col("line_start").alias("line"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("type_name"), trait.alias("trait_name"))
 
 
-@query("R7_trait_dispatch", IMPLS + " SELECT crate, line, crate || '::' || type_name || '::' || m AS target, CAST(0.8 AS DOUBLE) AS confidence FROM i JOIN (VALUES ('Clone', 'clone'), ('Clone', 'clone_from'), ('Display', 'fmt')) t(n, m) ON n = trait_name")
+@query("R7_trait_dispatch", IMPLS + " SELECT crate, line, crate || '::' || type_name || '::' || m AS target, CAST(0.8 AS DOUBLE) AS confidence FROM i JOIN (VALUES ('Clone', 'clone'), ('Display', 'fmt')) t(n, m) ON n = trait_name")
 def _(g: Graph, *_):
     return N.trait_dispatch(impls(g)).select("crate", "line", "target", "confidence")
 

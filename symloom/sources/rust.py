@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.functions.text import MACRO_KINDS
+from symloom.functions.text import ACTOR_ENDS, ACTOR_PARTS, ACTOR_TRAITS, MACRO_KINDS, NON_ACTOR_FRAMEWORKS, OTHER_MACRO, SPAWN_CONTEXTS, TEST_FILE
 from symloom.model import SCHEMAS
 
 LEX = re.compile(
@@ -24,11 +24,24 @@ LEX = re.compile(
     r"""|(?P<id>(?:r\#)?[^\W\d]\w*)|(?P<num>\d[\w]*(?:\.\d\w*)?)|(?P<op>::|->|=>|\.\.=?|.)""",
     re.S | re.X,
 )
-# Words that are no callee, and modules whose spawn starts no actor.
+# Words that are no callee.
 NO_CALL = frozenset("if while match for return loop in let else move as fn impl where unsafe async await dyn ref mut box yield break continue struct enum use mod pub crate static const type trait".split())
-NO_ACTOR = frozenset("tokio std thread task async_std smol rayon crossbeam futures runtime Builder JoinSet local".split())
-SPAWNS = frozenset("spawn spawn_link spawn_in_thread spawn_with spawn_link_with start".split())
-SENDS = {"tell": "Tell", "do_send": "Tell", "ask": "Ask", "send": "Ask"}
+# Methods that spawn an actor of the type before them, and module functions (module, module, function; None: any) that spawn their argument.
+SPAWNS = ("spawn", "spawn_with_mailbox", "spawn_link", "spawn_in_thread", "spawn_with_storage")
+MODULE_SPAWNS = (
+    ("kameo", "actor", "spawn"),
+    ("kameo", "actor", "spawn_with_mailbox"),
+    ("actix", "actor", "spawn"),
+    ("actix", "spawn", None),
+    ("riker", "actor", "spawn"),
+    ("bastion", None, "spawn"),
+    ("coerce", None, "spawn"),
+)
+MAKERS = ("new", "default", "create")
+LIKELY_VARIABLE = r"_(actor|supervisor|worker|handler|agent|service)$|actor_|supervisor_|manager_"
+SENDS = {"tell": "Tell", "ask": "Ask"}
+#: Methods of other actor libraries that send.
+MORE_SENDS = {"do_send": "Tell", "send": "Ask"}
 CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 
@@ -53,6 +66,29 @@ def module_prefix(path: str) -> tuple[str, ...]:
     return tuple(p.replace("-", "_") for p in parts)
 
 
+def pascal(x: str) -> str:
+    return "".join(w[:1].upper() + w[1:] for w in x.split("_"))
+
+
+def likely_actor(name: str) -> bool:
+    if name in NON_ACTOR_FRAMEWORKS or name in ACTOR_TRAITS or not name[:1].isupper():
+        return False
+    return name.endswith(ACTOR_ENDS) or any(p in name for p in ACTOR_PARTS)
+
+
+def spawn_context(function: str | None) -> str:
+    if function is None:
+        return "module_level"
+    return f"{next((kind for kind, p in SPAWN_CONTEXTS if re.search(p, function)), 'regular_function')}:{function}"
+
+
+def in_test(path: str, function: str | None) -> bool:
+    """A file of tests, or a function that is named as one or as a part of one."""
+    name = function or ""
+    inner = path.rpartition("/src/")[2] if "/src/" in path else "/".join(path.rsplit("/", 2)[1:])
+    return "test" in inner or re.search(TEST_FILE, path) is not None or "test" in name or name.startswith("setup_") or "mock" in name
+
+
 class Reader:
     def __init__(self, source: str, path: str, crate: str):
         self.path, self.crate = path, crate
@@ -66,6 +102,65 @@ class Reader:
             line += m[0].count("\n")
         self.tok += [("end", "", line)] * 2
         self.n = len(self.tok) - 2
+        self.actor_of, self.message_of = self.variables()
+
+    def variables(self) -> tuple[dict[str, str], dict[str, str]]:
+        """(variable or field -> actor it refers to, variable -> type it is declared or made as), over the whole file."""
+        actors: dict[str, str] = {}
+        types: dict[str, str] = {}
+        for i in range(self.n):
+            t = self.text(i)
+            if t == "ActorRef" and self.text(i + 1) == "<":
+                k = i
+                while self.text(k - 1) == "::":
+                    k -= 2
+                while self.text(k - 1) == "<":  # Option<ActorRef<..>> and the like
+                    k -= 2
+                    while self.text(k - 1) == "::":
+                        k -= 2
+                while k > 0 and (self.text(k - 1) in ("&", "mut") or self.tok[k - 1][0] == "life"):
+                    k -= 1
+                if self.text(k - 1) == ":" and self.tok[k - 2][0] == "id":
+                    end = self.past(i + 1) - 1
+                    name, actor = self.text(k - 2), re.sub(r"<.*", "", self.join(i + 2, end)).split("::")[-1]
+                    actors[name] = actor
+                    if name.endswith("_ref"):
+                        actors.setdefault(name.removesuffix("_ref"), actor)
+            elif t == "let":
+                k = i + 1 + (self.text(i + 1) == "mut")
+                if self.tok[k][0] != "id":
+                    continue
+                name, k = self.text(k), k + 1
+                if self.text(k) == ":" and self.tok[k + 1][0] == "id" and self.text(k + 2) == "=":
+                    types[name] = self.text(k + 1)
+                if self.text(k) != "=":
+                    continue
+                parts, k = [self.text(k + 1)], k + 2
+                while self.text(k) == "::" and self.tok[k + 1][0] == "id":
+                    parts.append(self.text(k + 1))
+                    k += 2
+                if len(parts) > 1 and parts[-1].startswith("spawn") and parts[-2][:1].isupper():
+                    actors.setdefault(name, parts[-2])
+                elif parts[-1][:1].isupper() and self.text(k) in ("{", "(", ";"):
+                    types.setdefault(name, parts[0] if len(parts) > 1 and parts[0][:1].isupper() else parts[-1])
+                elif len(parts) > 1 and parts[-2][:1].isupper() and self.text(k) == "(":
+                    types.setdefault(name, parts[-2])
+        return actors, types
+
+    def receiver(self, name: str, scope: Scope) -> str:
+        """The actor that a variable or field refers to: as declared, else by its name; a context is the actor itself."""
+        actor = self.actor_of.get(name)
+        if actor is None:
+            if name == "self" or "ctx" in name:
+                actor = "Self"
+            elif name.endswith(("_actor", "_ref")):
+                for end in ("_actor_ref", "_actor", "_ref"):
+                    while name.endswith(end):
+                        name = name.removesuffix(end)
+                actor = pascal(name)
+            else:
+                actor = "Unknown"
+        return scope.type_name or actor if actor == "Self" else actor
 
     def text(self, i: int) -> str:
         return self.tok[i][1] if i < len(self.tok) else ""
@@ -416,7 +511,7 @@ class Reader:
 
     def invoked(self, name: str, opened: int, stop: int, line: int, scope: Scope) -> None:
         last = name.split("::")[-1]
-        kind = next((k for k, names in MACRO_KINDS.items() if last in names.split()), "custom")
+        kind = next((k for k, names in MACRO_KINDS.items() if last in names), OTHER_MACRO)
         arguments = self.join(opened + 1, stop - 1)
         self.macro(last, kind, arguments, line, self.tok[stop - 1][2], scope)
         self.call(f"{last}!", "Macro", line, scope)
@@ -434,16 +529,47 @@ class Reader:
 
     def messages(self, a: int, opened: int, parts: list[str], method: bool, line: int, scope: Scope) -> None:
         last, first = parts[-1], self.tok[opened + 1]
-        argument = first[1] if first[0] == "id" and first[1][:1].isupper() else None
-        if method and last in SENDS:
-            receiver = self.text(a - 2) if self.tok[a - 2][0] == "id" else "Unknown"
-            self.add("sends", line, sender=scope.type_name or scope.function_name, receiver="Self" if receiver in ("ctx", "self") else receiver, message_type=argument or "Unknown", method=SENDS[last])
-        if not method and last in SPAWNS and len(parts) > 1 and not NO_ACTOR & set(parts[:-1]):
-            owner = parts[-2]
-            pattern, child = ("TraitMethod", argument) if owner == "Actor" else ("DirectType", owner) if owner[:1].isupper() else ("ModuleFunction", argument)
-            if child and not scope.test:
-                context = scope.function_name if scope.function_name in ("on_start", "main") else "message_handler" if scope.function_name in ("handle", "handle_message") else "function"
-                self.add("spawns", line, parent=scope.type_name or scope.function_name, child=child, method=last, pattern=pattern, context=context)
+        if method and (last in SENDS or last in MORE_SENDS):
+            message = None
+            if first[0] == "id":
+                message = first[1] if first[1][:1].isupper() else self.message_of.get(first[1])
+            k = a - 2
+            if self.text(k) == ")":  # x.clone().tell(..)
+                while k > 0 and self.text(k) != "(":
+                    k -= 1
+                k -= 3 if self.text(k - 2) == "." else 1
+            receiver = self.receiver(self.text(k), scope) if self.tok[k][0] == "id" else "Unknown"
+            self.add("sends", line, sender=scope.type_name or scope.function_name, receiver=receiver, message_type=message or "Unknown", method=SENDS.get(last) or MORE_SENDS[last])
+        if not method and len(parts) > 1 and not set(NON_ACTOR_FRAMEWORKS) & set(parts[:-1]) and not scope.test and not in_test(self.path, scope.function_name):
+            owner, pattern, child = parts[-2], None, None
+            if owner == "Actor" and last == "spawn":
+                pattern, child = "TraitMethod", self.spawned(opened)
+            elif len(parts) == 3 and any(m == parts[0] and n in (None, parts[1]) and f in (None, last) for m, n, f in MODULE_SPAWNS):
+                pattern, child = "ModuleFunction", self.spawned(opened)
+            elif last in SPAWNS and likely_actor(owner):
+                pattern, child = "DirectType", owner
+            if child and child != "Actor":
+                self.add("spawns", line, parent=scope.type_name or scope.function_name, child=child, method=last, pattern=pattern, context=spawn_context(scope.function_name))
+
+    def spawned(self, opened: int) -> str | None:
+        """The actor among the arguments: what makes one, a variable that is named as one, or a type."""
+        i, stop = opened + 1, self.past(opened) - 1
+        while i < stop:
+            end = min(self.comma(i, stop), stop)
+            if self.tok[i][0] == "id":
+                parts, k = [self.text(i)], i + 1
+                while self.text(k) == "::" and self.tok[k + 1][0] == "id":
+                    parts.append(self.text(k + 1))
+                    k += 2
+                if len(parts) > 1 and self.text(k) == "(" and parts[-1] in MAKERS:
+                    return parts[-2]
+                if len(parts) == 1 and k == end:
+                    if re.search(LIKELY_VARIABLE, parts[0]):
+                        return pascal(parts[0])
+                    if likely_actor(parts[0]):
+                        return parts[0]
+            i = end + 1
+        return None
 
 
 def parse(source: str, path: str, crate: str) -> dict[str, list[dict]]:

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a folder under /tmp."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """``spark.checkpoint.dir``. Where it is unset, a local master (tests) takes a folder under /tmp; any other is refused, because its executors could
+    not read what another wrote."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    at = at or "/tmp/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at

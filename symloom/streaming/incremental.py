@@ -1,9 +1,10 @@
 """Incremental refresh keyed by content hash.
 
-The state is a table (path, hash, mtime) of one version below ``<root>/state``, and symbol tables partitioned by a hash bucket of the file
-path. A refresh compares a listing with the state (one full outer join on the path), drops the rows of changed and removed files,
-and adds the rows of changed and new ones. Versions are written beside one another and a small pointer row names the current one, so a
-refresh that fails leaves the old version whole, and a batch that runs twice writes the same version again.
+The state is a table (path, hash, mtime) of one version below ``<root>/state``. Symbols lie below ``<root>/symbols/v<n>/bucket=<b>``, by a hash bucket of the
+file's path; a version's manifest names for each bucket the version that wrote it last. A refresh compares a listing with the state (one full outer join
+on the path), and writes only the buckets that changed or removed files lie in: their old rows without those files, and the rows of changed and new
+ones. The state, the manifest and at last a small pointer row are written beside the old ones, so a refresh that fails leaves the old version whole. A
+pointer row holds the name of the batch it came from, so a batch that runs again, even after a restart, writes nothing.
 
 The streaming form feeds new and modified files to the same refresh by ``foreachBatch``; file sources do not emit removals, so a
 removal shows in the next listing.
@@ -13,9 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.operators.resolve import first_of
 from symloom.sources.rust import scan
 
 STATE = "path string, hash string, mtime timestamp"
@@ -81,63 +84,83 @@ def crate_of_file(files: DataFrame, crates: DataFrame) -> DataFrame:
 
 
 class Store:
-    """State and scanned symbols below a folder that all executors share."""
+    """State and scanned symbols below a folder that all executors share. ``buckets`` is fixed when a store is first written."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    SYMBOLS = "path string, table string, row string"
+    MANIFEST = "bucket int, version long"
 
-    def version(self) -> int:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _load(self, path: str, schema: str) -> DataFrame | None:
         try:
-            return self.spark.read.schema("version long").parquet(f"{self.root}/current").agg(F.max("version")).first()[0] or 0
-        except Exception as e:  # noqa: BLE001
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
-                return 0
+                return None
             raise
 
-    def read(self, what: str, schema: str, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
-        if v == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{what}/v{v}")
+    def version(self, batch: str | None = None) -> int:
+        """The newest version, or that of a batch; 0 where there is none."""
+        rows = self._load(f"{self.root}/current", "version long, batch string")
+        if rows is None:
+            return 0
+        return (rows if batch is None else rows.filter(F.col("batch") == batch)).agg(F.max("version")).first()[0] or 0
 
     def state(self) -> DataFrame:
-        return self.read("state", STATE)
-
-    def symbols(self) -> DataFrame:
-        return self.read("symbols", "path string, table string, row string")
-
-    def refresh(self, listing: DataFrame, *, whole: bool = True, to: int | None = None) -> int:
-        """Bring the store up to a listing (path, crate, text, mtime); ``whole``: files that are not listed are gone. Returns the version."""
+        v = self.version()
+        return self.spark.read.schema(STATE).parquet(f"{self.root}/state/v{v}") if v else self.spark.createDataFrame([], STATE)
+
+    def manifest(self) -> dict[int, int]:
+        """bucket -> the version that wrote it; one entry for each bucket."""
+        v = self.version()
+        rows = self._load(f"{self.root}/manifest/v{v}", self.MANIFEST) if v else None
+        return {r["bucket"]: r["version"] for r in rows.collect()} if rows is not None else {}
+
+    def symbols(self, only: list[int] | None = None) -> DataFrame:
+        held = {b: v for b, v in self.manifest().items() if only is None or b in only}
+        if not held:
+            return self.spark.createDataFrame([], self.SYMBOLS)
+        return self.spark.read.schema(self.SYMBOLS).parquet(*[f"{self.root}/symbols/v{v}/bucket={b}" for b, v in sorted(held.items())])
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
+
+    def refresh(self, listing: DataFrame, *, whole: bool = True, batch: str | None = None) -> int:
+        """Bring the store up to a listing (path, crate, text, mtime); ``whole``: files that are not listed are gone; ``batch`` names a listing that is
+        taken once. Returns the version."""
         now = self.version()
-        new = to or now + 1
-        if new <= now:
-            return now  # this batch has been written
-        w = Window.partitionBy("path").orderBy(F.desc("mtime"), "hash")
-        listed = content_hash(listing).withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+        if batch is not None and (done := self.version(batch)):
+            return done
+        new = now + 1
+        listed = first_of(content_hash(listing), ["path"], [F.desc("mtime"), F.col("hash")])
         state = self.state()
         diff = changes(state, listed)
         if not whole:
             diff = diff.filter("change <> 'Deleted'")
+        touched = sorted(r["b"] for r in diff.select(self._bucket().alias("b")).distinct().collect())  # at most one for each bucket
         fresh = listed.join(diff.filter("change <> 'Deleted'"), "path", "left_semi")
-        tag = fresh.select("path", "crate", "text")
-        rows = scan(tag).withColumn("path", F.coalesce(F.get_json_object("row", "$.file"), F.lit("")))
-        symbols = self.symbols().join(diff, "path", "left_anti").unionByName(rows.select("path", "table", "row"))
-        symbols.write.mode("overwrite").parquet(f"{self.root}/symbols/v{new}")
-        kept = state.join(diff, "path", "left_anti").unionByName(fresh.select("path", "hash", "mtime"))
-        kept.write.mode("overwrite").parquet(f"{self.root}/state/v{new}")
-        self.spark.range(1).select(F.lit(new).cast("long").alias("version")).write.mode("append").parquet(f"{self.root}/current")
+        rows = scan(fresh.select("path", "crate", "text")).withColumn("path", F.coalesce(F.get_json_object("row", "$.file"), F.lit("")))
+        kept = self.symbols(touched).join(diff, "path", "left_anti").unionByName(rows.select("path", "table", "row"))
+        at = f"{self.root}/symbols/v{new}"
+        kept.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        written = self._load(at, f"{self.SYMBOLS}, bucket int") if touched else None
+        held = {r["bucket"] for r in written.select("bucket").distinct().collect()} if written is not None else set()
+        manifest = {b: v for b, v in self.manifest().items() if b not in touched} | dict.fromkeys(held, new)
+        self.spark.createDataFrame(sorted(manifest.items()), self.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v{new}")
+        state.join(diff, "path", "left_anti").unionByName(fresh.select("path", "hash", "mtime")).write.mode("overwrite").parquet(f"{self.root}/state/v{new}")
+        self.spark.createDataFrame([(new, batch)], "version long, batch string").coalesce(1).write.mode("append").parquet(f"{self.root}/current")
         return new
 
     def watch(self, folder: str, checkpoint: str, on_batch: Callable[[int], None] | None = None):  # noqa: ANN201
-        """A stream over new ``.rs`` files below a folder; each micro-batch is one refresh, numbered by the batch so a repeat writes nothing new."""
-        first = self.version()
+        """A stream over new ``.rs`` files below a folder; each micro-batch is one refresh, named by checkpoint and batch so a repeat writes nothing new."""
         raw = (
             self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.rs").load(folder)
         )
         rows = raw.select("path", F.regexp_extract("path", r"([^/]+)/src/", 1).alias("crate"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("mtime"))
 
         def each(batch: DataFrame, batch_id: int) -> None:
-            v = self.refresh(batch, whole=False, to=first + batch_id + 1)
+            v = self.refresh(batch, whole=False, batch=f"{checkpoint}#{batch_id}")
             if on_batch:
                 on_batch(v)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from symloom.model import Graph
+from symloom.operators import resolve as N
 from symloom.plans import ingest
 from symloom.plans.engine import BAD_PARAMETERS, UNKNOWN_METHOD, Engine, explained
 from symloom.sources import rust, workspace
@@ -16,7 +17,7 @@ use crate::util::{helper as aid, Other};
 pub async fn run<T>(a: i64, items: Vec<(u8, u8)>) -> Result<i64, String> { aid(a); let s = "fn fake() {"; items.push(1); println!("x"); Worker::make(); Ok(1) }
 pub struct Worker { pub a: u8 }
 impl Worker { pub fn make() -> Self { Self::inner(); Worker { a: 1 } } fn inner() {} }
-impl Actor for Worker { async fn on_start(&mut self) { let c = Child::spawn(Child::new()); child_ref.tell(PingMessage { x: 1 }).await; tokio::spawn(async {}); } }
+impl Actor for Worker { async fn on_start(&mut self) { let c = ChildActor::spawn(ChildActor::new()); child_ref.tell(PingMessage { x: 1 }).await; tokio::spawn(async {}); } }
 impl Message<PingAsk> for Worker { type Reply = u32; async fn handle(&mut self, m: PingAsk) -> u32 { 1 } }
 #[cfg(test)] mod tests { #[test] fn checks() { super::run(1, vec![]); } }
 '''
@@ -41,8 +42,8 @@ def test_parse():
     assert [p["name"] for p in f["run"]["parameters"]] == ["a", "items"] and f["checks"]["is_test"] and f["make"]["qualified_name"] == "my_crate::Worker::make"
     c = {(x["callee_name"], x["call_type"]) for x in r["raw_calls"]}
     assert {("aid", "Direct"), ("push", "Method"), ("Worker::make", "Associated"), ("println!", "Macro"), ("Worker::inner", "Associated")} <= c and not any("fake" in x for x, _ in c)
-    assert [(x["parent"], x["child"], x["context"]) for x in r["spawns"]] == [("Worker", "Child", "on_start")]
-    assert [(x["message_type"], x["method"], x["receiver"]) for x in r["sends"]] == [("PingMessage", "Tell", "child_ref")]
+    assert [(x["parent"], x["child"], x["context"]) for x in r["spawns"]] == [("Worker", "ChildActor", "on_start:on_start")]
+    assert [(x["message_type"], x["method"], x["receiver"]) for x in r["sends"]] == [("PingMessage", "Tell", "Child")]
     assert [(x["actor"], x["message_type"], x["reply_type"]) for x in r["handles"]] == [("Worker", "PingAsk", "u32")]
     assert {(i["name"], i["alias"]) for x in r["imports"] for i in x["items"]} == {("helper", "aid"), ("Other", None)}
 
@@ -87,6 +88,102 @@ def test_workspace(spark, tree):
     assert tuple(row) == ("/a/b", "k", "1.0")
 
 
+SPAWN = """
+use kameo::Actor;
+async fn main() {{ {} }}
+"""
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("let a = PriceActor::spawn(PriceActor::new());", [("PriceActor", "DirectType")]),
+        ("MySupervisor::spawn_link(&parent, args).await;", [("MySupervisor", "DirectType")]),
+        ("FeedAgent::spawn_with_storage(x); OrderManagerRef::spawn_in_thread(y);", [("FeedAgent", "DirectType"), ("OrderManagerRef", "DirectType")]),
+        ("Actor::spawn(PriceActor::new());", [("PriceActor", "TraitMethod")]),
+        ("Actor::spawn(price_feed_actor);", [("PriceFeedActor", "TraitMethod")]),
+        ("kameo::actor::spawn(PriceActor::default()); kameo::actor::spawn_with_mailbox(FeedWorker::create(1), m);", [("PriceActor", "ModuleFunction"), ("FeedWorker", "ModuleFunction")]),
+        ("bastion::any::spawn(feed_worker); riker::actor::spawn(PriceActor::new());", [("FeedWorker", "ModuleFunction"), ("PriceActor", "ModuleFunction")]),
+        ("tokio::spawn(async {}); std::thread::spawn(f); tokio::task::spawn_blocking(f); rayon::spawn(f); smol::spawn(f); executor::spawn(f); async_std::task::spawn(f);", []),
+        ("Handle::spawn(x); Actor::spawn(thing); Message::spawn(x); Handler::spawn(x); PriceActor::start(x); lower_actor::spawn(x);", []),
+    ],
+)
+def test_spawns(body, want):
+    r = rust.parse(SPAWN.format(body), "/ws/k/src/main.rs", "k")
+    assert [(x["child"], x["pattern"]) for x in r["spawns"]] == want and all(x["context"] == "main_function:main" for x in r["spawns"])
+    assert rust.parse(SPAWN.format(body), "/ws/k/src/feed_test.rs", "k")["spawns"] == rust.parse(SPAWN.format(body).replace("main", "setup_it"), "/ws/k/src/a.rs", "k")["spawns"] == []
+
+
+ACTORS = """
+pub struct A { b: ActorRef<B>, far_ref: Option<kameo::actor::ActorRef<Far<u8>>> }
+impl Actor for A { async fn on_start(&mut self, me: ActorRef<Self>) { let msg: Tick = make(); let next = Tock { at: 1 }; let c = C::spawn(C::new());
+  self.b.tell(Ping).await; b_actor.tell(Pong { x: 1 }).await; self.far.tell(msg).await; self.far_ref.ask(next).await; c.ask(Query::new(1)).await; ctx.tell(Own).await; my_ctx.clone().tell(Own2).await; who.tell(Lost).await; } }
+impl Actor for B {}
+impl Message<Ping> for B { type Reply = (); async fn handle(&mut self, p: Ping) {} }
+impl Actor for C {}
+"""
+
+
+def test_receivers():
+    """A field, a name, a declared variable, a spawned one, the actor's own context, and one that nothing tells."""
+    r = rust.parse(ACTORS, "/ws/k/src/lib.rs", "k")
+    got = {x["message_type"]: (x["sender"], x["receiver"], x["method"]) for x in r["sends"]}
+    assert got == {"Ping": ("A", "B", "Tell"), "Pong": ("A", "B", "Tell"), "Tick": ("A", "Far", "Tell"), "Tock": ("A", "Far", "Ask"), "Query": ("A", "C", "Ask"), "Own": ("A", "A", "Tell"), "Own2": ("A", "A", "Tell"), "Lost": ("A", "Unknown", "Tell")}
+
+
+def test_diagrams_of_sources(spark):
+    sources = spark.createDataFrame([("/ws/k/src/lib.rs", "k", ACTORS)], "path string, crate string, text string")
+    g, _ = ingest.build(sources, width=8)
+    e = Engine(g, width=8)
+    row = e.call("generate_actor_message_diagram").first()
+    assert row["n_lines"] == 5 and "    A -->|Ping tell:1 ask:0| B" in row["diagram"] and "    A -->|Own tell:1 ask:0| A" in row["diagram"]
+    d = e.call("get_actor_details", {"name": "A"}).first()
+    assert (d["methods"], d["fields"], d["implements"], d["sends_to"], d["receives_from"]) == ("on_start", "b,far_ref", "Actor", "k:A,k:B,k:C,k:Far,k:Unknown", "k:A")
+
+
+GENERATED = """
+pub struct Alma { a: u8 }
+impl Alma { pub fn new(a: u8) -> Self { Alma { a } } pub fn from_ohlcv() {} pub fn lonely() {} }
+impl Default for Alma { fn default() -> Self { Alma::new(1) } }
+impl fmt::Display for Alma { fn fmt(&self, f: &mut F) {} }
+impl WebSocketActor for Alma { fn connect(&self) {} fn event_stream(&self) {} fn odd(&self) {} }
+impl Life for Alma { fn started(&self) {} }
+macro_rules! all { ($i:ident) => { paste! { [<$i Input>]::from_ohlcv(1) } } }
+pub fn calculate() { paste! { [<$x>]::new(inner::deep(1)) } paste! { [<$x Input>]::from_ohlcv(2) } }
+pub fn deep() {} fn go() { x.start(); }
+"""
+
+
+def test_generated_calls_are_callers(spark):
+    """What macros, traits and frameworks call is not unreferenced; what nothing calls is."""
+    sources = spark.createDataFrame([("/ws/k/src/ind.rs", "k", GENERATED), ("/ws/other/src/lib.rs", "other", "pub struct Alma; impl Alma { pub fn new() {} pub fn fmt() {} }")], "path string, crate string, text string")
+    g, _ = ingest.build(sources, width=8)
+    e = Engine(g, width=8)
+    loose = {r["qualified_name"] for r in e.call("find_unreferenced_functions").collect()}
+    assert loose == {"k::ind::Alma::lonely", "k::ind::Alma::odd", "k::ind::calculate", "k::ind::deep", "k::ind::go", "other::Alma::new", "other::Alma::fmt"}
+    name = {r["id"]: r["qualified_name"] for r in g.functions.collect()}
+    made = {(name[r["src"]], name[r["dst"]]) for r in g.calls.filter("is_synthetic").collect()}
+    assert {("k::ind::calculate", "k::ind::Alma::new"), ("k::ind::calculate", "k::ind::Alma::from_ohlcv"), ("trait_caller::Default::default", "k::ind::Alma::default"), ("trait_caller::Display::fmt", "k::ind::Alma::fmt"), ("websocket_framework::websocket_dispatch", "k::ind::Alma::event_stream"), ("actix_framework::lifecycle_dispatch", "k::ind::Alma::started")} <= made
+    assert ("trait_caller::WebSocketActor::subscribe", "Alma::subscribe") in made  # a target that no source defines is made
+    plain, _ = ingest.build(sources, synthetic=False, width=8)
+    assert plain.calls.filter("is_synthetic").count() == 0 and "k::ind::Alma::default" in {r["qualified_name"] for r in Engine(plain).call("find_unreferenced_functions").collect()}
+    inside = {r["function_id"] for r in g.macros.filter("name = 'paste' and line = 9").collect()}
+    assert inside == {"k:k::ind::calculate:9"}
+
+
+def test_types_and_embeddings_are_loaded(spark, tree, tmp_path):
+    e = Engine(ingest.populate(spark, str(tree), str(tmp_path / "out"), width=16), width=16)
+    assert e.call("get_type_details", {"type_name": "Kind"}).first()["variants"] == ["A", "B", "C"]
+    hits = e.call("semantic_search", {"query": "crate: my_crate | type: Shape | kind: Trait | module: util", "limit": 2}).collect()
+    assert "Shape" in hits[0]["id"]
+
+
+def test_merged_definitions(spark):
+    rows = [("k::f", line, line == 14) for line in (10, 14, 16, 20)] + [("k::g", 1, False)]
+    got = {(r["qualified_name"], r["line_start"]): (r["merged"], r["is_trait_impl"]) for r in N.consolidated(spark.createDataFrame(rows, "qualified_name string, line_start long, is_trait_impl boolean")).collect()}
+    assert got == {("k::f", 10): (2, True), ("k::f", 16): (2, False), ("k::g", 1): (1, False)}
+
+
 LISTING = "path string, crate string, text string, mtime timestamp"
 
 
@@ -100,9 +197,25 @@ def test_store(spark, tmp_path):
     assert names() == {"one", "two"}
     s.refresh(spark.createDataFrame([("a.rs", "k", "fn one() {}", t), ("c.rs", "k", "fn three() {}", t)], LISTING))
     assert names() == {"one", "three"} and s.state().count() == 2
-    v = s.refresh(spark.createDataFrame([("a.rs", "k", "fn uno() {}", t)], LISTING), whole=False)
+    one = spark.createDataFrame([("a.rs", "k", "fn uno() {}", t)], LISTING)
+    v = s.refresh(one, whole=False, batch="feed#0")
     assert names() == {"uno", "three"}
-    assert s.refresh(spark.createDataFrame([], LISTING), whole=False, to=v) == v and names() == {"uno", "three"}
+    assert Store(spark, s.root).refresh(one, whole=False, batch="feed#0") == v  # after a restart
+    assert Store(spark, s.root).refresh(one, whole=False, batch="feed#1") == v + 1 and names() == {"uno", "three"}
+
+
+def test_a_refresh_writes_the_touched_buckets_only(spark, tmp_path):
+    from datetime import datetime
+
+    t = datetime(2024, 1, 1)
+    rows = [(f"{k}.rs", "k", f"fn f{k}() {{}}", t) for k in range(40)]
+    s = Store(spark, str(tmp_path / "store"), buckets=8)
+    s.refresh(spark.createDataFrame(rows, LISTING))
+    s.refresh(spark.createDataFrame([("3.rs", "k", "fn g() {}", t)], LISTING), whole=False)
+    assert len(list((tmp_path / "store" / "symbols" / "v1").glob("bucket=*"))) == 8 and len(list((tmp_path / "store" / "symbols" / "v2").glob("bucket=*"))) == 1
+    assert {r["name"] for r in rust.tables(s.symbols())["functions"].collect()} == {f"f{k}" for k in range(40) if k != 3} | {"g"}
+    s.refresh(spark.createDataFrame([], LISTING))
+    assert s.symbols().count() == 0 and s.state().count() == 0
 
 
 def test_stream_equals_batch(spark, tree, tmp_path):
@@ -121,7 +234,7 @@ def test_engine_over_a_store(spark, tree, tmp_path):
     g = ingest.populate(spark, str(tree), str(tmp_path / "out"))
     e = Engine(g, store=Store(spark, str(tmp_path / "store")))
     first = e.call("incremental_update", {"folder": str(tree)}).first()
-    assert first["files"] == 2 and first["symbols"] == g.functions.count()
+    assert first["files"] == 2 and first["symbols"] == g.functions.filter("not is_synthetic").count()
     (tree / "my_crate" / "src" / "util.rs").write_text("pub fn helper(a: i64) {}\n")
     report = {r["path"].rpartition("/")[2]: (r["before"], r["after"]) for r in e.call("incremental_file_analysis", {"folder": str(tree)}).collect()}
     assert report == {"util.rs": (3, 1)}
