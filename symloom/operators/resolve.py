@@ -276,9 +276,13 @@ PASTE_PATTERNS = (
 )
 
 
+def _tagged(values: Column, tag: object, tag_name: str, name: str) -> Column:
+    return F.transform(values, lambda x: F.struct(F.lit(tag).alias(tag_name), x.alias(name)))
+
+
 def paste_patterns(files: DataFrame) -> DataFrame:
     """(file, kind, pattern): what each of PASTE_PATTERNS finds in a file's text, over lines; ``kind`` counts them from 0."""
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("pattern"))) for k, p in enumerate(PASTE_PATTERNS)]
+    found = [_tagged(F.regexp_extract_all("text", F.lit(p), F.lit(0)), k, "kind", "pattern") for k, p in enumerate(PASTE_PATTERNS)]
     return files.select("file", F.explode(F.concat(*found)).alias("p")).select("file", "p.kind", "p.pattern").distinct()
 
 
@@ -292,7 +296,7 @@ def pattern_names(files: DataFrame) -> DataFrame:
     variants = F.filter(F.transform(F.flatten(F.transform(body, lambda b: F.split(b, "\n"))), lambda x: F.trim(F.split(x, ",")[0])), lambda x: x.rlike(r"^\p{Lu}"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.contains("for ") & x.contains(" in "))
     loops = F.filter(F.transform(lines, lambda x: F.regexp_replace(F.regexp_extract(x, r"^.*? in\s+(\S+)", 1), r"\.(into_)?iter\(\)", "")), lambda x: x.rlike(r"^\w+$"))
-    each = [F.transform(a, lambda x, s=s: F.struct(F.lit(s).alias("source"), x.alias("name"))) for s, a in (("macro", names), ("enum", variants), ("loop", loops))]
+    each = [_tagged(a, s, "source", "name") for s, a in (("macro", names), ("enum", variants), ("loop", loops))]
     return files.select("file", F.explode(F.concat(*each)).alias("n")).select("file", "n.source", "n.name").distinct()
 
 

@@ -573,7 +573,7 @@ def _(g: Graph, *_):
 
 
 @query("R17_consolidated", """, f2 AS (SELECT crate || '::' || (id % 7) AS q, CAST(row_number() OVER (PARTITION BY crate, id % 7 ORDER BY id) * 2 + id % 3 AS BIGINT) AS line, is_test FROM functions),
-s AS (SELECT q, unnest(list_reduce(list_transform(list_sort(list(line)), x -> [x]), (s, x) -> CASE WHEN x[1] - s[len(s)] > 5 THEN list_concat(s, x) ELSE s END)) AS start FROM f2 GROUP BY q)
+s AS (SELECT q, unnest(list_reduce(list_transform(list_sort(list(line)), lambda x: [x]), lambda s, x: CASE WHEN x[1] - s[len(s)] > 5 THEN list_concat(s, x) ELSE s END)) AS start FROM f2 GROUP BY q)
 SELECT s.q AS qualified_name, s.start AS line_start, CAST(count(*) AS INT) AS merged, bool_or(is_test) AS is_trait_impl FROM s JOIN f2 ON f2.q = s.q AND f2.line BETWEEN s.start AND s.start + 5 GROUP BY s.q, s.start""")
 def _(g: Graph, *_):
     w = Window.partitionBy("crate", F.col("id") % 7).orderBy("id")
@@ -629,9 +629,9 @@ def _(g: Graph, *_):
 
 
 @query("X13_embedding_vectors", """, t AS (SELECT id, 'crate: ' || crate || ' | function: ' || name || ' | module: ' || module AS s FROM functions), x AS (SELECT id, s, strlen(s) AS n, string_split(s, ' ') AS w FROM t),
-c AS (SELECT id, ord(s[i]) % 64 AS b, 1.0::DOUBLE / i AS v FROM x, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS i) UNION ALL SELECT id, list_sum(list_transform(range(1, length(w[i]) + 1), k -> ord(w[i][k]))) % 64, 0.5::DOUBLE / i FROM x, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+c AS (SELECT id, ord(s[i]) % 64 AS b, 1.0::DOUBLE / i AS v FROM x, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS i) UNION ALL SELECT id, list_sum(list_transform(range(1, length(w[i]) + 1), lambda k: ord(w[i][k]))) % 64, 0.5::DOUBLE / i FROM x, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
 g AS (SELECT id, b, sum(v) AS v FROM c GROUP BY ALL), v AS (SELECT x.id, k, coalesce(g.v, 0) + 0.1 * sin(n * (k + 1)) AS v FROM x CROSS JOIN (SELECT unnest(range(0, 64)) AS k) LEFT JOIN g ON g.id = x.id AND g.b = k)
-SELECT id, list_transform(list(v ORDER BY k), y -> round(y / sqrt(list_sum(list_transform(list(v), z -> z * z))), 6)) AS embedding FROM v GROUP BY id""")
+SELECT id, list_transform(list(v ORDER BY k), lambda y: round(y / sqrt(list_sum(list_transform(list(v), lambda z: z * z))), 6)) AS embedding FROM v GROUP BY id""")
 def _(g: Graph, *_):
     return V.embedded(V.function_rows(g.functions), width=64).select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
