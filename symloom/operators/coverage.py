@@ -82,14 +82,27 @@ def coverage_by_crate(functions: DataFrame, *, test_name: str = "test") -> DataF
     The test names' substrings are exploded, so containment is an equi-join on (crate, name): the work grows with the tests
     (and the squared length of their names), not with tests times functions.
     """
+    tested = tested_names(functions, test_name).withColumn("tested", F.lit(1))
+    plain = functions.filter(known_false("is_test")).join(tested, ["crate", "name"], "left")
+    out = plain.groupBy("crate").agg(F.count("*").alias("total"), F.count("tested").alias("tested"))
+    return out.select("crate", "total", "tested", F.floor(100 * F.col("tested") / F.col("total")).alias("percent"))
+
+
+def tested_names(functions: DataFrame, test_name: str = "test") -> DataFrame:
+    """(crate, name) of plain functions that a test of their crate names."""
     names = functions.filter(known_false("is_test")).select("crate", "name").distinct()
     tests = functions.filter("is_test").select("crate", F.concat(F.lit(f"{test_name}_"), "name").alias("test")).distinct()
     starts = tests.select("crate", "test", F.explode(F.sequence(F.lit(1), F.length("test"))).alias("at"))
     parts = starts.select("crate", F.explode(F.transform(F.sequence(F.lit(1), F.length("test") - F.col("at") + 1), lambda n: F.substr("test", F.col("at"), n))).alias("name"))
-    tested = names.join(parts, ["crate", "name"], "left_semi").withColumn("tested", F.lit(1))
-    plain = functions.filter(known_false("is_test")).join(tested, ["crate", "name"], "left")
-    out = plain.groupBy("crate").agg(F.count("*").alias("total"), F.count("tested").alias("tested"))
-    return out.select("crate", "total", "tested", F.floor(100 * F.col("tested") / F.col("total")).alias("percent"))
+    return names.join(parts, ["crate", "name"], "left_semi")
+
+
+def coverage_examples(functions: DataFrame, calls: DataFrame, *, untested: int = 15, tested: int = 10) -> DataFrame:
+    """The most referenced functions that no test names, and the most referenced that one does."""
+    known = tested_names(functions)
+    plain = functions.filter(known_false("is_test")).join(reference_counts(calls), "id")
+    top = lambda rows, k, kind: topk(rows.select("id", *REPORT, "reference_count"), [F.desc("reference_count")], ["id"], k).withColumn("kind", F.lit(kind))
+    return top(plain.join(known, ["crate", "name"], "left_anti"), untested, "priority_untested").unionByName(top(plain.join(known, ["crate", "name"], "left_semi"), tested, "well_tested"))
 
 
 def sample_per_crate(functions: DataFrame, *, per_crate: int) -> DataFrame:

@@ -71,9 +71,9 @@ def impact(functions: DataFrame, calls: DataFrame, qualified_name: str, *, depth
     return topk(batch_impact(functions, calls, target, depth=depth, edge=edge).drop("target"), [F.col("distance"), F.col("crate")], ["id"], limit)
 
 
-def batch_summary(functions: DataFrame, calls: DataFrame, targets: DataFrame, *, depth: int = 3) -> DataFrame:
+def batch_summary(functions: DataFrame, calls: DataFrame, targets: DataFrame, *, depth: int = 3, edge: tuple[str, ...] = ("order_key", "seq")) -> DataFrame:
     """For each target: affected functions and tests, counted once whatever their distances. Targets that do not exist are marked."""
-    hit = batch_impact(functions, calls, targets, depth=depth).groupBy("target").agg(
+    hit = batch_impact(functions, calls, targets, depth=depth, edge=edge).groupBy("target").agg(
         F.countDistinct("id").alias("affected"), F.countDistinct(F.when(F.col("is_test"), F.col("id"))).alias("tests"), F.max("distance").cast("int").alias("farthest")
     )
     known = functions.select(F.col("id").alias("target"), F.lit(True).alias("found"))

@@ -165,10 +165,13 @@ class Engine:
         store.refresh(listing)
         return statistics(rust.tables(store.symbols())["functions"], store.state())
 
-    def do_incremental_file_analysis(self, folder: str) -> DataFrame:
-        """Functions of each changed file, before and now; the store stays as it is."""
+    def do_incremental_file_analysis(self, folder: str, with_impact: bool = False, depth: int = 2) -> DataFrame:
+        """Functions of each changed file, before and now; the store stays as it is. ``with_impact``: what the changed files' functions affect instead."""
         store, listing = self._listing(folder)
         stale = outdated(store.state(), content_hash(listing))
+        if with_impact:
+            changed = self.written.join(stale.withColumnRenamed("path", "file"), "file", "left_semi").select(F.col("id").alias("target"))
+            return I.batch_summary(self.g.functions, self.g.calls, changed, depth=depth, edge=self.edge)
         now = listing.join(stale, "path", "left_semi")
         old = rust.tables(store.symbols())["functions"]
         return file_report(old.join(stale.withColumnRenamed("path", "file"), "file", "left_semi"), rust.tables(rust.scan(now))["functions"])
@@ -196,8 +199,9 @@ class Engine:
     def do_check_dependency_issues(self) -> DataFrame:
         return R.cycles(self.g.depends_on)
 
-    def do_analyze_test_coverage(self) -> DataFrame:
-        return C.coverage_by_crate(self.g.functions)
+    def do_analyze_test_coverage(self, examples: bool = False) -> DataFrame:
+        """By crate; ``examples``: the most referenced functions that no test names, and that one does."""
+        return C.coverage_examples(self.written, self.g.calls) if examples else C.coverage_by_crate(self.written)
 
     def do_analyze_actor_spawns(self, by: str = "parent") -> DataFrame:
         return A.spawn_groups(self.g.actors, self.g.spawns, by)

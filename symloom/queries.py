@@ -98,6 +98,15 @@ def _(g: Graph, *_):
     return C.coverage_by_crate(g.functions)
 
 
+@query("T6_coverage_examples", """, tested AS (
+  SELECT DISTINCT f.crate, f.name FROM functions f JOIN functions t ON t.crate = f.crate AND t.is_test AND contains('test_' || t.name, f.name) WHERE NOT f.is_test),
+r AS (SELECT f.id, f.crate, f.name, f.qualified_name, f.line_start, count(*) AS reference_count, (f.crate, f.name) IN (SELECT (crate, name) FROM tested) AS t FROM functions f JOIN calls c ON c.dst = f.id WHERE NOT f.is_test GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY reference_count DESC, id) AS k FROM r)
+SELECT id, crate, name, qualified_name, line_start, reference_count, CASE WHEN t THEN 'well_tested' ELSE 'priority_untested' END AS kind FROM k WHERE k <= CASE WHEN t THEN 10 ELSE 15 END""")
+def _(g: Graph, *_):
+    return C.coverage_examples(g.functions, g.calls)
+
+
 @query("A19_sample_per_crate", "SELECT crate, k, id, qualified_name FROM (SELECT *, CAST(row_number() OVER (PARTITION BY crate ORDER BY qualified_name, id) AS INT) AS k FROM functions) WHERE k <= 5")
 def _(g: Graph, *_):
     return C.sample_per_crate(g.functions, per_crate=5)
@@ -801,6 +810,87 @@ def _(g: Graph, *_):
     return built.calls.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
 
 
+ITEMS = """/// Doc {id}.
+/** More. */
+pub struct S{id} {{ a: u8, pub b: ActorRef<T{id}Actor> }}
+enum E{id} {{ A, B(u8), C {{ x: i32 }} }}
+pub(crate) trait Q{id} {{ fn area(&self) -> u8; }}
+impl Q{id} for S{id} {{ fn area(&self) -> u8 {{ vec![1, 2]; 1 }} }}
+impl Actor for S{id} {{ async fn on_start(&mut self) {{ T{id}Actor::spawn(T{id}Actor::new()); tokio::spawn(x); self.b.tell(PingMessage {{}}); ctx.ask(OwnAsk); }} }}
+impl Message<Ping{id}Ask> for S{id} {{ type Reply = u32; async fn handle(&mut self) {{}} }}
+#[distributed_actor] pub struct D{id} {{ x: u8 }}
+mod inner {{ pub unsafe fn deep<T>(n: &T) {{}} }}
+use a{id}::{{b as c, d}};
+type L{id} = u8;
+"""
+
+
+def items(g: Graph) -> DataFrame:
+    """(path, crate, text): one file for each function, with items of every kind."""
+    crate = F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))
+    text = F.lit(ITEMS.replace("{{", "{").replace("}}", "}").replace("{id}", "@"))
+    f = g.functions.select(F.concat(F.lit("/ws/"), crate, F.lit("/src/m"), F.col("id").cast("string"), F.lit(".rs")).alias("path"), crate.alias("crate"), F.replace(text, F.lit("@"), F.col("id").cast("string")).alias("text"))
+    return f
+
+
+def read_items(g: Graph, table: str) -> DataFrame:
+    return rust.tables(rust.scan(items(g)))[table]
+
+
+FILES = ", i AS (SELECT CAST(id AS VARCHAR) AS n, 'k' || id % 7 AS c, 'k' || id % 7 || '::m' || id AS q FROM functions)"
+
+
+@query("P3_contexts", FILES + """ SELECT i.q || t.a AS qualified_name, t.b AS context, t.c AS is_trait_impl, t.d AS is_method, t.e AS is_async, t.f AS is_unsafe, t.g AS is_generic, t.h AS return_type, t.l AS line_start, t.m AS module FROM i,
+ LATERAL (VALUES ('::Q' || n || '::area', 'TraitDeclaration', false, true, false, false, false, 'u8', 5, 'm' || n), ('::S' || n || '::area', 'TraitImpl', true, true, false, false, false, 'u8', 6, 'm' || n), ('::S' || n || '::on_start', 'TraitImpl', true, true, true, false, false, NULL, 7, 'm' || n),
+ ('::S' || n || '::handle', 'TraitImpl', true, true, true, false, false, NULL, 8, 'm' || n), ('::inner::deep', 'Free', false, false, false, true, true, NULL, 10, 'm' || n || '::inner')) t(a, b, c, d, e, f, g, h, l, m)""")
+def _(g: Graph, *_):
+    return read_items(g, "functions").select("qualified_name", "context", "is_trait_impl", "is_method", "is_async", "is_unsafe", "is_generic", "return_type", "line_start", "module")
+
+
+@query("P6_types", FILES + """ SELECT i.q || t.a AS qualified_name, t.b AS kind, t.c AS visibility, t.d AS doc, t.e AS fields, t.f AS variants, t.g AS methods FROM i, LATERAL (VALUES
+ ('::S' || n, 'Struct', 'pub', 'Doc ' || n || '. More.', 'a:u8|b:ActorRef<T' || n || 'Actor>', '', ''), ('::E' || n, 'Enum', 'private', NULL, '', 'A|B|C', ''), ('::Q' || n, 'Trait', 'pub(crate)', NULL, '', '', 'area'), ('::D' || n, 'Struct', 'pub', NULL, 'x:u8', '', ''), ('::L' || n, 'TypeAlias', 'private', NULL, '', '', ''), ('::S' || n || '::Reply', 'TypeAlias', 'private', NULL, '', '', '')) t(a, b, c, d, e, f, g)""")
+def _(g: Graph, *_):
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.replace(x, F.lit(" "), F.lit(""))), "|").alias(c)
+    return read_items(g, "types").select("qualified_name", "kind", "visibility", "doc", listed("fields"), listed("variants"), listed("methods"))
+
+
+@query("P11_macros", FILES + " SELECT q || '::S' || n || '::area' AS containing, 'vec' AS name, 'builtin' AS kind, CAST(6 AS BIGINT) AS line FROM i")
+def _(g: Graph, *_):
+    return read_items(g, "macros").select("containing", "name", "kind", "line")
+
+
+@query("P16_imports", FILES + " SELECT 'a' || n AS module_path, 'Grouped' AS import_type, 'b>c|d>' AS items FROM i")
+def _(g: Graph, *_):
+    shown = F.array_join(F.transform("items", lambda x: F.concat(x["name"], F.lit(">"), F.coalesce(x["alias"], F.lit("")))), "|")
+    return read_items(g, "imports").select("module_path", "import_type", shown.alias("items"))
+
+
+@query("P18_actors", FILES + " SELECT c || ':' || t.a AS id, t.b AS actor_type FROM i, LATERAL (VALUES ('S' || n, 'Local'), ('D' || n, 'Distributed')) t(a, b)")
+def _(g: Graph, *_):
+    return read_items(g, "actors").select("id", "actor_type")
+
+
+@query("P23_spawns", FILES + " SELECT 'S' || n AS parent, 'T' || n || 'Actor' AS child, 'DirectType' AS pattern, 'on_start:on_start' AS context FROM i")
+def _(g: Graph, *_):
+    return read_items(g, "spawns").select("parent", "child", "pattern", "context")
+
+
+@query("P27_handles", FILES + " SELECT 'S' || n AS actor, 'Ping' || n || 'Ask' AS message_type, 'u32' AS reply_type, true AS is_async FROM i")
+def _(g: Graph, *_):
+    return read_items(g, "handles").select("actor", "message_type", "reply_type", "is_async")
+
+
+@query("P30_sends", FILES + " SELECT 'S' || n AS sender, t.a AS receiver, t.b AS message_type, t.c AS method FROM i, LATERAL (VALUES ('T' || n || 'Actor', 'PingMessage', 'Tell'), ('S' || n, 'OwnAsk', 'Ask')) t(a, b, c)")
+def _(g: Graph, *_):
+    return read_items(g, "sends").select("sender", "receiver", "message_type", "method")
+
+
+@query("V1_type_rows", "SELECT id, 'type' AS kind, crate, 'crate: ' || crate || ' | type: ' || name || ' | kind: Struct | module: ' || module || CASE WHEN is_test THEN ' | docs: D' ELSE '' END || ' | fields: a, b' AS text FROM functions")
+def _(g: Graph, *_):
+    fields = F.array(F.lit("a: u8"), F.lit("b"))
+    return V.type_rows(g.functions.select("id", "crate", "name", "module", F.lit("Struct").alias("kind"), F.when(F.col("is_test"), "D").alias("doc"), fields.alias("fields"), F.array().cast("array<string>").alias("variants")))
+
+
 @query("S16_report", "SELECT (SELECT count(*) FROM crates) AS crates, (SELECT count(*) FROM functions) AS functions, (SELECT count(*) FROM actors) AS types, (SELECT count(*) FROM calls) AS calls")
 def _(g: Graph, *_):
     return workspace.report(g.functions, g.actors, g.calls, g.crates)

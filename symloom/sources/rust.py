@@ -39,9 +39,7 @@ MODULE_SPAWNS = (
 )
 MAKERS = ("new", "default", "create")
 LIKELY_VARIABLE = r"_(actor|supervisor|worker|handler|agent|service)$|actor_|supervisor_|manager_"
-SENDS = {"tell": "Tell", "ask": "Ask"}
-#: Methods of other actor libraries that send.
-MORE_SENDS = {"do_send": "Tell", "send": "Ask"}
+SENDS = {"tell": "Tell", "do_send": "Tell", "ask": "Ask", "send": "Ask"}
 CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 
@@ -529,7 +527,7 @@ class Reader:
 
     def messages(self, a: int, opened: int, parts: list[str], method: bool, line: int, scope: Scope) -> None:
         last, first = parts[-1], self.tok[opened + 1]
-        if method and (last in SENDS or last in MORE_SENDS):
+        if method and last in SENDS:
             message = None
             if first[0] == "id":
                 message = first[1] if first[1][:1].isupper() else self.message_of.get(first[1])
@@ -539,7 +537,7 @@ class Reader:
                     k -= 1
                 k -= 3 if self.text(k - 2) == "." else 1
             receiver = self.receiver(self.text(k), scope) if self.tok[k][0] == "id" else "Unknown"
-            self.add("sends", line, sender=scope.type_name or scope.function_name, receiver=receiver, message_type=message or "Unknown", method=SENDS.get(last) or MORE_SENDS[last])
+            self.add("sends", line, sender=scope.type_name or scope.function_name, receiver=receiver, message_type=message or "Unknown", method=SENDS[last])
         if not method and len(parts) > 1 and not set(NON_ACTOR_FRAMEWORKS) & set(parts[:-1]) and not scope.test and not in_test(self.path, scope.function_name):
             owner, pattern, child = parts[-2], None, None
             if owner == "Actor" and last == "spawn":

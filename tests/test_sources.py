@@ -84,6 +84,8 @@ def test_workspace(spark, tree):
     assert {r["name"]: r["is_external"] for r in crates.collect()} == {"my_crate": False, "serde": True, "other_crate": True, "tempdir": True}
     assert {(r["dst"], r["kind"]) for r in deps.collect()} == {("serde", "normal"), ("other_crate", "normal"), ("tempdir", "dev")}
     assert [r["pattern"] for r in c.layer_rows(spark).collect()] == ["my*"]
+    members = workspace.Config.loads("[analysis]\nworkspace_members_only = true\n")
+    assert members.members_only and [r["name"] for r in workspace.discover(found, members)[0].collect()] == ["my_crate"]
     row = spark.range(1).select(*[x.alias(n) for x, n in zip(workspace.package_id(__import__("pyspark").sql.functions.lit("path+file:///a/b#k@1.0")), ("p", "n", "v"), strict=True)]).first()
     assert tuple(row) == ("/a/b", "k", "1.0")
 
@@ -238,6 +240,8 @@ def test_engine_over_a_store(spark, tree, tmp_path):
     (tree / "my_crate" / "src" / "util.rs").write_text("pub fn helper(a: i64) {}\n")
     report = {r["path"].rpartition("/")[2]: (r["before"], r["after"]) for r in e.call("incremental_file_analysis", {"folder": str(tree)}).collect()}
     assert report == {"util.rs": (3, 1)}
+    hit = e.call("incremental_file_analysis", {"folder": str(tree), "with_impact": True}).collect()
+    assert len(hit) == 3 and max(r["affected"] for r in hit) >= 2
     out = io.StringIO()
     serve(e, ['{"id": 1, "method": "get_function_details", "params": {"function": "helper"}}', "no json", '{"id": 2, "method": "incremental_update"}'], out)
     answers = [json.loads(x) for x in out.getvalue().splitlines()]
