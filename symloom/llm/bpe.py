@@ -93,12 +93,22 @@ class Pieces(dict):
         return got
 
 
+def refuse(spec: dict, path: str) -> None:
+    """Raises where a file asks for steps that are not taken here; ids would silently differ."""
+    kinds = lambda part, many: [x["type"] for x in (part or {}).get(many, [part] if part else [])]
+    model = spec["model"]
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model["type"] != "BPE" or odd or kinds(spec["normalizer"], "normalizers") != ["NFC", "Replace", "Lowercase"] or kinds(spec["pre_tokenizer"], "pretokenizers") != ["Split", "ByteLevel"] or spec["decoder"]:
+        raise ValueError(f"{path}: not a file of byte-alphabet BPE over words of NFC, lower-cased text")
+
+
 class Bpe:
     """``limit`` bounds the cache of encoded pieces."""
 
     def __init__(self, path: str, limit: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse(spec, path)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = dict(model["vocab"])

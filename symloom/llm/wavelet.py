@@ -250,8 +250,8 @@ class Shard:
 class Encoder:
     """The tokenizers library over the stretches between blanks, each remembered.
 
-    No pre-token of the files read here crosses white space, joins letters or digits with marks, or depends on the case of ASCII
-    letters. So a stop or comma after a letter or digit may stand apart, a plain ASCII word is known by its lower-case
+    This holds for files whose pre-tokens cross no white space, join no letters or digits with marks, and do not depend on the case of ASCII
+    letters; a file is probed for that when it is loaded, and with any other the library gets whole texts. Where it holds, a stop or comma after a letter or digit may stand apart, a plain ASCII word is known by its lower-case
     form, and many plain words go to the library as one text, whose ids are parted where a token ends a word. Words that the file's
     normalizer leaves as they are go to a copy without it. Two generations are kept, of ``limit`` pieces each; a piece of the
     older one that is met again moves to the newer.
@@ -273,12 +273,20 @@ class Encoder:
         self.ends = np.zeros(max(self.of.get_vocab().values()) + 1, bool)
         for token, i in self.of.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
-        self.parted = bool(suffix)
+        self.parted = bool(suffix) and self.parts()
         self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.limit = limit
 
+    def parts(self) -> bool:
+        """Whether texts may be cut at blanks and marks, and ASCII words be lower-cased."""
+        of = lambda x: self.of.encode(x, add_special_tokens=False).ids
+        words = ("a", "the", "Alpha", "ZED", "Bravo", "don", "x", "7", "42", "naïve", "слово", "字")
+        marked = all(of(w + m) == of(w) + of(m) and of(m + w) == of(m) + of(w) for w in words for m in (".", ",") if w != "don")
+        blanks = all(of(f"{a}{gap}{b}") == of(a) + of(b) for a in words for b in words for gap in (" ", "\n", "  "))
+        return marked and blanks and all(of(w) == of(w.lower()) for w in words if w.isascii())
+
     def words(self, tokenizer, words: list[str]) -> list[str]:  # noqa: ANN001
         """Learns plain words; gives back those that the library does not take as one word each."""
         if not words:
@@ -299,7 +307,7 @@ class Encoder:
             got = old.get(piece)
             if got is not None:
                 known[piece] = got
-            elif not self.parted or not piece.isalpha():
+            elif not piece.isalpha():
                 odd.append(piece)
             elif piece.isascii():
                 low = piece.lower()
@@ -326,9 +334,11 @@ class Encoder:
             self.old, self.known = self.known, {}
         known = self.known
         texts = pc.fill_null(texts, "")
-        if self.parted:
-            apart = pc.replace_substring(pc.replace_substring(texts, ".", " ."), ",", " ,")
-            texts = pc.if_else(pc.match_substring_regex(texts, self.JOINED), texts, apart)
+        if not self.parted:
+            each = [np.asarray(x.ids, "<u4") for x in self.of.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.array([len(x) for x in each], np.int64)
+        apart = pc.replace_substring(pc.replace_substring(texts, ".", " ."), ",", " ,")
+        texts = pc.if_else(pc.match_substring_regex(texts, self.JOINED), texts, apart)
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()

@@ -111,6 +111,21 @@ def test_bpe_query_is_the_library(spark, sf, lib):
         assert got[doc] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_other_tokenizer_files(real):
+    """One whose words depend on blanks and case: refused by the merge queue, given whole texts by the token files."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with pytest.raises(ValueError):
+        bpe.Bpe(path)
+    other, library = wavelet.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    texts = [r["text"] for r in real.limit(50).collect()] + ["Word. word,Word  two\nthree", "", None]
+    ids, n = other.encode_all(pa.array(texts, pa.string()))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not other.parted and n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert wavelet.Encoder(queries.vocabulary()).parted
+
+
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a<|startoftext|>b.", "<|ENDOFTEXT|>", "don't DON'T ''s", "x" * 2000, "...,,.", "_. a_, (b).", "\x1c\x85\xa0 z"])
 def test_bpe_special(lib, own, fast, text):
     want = lib.encode(text, add_special_tokens=False).ids
