@@ -43,6 +43,10 @@ SENDS = {"tell": "Tell", "do_send": "Tell", "ask": "Ask", "send": "Ask"}
 CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 
+#: Raised whenever the reader gives other rows for the same file, so that kept scans are not taken for its own.
+READER = 2
+
+
 @dataclass(frozen=True)
 class Scope:
     names: tuple[str, ...] = ()
