@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import ann, bpe, chat, decontam, html, jaccard, langid, quality, secrets, wavelet
+from symloom.llm import ann, bpe, chat, decontam, exact, html, jaccard, langid, quality, secrets, spelling, wand, wavelet
 from symloom.llm.common import scratch, table
 
 
@@ -66,8 +66,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, out)
 
 
+def op11_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = scratch(spark, "wand")
+    wand.write(table(spark, sf_dir, "documents"), at)
+    return wand.search(wand.read(spark, at), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = [op1_ann, op2_secret_scan, op3_chat_format, op4_jaccard_join, op5_html, op6_language_id, op7_bpe, op8_quality, op9_decontamination, op10_token_files]
+    own = [op1_ann, op2_secret_scan, op3_chat_format, op4_jaccard_join, op5_html, op6_language_id, op7_bpe, op8_quality, op9_decontamination, op10_token_files, op11_wand, op12_exact_dedup, op13_spelling]
     return {f.__name__: f for f in own}
 
 
@@ -112,6 +126,46 @@ SELECT d.doc_id, (SELECT min(root) FROM reach r WHERE r.x = d.doc_id) AS class_i
 """
 
 
+OP11 = r"""
+WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT r, doc_id, terms, len(terms) AS n FROM lowered WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM docs),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+said AS (SELECT r, unnest(terms) AS term FROM docs),
+held AS (SELECT r, term, count(*) AS tf FROM said WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, corpus GROUP BY term, docs),
+scores AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * c.docs) // c.total))))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN docs USING (r), corpus c GROUP BY item_id, r),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scores JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+OP12 = r"""
+WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER best = 1 AS kept, text_sha256
+FROM rows_ WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST, r)
+"""
+
+#: The checksum runs byte by byte over a table of 256 values, which a recursion makes.
+OP13 = r"""
+WITH RECURSIVE bits(b, k, v) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+sums AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+said AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc, run, count(*) AS n, hex(encode(doc || ':' || run)) AS x FROM said WHERE length(run) >= 6 GROUP BY doc, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(1, len(x) // 2 + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) AS h FROM runs, sums),
+counted AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n) AS n FROM hashed GROUP BY 1),
+words AS (SELECT word, CAST(n AS BIGINT) AS n FROM counted WHERE length(word) >= 6 AND n >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM less a JOIN words w ON a.rest = w.word UNION SELECT w.word, a.word, a.n FROM less a JOIN words w ON a.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS near, max(m) AS m FROM pairs GROUP BY word),
+formed AS (SELECT w.word, CASE WHEN m >= 5 * w.n THEN near END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS at FROM formed UNION ALL SELECT p.word, f.form FROM path p JOIN formed f ON p.at = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT p.word, p.at AS root FROM path p JOIN formed f ON p.at = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The learned, sketched and tokenized queries have none; their tests hold them against brute force, round trips or held-out labels."""
-    return {"op2_secret_scan": OP2, "op3_chat_format": OP3, "op4_jaccard_join": OP4}
+    return {"op2_secret_scan": OP2, "op3_chat_format": OP3, "op4_jaccard_join": OP4, "op11_wand": OP11, "op12_exact_dedup": OP12, "op13_spelling": OP13}
