@@ -114,8 +114,8 @@ KEYS = "key long, id long, kind int, place int"
 _KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("place", pa.int32())])
 
 
-def keyed(words: DataFrame) -> DataFrame:
-    """The keys of (id, word)."""
+def keyed(words: DataFrame, bits: int = 64) -> DataFrame:
+    """The keys of (id, word), of ``bits`` bits: with fewer, more unlike texts meet and are told apart later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,6 +127,7 @@ def keyed(words: DataFrame) -> DataFrame:
                     n += len(said[high])
                     high += 1
                 key, word, kind, place = deletion_keys(said[low:high])
+                key = key >> (64 - bits)
                 for k in range(0, len(key), 1 << 16):
                     part = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[low:high][word[part]]), pa.array(kind[part]), pa.array(place[part])], schema=_KEYS)
@@ -157,9 +158,9 @@ def shared(keys: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("key").mapInArrow(run, KEYS)
 
 
-def neighbours(words: DataFrame) -> DataFrame:
+def neighbours(words: DataFrame, bits: int = 64) -> DataFrame:
     """id, n_near, best (struct of -n and word) of the words (id, word, n) that have a near word."""
-    met = shared(keyed(words)).drop("key").join(words, "id")
+    met = shared(keyed(words, bits)).drop("key").join(words, "id")
     text = F.when(F.col("kind") == ITSELF, F.col("word")).otherwise(F.concat(F.expr("substring(word, 1, place)"), F.expr("substring(word, place + 2)")))
     slot = F.when(F.col("kind") == AT_PLACE, F.col("place")).otherwise(-1)
     rows = met.select("id", "kind", F.struct((-F.col("n")).alias("less"), "word").alias("own"), text.alias("text"), slot.alias("slot"))
