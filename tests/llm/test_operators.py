@@ -9,6 +9,8 @@ import itertools
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -748,20 +750,98 @@ def test_leaks(spark, sf, real, odd, nothing):
     assert decontam.find(odd, benchmark).count() == 0 and decontam.find(nothing, benchmark).count() == 0 and decontam.find(odd, benchmark.filter("false")).count() == 0
 
 
+def plain_print(grams):
+    """The 128 signs of a multiset of (shingle hash, weight), bit by bit."""
+    total = [0] * 128
+    for g, w in grams:
+        for half, h in enumerate((g, int(common.mixed(np.array([(g + 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]))):
+            for k, byte in enumerate(h.to_bytes(8, "little")):
+                for bit in range(8):
+                    total[64 * half + 8 * k + bit] += w if byte >> (7 - bit) & 1 else -w
+    return [t > 0 for t in total]
+
+
+def plain_windows(text, item):
+    """{start: (similarity, distance)} of every item-sized window that reaches the threshold."""
+    known = common.WordHashes()
+    b, w = (re.findall(r"\w+", t.lower()) for t in (item, text))
+    k, out = min(5, len(b)), {}
+    hb, hw = (common.shingles(common.word_hashes(t, known), k).tolist() for t in (item, text))
+    cb = collections.Counter(zip(hb, (sum(map(len, b[j : j + k])) for j in range(len(hb))), strict=True))
+    size = min(len(b), len(w))
+    heavy = [sum(map(len, w[j : j + k])) for j in range(len(hw))]
+    for s in range(len(w) - size + 1):
+        held = collections.Counter(zip(hw[s : s + size - k + 1], heavy[s : s + size - k + 1], strict=True))
+        both, either = held & cb, held | cb
+        same = sum(n * x for (_, x), n in both.items()) / sum(n * x for (_, x), n in either.items())
+        if same >= 0.8:
+            out[s] = same, sum(x != y for x, y in zip(plain_print(held.elements()), plain_print(cb.elements()), strict=True))
+    return out
+
+
 def test_words_put_in_or_left_out(spark):
-    """One stretch is put into (or taken from) each passage; every window that reaches the threshold and whose fingerprint is near is found."""
+    """One stretch is put into (or taken from) each passage; every window that reaches the threshold and whose fingerprint is near is found, and no other."""
     rng = random.Random(12)
     words = [f"w{k}" * (1 + k % 3) for k in range(4000)]
-    items = [(i, rng.sample(words, rng.randrange(60, 120))) for i in range(24)]
+    items = [(i, rng.sample(words, rng.randrange(60, 120))) for i in range(80)]
     rows = []
     for i, t in items:
-        at, n = rng.randrange(10, len(t) - 10), rng.randrange(1, 1 + len(t) // 8)
+        at, n = rng.randrange(10, len(t) - 10), rng.randrange(1, 1 + len(t) // 9)
         put = t[:at] + rng.sample(words, n) + t[at:] if i % 2 else t[:at] + t[min(len(t), at + n) :]
         rows.append((i, " ".join(rng.sample(words, 30) + put + rng.sample(words, 30))))
     items = [(i, " ".join(t)) for i, t in items]
-    want = brute_leaks(rows, items)
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.find(docs(spark, *[(d, t, "en") for d, t in rows]), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert len(want) > 8 and got <= want and len(want - got) <= 1
+    found = [plain_windows(t, items[i][1]) for i, t in rows]
+    want = {(i, i) for i, x in enumerate(found) if any(d <= decontam.RADIUS for _, d in x.values())}
+    assert brute_leaks(rows, items) >= want and len(want) >= 30
+    got = decontam.find(docs(spark, *[(d, t, "en") for d, t in rows]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    for r in got:
+        same, distance = found[r["doc_id"]][r["start_word"]]
+        assert abs(r["similarity"] - same) < 1e-12 and r["hamming"] == distance
+        assert same == max(x for x, d in found[r["doc_id"]].values() if d <= decontam.RADIUS)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shared_weight_at_every_start(seed):
+    """Few words, so that shingles repeat in items and documents: the summed weight is the multisets' at each start that is named, and no other reaches it."""
+    rng = random.Random(seed)
+    words = ["a", "bb", "ccc"][: 2 + seed % 2]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice((1, 3, 4, 5, 7, 12, 40))))) for i in range(25)]
+    ix = decontam.index(items)
+    for _ in range(6):
+        text = " ".join(rng.choices(words, k=rng.choice((2, 5, 9, 60))))
+        w = text.split()
+        got, want = {}, {}
+        for k, held in ix.places.items():
+            g = common.shingles(common.word_hashes(text, common.WordHashes()), k)
+            for i, s, x in decontam.overlaps(g, held, ix, len(w), k, 0.8) if len(w) >= k else ():
+                got |= {(a, b): c for a, b, c in zip(i.tolist(), s.tolist(), x.tolist(), strict=True)}
+        for i, t in items:
+            b = t.split()
+            k, size = min(5, len(b)), min(len(b), len(w))
+            of = lambda x: collections.Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))  # noqa: B023, E731
+            weigh = lambda c: sum(n * sum(map(len, x)) for x, n in c.items())
+            for s in range(len(w) - size + 1) if size >= k else ():
+                x = weigh(of(b) & of(w[s : s + size]))
+                if x >= 0.8 * weigh(of(b)) - 1e-9:
+                    want[i, s] = x
+        assert got == want
+
+
+def test_very_long_texts_in_bounded_memory():
+    """A text that repeats one shingle of a long item, or whole items, takes memory for its words and no more (megabytes beside the text)."""
+    rng = random.Random(1)
+    item = " ".join(rng.choices([f"w{k}" for k in range(3000)], k=400))
+    many = decontam.index([(i, f"{' '.join(item.split()[i % 300 : i % 300 + 40])} {' '.join(item.split()[100:105])} {i}") for i in range(3000)])
+    shingle = " ".join(item.split()[100:105]) + " "
+    one = decontam.index([(0, item)])
+    for ix, text in ((one, shingle * 150_000), (one, (shingle + "x ") * 100_000), (many, shingle * 40_000)):
+        began = time.perf_counter()
+        tracemalloc.start()
+        assert not decontam.matches(text, ix, common.WordHashes(), 0.8)
+        assert tracemalloc.get_traced_memory()[1] < 60 * len(text) and time.perf_counter() - began < 30
+        tracemalloc.stop()
+    assert len(decontam.matches((item + " ") * 30, one, common.WordHashes(), 0.8)) == 30
 
 
 def test_slices_are_bounded_in_any_script(spark):
