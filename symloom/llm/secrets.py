@@ -27,25 +27,28 @@ from symloom.llm.common import cut, free
 
 @dataclass(frozen=True)
 class Rule:
-    """``group``'s length is held against ``least``; ``screen`` is a pattern that every kept match implies."""
+    """``group``'s length is held against ``least``; ``screen`` is a pattern that every kept match implies; what group ``lead`` holds stands
+    before the span. A pattern's work is in proportion to the text, whatever that repeats."""
 
     kind: str
     pattern: str
     group: int
     least: int
     screen: str
+    lead: int = 0
 
 
-# The base kinds in their order, then formats of issued credentials.
+# The base kinds in their order, then formats of issued credentials. A run of the characters of access or hex is matched from its first
+# place or not at all, so asking for the least length at once drops the same matches. In a run, only the first "eyJ" can begin a jwt.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{14}"),
-    Rule("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16}"),
+    Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18, r"AKIA[A-Z0-9]{14}"),
+    Rule("hex", r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16}"),
 )
 EXTRA = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, r"xox[abprs]-[A-Za-z0-9-]{15}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, r"eyJ[A-Za-z0-9_-]+\.eyJ"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])((?>[A-Za-z0-9_-]*?(?=eyJ)))(eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)", 2, 40, r"[A-Za-z0-9_-]\.eyJ", 1),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + EXTRA
@@ -56,28 +59,61 @@ def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+#: So many matches are folded at once, because a fold copies the array that it grows; the parts' offsets are folded apart.
+PART = 256
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, where the value is computed once, however often it is used, and also inside of lambdas."""
+    return F.transform(F.array(value), then)[0]
+
+
+def parts_of(items: Column, before: Callable[[Column, Column], Column]) -> Column:
+    """array<struct<at, own>>: ``items`` in parts of ``PART``, with what ``before(at, item)`` makes of all items of earlier parts, from 0. ``items`` is a
+    column or a lambda's variable, and not empty."""
+    starts = F.sequence(F.lit(1), F.size(items), F.lit(PART))
+
+    def zipped(parts: Column) -> Column:
+        ends = F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
+            lambda a, part: F.struct(F.aggregate(part, a["at"], before).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")),
+            lambda a: a["all"],
+        )
+        return F.arrays_zip(ends.alias("at"), parts.alias("own"))
+
+    return let(F.transform(starts, lambda c: F.slice(items, c, PART)), zipped)
+
+
 def spans_of(text: Column, rule: Rule, at: int) -> Column:
     """array<struct<start, stop, kind>> of one rule. Between two matches lies one piece of ``split``, so starts are sums of lengths."""
-    all_of = lambda g: F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g))
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    whole = F.transform(all_of(0), F.length)
-    held = whole if rule.group == 0 else F.transform(all_of(rule.group), F.length)
+    all_of = lambda g: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)), F.length)
     empty = F.expr("cast(array() as array<struct<start:int,stop:int,kind:int>>)")
-    step = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), held.alias("held")),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["whole"]).alias("at"),
-            F.when(
-                x["held"] >= rule.least,
-                F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["whole"]).alias("stop"), F.lit(at).alias("kind")))),
-            )
-            .otherwise(a["found"])
-            .alias("found"),
-        ),
-        lambda a: a["found"],
-    )
-    return F.when(text.rlike(rule.screen), step).otherwise(empty)
+    after = lambda a, x: a + x["gap"] + x["whole"]
+    names = ["whole", *(["held"] if rule.group else []), *(["lead"] if rule.lead else [])]
+    groups = [0, *([rule.group] if rule.group else []), *([rule.lead] if rule.lead else [])]
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    rows = F.arrays_zip(gaps.alias("gap"), *[all_of(g).alias(n) for g, n in zip(groups, names, strict=True)])
+
+    def step(part: Column) -> Column:
+        return F.aggregate(
+            part["own"],
+            F.struct(part["at"].alias("at"), empty.alias("found")),
+            lambda a, x: F.struct(
+                after(a["at"], x).alias("at"),
+                F.when(
+                    x["held" if rule.group else "whole"] >= rule.least,
+                    F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"] + (x["lead"] if rule.lead else 0)).alias("start"), after(a["at"], x).alias("stop"), F.lit(at).alias("kind")))),
+                )
+                .otherwise(a["found"])
+                .alias("found"),
+            ),
+            lambda a: a["found"],
+        )
+
+    # the piece after the last match has no match beside it
+    found = let(rows, lambda all_: let(F.slice(all_, 1, F.size(all_) - 1), lambda own: F.when(F.size(own) > 0, F.flatten(F.transform(parts_of(own, after), step)))))
+    return F.coalesce(F.when(text.rlike(rule.screen), found), empty)
 
 
 def scan_text(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -150,17 +186,29 @@ def digest(findings: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> D
 
 
 def redacted(text: Column, spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """``text`` with every stretch that spans cover replaced by ``[secret]``; overlapping spans give one mark."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(s["stop"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit("[secret]")).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))),
-    )
-    tail = F.substr(text, done["at"] + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], tail))
+    """``text`` with every stretch that spans cover replaced by ``[secret]``; overlapping spans give one mark. A part of the spans cuts its own
+    stretch of the text into pieces, because finding a place in a string takes as long as the string is up to there."""
+    last = lambda a, s: F.greatest(a, s["stop"])
+
+    def pieces(part: Column) -> Column:
+        begin = part["at"]
+
+        def cut_from(own: Column) -> Column:
+            piece = lambda a, s: F.concat(F.substr(own, a["at"] - begin + 1, s["start"] - a["at"]), F.lit("[secret]"))
+            return F.aggregate(
+                part["own"],
+                F.struct(begin.alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
+                lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["stop"].alias("at"), F.concat(a["out"], F.array(piece(a, s))).alias("out"))).otherwise(F.struct(last(a["at"], s).alias("at"), a["out"].alias("out"))),
+                lambda a: a["out"],
+            )
+
+        return let(F.substr(text, begin + 1, F.aggregate(part["own"], begin, last) - begin), cut_from)
+
+    def whole(own: Column) -> Column:
+        done = F.array_join(F.flatten(F.transform(parts_of(own, last), pieces)), "")
+        return F.concat(done, F.substr(text, F.aggregate(own, F.lit(0), last) + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, whole))
 
 
 def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", n_chars: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:

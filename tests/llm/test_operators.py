@@ -234,6 +234,59 @@ def test_secrets_brute_force(spark, odd, nothing, real):
     assert secrets.scan_versions(nothing, "doc_id", "text")[0].count() == 0
 
 
+#: The kinds as they are stated: pattern, group whose length counts, least length.
+STATED = {
+    "assign": (r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
+    "hex": (r"[0-9a-f]+", 0, 16),
+    "forge": (r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    "chat": (r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+}
+
+
+def stated_spans(text):
+    found = [(m.start(), k, m.end()) for k, (kind, (p, g, n)) in enumerate(STATED.items()) for m in re.finditer(p, text, re.I if kind == "assign" else 0) if len(m[g]) >= n]
+    return [(a, b, k) for a, k, b in sorted(found)]
+
+
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for a, b, _ in spans:
+        out += [text[at:a], "[secret]"] if a >= at else []
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_every_kind_and_redaction_by_brute_force(spark):
+    """Random pieces of all kinds, some cut short, and more spans than are folded at once."""
+    rng = random.Random(6)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    pieces = [lambda: rng.choice(("eyJ", ".", "-", "eyJa", "eyJx.eyJ", " ", "é😀", ".eyJb.", "AKIA", "ghp_", "xoxb-", "token: ", "api_key='", "-----BEGIN RSA PRIVATE KEY-----")), lambda: hexes(rng.randrange(1, 40)), lambda: "".join(rng.choices("AZ09", k=rng.randrange(20))), lambda: "x" * rng.randrange(30)]
+    texts = ["".join(rng.choice(pieces)() for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    texts += [" ".join(hexes(16) for _ in range(n)) for n in (1, 255, 256, 257, 513, 1200)] + [("eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + ".ab ") * 400, "a" * 100_000, ""]
+    want = {k: stated_spans(t) for k, t in enumerate(texts)}
+    assert len({k for x in want.values() for _, _, k in x}) == len(STATED)
+    df = docs(spark, *[(k, t, "en") for k, t in enumerate(texts)])
+    got = df.withColumn("found", secrets.scan_text(F.col("text"))).withColumn("clean", secrets.redacted(F.col("text"), F.col("found"))).collect()
+    for r in got:
+        assert [tuple(x) for x in r["found"]] == want[r["doc_id"]]
+        assert r["clean"] == plain_redaction(texts[r["doc_id"]], want[r["doc_id"]])
+
+
+@pytest.mark.parametrize(
+    "unit", ["eyJ", "eyJa.eyJb.c ", "0123456789abcdef ", "abcdef012345678 ", "password" + " " * 5000, "token: abcdefghijkl ", "AKIA", "ghp_", "xoxb-", "-----BEGIN A", ": ", "eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + ".ab "], ids=lambda u: u[:12]
+)
+def test_long_texts_in_linear_time(spark, unit):
+    text = unit * (1_000_000 // len(unit))
+    df = docs(spark, (1, text, "en"), clash=False)
+    began = time.perf_counter()
+    row = df.select(secrets.scan_text(F.col("text")).alias("found"), F.col("text")).select(F.size("found"), F.length(secrets.redacted(F.col("text"), F.col("found")))).first()
+    assert time.perf_counter() - began < 30  # four-fold texts took sixteen-fold time, hours at this length
+    assert row[0] == len(want := stated_spans(text) if unit != "eyJ" else []) and row[1] == len(plain_redaction(text, want))
+
+
 def test_ledger_scans_only_the_unseen(spark):
     one = docs(spark, (1, "token = abcdefabcdefabcdef", "en"), (2, "plain", "en"))
     _, ledger = secrets.scan_versions(one, "doc_id", "text")
