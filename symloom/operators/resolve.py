@@ -25,15 +25,24 @@ def import_table(imports: DataFrame) -> DataFrame:
 ORDER = ("crate", "file", "line_start", "id")
 
 
-def symbol_table(functions: DataFrame) -> DataFrame:
-    """(key, id, qualified_name, crate): qualified names, bare names, and names below ``crate::``. The last definition of a key wins."""
-    f = functions.select("id", "name", "qualified_name", "crate", "file", "line_start")
+def symbol_keys() -> Column:
+    """The keys that a definition has: its qualified name, its bare name, and its name below ``crate::``."""
     own = F.when(F.col("qualified_name").startswith(F.concat("crate", F.lit("::"))), F.concat(F.lit("crate"), F.substring("qualified_name", F.length("crate") + 1, F.lit(1 << 20))))
-    keys = f.withColumn("key", F.explode(F.array_compact(F.array("qualified_name", "name", F.concat_ws("@", own, "crate")))))
+    return F.array_compact(F.array("qualified_name", "name", F.concat_ws("@", own, "crate")))
+
+
+def winners(keys: DataFrame) -> DataFrame:
+    """(key, id, qualified_name, crate) of definitions by key: the last one wins."""
     last = F.max_by(F.struct("id", "qualified_name", "crate"), F.struct(*ORDER))
     return keys.groupBy("key").agg(last.alias("s")).select("key", "s.*")
 
 
+def symbol_table(functions: DataFrame) -> DataFrame:
+    """(key, id, qualified_name, crate): qualified names, bare names, and names below ``crate::``. The last definition of a key wins."""
+    f = functions.select("id", "name", "qualified_name", "crate", "file", "line_start")
+    return winners(f.withColumn("key", F.explode(symbol_keys())))
+
+
 def suffixes(functions: DataFrame, most: int = 3) -> DataFrame:
     """(suffix, id): the last parts of each qualified name, so that a suffix match is an equi-join."""
     parts = F.split("qualified_name", "::")
@@ -57,13 +66,21 @@ def resolve(raw: DataFrame, functions: DataFrame, imports: DataFrame | None = No
 
     The cascade is one join: each call's candidate keys are exploded with their rank, joined to the symbol table, and the best rank wins.
     """
-    if imports is not None:
-        table = imports.groupBy("file", F.col("local_name").alias("callee_name")).agg(F.max("target").alias("target"))
-        raw = raw.join(table, ["file", "callee_name"], "left")
-    else:
-        raw = raw.withColumn("target", F.lit(None).cast("string"))
+    return resolved_by(with_targets(raw, imports), symbol_table(functions))
+
+
+def with_targets(raw: DataFrame, imports: DataFrame | None) -> DataFrame:
+    """Raw calls with ``target``, what the called name was imported as in its file."""
+    if imports is None:
+        return raw.withColumn("target", F.lit(None).cast("string"))
+    table = imports.groupBy("file", F.col("local_name").alias("callee_name")).agg(F.max("target").alias("target"))
+    return raw.join(table, ["file", "callee_name"], "left")
+
+
+def resolved_by(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``resolve`` for calls with targets, over the rows of a symbol table that their keys name."""
     tried = raw.select("call_id", F.posexplode(candidates()).alias("rank", "key")).filter("key is not null")
-    found = tried.join(symbol_table(functions).withColumnRenamed("crate", "to_crate"), "key")
+    found = tried.join(symbols.withColumnRenamed("crate", "to_crate"), "key")
     best = found.groupBy("call_id").agg(F.min_by(F.struct("id", "qualified_name", "to_crate"), "rank").alias("s"))
     out = raw.drop("target").join(best.select("call_id", F.col("s.id").alias("callee_id"), F.col("s.qualified_name").alias("qualified_callee"), F.col("s.to_crate").alias("to_crate")), "call_id", "left")
     return out.withColumn("cross_crate", F.coalesce(F.col("to_crate") != F.col("crate"), F.lit(False)))
@@ -71,12 +88,17 @@ def resolve(raw: DataFrame, functions: DataFrame, imports: DataFrame | None = No
 
 def call_edges(resolved: DataFrame, functions: DataFrame) -> DataFrame:
     """Edges of resolved calls by (caller, callee, line); unresolved ones match by (name, crate), to every such function."""
+    return call_ends(resolved, functions).dropDuplicates(["src", "dst", "line"])
+
+
+def call_ends(resolved: DataFrame, functions: DataFrame, *more: str) -> DataFrame:
+    """The edges of each call, with further columns of the calls."""
     by_name = functions.select(F.col("qualified_name").alias("caller"), F.col("id").alias("src"))
     rows = resolved.join(by_name, "caller")
-    sure = rows.filter("callee_id is not null").select("src", F.col("callee_id").alias("dst"), "line")
+    sure = rows.filter("callee_id is not null").select("src", F.col("callee_id").alias("dst"), "line", *more)
     loose = functions.select(F.col("name").alias("callee_name"), "crate", F.col("id").alias("dst"))
-    rest = rows.filter("callee_id is null").join(loose, ["callee_name", "crate"]).select("src", "dst", "line")
-    return sure.unionByName(rest).dropDuplicates(["src", "dst", "line"])
+    rest = rows.filter("callee_id is null").join(loose, ["callee_name", "crate"]).select("src", "dst", "line", *more)
+    return sure.unionByName(rest)
 
 
 def synthetic_edges(calls: DataFrame, functions: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:

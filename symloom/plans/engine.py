@@ -23,7 +23,9 @@ from symloom.operators import resolve as N
 from symloom.operators import search as V
 from symloom.operators import stats as S
 from symloom.operators.predicates import in_file, named
+from symloom.plans import ingest
 from symloom.sources import rust
+from symloom.sources.tables import scratch
 from symloom.streaming.incremental import Store, content_hash, file_report, outdated, statistics
 
 UNKNOWN_METHOD, BAD_PARAMETERS, FAILED = -32601, -32602, -32603
@@ -39,13 +41,18 @@ class Engine:
     """``edge``: the columns that name a call edge. ``types`` and ``embeddings`` (id, embedding, crate) are optional tables."""
 
     def __init__(self, graph: Graph, *, types: DataFrame | None = None, embeddings: DataFrame | None = None, width: int = 384, edge: tuple[str, ...] = ("src", "dst", "line"), store: Store | None = None):
-        self.g, self.width, self.edge, self.store = graph, width, edge, store
+        self.width, self.edge, self.store = width, edge, store
+        self.use(graph, types, embeddings)
+        self.spark = graph.functions.sparkSession
+        self.methods: dict[str, Callable[..., DataFrame]] = {n.removeprefix("do_"): getattr(self, n) for n in dir(self) if n.startswith("do_")}
+
+    def use(self, graph: Graph, types: DataFrame | None = None, embeddings: DataFrame | None = None) -> None:
+        """Answer from ``graph`` from now on."""
+        self.g = graph
         self.types = types if types is not None else graph.types
         self.embeddings = embeddings if embeddings is not None else graph.embeddings
         #: Functions of sources; those that were made up as callers or targets are called by nothing.
         self.written = graph.functions.filter(~F.coalesce("is_synthetic", F.lit(False))) if "is_synthetic" in graph.functions.columns else graph.functions
-        self.spark = graph.functions.sparkSession
-        self.methods: dict[str, Callable[..., DataFrame]] = {n.removeprefix("do_"): getattr(self, n) for n in dir(self) if n.startswith("do_")}
 
     def call(self, method: str, params: dict | None = None) -> DataFrame:
         f = self.methods.get(method)
@@ -160,9 +167,17 @@ class Engine:
         return self.store, rust.files(self.spark, folder).withColumn("mtime", F.current_timestamp())
 
     def do_incremental_update(self, folder: str) -> DataFrame:
-        """Bring the store up to the files below a folder; counts of what it holds then."""
+        """Bring the store up to the files below a folder; counts of what it holds then. From a store with links, the graph that the other methods
+        read is brought up too, over the edges that the store keeps."""
         store, listing = self._listing(folder)
-        store.refresh(listing)
+        version = store.refresh(listing)
+        if store.links is not None:
+            # the dependencies of manifests stay; without any, those of the calls are taken
+            kept = self.g.depends_on if "kind" in self.g.depends_on.columns else store.links.depends_on(version).select("src", "dst")
+            graph, _ = ingest.link(rust.tables(store.symbols()), self.g.crates, kept, scope=store.links.scope, sources=listing, real=store.links.calls(version), width=self.width)
+            at = scratch(self.spark, "graph")
+            graph.write(at)
+            self.use(Graph.read(self.spark, at))
         return statistics(rust.tables(store.symbols())["functions"], store.state())
 
     def do_incremental_file_analysis(self, folder: str, with_impact: bool = False, depth: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import text as T
-from symloom.model import Graph
+from symloom.model import SCHEMAS, Graph
 from symloom.operators import actors as A
 from symloom.operators import architecture as R
 from symloom.operators import coverage as C
@@ -21,6 +21,7 @@ from symloom.plans import ingest
 from symloom.sources import rust, star, workspace
 from symloom.sources.tables import scratch
 from symloom.streaming import incremental as W
+from symloom.streaming.links import Links
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -957,6 +958,25 @@ def _(g: Graph, *_):
     return W.affected_calls(raw_calls(g), names.filter("id % 9 = 0"), names.filter("id % 9 = 4")).select("call_id")
 
 
+@query("I5_maintained_edges", RAW + "SELECT DISTINCT CAST(f.id AS VARCHAR) AS src, CAST(r.callee_id AS VARCHAR) AS dst, r.line FROM resolved r JOIN functions f ON f.qualified_name = r.caller WHERE callee_id IS NOT NULL")
+def _(g: Graph, spark: SparkSession, _d):
+    """The projection reached by an edit: at first a module's functions have other names and a crate is missing."""
+    text = lambda df, *c: df.withColumns({x: F.col(x).cast("string") for x in c})
+    functions = text(g.functions, "id").withColumn("is_trait_impl", F.lit(False))
+    calls = raw_calls(g).withColumns({"call_type": F.col("call_id").cast("string"), "is_synthetic": F.lit(False)})
+    imports = spark.createDataFrame([], SCHEMAS["imports"])
+    missing, renamed = F.col("file").contains("/Brand#7/"), F.col("file").endswith("/small.rs")
+    other = lambda df, c: df.withColumn(c, F.when(renamed, F.concat(c, F.lit("_old"))).otherwise(F.col(c)))
+    tables = lambda f, c: {"functions": f, "raw_calls": c, "imports": imports}
+    first = tables(other(other(functions, "qualified_name"), "name").filter(~missing), other(calls, "caller").filter(~missing))
+    changed = lambda df: df.filter(missing | renamed)
+    links = Links(spark, scratch(spark, "links"), buckets=8)
+    files = functions.select(F.col("file").alias("path")).distinct()
+    links.apply(0, 1, files, tables(functions.filter("false"), calls.filter("false")), first)
+    links.apply(1, 2, files.filter(F.col("path").contains("/Brand#7/") | F.col("path").endswith("/small.rs")), tables(changed(first["functions"]), changed(first["raw_calls"])), tables(changed(functions), changed(calls)))
+    return links.calls(2)
+
+
 # -- more of resolution
 
 IMPLS = ", i AS (SELECT crate, file, line_start AS line, 'T' || id AS type_name, CASE id % 4 WHEN 0 THEN 'Clone' WHEN 1 THEN 'Display' WHEN 2 THEN 'Own' END AS trait_name FROM functions)"

@@ -6,8 +6,10 @@ on the path), and writes only the buckets that changed or removed files lie in:
 ones. The state, the manifest and at last a small pointer row are written beside the old ones, so a refresh that fails leaves the old version whole. A
 pointer row holds the name of the batch it came from, so a batch that runs again, even after a restart, writes nothing.
 
+A store with ``links`` also keeps the call edges and crate dependencies of its symbols (see ``links``), in the same versions.
+
 The streaming form feeds new and modified files to the same refresh by ``foreachBatch``; file sources do not emit removals, so a
-removal shows in the next listing.
+removal shows in the next listing, or in ``feed``.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.operators.resolve import first_of
-from symloom.sources.rust import scan
+from symloom.sources.rust import scan, tables
+from symloom.streaming.links import Links
 
 STATE = "path string, hash string, mtime timestamp"
 
@@ -89,8 +92,9 @@ class Store:
     SYMBOLS = "path string, table string, row string"
     MANIFEST = "bucket int, version long"
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, links: bool = False, scope: str = "workspace"):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.links = Links(spark, f"{self.root}/links", buckets, scope) if links else None
 
     def _load(self, path: str, schema: str) -> DataFrame | None:
         try:
@@ -148,6 +152,10 @@ class Store:
         held = {r["bucket"] for r in written.select("bucket").distinct().collect()} if written is not None else set()
         manifest = {b: v for b, v in self.manifest().items() if b not in touched} | dict.fromkeys(held, new)
         self.spark.createDataFrame(sorted(manifest.items()), self.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v{new}")
+        if self.links is not None:
+            before = self.symbols(touched).join(diff, "path", "left_semi")  # of the version that is still current
+            after = written.drop("bucket").join(diff, "path", "left_semi") if written is not None else before.filter("false")
+            self.links.apply(now, new, diff.select("path"), tables(before), tables(after))
         state.join(diff, "path", "left_anti").unionByName(fresh.select("path", "hash", "mtime")).write.mode("overwrite").parquet(f"{self.root}/state/v{new}")
         self.spark.createDataFrame([(new, batch)], "version long, batch string").coalesce(1).write.mode("append").parquet(f"{self.root}/current")
         return new
