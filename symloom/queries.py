@@ -19,7 +19,8 @@ from symloom.operators import stats as S
 from symloom.operators.predicates import in_file, named, topk
 from symloom.plans import ingest
 from symloom.sources import rust, star, workspace
-from symloom.sources.tables import scratch
+from symloom.sources.tables import discard, scratch
+from symloom.streaming import feed as Y
 from symloom.streaming import incremental as W
 from symloom.streaming.links import Links
 
@@ -943,6 +944,47 @@ def _(_g: Graph, spark: SparkSession, d: str):
     return spark.read.parquet(f"{at}/state")
 
 
+def passed(rows: DataFrame, at: str) -> DataFrame:
+    """A stream's rows, run to its end; each batch is a folder of its own, so that one that runs again overwrites it."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
+
+    rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/out").select(rows.columns)
+
+
+@query("I2_stream_once", f"WITH {STATE_SQL} SELECT path, 'Created' AS change, hash FROM s UNION ALL SELECT l.path, CASE WHEN s.path IS NULL THEN 'Created' ELSE 'Modified' END, l.hash FROM l LEFT JOIN s ON l.path = s.path WHERE s.hash IS DISTINCT FROM l.hash", star_sql=False)
+def _(_g: Graph, spark: SparkSession, d: str):
+    """Two versions of all files, the older fed twice: what goes through the stream's state."""
+    at, own = scratch(spark, "stream"), Y.stateful(spark)
+    old, new = versions(spark, d)
+    files = lambda df, day: df.select("path", F.lit("").alias("crate"), F.lit("Created").alias("change"), "text", F.lit(f"2024-01-0{day}").cast("timestamp").alias("mtime"))
+    for rows in (files(old, 1), files(old, 2), files(new, 3)):
+        rows.write.mode("append").parquet(f"{at}/in")
+    feed = own.readStream.schema(Y.CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    return passed(Y.once(feed).select("path", "change", "hash"), at)
+
+
+@query("I1_feed_changes", """, b AS (SELECT id // 50 AS bin, string_agg(id || chr(10), '' ORDER BY id) AS one, string_agg(id || '!' || chr(10), '' ORDER BY id) AS two FROM functions GROUP BY ALL)
+SELECT 1 AS step, 'Created' AS change, bin, sha256(one) AS hash FROM b WHERE bin % 5 <> 1 UNION ALL SELECT 2, 'Deleted', bin, NULL FROM b WHERE bin % 5 IN (2, 3)
+UNION ALL SELECT 2, 'Created', bin, sha256(CASE bin % 5 WHEN 3 THEN two ELSE one END) FROM b WHERE bin % 5 IN (1, 3)""")
+def _(g: Graph, spark: SparkSession, _d):
+    """A tree of files of 50 functions each; then some go, some are written anew under other names and some come."""
+    at = scratch(spark, "feed")
+    lines = lambda f, mark: f.select(F.concat(F.col("id").cast("string"), F.lit(mark)).alias("value"), F.expr("id div 50").alias("bin"), "id")
+    put = lambda rows: rows.repartition("bin").sortWithinPartitions("bin", "id").select("value", "bin").write.mode("append").partitionBy("bin").text(f"{at}/tree")
+    kind = F.expr("(id div 50) % 5")
+    run = lambda: passed(Y.changes(spark, f"{at}/tree", f"{at}/snapshots", ".txt"), f"{at}/feed")
+    put(lines(g.functions.filter(kind != 1), ""))
+    run()
+    for b in g.functions.filter(kind.isin(2, 3)).select(F.expr("id div 50").alias("bin")).distinct().toLocalIterator():
+        discard(spark, f"{at}/tree/bin={b['bin']}")
+    put(lines(g.functions.filter(kind == 1), "").union(lines(g.functions.filter(kind == 3), "!")))
+    run()
+    rows = spark.read.schema(f"{Y.CHANGES}, batch int").parquet(f"{at}/feed/out")
+    return rows.select((F.col("batch") + 1).alias("step"), "change", F.regexp_extract("path", r"bin=(\d+)", 1).cast("long").alias("bin"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+
+
 @query("I9_refresh", ", r AS (SELECT 'crate_' || substr(crate, 7) AS c, lower(module) AS m, id FROM functions) SELECT c AS crate, count(*) AS n FROM r WHERE m <> 'small' GROUP BY c")
 def _(g: Graph, spark: SparkSession, _d):
     store = W.Store(spark, scratch(spark, "store"))

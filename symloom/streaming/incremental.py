@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from symloom.operators.resolve import first_of
 from symloom.sources.rust import scan, tables
+from symloom.sources.tables import discard, scratch
+from symloom.streaming.feed import PASSED, once, stateful
+from symloom.streaming.feed import changes as tree_changes
 from symloom.streaming.links import Links
 
 STATE = "path string, hash string, mtime timestamp"
@@ -130,9 +133,9 @@ class Store:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
 
-    def refresh(self, listing: DataFrame, *, whole: bool = True, batch: str | None = None) -> int:
-        """Bring the store up to a listing (path, crate, text, mtime); ``whole``: files that are not listed are gone; ``batch`` names a listing that is
-        taken once. Returns the version."""
+    def refresh(self, listing: DataFrame, *, whole: bool = True, removed: DataFrame | None = None, batch: str | None = None) -> int:
+        """Bring the store up to a listing (path, crate, text, mtime); ``whole``: files that are not listed are gone; ``removed`` (path): these are gone
+        where they are not listed; ``batch`` names a listing that is taken once. Returns the version."""
         now = self.version()
         if batch is not None and (done := self.version(batch)):
             return done
@@ -141,7 +144,8 @@ class Store:
         state = self.state()
         diff = changes(state, listed)
         if not whole:
-            diff = diff.filter("change <> 'Deleted'")
+            kept = diff.filter("change <> 'Deleted'")
+            diff = kept if removed is None else kept.unionByName(diff.filter("change = 'Deleted'").join(removed.select("path").distinct(), "path", "left_semi"))
         touched = sorted(r["b"] for r in diff.select(self._bucket().alias("b")).distinct().collect())  # at most one for each bucket
         fresh = listed.join(diff.filter("change <> 'Deleted'"), "path", "left_semi")
         rows = scan(fresh.select("path", "crate", "text")).withColumn("path", F.coalesce(F.get_json_object("row", "$.file"), F.lit("")))
@@ -173,3 +177,19 @@ class Store:
                 on_batch(v)
 
         return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def feed(self, folder: str, checkpoint: str, on_batch: Callable[[int], None] | None = None, suffix: str = ".rs"):  # noqa: ANN201
+        """A stream of the changes below a folder, removals too: each micro-batch is one refresh that lists only what changed. A file that is rewritten
+        with the same content is dropped by the stream's state. Paths are as the feed lists them, so a store is kept by this or by ``watch``, not by both."""
+        rows = once(tree_changes(stateful(self.spark), folder, f"{checkpoint}/snapshots", suffix))
+
+        def each(batch: DataFrame, batch_id: int) -> None:
+            at = scratch(self.spark, "feed")
+            batch.write.parquet(at)  # a refresh reads it several times, the state is to be asked once
+            got = self.spark.read.schema(PASSED).parquet(at)
+            v = self.refresh(got.filter("change <> 'Deleted'").select("path", "crate", "text", "mtime"), whole=False, removed=got.filter("change = 'Deleted'"), batch=f"{checkpoint}#{batch_id}")
+            discard(self.spark, at)
+            if on_batch:
+                on_batch(v)
+
+        return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
