@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.text import health_score, health_status
 from symloom.operators.predicates import not_public, topk
-from symloom.sources.tables import shared_dir
+from symloom.operators.strong import strong_components
 
 VIOLATION = ("kind", "source", "target", "from_layer", "to_layer", "from_crate", "to_crate", "severity")
 
@@ -59,34 +59,15 @@ def private_access(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return rows.select(*_violation("private_api_access", "Warning", "a_qualified_name", "b_qualified_name", ("a_crate", "b_crate"), (none, none)))
 
 
-def reachable(edges: DataFrame, *, rounds: int = 64) -> DataFrame:
-    """(src, dst) of all walks of one edge or more, by squaring: each round doubles the length that is covered.
-
-    Each round's pairs are cut by a reliable checkpoint in the shared folder. Meant for crate graphs, whose closure is small beside the call graph.
-    """
-    shared_dir(edges.sparkSession)
-    now = edges.select("src", "dst").distinct().checkpoint(eager=True)
-    n = now.count()
-    for _ in range(rounds):
-        step = now.alias("x").join(now.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
-        now = now.union(step).distinct().checkpoint(eager=True)
-        if (more := now.count()) == n:
-            break
-        n = more
-    return now
-
-
 def cycles(depends_on: DataFrame, *, only_longer: bool = False) -> DataFrame:
     """(crate1, crate2): the first reaches the second by a walk of two edges or more, and the second reaches the first.
 
-    ``only_longer`` leaves out pairs whose crates only form two-cycles. Walks may repeat an edge where trails may not; the two differ only on pairs that
+    These are the pairs within a strongly connected component, and that is how they are found; the pairs are as many as the component's size
+    squared, so a caller that needs the rings alone takes ``strong_components``. ``only_longer`` leaves out pairs whose crates only form two-cycles. Walks may repeat an edge where trails may not; the two differ only on pairs that
     need an edge twice.
     """
-    closure = reachable(depends_on)
-    first = depends_on.select("src", "dst").distinct()
-    two = first.alias("x").join(closure.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("crate1"), F.col("y.dst").alias("crate2")).distinct()
-    back = closure.select(F.col("src").alias("crate2"), F.col("dst").alias("crate1"))
-    rows = two.join(back, ["crate1", "crate2"]).distinct()
+    part = strong_components(depends_on)
+    rows = part.select("component", F.col("node").alias("crate1")).join(part.select("component", F.col("node").alias("crate2")), "component").select("crate1", "crate2")
     if not only_longer:
         return rows
     mutual = mutual_references(depends_on)

@@ -222,24 +222,59 @@ def checked_pattern(pattern: str, banned: Iterable[str] = ("(?R)", "(?0)", "\\1\
     return pattern
 
 
+#: Line numbers lie below two to this power.
+LEVELS = 40
+
+
+def line_bins(functions: DataFrame) -> DataFrame:
+    """(file, level, bin, best): the functions' line ranges dealt to dyadic bins, of a bin the shortest function over it (struct of span and id).
+
+    A range is the union of at most two bins of each level, all of whose lines it covers, so only the shortest range of a bin matters to a point."""
+    low, high, k = F.col("line_start").cast("long"), F.col("line_end").cast("long") + 1, F.col("level")
+    levels = F.sequence(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.greatest(high - low, F.lit(1)) + 1)).cast("int") + 1))
+    f = functions.filter("line_start <= line_end").select("file", F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("id").alias("function_id")).alias("own"), low.alias("low"), high.alias("high"), F.explode(levels).alias("level"))
+    first, last = F.expr("shiftright(low + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(high, level)")
+    ends = F.array(F.when(first % 2 != 0, first), F.when(last % 2 != 0, last - 1))
+    rows = f.filter(first < last).select("file", k, F.explode(F.array_compact(F.array_distinct(ends))).alias("bin"), "own")
+    return rows.groupBy("file", "level", "bin").agg(F.min("own").alias("best"))
+
+
 def containing(points: DataFrame, functions: DataFrame) -> DataFrame:
-    """Each point (file, line) with the innermost function around it: an equi-join on the file, then the line band, then the shortest span."""
-    f = functions.select("file", F.col("id").alias("function_id"), "line_start", "line_end")
-    hit = points.join(f, "file").filter("line between line_start and line_end")
-    pick = F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("span"), "function_id"))
-    return hit.groupBy("file", "line").agg(pick["function_id"].alias("function_id"))
+    """Each point (file, line) with the innermost function around it: a point asks the one bin of each level that covers it, so it meets as many rows
+    as there are levels, however many functions the file has."""
+    bins = line_bins(functions)
+    top = bins.agg(F.max("level")).scalar()  # a subquery of the plan
+    asked = points.select("file", F.col("line"), F.explode(F.sequence(F.lit(0), top)).alias("level")).withColumn("bin", F.expr("shiftright(cast(line as bigint), level)"))
+    hit = asked.join(bins, ["file", "level", "bin"])
+    return hit.groupBy("file", "line").agg(F.min("best")["function_id"].alias("function_id"))
 
 
 def consolidated(functions: DataFrame, near: int = 5) -> DataFrame:
     """(qualified_name, line_start, merged, is_trait_impl): a definition and those of its name that begin at most ``near`` lines after it are one; it is a
-    trait's if one of them is. A later one begins anew, so a chain of small gaps does not grow without end."""
-    rows = functions.groupBy("qualified_name").agg(F.array_sort(F.collect_list(F.struct("line_start", "is_trait_impl"))).alias("all"))  # the definitions of one name
-    lines = F.transform("all", lambda r: r["line_start"].cast("long"))
-    empty = F.array().cast("array<bigint>")
-    starts = F.aggregate(lines, empty, lambda s, x: F.when((F.size(s) == 0) | (x - F.element_at(s, -1) > near), F.array_append(s, x)).otherwise(s))
-    each = rows.select("qualified_name", "all", F.explode(starts).alias("line_start"))
-    held = F.filter("all", lambda r: r["line_start"].between(F.col("line_start"), F.col("line_start") + near))
-    return each.select("qualified_name", "line_start", F.size(held).alias("merged"), F.exists(held, lambda r: F.coalesce(r["is_trait_impl"], F.lit(False))).alias("is_trait_impl"))
+    trait's if one of them is. A later one begins anew, so a chain of small gaps does not grow without end.
+
+    A gap of more than ``near`` lines always begins anew, so each name's sorted lines are cut there first; only the lines of one dense stretch are folded
+    together, and a definition finds its stretch's rows by the line where it begins."""
+    of = Window.partitionBy("qualified_name").orderBy("line_start")
+    lines = functions.select("qualified_name", F.col("line_start").cast("long").alias("line"), F.coalesce("is_trait_impl", F.lit(False)).alias("of_trait"))
+    lines = lines.groupBy("qualified_name", "line").agg(F.count("*").alias("n"), F.bool_or("of_trait").alias("of_trait"))
+    new = F.col("line_start") - F.lag("line_start").over(of) > near
+    dense = lines.withColumnRenamed("line", "line_start").withColumn("stretch", F.sum(F.coalesce(new.cast("int"), F.lit(0))).over(of))
+    rows = dense.groupBy("qualified_name", "stretch").agg(F.array_sort(F.collect_list(F.struct("line_start", "n", "of_trait"))).alias("all"))
+    empty = F.expr("cast(array() as array<struct<line_start:bigint,n:bigint,of_trait:boolean>>)")
+    none = F.struct(empty.alias("done"), F.lit(None).cast("struct<line_start:bigint,n:bigint,of_trait:boolean>").alias("now"))
+
+    def fold(a: Column, x: Column) -> Column:
+        now = a["now"]
+        more = F.struct(now["line_start"].alias("line_start"), (now["n"] + x["n"]).alias("n"), (now["of_trait"] | x["of_trait"]).alias("of_trait"))
+        return (
+            F.when(now.isNull(), F.struct(a["done"].alias("done"), x.alias("now")))
+            .when(x["line_start"] - now["line_start"] <= near, F.struct(a["done"].alias("done"), more.alias("now")))
+            .otherwise(F.struct(F.array_append(a["done"], now).alias("done"), x.alias("now")))
+        )
+
+    each = rows.select("qualified_name", F.explode(F.aggregate("all", none, fold, lambda a: F.array_append(a["done"], a["now"]))).alias("d"))
+    return each.select("qualified_name", F.col("d.line_start").alias("line_start"), F.col("d.n").cast("int").alias("merged"), F.col("d.of_trait").alias("is_trait_impl"))
 
 
 def free(rows: DataFrame, name: str) -> str:
