@@ -37,6 +37,7 @@ SCHEMAS = {
     "message_types": "name string, kind string, crate string, file string, line long",
     "handles": "actor string, message_type string, reply_type string, crate string, file string, line long, is_async boolean",
     "sends": "sender string, receiver string, message_type string, method string, crate string, file string, line long",
+    "errors": "file string, crate string, message string",
     "crates": "name string, version string, path string, layer int, is_workspace_member boolean, is_external boolean",
     "depends_on": "src string, dst string, kind string",
 }

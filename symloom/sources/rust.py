@@ -20,10 +20,11 @@ from symloom.functions.text import ACTOR_ENDS, ACTOR_PARTS, ACTOR_TRAITS, MACRO_
 from symloom.model import SCHEMAS
 
 LEX = re.compile(
-    r"""(?P<doc>///[^\n]*|/\*\*(?!/).*?\*/)|(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<str>b?r(?P<h>\#*)".*?"(?P=h)|b?"(?:\\.|[^"\\])*"|b?'(?:\\.[^']*|[^'\\\n])')|(?P<life>'[A-Za-z_]\w*)"""
+    r"""(?P<doc>///[^\n]*)|(?P<skip>\s+|//[^\n]*)|(?P<block>/\*)|(?P<str>b?r(?P<h>\#*)".*?"(?P=h)|b?"(?:\\.|[^"\\])*"|b?'(?:\\.[^']*|[^'\\\n])')|(?P<life>'[A-Za-z_]\w*)"""
     r"""|(?P<id>(?:r\#)?[^\W\d]\w*)|(?P<num>\d[\w]*(?:\.\d\w*)?)|(?P<op>::|->|=>|\.\.=?|.)""",
     re.S | re.X,
 )
+COMMENT = re.compile(r"/\*|\*/")
 # Words that are no callee.
 NO_CALL = frozenset("if while match for return loop in let else move as fn impl where unsafe async await dyn ref mut box yield break continue struct enum use mod pub crate static const type trait".split())
 # Methods that spawn an actor of the type before them, and module functions (module, module, function; None: any) that spawn their argument.
@@ -44,7 +45,28 @@ CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 
 #: Raised whenever the reader gives other rows for the same file, so that kept scans are not taken for its own.
-READER = 2
+READER = 3
+
+
+def lexed(source: str) -> Iterator[tuple[str, str]]:
+    """(kind, text) of the whole source; block comments nest, and one that is not closed goes on to the end."""
+    at = 0
+    while at < len(source):
+        m = LEX.match(source, at)
+        kind, at = next(k for k in ("skip", "id", "op", "block", "num", "str", "doc", "life") if m[k] is not None), m.end()
+        if kind == "block":
+            begin, depth = m.start(), 1
+            while depth:
+                mark = COMMENT.search(source, at)
+                if mark is None:
+                    at = len(source)
+                    break
+                depth += 1 if mark[0] == "/*" else -1
+                at = mark.end()
+            text = source[begin:at]
+            yield ("doc" if re.match(r"/\*\*(?![/*])", text) else "skip"), text
+        else:
+            yield kind, m[0]
 
 
 @dataclass(frozen=True)
@@ -97,11 +119,10 @@ class Reader:
         self.rows: dict[str, list[dict]] = {k: [] for k in ("functions", "types", "modules", "imports", "impls", "raw_calls", "macros", "actors", "spawns", "message_types", "handles", "sends")}
         self.tok: list[tuple[str, str, int]] = []
         line = 1
-        for m in LEX.finditer(source):
-            if m.lastgroup != "skip" and not (m["skip"]):
-                kind = next(k for k in ("doc", "str", "life", "id", "num", "op") if m[k] is not None)
-                self.tok.append((kind, m[0], line))
-            line += m[0].count("\n")
+        for kind, text in lexed(source):
+            if kind != "skip":
+                self.tok.append((kind, text, line))
+            line += text.count("\n")
         self.tok += [("end", "", line)] * 2
         self.n = len(self.tok) - 2
         self.actor_of, self.message_of = self.variables()
@@ -575,8 +596,12 @@ class Reader:
 
 
 def parse(source: str, path: str, crate: str) -> dict[str, list[dict]]:
+    """The symbols of one file; of a file that cannot be read to its end, those up to there and a row of ``errors``."""
     r = Reader(source, path, crate)
-    r.items(0, r.n, Scope(modules=module_prefix(path)))
+    try:
+        r.items(0, r.n, Scope(modules=module_prefix(path)))
+    except (RecursionError, IndexError, KeyError, ValueError) as e:
+        r.rows["errors"] = [{"file": path, "crate": crate, "message": f"{type(e).__name__}: {e}"[:500]}]
     return r.rows
 
 
@@ -604,5 +629,5 @@ def scan(sources: DataFrame) -> DataFrame:
 
 def tables(scanned: DataFrame) -> dict[str, DataFrame]:
     """The typed tables of a scan. Write the scan first (or cache it) when several are used: each reads it anew."""
-    names = ("functions", "types", "modules", "imports", "impls", "raw_calls", "macros", "actors", "spawns", "message_types", "handles", "sends")
+    names = ("functions", "types", "modules", "imports", "impls", "raw_calls", "macros", "actors", "spawns", "message_types", "handles", "sends", "errors")
     return {n: scanned.filter(F.col("table") == n).select(F.from_json("row", SCHEMAS[n]).alias("r")).select("r.*") for n in names}

@@ -180,6 +180,23 @@ def test_types_and_embeddings_are_loaded(spark, tree, tmp_path):
     assert "Shape" in hits[0]["id"]
 
 
+def test_comments_nest():
+    got = rust.parse("/* x /* y */ hidden(); */ fn f() { /** inner /* a */ b() */ seen(); } /* open /* */ fn g() {}", "a.rs", "k")
+    assert [r["name"] for r in got["functions"]] == ["f"] and [r["callee_name"] for r in got["raw_calls"]] == ["seen"]
+    assert rust.parse("/** Doc /* in */ it. */ pub struct S;", "a.rs", "k")["types"][0]["doc"].startswith("Doc")
+
+
+def test_a_bad_file_does_not_stop_the_others(spark):
+    """Files of every broken kind beside a good one: its symbols come, and the file that could not be read to its end has a row."""
+    deep = "fn first() {} " + "mod m { " * 1500 + "fn low() {}" + " }" * 1500
+    bad = [("deep.rs", deep), ("open.rs", "fn a( {"), ("quote.rs", 'fn b() { "'), ("comment.rs", "fn c() {} /* "), ("none.rs", None), ("odd.rs", "\x00\uffff }}}} fn d() {} )))")]
+    df = spark.createDataFrame([("good.rs", "k", "fn good() { first(); }"), *[(p, "k", t) for p, t in bad]], "path string, crate string, text string")
+    got = rust.tables(rust.scan(df))
+    names = {(r["file"], r["name"]) for r in got["functions"].collect()}
+    assert {("good.rs", "good"), ("deep.rs", "first"), ("comment.rs", "c")} <= names
+    assert [r["file"] for r in got["errors"].collect()] == ["deep.rs"]
+
+
 def test_merged_definitions(spark):
     rows = [("k::f", line, line == 14) for line in (10, 14, 16, 20)] + [("k::g", 1, False)]
     got = {(r["qualified_name"], r["line_start"]): (r["merged"], r["is_trait_impl"]) for r in N.consolidated(spark.createDataFrame(rows, "qualified_name string, line_start long, is_trait_impl boolean")).collect()}
