@@ -2,64 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from symloom.functions.text import diff_files, diff_functions
 from symloom.operators.predicates import in_file, topk
 from symloom.sources.tables import scratch
 
 
-Family = list[frozenset[int]]
-#: A task holds the families of so many (target, at) at once.
-HELD = 50_000
-
-
-def needed(family: Family, path: frozenset[int], more: int) -> bool:
-    """Whether ``more`` edges to come can meet every path of the family and none of ``path``: one edge after another is banned, of a path not met yet."""
-    if not family:
-        return True
-    if not more:
-        return False
-    return any(needed([p for p in family if e not in p], path, more - 1) for e in family[0] - path)
-
-
-def add(family: Family, path: frozenset[int], more: int) -> None:
-    """A path goes into the family if some edges to come leave it as the only one. Every path that is kept has such edges of its own, so by a theorem on pairs of sets a family
-    of paths of l edges has at most (l + more choose more) members, in whatever order paths come; families of parts of the paths add up to
-    one of all."""
-    if path not in family and needed(family, path, more):
-        family.append(path)
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` from a table in the shared folder, written now: several steps read it."""
+    at = scratch(df.sparkSession, kind)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def representative(paths: DataFrame, more: int) -> DataFrame:
-    """Some paths of each (target, at) that stand for all of them: whatever ``more`` edges are to come, if one path holds none of them, so does one that
-    is kept. Families are made in each task before the shuffle and merged after it, so a hub sends one family from each task."""
-    schema = paths.select("target", "at", "path").schema
+def representative(paths: DataFrame, length: int, more: int) -> DataFrame:
+    """Some paths (of ``length`` edges) of each (target, at) that stand for all of them: whatever ``more`` edges are to come, if one path holds none of
+    them, so does one that is kept.
 
-    def rows(held: dict[tuple, Family]) -> pa.RecordBatch:
-        out = [(t, a, sorted(p)) for (t, a), family in held.items() for p in family]
-        return pa.RecordBatch.from_pydict(dict(zip(("target", "at", "path"), map(list, zip(*out, strict=True)), strict=True)), schema=arrow)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Family] = {}
-        for batch in batches:
-            for t, a, p in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                add(held.setdefault((t, a), []), frozenset(p), more)
-            if len(held) > HELD:
-                yield rows(held)
-                held = {}
-        if held:
-            yield rows(held)
-
-    arrow = to_arrow_schema(schema)
-    apart = paths.select("target", "at", "path").mapInArrow(run, schema)
-    # rows of one (target, at) follow one another, so a task holds a bounded number of families here too
-    return apart.repartition("target", "at").sortWithinPartitions("target", "at").mapInArrow(run, schema)
+    The least of all paths is kept; for each of its edges, the least path without it; for each edge of that, the least path without both;
+    and so on, ``more`` times. If a path holds none of the edges to come, then so does one found on the way, because each step bans one
+    of them. Sets of banned edges are rows, each set once in whatever order it came about, so at most length ^ more paths are kept, however many there are; the least
+    path of a set is an aggregate with a partial one before the shuffle, so a hub sends one path a set from each task.
+    """
+    key = ["target", "at"]
+    kept = got = paths.groupBy(*key).agg(F.min("path").alias("path")).withColumn("banned", F.slice("path", 1, 0))
+    for step in range(1, more + 1):
+        bans = got.select(*key, "banned", F.explode("path").alias("_edge")).select(*key, F.array_sort(F.array_append("banned", F.col("_edge"))).alias("banned")).distinct()
+        got = paths.join(bans, key).filter(~F.arrays_overlap("path", "banned")).groupBy(*key, "banned").agg(F.min("path").alias("path"))
+        if more > 2 and step < more:
+            got = written(got, "bans")
+        kept = kept.unionByName(got)
+    return kept.select(*key, "path").distinct()
 
 
 def expand(calls: DataFrame, targets: DataFrame, depth: int, edge: tuple[str, ...] = ("order_key", "seq")) -> DataFrame:
@@ -67,24 +42,23 @@ def expand(calls: DataFrame, targets: DataFrame, depth: int, edge: tuple[str, ..
 
     ``targets`` has one column ``target``. Each level is one equi-join on the callee; parallel edges between two functions are
     edges of their own, so a path carries the hashes of its edges (64 bits, compared within a path alone). Of the paths to a function only some that stand for all go on, so a hub's callers do not
-    multiply from level to level; the last level needs no path and is made distinct before the union. From the third level on, what goes on is
-    written to the shared folder, so a deep expansion is planned and computed level by level.
+    multiply from level to level; the last level needs no path. The paths of every other level are written to the shared folder, so an expansion is planned and
+    computed level by level, each level once.
     """
     edges = calls.select(F.xxhash64("src", "dst", *edge).alias("edge"), "src", "dst")
     front = targets.distinct().select("target", F.col("target").alias("at"), F.array().cast("array<bigint>").alias("path"))
     out = None
     for level in range(1, depth + 1):
         step = front.join(edges, front["at"] == edges["dst"]).filter(~F.array_contains("path", F.col("edge")))
-        found = step.select("target", F.col("src").alias("id")).distinct().withColumn("distance", F.lit(level))
-        out = found if out is None else out.unionByName(found)
         if level < depth:
             # paths that differ in order alone hold the same edges
-            longer = step.select("target", F.col("src").alias("at"), F.array_sort(F.array_append("path", F.col("edge"))).alias("path")).distinct()
-            front = representative(longer, depth - level)
-            if level >= 3:
-                at = scratch(calls.sparkSession, "frontier")
-                front.write.parquet(at)
-                front = calls.sparkSession.read.parquet(at)
+            longer = written(step.select("target", F.col("src").alias("at"), F.array_sort(F.array_append("path", F.col("edge"))).alias("path")).distinct(), "paths")
+            found = longer.select("target", F.col("at").alias("id"))
+            front = representative(longer, level, depth - level)
+        else:
+            found = step.select("target", F.col("src").alias("id"))
+        found = found.distinct().withColumn("distance", F.lit(level))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
