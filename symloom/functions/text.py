@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,17 +142,34 @@ def type_complexity(fields: Column, variants: Column, methods: Column, generic:
     return n(fields) + n(variants) + n(methods) + 2 * generic.cast("int")
 
 
-def embedding_text(crate: Column, name: Column, module: Column, doc: Column | None = None, kind: str = "function") -> Column:
-    part = lambda label, c: F.concat(F.lit(f"{label}: "), c)
-    parts = [part("crate", crate), part(kind, name), part("module", module)]
-    return F.concat_ws(" | ", *parts, *([part("doc", doc)] if doc is not None else []))
+# The parts of a function's embedded text where a configuration names none, and all parts of a type's.
+FUNCTION_FIELDS = ("function_name", "module_path", "crate_name", "doc_comments", "parameter_types", "return_type")
+TYPE_FIELDS = ("module_path", "doc_comments", "fields", "variants")
+
+
+def _labelled(label: str, c: Column) -> Column:
+    """``label: text``; null where the text is unknown or empty, so that the part is skipped."""
+    return F.concat(F.lit(f"{label}: "), F.nullif(c, F.lit("")))
+
+
+def embedding_text(crate: Column, name: Column, module: Column, doc: Column | None = None, types: Column | None = None, returns: Column | None = None, fields: Iterable[str] = FUNCTION_FIELDS) -> Column:
+    """The text that is embedded for a function: its crate, then the configured parts in the configured order. ``types`` are the parameters' types, a list.
+    Unknown and empty parts are skipped, and names of fields that functions do not have."""
+    parts = {
+        "function_name": ("function", name),
+        "module_path": ("module", module),
+        "doc_comments": ("docs", doc),
+        "parameter_types": ("params", None if types is None else F.array_join(types, ", ")),
+        "return_type": ("returns", returns),
+    }
+    return F.concat_ws(" | ", F.concat(F.lit("crate: "), crate), *[_labelled(*parts[f]) for f in fields if f in parts and parts[f][1] is not None])
 
 
-def type_text(crate: Column, name: Column, kind: Column, module: Column, doc: Column, fields: Column, variants: Column) -> Column:
-    """The text that is embedded for a type; unknown and empty parts are skipped."""
-    part = lambda label, c: F.concat(F.lit(f"{label}: "), F.nullif(c, F.lit("")))
+def type_text(crate: Column, name: Column, kind: Column, module: Column, doc: Column, members: Column, variants: Column, fields: Iterable[str] = TYPE_FIELDS) -> Column:
+    """The text that is embedded for a type: its crate, name and kind, then the configured parts in the configured order; unknown and empty parts are skipped."""
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.trim(F.split(x, ":")[0])), ", ")
-    return F.concat_ws(" | ", part("crate", crate), part("type", name), part("kind", kind), part("module", module), part("docs", doc), part("fields", listed(fields)), part("variants", listed(variants)))
+    parts = {"module_path": ("module", module), "doc_comments": ("docs", doc), "fields": ("fields", listed(members)), "variants": ("variants", listed(variants))}
+    return F.concat_ws(" | ", *[_labelled(*p) for p in (("crate", crate), ("type", name), ("kind", kind))], *[_labelled(*parts[f]) for f in fields if f in parts])
 
 
 def _lines(spark: SparkSession, diff: str) -> DataFrame:

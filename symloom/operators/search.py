@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.functions.text import embedding_text, type_text
+from symloom.functions.text import FUNCTION_FIELDS, TYPE_FIELDS, embedding_text, type_text
 from symloom.operators.predicates import topk
 
 #: Vector widths by model; any other model is refused.
@@ -51,14 +52,17 @@ def embedded(rows: DataFrame, text: str = "text", *, model: str = "local", width
     return rows.withColumn("embedding", run(text))
 
 
-def function_rows(functions: DataFrame) -> DataFrame:
-    """id, kind, crate, and the text that is embedded; unknown parts are skipped."""
-    return functions.select("id", F.lit("function").alias("kind"), "crate", embedding_text(F.col("crate"), F.col("name"), F.col("module")).alias("text"))
+def function_rows(functions: DataFrame, fields: Iterable[str] = FUNCTION_FIELDS) -> DataFrame:
+    """id, kind, crate, and the text that is embedded, of the configured ``fields``; columns that the table does not have are unknown parts."""
+    has = lambda c: F.col(c) if c in functions.columns else None
+    types = F.transform("parameters", lambda p: p["type"]) if "parameters" in functions.columns else None
+    text = embedding_text(F.col("crate"), F.col("name"), F.col("module"), has("doc"), types, has("return_type"), fields)
+    return functions.select("id", F.lit("function").alias("kind"), "crate", text.alias("text"))
 
 
-def type_rows(types: DataFrame) -> DataFrame:
+def type_rows(types: DataFrame, fields: Iterable[str] = TYPE_FIELDS) -> DataFrame:
     """id, kind, crate, and the text that is embedded, of types."""
-    text = type_text(*map(F.col, ("crate", "name", "kind", "module", "doc", "fields", "variants")))
+    text = type_text(*map(F.col, ("crate", "name", "kind", "module", "doc", "fields", "variants")), fields)
     return types.select("id", F.lit("type").alias("kind"), "crate", text.alias("text"))
 
 

@@ -929,6 +929,35 @@ def _(g: Graph, *_):
     return workspace.discover(found, workspace.Config(), ["Brand#7"])[0].select("name", "depth")
 
 
+@query("S4_workspaces", """, p AS (SELECT id, line_start % 50 AS n, id // 50 AS bin, id % 5 AS k, module FROM functions), q AS (
+  SELECT p.*, '/ws/b' || bin || CASE k WHEN 2 THEN '/skip/' WHEN 1 THEN '/other/' WHEN 4 THEN '/other/' ELSE '/m/' END || 'p' || id AS path FROM p)
+SELECT 'p' || q.id AS name, q.path, CASE k WHEN 0 THEN '2.' || bin WHEN 2 THEN NULL WHEN 4 THEN '0' ELSE '1.' || n END AS version, CASE WHEN k = 2 THEN q.path ELSE '/ws/b' || bin END AS root,
+  k IN (0, 2, 3) OR k = 1 AND EXISTS (SELECT 1 FROM functions f WHERE f.id = q.id - 1 AND f.id % 10 = 0) OR k = 4 AND EXISTS (SELECT 1 FROM functions f JOIN functions g ON g.id = f.id - 1 WHERE f.id = q.id - 3 AND g.id % 10 = 0) AS is_member,
+  CASE WHEN k = 0 AND q.id % 10 = 0 THEN 'real' || bin % 7 || ' normal;' || CASE WHEN EXISTS (SELECT 1 FROM functions f WHERE f.id = q.id + 1) THEN 'p' || (q.id + 1) ELSE 'x' END || ' normal'
+    WHEN k = 0 THEN 'real' || bin % 7 || ' normal' WHEN k = 1 AND EXISTS (SELECT 1 FROM functions f WHERE f.id = q.id + 3) THEN 'p' || (q.id + 3) || ' normal' WHEN k = 1 THEN 'y normal' WHEN k = 2 THEN 'dep normal' WHEN k = 3 THEN 't dev cfg(unix)' ELSE '' END AS dependencies
+FROM q""")
+def _(g: Graph, *_):
+    """A package for each function, fifty to a workspace: members by a glob and by paths, excluded ones, inherited versions and dependencies, dependencies for a target."""
+    number, bin_, n = F.col("id").cast("string"), F.expr("string(id div 50)"), F.expr("string(line_start % 50)")
+    kind = lambda *texts: F.element_at(F.array(*texts), (F.col("id") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("/ws/b"), bin_, kind(*map(F.lit, ("/m/p", "/other/p", "/skip/p", "/m/p", "/other/p"))), number, F.lit("/Cargo.toml"))
+    inherits, own = F.lit("version.workspace = true\n[dependencies]\ndep = { workspace = true }\n"), F.concat(F.lit('version = "1.'), n, F.lit('"\n'))
+    to = lambda key, at, step: F.concat(F.lit(f'{key} = {{ path = "../{at}p'), (F.col("id") + step).cast("string"), F.lit('" }\n'))
+    body = kind(
+        F.concat(inherits, F.when(F.col("id") % 10 == 0, to("x", "../other/", 1)).otherwise("")),
+        F.concat(own, F.lit("[dependencies]\n"), to("y", "", 3)),
+        inherits,
+        F.concat(own, F.lit('[target."cfg(unix)".dev-dependencies]\nt = "1"\n')),
+        F.lit('version = "0"\n'),
+    )
+    crates = g.functions.select(path.alias("path"), F.concat(F.lit('[package]\nname = "p'), number, F.lit('"\n'), body).alias("text"))
+    top = F.concat(F.lit('[workspace]\nmembers = ["m/*"]\nexclude = ["skip"]\n[workspace.package]\nversion = "2.'), bin_, F.lit('"\n[workspace.dependencies]\ndep = { package = "real'), F.expr("string(id div 50 % 7)"), F.lit('", version = "1" }\n'))
+    tops = g.functions.select(F.concat(F.lit("/ws/b"), bin_, F.lit("/Cargo.toml")).alias("path"), top.alias("text")).distinct()
+    rows = workspace.packages(crates.union(tops))
+    deps = F.array_join(F.transform("dependencies", lambda d: F.concat_ws(" ", d["name"], d["kind"], d["target"])), ";")
+    return rows.select("name", "path", "version", "root", "is_member", deps.alias("dependencies"))
+
+
 @query("S10_write_and_read", "SELECT crate, count(*) AS n FROM functions GROUP BY crate")
 def _(g: Graph, spark: SparkSession, _d):
     at = scratch(spark, "graph")
@@ -1053,6 +1082,18 @@ def _(g: Graph, *_):
     return N.method_lookup(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"))
 
 
+@query("V1_embedding_texts", """, t AS (SELECT *, CASE WHEN is_test THEN NULL ELSE 'About ' || name END AS doc, list_transform(range(0, id % 3), lambda k: 'T' || (id + k)) AS types, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'R' || id END AS ret FROM functions)
+SELECT id, 'crate: ' || crate || ' | function: ' || name || ' | module: ' || module || coalesce(' | docs: ' || doc, '') || CASE WHEN len(types) > 0 THEN ' | params: ' || array_to_string(types, ', ') ELSE '' END || CASE WHEN ret <> '' THEN ' | returns: ' || ret ELSE '' END AS text,
+  'crate: ' || crate || CASE WHEN ret <> '' THEN ' | returns: ' || ret ELSE '' END || ' | function: ' || name AS chosen FROM t""")
+def _(g: Graph, *_):
+    number = F.col("id").cast("string")
+    types = F.transform(F.filter(F.array(*[F.when(F.col("id") % 3 > k, F.concat(F.lit("T"), (F.col("id") + k).cast("string"))) for k in range(2)]), lambda t: t.isNotNull()), lambda t: F.struct(F.lit("p").alias("name"), t.alias("type")))
+    returns = F.when(F.col("id") % 4 == 1, "").when(F.col("id") % 4 > 1, F.concat(F.lit("R"), number))
+    rows = g.functions.withColumns({"doc": F.when(~F.col("is_test"), F.concat(F.lit("About "), "name")), "parameters": types, "return_type": returns})
+    chosen = T.embedding_text(F.col("crate"), F.col("name"), F.col("module"), returns=F.col("return_type"), fields=("return_type", "function_name"))
+    return V.function_rows(rows).select("id", "text").join(rows.select("id", chosen.alias("chosen")), "id")
+
+
 @query("R9_dispatched", "SELECT id, qualified_name, CAST(CASE WHEN name = 'red widget' THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence FROM functions WHERE name IN ('red widget', 'blue bolt') AND module = CASE WHEN name = 'red widget' THEN 'SMALL' ELSE 'ECONOMY' END")
 def _(g: Graph, spark: SparkSession, _d):
     files = g.functions.select("file", F.concat(F.lit("use "), F.lower("module"), F.lit(";")).alias("text")).distinct()
