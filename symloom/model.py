@@ -13,6 +13,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.operators import names
+from symloom.sources import clustered
+from symloom.sources.tables import discard
+
 # Enumerated domains.
 ACTOR_TYPES = ("Local", "Distributed", "Unknown")
 TYPE_KINDS = ("Struct", "Enum", "Trait", "TypeAlias", "Union")
@@ -63,11 +67,26 @@ class Graph:
     message_types: DataFrame | None = None
     embeddings: DataFrame | None = None
 
-    def write(self, path: str) -> None:
-        """Every table there is as Parquet below ``path``; each write commits as a whole."""
+    def write(self, path: str, files: int | None = None) -> None:
+        """Every table there is as Parquet below ``path``; each write commits as a whole. With ``files``, functions and calls lie in so many files by ranges of ``id`` and ``dst``
+        with a manifest (``clustered.read``), and an index of the names beside them (``names.find``)."""
+        spark = self.functions.sparkSession
+        keys = {"functions": (("id",), ("name", "qualified_name")), "calls": (("dst", "src"), ("src",))}
         for f in fields(self):
-            if (table := getattr(self, f.name)) is not None:
+            if (table := getattr(self, f.name)) is None:
+                continue
+            if files is not None and f.name in keys:
+                by, blooms = keys[f.name]
+                clustered.write(table, f"{path}/{f.name}", *by, files=files, blooms=blooms)
+            else:
                 table.write.mode("overwrite").parquet(f"{path}/{f.name}")
+                if f.name in keys:
+                    discard(spark, f"{path}/{f.name}.files")
+        if files is not None:
+            names.write_index(spark.read.parquet(f"{path}/functions"), f"{path}/names", files=files)
+        else:
+            discard(spark, f"{path}/names.files")
+            discard(spark, f"{path}/names")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Graph:

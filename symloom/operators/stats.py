@@ -79,9 +79,9 @@ def workspace_overview(functions: DataFrame, calls: DataFrame, crates: DataFrame
     return layers.crossJoin(F.broadcast(totals))  # one row
 
 
-def symbol_impact(functions: DataFrame, calls: DataFrame, symbol: str) -> DataFrame:
-    """Matches of a symbol, call edges into them, and the impact level."""
-    hit = functions.filter(named(symbol)).select(F.col("id").alias("dst"))
+def symbol_impact(functions: DataFrame, calls: DataFrame, symbol: str, found: DataFrame | None = None) -> DataFrame:
+    """Matches of a symbol, call edges into them, and the impact level. ``found``: the matches' ids, where an index of names gives them."""
+    hit = (functions.filter(named(symbol)) if found is None else found).select(F.col("id").alias("dst"))
     used = calls.join(hit, "dst", "left_semi").agg(F.count("*").alias("usages"), F.countDistinct("src").alias("callers"))
     return hit.agg(F.count("*").alias("matches")).crossJoin(used).withColumn("level", impact_level(F.col("usages")))
 
@@ -104,9 +104,9 @@ def exports(functions: DataFrame) -> DataFrame:
     return functions.filter(F.col("visibility") == "pub").groupBy("crate").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
 
 
-def function_details(functions: DataFrame, calls: DataFrame, target: str) -> DataFrame:
-    """Functions of a name with their in- and out-degree."""
-    hit = functions.filter(named(target))
+def function_details(functions: DataFrame, calls: DataFrame, target: str, found: DataFrame | None = None) -> DataFrame:
+    """Functions of a name with their in- and out-degree. ``found``: their ids, where an index of names gives them."""
+    hit = functions.filter(named(target)) if found is None else functions.join(found, "id", "left_semi")
     into = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
     out = calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees"))
     return hit.join(into, "id", "left").join(out, "id", "left").select("id", "qualified_name", "visibility", "is_test", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("callers", "callees")])

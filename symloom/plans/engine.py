@@ -19,13 +19,14 @@ from symloom.operators import actors as A
 from symloom.operators import architecture as R
 from symloom.operators import coverage as C
 from symloom.operators import impact as I
+from symloom.operators import names as X
 from symloom.operators import resolve as N
 from symloom.operators import search as V
 from symloom.operators import stats as S
 from symloom.operators.predicates import in_file, named
 from symloom.plans import ingest
 from symloom.sources import rust
-from symloom.sources.tables import scratch
+from symloom.sources.tables import scratch, stored
 from symloom.streaming.incremental import Store, content_hash, file_report, outdated, statistics
 
 UNKNOWN_METHOD, BAD_PARAMETERS, FAILED = -32601, -32602, -32603
@@ -38,17 +39,20 @@ class CallError(Exception):
 
 
 class Engine:
-    """``edge``: the columns that name a call edge. ``types`` and ``embeddings`` (id, embedding, crate) are optional tables."""
+    """``edge``: the columns that name a call edge. ``types`` and ``embeddings`` (id, embedding, crate) are optional tables. ``at``: where the graph
+    was written; an index of its names there then answers for names until another graph is used."""
 
-    def __init__(self, graph: Graph, *, types: DataFrame | None = None, embeddings: DataFrame | None = None, width: int = 384, edge: tuple[str, ...] = ("src", "dst", "line"), store: Store | None = None):
+    def __init__(self, graph: Graph, *, types: DataFrame | None = None, embeddings: DataFrame | None = None, width: int = 384, edge: tuple[str, ...] = ("src", "dst", "line"), store: Store | None = None, at: str | None = None):
         self.width, self.edge, self.store = width, edge, store
         self.use(graph, types, embeddings)
         self.spark = graph.functions.sparkSession
+        if at is not None and stored(self.spark, f"{at}/names.files"):
+            self.names = f"{at}/names"
         self.methods: dict[str, Callable[..., DataFrame]] = {n.removeprefix("do_"): getattr(self, n) for n in dir(self) if n.startswith("do_")}
 
     def use(self, graph: Graph, types: DataFrame | None = None, embeddings: DataFrame | None = None) -> None:
         """Answer from ``graph`` from now on."""
-        self.g = graph
+        self.g, self.names = graph, None
         self.types = types if types is not None else graph.types
         self.embeddings = embeddings if embeddings is not None else graph.embeddings
         #: Functions of sources; those that were made up as callers or targets are called by nothing.
@@ -74,6 +78,10 @@ class Engine:
         except Exception as e:  # noqa: BLE001
             return {"jsonrpc": "2.0", "id": request.get("id"), "error": {"code": FAILED, "message": str(e)[:500]}}
 
+    def matches(self, name: str) -> DataFrame:
+        """id of the functions of a name, bare or part of the qualified one; by the index where there is one."""
+        return X.find(self.spark, self.names, name) if self.names else self.g.functions.filter(named(name)).select("id")
+
     def _targets(self, name: str) -> DataFrame:
         return self.g.functions.filter(F.col("qualified_name") == name).select(F.col("id").alias("target"))
 
@@ -145,7 +153,7 @@ class Engine:
         return S.call_dump(self.g.functions, self.g.calls)
 
     def do_analyze_symbol_impact(self, symbol: str) -> DataFrame:
-        return S.symbol_impact(self.g.functions, self.g.calls, symbol)
+        return S.symbol_impact(self.g.functions, self.g.calls, symbol, self.matches(symbol))
 
     def do_check_architecture_violations(self, severity: str | None = None, limit: int = 100) -> DataFrame:
         """The first ``limit`` violations, each with the number that there are."""
@@ -192,7 +200,7 @@ class Engine:
         return file_report(old.join(stale.withColumnRenamed("path", "file"), "file", "left_semi"), rust.tables(rust.scan(now))["functions"])
 
     def do_get_function_details(self, function: str) -> DataFrame:
-        return S.function_details(self.g.functions, self.g.calls, function)
+        return S.function_details(self.g.functions, self.g.calls, function, self.matches(function) if self.names else None)
 
     def do_get_type_details(self, type_name: str) -> DataFrame:
         if self.types is None:

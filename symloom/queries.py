@@ -13,12 +13,13 @@ from symloom.operators import actors as A
 from symloom.operators import architecture as R
 from symloom.operators import coverage as C
 from symloom.operators import impact as I
+from symloom.operators import names as X
 from symloom.operators import resolve as N
 from symloom.operators import search as V
 from symloom.operators import stats as S
 from symloom.operators.predicates import in_file, named, topk
 from symloom.plans import ingest
-from symloom.sources import rust, star, workspace
+from symloom.sources import clustered, rust, star, workspace
 from symloom.sources.tables import discard, scratch
 from symloom.streaming import feed as Y
 from symloom.streaming import incremental as W
@@ -337,6 +338,34 @@ def _(g: Graph, *_):
     return S.symbol_impact(g.functions, g.calls, "SMALL::12")
 
 
+@query("A15_symbol_index", """, hit AS (SELECT id FROM functions WHERE name = 'SMALL::12' OR contains(qualified_name, 'SMALL::12'))
+SELECT (SELECT count(*) FROM hit) AS matches, count(*) AS usages, count(DISTINCT src) AS callers, CASE WHEN count(*) = 0 THEN 'LOW' WHEN count(*) < 5 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM calls WHERE dst IN (SELECT id FROM hit)""")
+def _(g: Graph, spark: SparkSession, _d):
+    """The same through the index of names: only postings of the symbol's pieces are read."""
+    at = scratch(spark, "names")
+    X.write_index(g.functions, at)
+    return S.symbol_impact(g.functions, g.calls, "SMALL::12", X.find(spark, at, "SMALL::12"))
+
+
+NAME_TARGETS = "SELECT DISTINCT module || '::' || id % 10 AS target FROM functions UNION SELECT DISTINCT name FROM functions UNION SELECT DISTINCT substr(crate, 6, 1 + id % 3) FROM functions"
+
+
+@query("F2_targets", f", t AS ({NAME_TARGETS}) SELECT target, count(*) AS n, min(id) AS first_id FROM t JOIN functions f ON f.name = target OR contains(f.qualified_name, target) GROUP BY target")
+def _(g: Graph, *_):
+    """Every (module, digit), every bare name and pieces of one to three characters of the crates' names, looked for in all names."""
+    f, digit = g.functions, (F.col("id") % 10).cast("string")
+    targets = f.select(F.concat_ws("::", "module", digit).alias("target")).union(f.select("name")).union(f.select(F.substr("crate", F.lit(6), (1 + F.col("id") % 3).cast("int"))))
+    return X.find_all(X.postings(f), targets).groupBy("target").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query("S13_lookup", "SELECT dst, src, line FROM calls WHERE dst IN (12, 77, 100)")
+def _(g: Graph, spark: SparkSession, _d):
+    """Call edges in files by ranges of the callee, looked up by a few callees."""
+    at = scratch(spark, "calls")
+    clustered.write(g.calls.select("dst", "src", "line"), at, "dst", "src", blooms=("src",))
+    return clustered.read(spark, at, "dst", [12, 77, 100])
+
+
 @query("A18_module_summary", "SELECT crate, count(DISTINCT module) AS modules, count(*) AS functions, count(DISTINCT name) AS names FROM functions GROUP BY crate")
 def _(g: Graph, *_):
     return S.module_summary(g.functions)
