@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.operators.predicates import false_or_null, known_false, narrowed, topk
@@ -77,24 +77,61 @@ def high_coupling(functions: DataFrame, calls: DataFrame, *, more_than: int = 10
 
 
 def coverage_by_crate(functions: DataFrame, *, test_name: str = "test") -> DataFrame:
-    """Share of each crate's plain functions that some test in the crate names: a test's name holds the function's name.
-
-    The test names' substrings are exploded, so containment is an equi-join on (crate, name): the work grows with the tests
-    (and the squared length of their names), not with tests times functions.
-    """
+    """Share of each crate's plain functions that some test in the crate names: a test's name holds the function's name; see ``tested_names``."""
     tested = tested_names(functions, test_name).withColumn("tested", F.lit(1))
     plain = functions.filter(known_false("is_test")).join(tested, ["crate", "name"], "left")
     out = plain.groupBy("crate").agg(F.count("*").alias("total"), F.count("tested").alias("tested"))
     return out.select("crate", "total", "tested", F.floor(100 * F.col("tested") / F.col("total")).alias("percent"))
 
 
+#: Rolling fingerprints of names: the base, and the prime below 2^31 that they are taken by, so that products fit a long.
+BASE, PRIME = 1_000_003, 2_147_483_647
+#: Characters that a fingerprint spans: longer names are found by their first ones.
+SPAN = 64
+
+
+def _sums(text: Column) -> Column:
+    """Polynomial sums of all beginnings of a text, the empty one first."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    none = F.array(F.lit(0).cast("long"))
+    return F.aggregate(chars, none, lambda s, c: F.concat(s, F.array((F.element_at(s, -1) * BASE + F.ascii(c)) % PRIME)))
+
+
+def _powers() -> Column:
+    """The base's powers up to the span."""
+    out = [1]
+    for _ in range(SPAN):
+        out.append(out[-1] * BASE % PRIME)
+    return F.array(*[F.lit(p).cast("long") for p in out])
+
+
+def name_lengths(names: DataFrame) -> DataFrame:
+    """(crate, lengths): the lengths, at most ``SPAN``, that the names (crate, name) of a crate have. Lists of at most ``SPAN`` numbers."""
+    return names.filter("name <> ''").select("crate", F.least(F.length("name"), F.lit(SPAN)).alias("n")).groupBy("crate").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+
+
+def fingerprints(tests: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(crate, test, n, h): fingerprints of the stretches of each test's name that have a length of the crate's names, at most length x lengths rows a test."""
+    rows = tests.join(lengths, "crate").withColumn("sums", _sums(F.col("test"))).withColumn("powers", _powers())
+    rows = rows.select("crate", "test", "sums", "powers", F.explode("lengths").alias("n")).filter(F.col("n") < F.size("sums"))
+    ends = F.sequence(F.col("n") + 1, F.size("sums"))
+    power = F.element_at("powers", F.col("n") + 1)
+    parts = F.transform(ends, lambda k: F.pmod(F.element_at("sums", k) - F.element_at("sums", k - F.col("n")) * power % PRIME, F.lit(PRIME)))
+    return rows.select("crate", "test", "n", F.explode(F.array_distinct(parts)).alias("h"))
+
+
 def tested_names(functions: DataFrame, test_name: str = "test") -> DataFrame:
-    """(crate, name) of plain functions that a test of their crate names."""
+    """(crate, name) of plain functions that a test of their crate names.
+
+    Rolling fingerprints of a test's name are made for those lengths alone that the crate's function names have, and joined with the names' own by equality; a pair that
+    agrees is held against the texts.
+    """
     names = functions.filter(known_false("is_test")).select("crate", "name").distinct()
     tests = functions.filter("is_test").select("crate", F.concat(F.lit(f"{test_name}_"), "name").alias("test")).distinct()
-    starts = tests.select("crate", "test", F.explode(F.sequence(F.lit(1), F.length("test"))).alias("at"))
-    parts = starts.select("crate", F.explode(F.transform(F.sequence(F.lit(1), F.length("test") - F.col("at") + 1), lambda n: F.substr("test", F.col("at"), n))).alias("name"))
-    return names.join(parts, ["crate", "name"], "left_semi")
+    own = names.filter("name <> ''").withColumn("n", F.least(F.length("name"), F.lit(SPAN))).withColumn("h", F.element_at(_sums(F.left("name", F.lit(SPAN))), -1))
+    hit = own.join(fingerprints(tests, name_lengths(names)), ["crate", "n", "h"]).filter(F.col("test").contains(F.col("name"))).select("crate", "name").distinct()
+    held = names.filter("name = ''").join(tests.select("crate").distinct(), "crate", "left_semi").select("crate", "name")  # every text holds the empty one
+    return hit.unionByName(held)
 
 
 def coverage_examples(functions: DataFrame, calls: DataFrame, *, untested: int = 15, tested: int = 10) -> DataFrame:

@@ -6,7 +6,10 @@ order (crate, file, line_start, id); where two define one key, the later wins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -207,9 +210,83 @@ def dispatched(functions: DataFrame, files: DataFrame, rules: DataFrame) -> Data
     return functions.join(marked, ["file", "name"]).select("id", "qualified_name", "confidence", *more)
 
 
+#: Length of the pieces by which texts find their patterns.
+PIECE = 3
+#: A pattern with more alternatives than this is tried wherever a piece of it stands.
+MOST_LITERALS = 8
+
+
+def required_literals(pattern: str) -> tuple[str, ...]:
+    """Texts of ``PIECE`` characters or more, one of which every match of the pattern holds; none where that is not known (no regard to case, or a form that this reader does
+    not take). A pattern without alternatives has its longest one."""
+    try:
+        tree = _parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return ()
+    if tree.state.flags & ~(re.UNICODE | re.DOTALL | re.MULTILINE):
+        return ()
+    return _held(tree)
+
+
+def _held(tree: Iterable) -> tuple[str, ...]:
+    best, run, either = "", [], ()
+
+    def close() -> None:
+        nonlocal best
+        best = max(best, "".join(run), key=len)
+        run.clear()
+
+    def walk(items: Iterable) -> None:
+        nonlocal either
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL":
+                run.append(chr(value))
+            elif name == "SUBPATTERN" and not value[1] and not value[2]:
+                walk(value[3])
+            elif name == "ATOMIC_GROUP":
+                walk(value)
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                walk(value[2])
+                close()
+            elif name == "BRANCH":
+                close()
+                parts = [_held(x) for x in value[1]]
+                if all(parts) and not either:
+                    either = tuple(sorted({x for p in parts for x in p}))
+            elif name != "AT":
+                close()
+
+    walk(tree)
+    close()
+    return (best,) if len(best) >= PIECE else either
+
+
+def keyed_patterns(patterns: DataFrame) -> DataFrame:
+    """The patterns (configuration) with ``literals``, one of which their matches hold, and a piece of each in ``pieces``; an empty piece where there are none."""
+    spark = patterns.sparkSession
+    rows = [(r["regex"], list(required_literals(r["regex"]))) for r in patterns.select("regex").filter("regex is not null").distinct().collect()]
+    rows = [(p, x, sorted({t[-PIECE:] for t in x}) or [""]) for p, x in rows]
+    return patterns.join(F.broadcast(spark.createDataFrame(rows, "regex string, literals array<string>, pieces array<string>")), "regex")
+
+
+def pattern_candidates(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(file, text, family, name, regex): a file meets the patterns one of whose literals its text holds, and those without one. One pass over the files, no shuffle: its pieces
+    that are some pattern's are joined with the patterns, each pattern by the first of its pieces that the text holds."""
+    keyed = keyed_patterns(patterns).withColumn("piece", F.explode("pieces"))
+    keys = [r["piece"] for r in keyed.select("piece").filter("piece <> ''").distinct().collect()]
+    held = F.array_intersect(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{PIECE}}}))"), F.lit(1)), F.lit(keys) if keys else F.array().cast("array<string>"))
+    rows = files.select("file", "text", F.array_append(held, F.lit("")).alias("held"))
+    rows = rows.select("*", F.explode_outer("held").alias("piece")).join(F.broadcast(keyed), "piece")
+    first = F.when(F.size("pieces") == 1, True).otherwise(F.element_at(F.array_intersect("pieces", "held"), 1) == F.col("piece"))
+    free = (F.size("literals") == 0) | (F.size("literals") > MOST_LITERALS)
+    sure = reduce(lambda x, k: x | F.contains(F.col("text"), F.try_element_at("literals", F.lit(k))), range(1, MOST_LITERALS + 1), free)
+    return rows.filter(first & sure).select("file", "text", "family", "name", "regex")
+
+
 def matched_patterns(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(file, family, name) of the regular expressions that a file's text matches; patterns are configuration."""
-    return files.join(F.broadcast(patterns), F.expr("text rlike regex")).select("file", "family", "name")
+    """(file, family, name) of the regular expressions that a file's text matches; patterns are configuration. See ``pattern_candidates``."""
+    return pattern_candidates(files, patterns).filter(F.expr("text rlike regex")).select("file", "family", "name")
 
 
 def checked_pattern(pattern: str, banned: Iterable[str] = ("(?R)", "(?0)", "\\1\\1"), longest: int = 1000) -> str:

@@ -1136,6 +1136,18 @@ def _(_g: Graph, spark: SparkSession, d: str):
     return N.matched_patterns(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text"), p)
 
 
+@query("R15_many_patterns", """WITH w AS (SELECT doc_id, regexp_extract(text, '[a-z]{5,}') AS w, doc_id % 4 AS k FROM documents), p AS (
+  SELECT DISTINCT CASE k WHEN 0 THEN w || '[a-z]+' WHEN 1 THEN '[0-9]+ ' || w WHEN 2 THEN '(?:' || w || '){1,2}[.,]' ELSE '[A-Z]' || w || '|' || w || ' [0-9]' END AS regex FROM w WHERE w <> '')
+SELECT regex AS name, count(*) AS n FROM documents JOIN p ON regexp_matches(text, regex) GROUP BY regex""", star_sql=False)
+def _(_g: Graph, spark: SparkSession, d: str):
+    """Patterns of every document's first longer word, looked for in all documents; a document meets only those whose literal pieces it holds."""
+    docs = table(spark, d, "documents")
+    word, k = F.regexp_extract("text", "[a-z]{5,}", 0), F.col("doc_id") % 4
+    regex = F.when(k == 0, F.concat("w", F.lit("[a-z]+"))).when(k == 1, F.concat(F.lit("[0-9]+ "), "w")).when(k == 2, F.concat(F.lit("(?:"), "w", F.lit("){1,2}[.,]"))).otherwise(F.concat(F.lit("[A-Z]"), "w", F.lit("|"), "w", F.lit(" [0-9]")))
+    patterns = docs.select("doc_id", word.alias("w")).filter("w <> ''").select(F.lit("w").alias("family"), regex.alias("regex")).distinct().withColumn("name", F.col("regex"))
+    return N.matched_patterns(docs.select(F.col("doc_id").cast("string").alias("file"), "text"), patterns).groupBy("name").agg(F.count("*").alias("n"))
+
+
 MACROS = ", m AS (SELECT 'm' || id AS macro_id, crate, 'x, ' || upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) || ', y' AS arguments, upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) AS n FROM functions)"
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from symloom.model import Graph, empty
+from symloom.operators import coverage as C
 from symloom.operators import names as X
+from symloom.operators import resolve as N
 from symloom.operators import stats as S
-from symloom.plans.engine import Engine
+from symloom.plans.engine import Engine, explained
 from symloom.sources import clustered
 
 
@@ -99,3 +102,56 @@ def test_a_stored_graph_is_served_by_its_index(spark, tmp_path):
     assert Engine(back, at=at).matches("run").collect() == Engine(back).matches("run").collect()
     g.write(at)  # without ranges: what no longer belongs to the tables goes
     assert Graph.read(spark, at).functions.count() == 3 and Engine(Graph.read(spark, at), at=at).matches("run").count() == 2
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        ("abc[0-9]defgh+", ("defgh",)), ("(?:abc){2,}x", ("abc",)), ("ab(c|d)efg", ("efg",)), ("(abc)?de", ()), ("abc|de", ()), ("abcd|x(wxyz)+", ("abcd", "xwxyz")), ("a.c|abc", ()),
+        ("(?i)abcdef", ()), ("(?i:abcdef)ghi", ("ghi",)), (r"\Qabc\E", ()), (r"^abc$", ("abc",)), ("[abc]{3}", ()), ("abc{0}def", ("def",)), ("(?=abc)x", ()), ("(", ()), (r"\.rs\b", (".rs",)), ("(?:one|two)three", ("three",)), ("x*?yzzy", ("yzzy",)),
+    ],
+)
+def test_required_literals(pattern, want):
+    assert N.required_literals(pattern) == want
+
+
+def test_a_thousand_patterns(spark, sf):
+    """Every pattern against every document, by brute force; far fewer pairs are tried, and no pattern is paired with every document by a nested loop."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), "text").limit(60).cache()
+    texts = {r["file"]: r["text"] for r in docs.collect()}
+    rng = random.Random(3)
+    words = sorted({w for t in texts.values() if t for w in re.findall(r"[^\W\d_]{6,}", t)})
+    forms = ["{}[a-z]*", "(?:{})+[ .]", "{}|{}", r"\b{}", "[0-9]{{2}} {}", "(?i){}", "{} .{{3}}"]
+    rows = [(str(k % 3), str(k), form.format(*[re.escape(rng.choice(words)) for _ in range(2)])) for k, form in ((k, forms[k % 7] if k % 50 else forms[5]) for k in range(1000) if k % 7 != 5 or k % 50 == 0)]
+    patterns = spark.createDataFrame([*rows, ("0", "null", None)], "family string, name string, regex string")
+    want = {(f, fam, n) for fam, n, p in rows for f, t in texts.items() if t is not None and re.search(p, t, re.ASCII if "(?i)" in p else 0)}
+    found = N.matched_patterns(docs, patterns)
+    assert "BroadcastNestedLoopJoin" not in explained(found, "simple")
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    assert N.pattern_candidates(docs, patterns).count() < 0.1 * len(rows) * len(texts)
+
+
+def test_patterns_and_texts_without_anything(spark):
+    docs = spark.createDataFrame([("a", None), ("b", ""), ("c", "xyz abc"), ("c", "xyz abc")], "file string, text string")
+    p = lambda *rows: spark.createDataFrame(rows, "family string, name string, regex string")
+    got = N.matched_patterns(docs, p(("f", "1", "abc|xyz"), ("f", "1", "abc|xyz"), ("g", "2", ""), ("g", "3", "x")))
+    assert sorted(map(tuple, got.collect())) == sorted([("b", "g", "2")] + 2 * [("c", "f", "1"), ("c", "f", "1"), ("c", "g", "2"), ("c", "g", "3")])
+    assert N.matched_patterns(docs, p()).count() == 0 and N.matched_patterns(docs.limit(0), p(("f", "1", "a"))).count() == 0
+
+
+def test_names_in_tests_names(spark):
+    """Containment by fingerprints equals a scan, and the stretches are bounded by length x distinct lengths."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab_é") for _ in range(rng.randrange(0, n)))
+    rows = [(rng.choice(["k", "m", None]), word(40) if t else word(8), t) for t in (rng.random() < 0.4 for _ in range(400))] + [("k", "a" * 70, False), ("k", "a" * 70 + "b", False), ("k", "b" + "a" * 72, True), ("m", None, True), ("m", "x", None)]
+    f = spark.createDataFrame(rows, "crate string, name string, is_test boolean")
+    tests = {(c, "test_" + n) for c, n, t in rows if t and n is not None}
+    want = {(c, n) for c, n, t in rows if t is False and n is not None for d, x in tests if c is not None and c == d and n in x}
+    got = [tuple(r) for r in C.tested_names(f).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and ("k", "a" * 70) in want
+    names = f.filter("not is_test").select("crate", "name").distinct()
+    lengths = C.name_lengths(names)
+    n = {r["crate"]: len(r["lengths"]) for r in lengths.collect()}
+    made = C.fingerprints(spark.createDataFrame(sorted(tests, key=str), "crate string, test string"), lengths).count()
+    assert made <= sum(len(x) * n.get(c, 0) for c, x in tests)
