@@ -42,10 +42,14 @@ def patterns(g: Graph) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def properties(g: Graph):  # noqa: ANN201
-    """(label, property, type) from the schemas; no data is read."""
-    rows = [(k, f.name, f.dataType.simpleString()) for k, df in nodes(g).items() for f in df.schema]
-    return g.functions.sparkSession.createDataFrame(rows, "label string, property string, type string")
+def properties(g: Graph) -> DataFrame:
+    """(label, property, type, n): the nodes' properties and how many nodes have a value; one aggregate a label."""
+    out = []
+    for label, df in nodes(g).items():
+        counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+        rows = F.array(*[F.struct(F.lit(f.name).alias("property"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f.name).alias("n")) for f in df.schema])
+        out.append(counts.select(F.lit(label).alias("label"), F.inline(rows)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def call_dump(functions: DataFrame, calls: DataFrame) -> DataFrame:

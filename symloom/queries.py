@@ -386,19 +386,19 @@ def _(g: Graph, *_):
     return S.patterns(g)
 
 
-PROPERTIES = ", ".join(
-    f"('{label}', '{name}', '{kind}')"
-    for label, columns in (
-        ("Function", "id bigint, name string, qualified_name string, crate string, module string, file string, visibility string, is_test boolean, line_start bigint"),
-        ("Crate", "name string, num int, layer int"),
-        ("Actor", "id bigint, name string, crate string, is_distributed boolean, is_test boolean"),
-        ("MessageType", "message_type string"),
+PROPERTIES = " UNION ALL ".join(
+    f"SELECT '{label}' AS label, '{name}' AS property, '{kind}' AS type, count({name}) AS n FROM {rows}"
+    for label, rows, columns in (
+        ("Function", "functions", "id bigint, name string, qualified_name string, crate string, module string, file string, visibility string, is_test boolean, line_start bigint"),
+        ("Crate", "crates", "name string, num int, layer int"),
+        ("Actor", "actors", "id bigint, name string, crate string, is_distributed boolean, is_test boolean"),
+        ("MessageType", "(SELECT message_type FROM sends UNION SELECT message_type FROM handles)", "message_type string"),
     )
     for name, kind in (c.split() for c in columns.split(", "))
 )
 
 
-@query("G9_properties", f"SELECT * FROM (VALUES {PROPERTIES}) t(label, property, type)", star_sql=False)
+@query("G9_properties", PROPERTIES)
 def _(g: Graph, *_):
     return S.properties(g)
 
@@ -1145,7 +1145,8 @@ def _(_g: Graph, spark: SparkSession, d: str):
     word, k = F.regexp_extract("text", "[a-z]{5,}", 0), F.col("doc_id") % 4
     regex = F.when(k == 0, F.concat("w", F.lit("[a-z]+"))).when(k == 1, F.concat(F.lit("[0-9]+ "), "w")).when(k == 2, F.concat(F.lit("(?:"), "w", F.lit("){1,2}[.,]"))).otherwise(F.concat(F.lit("[A-Z]"), "w", F.lit("|"), "w", F.lit(" [0-9]")))
     patterns = docs.select("doc_id", word.alias("w")).filter("w <> ''").select(F.lit("w").alias("family"), regex.alias("regex")).distinct().withColumn("name", F.col("regex"))
-    return N.matched_patterns(docs.select(F.col("doc_id").cast("string").alias("file"), "text"), patterns).groupBy("name").agg(F.count("*").alias("n"))
+    files = docs.select(F.col("doc_id").cast("string").alias("file"), "text").repartition(spark.sparkContext.defaultParallelism, "file")  # one small file would be one task
+    return N.matched_patterns(files, patterns).groupBy("name").agg(F.count("*").alias("n"))
 
 
 MACROS = ", m AS (SELECT 'm' || id AS macro_id, crate, 'x, ' || upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) || ', y' AS arguments, upper(substr(name, 1, 1)) || substr(split_part(name, ' ', 1), 2) AS n FROM functions)"

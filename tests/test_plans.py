@@ -10,7 +10,7 @@ from symloom import queries as Q
 from symloom.plans.engine import explained
 
 #: One side is one row or a configuration table.
-NESTED = {"T7_list_functions", "A13_workspace_overview", "A15_symbol_impact", "A21_incremental_statistics", "A26_local_and_distributed", "S16_report", "V3_similar", "X19_layer_of_crate", "R9_dispatched", "R15_matched_patterns", "J23_diff_lookup", "G5_diff_impact", "S7_excluded", "S10_ingest_edges"}
+NESTED = {"T7_list_functions", "A13_workspace_overview", "A15_symbol_impact", "A15_symbol_index", "A21_incremental_statistics", "A26_local_and_distributed", "S16_report", "V3_similar", "X19_layer_of_crate", "R9_dispatched", "R15_matched_patterns", "J23_diff_lookup", "G5_diff_impact", "S7_excluded", "S10_ingest_edges"}
 #: They parse sources, embed text or write tables first.
 PYTHON = {"S1_scan_functions", "P10_scan_calls", "S10_ingest_edges", "I9_refresh", "X13_embedding_vectors", "P3_contexts", "P6_types", "P11_macros", "P16_imports", "P18_actors", "P23_spawns", "P27_handles", "P30_sends"}
 RUNS = {"I1_stream_state", "I9_refresh", "S10_write_and_read"}
