@@ -40,6 +40,12 @@ def winners(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(last.alias("s")).select("key", "s.*")
 
 
+def grown(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the sources and is not to be broadcast. A table whose names repeat is small in its file and a hundred times as large in memory, and a plan's
+    guess counts neither that nor the rows that an ``explode`` makes, so a guess under the threshold would bring millions of rows to the driver."""
+    return rows.hint("merge")
+
+
 def symbol_table(functions: DataFrame) -> DataFrame:
     """(key, id, qualified_name, crate): qualified names, bare names, and names below ``crate::``. The last definition of a key wins."""
     f = functions.select("id", "name", "qualified_name", "crate", "file", "line_start")
@@ -83,24 +89,34 @@ def with_targets(raw: DataFrame, imports: DataFrame | None) -> DataFrame:
 def resolved_by(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     """``resolve`` for calls with targets, over the rows of a symbol table that their keys name."""
     tried = raw.select("call_id", F.posexplode(candidates()).alias("rank", "key")).filter("key is not null")
-    found = tried.join(symbols.withColumnRenamed("crate", "to_crate"), "key")
+    found = tried.join(grown(symbols.withColumnRenamed("crate", "to_crate")), "key")
     best = found.groupBy("call_id").agg(F.min_by(F.struct("id", "qualified_name", "to_crate"), "rank").alias("s"))
-    out = raw.drop("target").join(best.select("call_id", F.col("s.id").alias("callee_id"), F.col("s.qualified_name").alias("qualified_callee"), F.col("s.to_crate").alias("to_crate")), "call_id", "left")
+    out = raw.drop("target").join(grown(best.select("call_id", F.col("s.id").alias("callee_id"), F.col("s.qualified_name").alias("qualified_callee"), F.col("s.to_crate").alias("to_crate"))), "call_id", "left")
     return out.withColumn("cross_crate", F.coalesce(F.col("to_crate") != F.col("crate"), F.lit(False)))
 
 
 def call_edges(resolved: DataFrame, functions: DataFrame) -> DataFrame:
-    """Edges of resolved calls by (caller, callee, line); unresolved ones match by (name, crate), to every such function."""
-    return call_ends(resolved, functions).dropDuplicates(["src", "dst", "line"])
+    """Edges of resolved calls by (caller, callee, line), each once; unresolved ones match by (name, crate), to every such function.
+
+    Repeats go before names are matched: what is grouped is a caller's line with a name, never the edges, which are as many as the callers of a name times its functions. A resolved
+    call stands under its callee's name; where the same line also has an unresolved call of that name, the match gives its edge. Ids are unique."""
+    rows = resolved.join(grown(functions.select(F.col("qualified_name").alias("caller"), F.col("id").alias("src"))), "caller")
+    sure = rows.filter("callee_id is not null").select("src", "line", F.col("callee_id").alias("dst"))
+    known = functions.select(F.col("id").alias("dst"), F.col("name").alias("callee_name"), "crate")
+    rest = rows.filter("callee_id is null and callee_name is not null and crate is not null").select("src", "line", F.lit(None).cast(known.schema["dst"].dataType).alias("dst"), "callee_name", "crate")
+    named = sure.distinct().join(grown(known), "dst", "left").select(rest.columns).unionByName(rest)
+    groups = named.groupBy("src", "line", "callee_name", "crate").agg(F.collect_set("dst").alias("dsts"), F.bool_or(F.col("dst").isNull()).alias("loose"))
+    found = groups.filter("not loose").select("src", F.explode("dsts").alias("dst"), "line")
+    return found.unionByName(groups.filter("loose").drop("dsts").join(grown(known.distinct()), ["callee_name", "crate"]).select("src", "dst", "line"))
 
 
 def call_ends(resolved: DataFrame, functions: DataFrame, *more: str) -> DataFrame:
     """The edges of each call, with further columns of the calls."""
     by_name = functions.select(F.col("qualified_name").alias("caller"), F.col("id").alias("src"))
-    rows = resolved.join(by_name, "caller")
+    rows = resolved.join(grown(by_name), "caller")
     sure = rows.filter("callee_id is not null").select("src", F.col("callee_id").alias("dst"), "line", *more)
     loose = functions.select(F.col("name").alias("callee_name"), "crate", F.col("id").alias("dst"))
-    rest = rows.filter("callee_id is null").join(loose, ["callee_name", "crate"]).select("src", "dst", "line", *more)
+    rest = rows.filter("callee_id is null").join(grown(loose), ["callee_name", "crate"]).select("src", "dst", "line", *more)
     return sure.unionByName(rest)
 
 

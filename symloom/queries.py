@@ -556,7 +556,7 @@ resolved AS (SELECT r.*, coalesce(q.id, k.id, l.id) AS callee_id FROM raw r LEFT
 
 def raw_calls(g: Graph) -> DataFrame:
     of = lambda p, k: g.functions.select(F.col("id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("name", "qualified_name", "crate", "module", "file")])
-    rows = g.calls.join(of("f", "src"), "src").join(of("t", "dst"), "dst")
+    rows = g.calls.join(N.grown(of("f", "src")), "src").join(N.grown(of("t", "dst")), "dst")
     form = F.col("seq") % 4
     callee = F.when(form == 0, F.col("t_qualified_name")).when(form == 1, F.col("t_name")).when(form == 2, F.concat_ws("::", "t_module", F.col("dst").cast("string"))).otherwise(F.concat_ws("::", F.lit("gone"), F.col("dst").cast("string")))
     return rows.select((F.col("order_key") * 100 + F.col("seq")).alias("call_id"), F.col("f_qualified_name").alias("caller"), callee.alias("callee_name"), F.col("f_crate").alias("crate"), F.col("f_module").alias("module"), F.col("f_file").alias("file"), "line")
