@@ -581,7 +581,7 @@ def _(g: Graph, *_):
 SELECT DISTINCT r.src, t.id AS dst, r.line FROM raw r JOIN functions t ON t.name = r.callee_name AND t.crate = r.crate""")
 def _(g: Graph, *_):
     f = g.functions
-    raw = g.calls.join(f.select(F.col("id").alias("src"), F.col("qualified_name").alias("caller"), "crate"), "src").join(f.select(F.col("id").alias("dst"), F.col("name").alias("callee_name")), "dst")
+    raw = g.calls.join(N.grown(f.select(F.col("id").alias("src"), F.col("qualified_name").alias("caller"), "crate")), "src").join(N.grown(f.select(F.col("id").alias("dst"), F.col("name").alias("callee_name"))), "dst")
     return N.call_edges(raw.select("caller", "callee_name", "crate", "line", F.lit(None).cast("long").alias("callee_id")), f)
 
 
@@ -826,12 +826,12 @@ RUST = ", r AS (SELECT id, 'crate_' || substr(crate, 7) AS c, lower(module) AS m
 
 @query("S1_scan_functions", RUST + " SELECT q AS qualified_name, c AS crate, visibility, is_test FROM r")
 def _(g: Graph, *_):
-    return rust.tables(rust.scan(sources(g)))["functions"].select("qualified_name", "crate", "visibility", "is_test")
+    return rust.tables(rust.scan(sources(g), "functions"))["functions"].select("qualified_name", "crate", "visibility", "is_test")
 
 
 @query("P10_scan_calls", RUST + " SELECT DISTINCT a.q AS caller, b.q AS callee_name, 'Associated' AS call_type FROM calls c JOIN r a ON a.id = c.src JOIN r b ON b.id = c.dst")
 def _(g: Graph, *_):
-    return rust.tables(rust.scan(sources(g)))["raw_calls"].select("caller", "callee_name", "call_type")
+    return rust.tables(rust.scan(sources(g), "raw_calls"))["raw_calls"].select("caller", "callee_name", "call_type")
 
 
 @query("S10_ingest_edges", RUST + " SELECT DISTINCT a.q AS src, b.q AS dst FROM calls c JOIN r a ON a.id = c.src JOIN r b ON b.id = c.dst")
@@ -857,15 +857,17 @@ type L{id} = u8;
 
 
 def items(g: Graph) -> DataFrame:
-    """(path, crate, text): one file for each function, with items of every kind."""
+    """(path, crate, text): one file for each function, with items of every kind. Ids are dealt out before texts are made: thousands of files come from a row group that one task
+    reads, and what a task has to parse shows in no size that Spark deals by."""
     crate = F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))
     text = F.lit(ITEMS.replace("{{", "{").replace("}}", "}").replace("{id}", "@"))
-    f = g.functions.select(F.concat(F.lit("/ws/"), crate, F.lit("/src/m"), F.col("id").cast("string"), F.lit(".rs")).alias("path"), crate.alias("crate"), F.replace(text, F.lit("@"), F.col("id").cast("string")).alias("text"))
+    ids = g.functions.select("id").repartition(4 * g.functions.sparkSession.sparkContext.defaultParallelism, "id")
+    f = ids.select(F.concat(F.lit("/ws/"), crate, F.lit("/src/m"), F.col("id").cast("string"), F.lit(".rs")).alias("path"), crate.alias("crate"), F.replace(text, F.lit("@"), F.col("id").cast("string")).alias("text"))
     return f
 
 
 def read_items(g: Graph, table: str) -> DataFrame:
-    return rust.tables(rust.scan(items(g)))[table]
+    return rust.tables(rust.scan(items(g), table))[table]
 
 
 FILES = ", i AS (SELECT CAST(id AS VARCHAR) AS n, 'k' || id % 7 AS c, 'k' || id % 7 || '::m' || id AS q FROM functions)"

@@ -6,13 +6,14 @@ import pytest
 
 from symloom import queries as Q
 from symloom.operators import resolve as N
+from symloom.sources import rust
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["J1_call_edges"])
+@pytest.mark.parametrize("name", ["J1_call_edges", "J2_unresolved_by_name"])
 def test_functions_are_not_broadcast(name, spark, sf):
     assert "Broadcast" not in plan(Q.QUERIES[name](spark, sf))
 
@@ -24,3 +25,16 @@ def test_edges_of_a_name_and_of_a_call_come_once(spark):
     got = [tuple(r) for r in N.call_edges(raw, f).select("src", "dst", "line").collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(1, 2, 7), (1, 3, 7), (1, 4, 8), (1, 2, 9), (1, 99, 9), (1, 2, None), (1, 3, None)}
+
+
+def test_a_file_for_each_function_is_parsed_in_several_tasks(spark, sf):
+    g = Q.star.graph(spark, sf)
+    assert Q.items(g).rdd.getNumPartitions() >= 4
+    per = Q.read_items(g, "macros").selectExpr("spark_partition_id() as p").distinct().count()
+    assert per >= 4
+
+
+def test_a_scan_gives_only_the_tables_that_are_asked_for(spark):
+    rows = spark.createDataFrame([("/ws/k/src/a.rs", "k", "struct S; fn f() { g(); }"), (None, None, None)], "path string, crate string, text string")
+    assert {r["table"] for r in rust.scan(rows, "types").collect()} == {"types"}
+    assert {r["table"] for r in rust.scan(rows).collect()} == {"types", "functions", "raw_calls"}
