@@ -338,7 +338,7 @@ def containing(points: DataFrame, functions: DataFrame) -> DataFrame:
     bins = line_bins(functions)
     top = bins.agg(F.max("level")).scalar()  # a subquery of the plan
     asked = points.select("file", F.col("line"), F.explode(F.sequence(F.lit(0), top)).alias("level")).withColumn("bin", F.expr("shiftright(cast(line as bigint), level)"))
-    hit = asked.join(bins, ["file", "level", "bin"])
+    hit = asked.join(grown(bins), ["file", "level", "bin"])
     return hit.groupBy("file", "line").agg(F.min("best")["function_id"].alias("function_id"))
 
 
