@@ -413,7 +413,7 @@ def implements(impls: DataFrame, types: DataFrame) -> DataFrame:
 def constructor_calls(macros: DataFrame, functions: DataFrame, *, module_like: str, name: str = "new") -> DataFrame:
     """Macros to the constructors in a crate's modules of a pattern."""
     f = functions.filter((F.col("name") == name) & F.col("module").rlike(module_like)).select("crate", F.col("id").alias("dst"))
-    return macros.join(f, "crate").select("macro_id", "dst").distinct()
+    return macros.select("macro_id", "crate").distinct().join(grown(f.distinct()), "crate").select("macro_id", "dst")  # once each: an id has one crate
 
 
 # How a pasted name is written, and the macro that pastes names of its own.
