@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from symloom import queries as Q
@@ -13,11 +15,17 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["J1_call_edges", "J2_unresolved_by_name"])
+@pytest.mark.parametrize("name", ["J1_call_edges", "J2_unresolved_by_name", "J16_containing", "F2_targets"])
 def test_functions_are_not_broadcast(name, spark, sf):
     assert "Broadcast" not in plan(Q.QUERIES[name](spark, sf))
 
 
+@pytest.mark.parametrize(("name", "ends"), [("J2_unresolved_by_name", r"hashpartitioning\(src#\d+L?, dst#"), ("J17_constructor_calls", r"hashpartitioning\(macro_id#\d+, dst#")])
+def test_repeats_go_before_names_are_matched(name, ends, spark, sf):
+    """Edges are as many as a name's calls times its functions: they are not shuffled to find repeats."""
+    assert re.search(ends, plan(Q.QUERIES[name](spark, sf))) is None
+
+
 def test_edges_of_a_name_and_of_a_call_come_once(spark):
     f = spark.createDataFrame([(1, "a", "k::a", "k"), (2, "b", "k::b", "k"), (3, "b", "k::m::b", "k"), (4, "b", "o::b", "o")], "id long, name string, qualified_name string, crate string")
     calls = [("k::a", "b", "k", 7, None), ("k::a", "b", "k", 7, None), ("k::a", "k::b", "k", 7, 2), ("k::a", "b", "k", 8, 4), ("k::a", "k::b", "k", 9, 2), ("k::a", None, "k", 9, None), ("k::a", "b", None, 9, None), ("k::a", "x", "k", 9, 99), ("k::a", "b", "k", None, None), ("k::a", "k::b", "k", None, 2)]
