@@ -1019,10 +1019,10 @@ def _(_g: Graph, spark: SparkSession, d: str):
     at, own = scratch(spark, "stream"), Y.stateful(spark)
     old, new = versions(spark, d)
     files = lambda df, day: df.select("path", F.lit("").alias("crate"), F.lit("Created").alias("change"), "text", F.lit(f"2024-01-0{day}").cast("timestamp").alias("mtime"))
-    for rows in (files(old, 1), files(old, 2), files(new, 3)):
+    for rows in (files(old, 1), files(old, 2), files(new, 3)):  # each version is a batch, however many files it has
         rows.write.mode("append").parquet(f"{at}/in")
-    feed = own.readStream.schema(Y.CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    return passed(Y.once(feed).select("path", "change", "hash"), at)
+        out = passed(Y.once(own.readStream.schema(Y.CHANGES).parquet(f"{at}/in")).select("path", "change", "hash"), at)
+    return out
 
 
 @query("I1_feed_changes", """, b AS (SELECT id // 50 AS bin, string_agg(id || chr(10), '' ORDER BY id) AS one, string_agg(id || '!' || chr(10), '' ORDER BY id) AS two FROM functions GROUP BY ALL)

@@ -46,3 +46,12 @@ def test_a_scan_gives_only_the_tables_that_are_asked_for(spark):
     rows = spark.createDataFrame([("/ws/k/src/a.rs", "k", "struct S; fn f() { g(); }"), (None, None, None)], "path string, crate string, text string")
     assert {r["table"] for r in rust.scan(rows, "types").collect()} == {"types"}
     assert {r["table"] for r in rust.scan(rows).collect()} == {"types", "functions", "raw_calls"}
+
+
+def test_a_version_of_files_is_one_batch(spark, sf, monkeypatch):
+    """As many batches as versions, not as files that the tasks wrote."""
+    whole = Q.versions
+    monkeypatch.setattr(Q, "versions", lambda *a: tuple(df.repartition(5, "path") for df in whole(*a)))
+    rows = Q.QUERIES["I2_stream_once"](spark, sf)
+    batches = {re.search(r"/batch=(\d+)/", f)[1] for f in rows.inputFiles()}
+    assert batches == {"0", "1", "2"} or batches == {"0", "2"}  # a batch without rows may leave no file
