@@ -55,3 +55,14 @@ def test_a_version_of_files_is_one_batch(spark, sf, monkeypatch):
     rows = Q.QUERIES["I2_stream_once"](spark, sf)
     batches = {re.search(r"/batch=(\d+)/", f)[1] for f in rows.inputFiles()}
     assert batches == {"0", "1", "2"} or batches == {"0", "2"}  # a batch without rows may leave no file
+
+
+def test_a_scan_hands_on_a_file_in_parts():
+    """The rows of a large file are never held together."""
+    source = "".join(f"fn f{k}() {{ a::b{k}(); }}\n" for k in range(3_000))
+    most = total = 0
+    for rows in rust.read(source, "/ws/k/src/a.rs", "k"):
+        most, total = max(most, len(rows["raw_calls"])), total + len(rows["raw_calls"])
+        for got in rows.values():
+            got.clear()
+    assert (most, total) == (1, 3_000)
