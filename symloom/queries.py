@@ -810,15 +810,19 @@ def _(g: Graph, spark: SparkSession, d: str):
 
 # -- ingest: the projection written as Rust source, parsed and resolved again
 
+#: Of a module, a file holds the functions of so many consecutive ids.
+SPAN = 10_000
+
+
 def sources(g: Graph) -> DataFrame:
-    """(path, crate, text): one file for each crate and module; a function for each part, whose body calls its callees by path."""
+    """(path, crate, text): files of a crate and module, one for each stretch of ids, so that no file grows with the tables; a function for each part, whose body calls its callees by path."""
     target = g.functions.select(F.col("id").alias("dst"), F.concat(F.lit("crate_"), F.col("crate").substr(7, 9), F.lit("::"), F.lower("module"), F.lit("::f"), F.col("id").cast("string")).alias("path"))
     bodies = g.calls.select("src", "dst").distinct().join(target, "dst").groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit("();")))), " ").alias("body"))
     vis = F.when(F.col("visibility") == "private", "").otherwise(F.concat("visibility", F.lit(" ")))
     text = F.concat(F.when(F.col("is_test"), "#[test]\n").otherwise(""), vis, F.lit("fn f"), F.col("id").cast("string"), F.lit("() { "), F.coalesce("body", F.lit("")), F.lit(" }\n"))
-    f = g.functions.join(bodies, "id", "left").select(F.concat(F.lit("crate_"), F.col("crate").substr(7, 9)).alias("crate"), F.lower("module").alias("module"), F.struct("id", text.alias("text")).alias("s"))
-    files = f.groupBy("crate", "module").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "").alias("text"))
-    return files.select(F.concat_ws("/", F.lit("/ws"), "crate", F.lit("src"), F.concat("module", F.lit(".rs"))).alias("path"), "crate", "text")
+    f = g.functions.join(bodies, "id", "left").select(F.concat(F.lit("crate_"), F.col("crate").substr(7, 9)).alias("crate"), F.lower("module").alias("module"), F.expr(f"concat('part', id div {SPAN})").alias("folder"), F.struct("id", text.alias("text")).alias("s"))
+    files = f.groupBy("crate", "folder", "module").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "").alias("text"))
+    return files.select(F.concat_ws("/", F.lit("/ws"), "crate", "folder", F.lit("src"), F.concat("module", F.lit(".rs"))).alias("path"), "crate", "text")
 
 
 RUST = ", r AS (SELECT id, 'crate_' || substr(crate, 7) AS c, lower(module) AS m, 'crate_' || substr(crate, 7) || '::' || lower(module) || '::f' || id AS q, visibility, is_test FROM functions)"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from symloom import queries as Q
 from symloom.operators import resolve as N
@@ -66,3 +68,14 @@ def test_a_scan_hands_on_a_file_in_parts():
         for got in rows.values():
             got.clear()
     assert (most, total) == (1, 3_000)
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_no_file_grows_with_the_tables(times, spark, sf):
+    """Larger tables make more files of a module, not longer ones."""
+    g = Q.star.graph(spark, sf)
+    more = lambda df, *c: df.selectExpr("*", f"explode(sequence(0L, {times - 1}L)) as copy").withColumns({x: F.col(x) + F.col("copy") * Q.SPAN for x in c}).drop("copy")
+    large = replace(g, functions=more(g.functions, "id"), calls=more(g.calls, "src", "dst"))
+    longest = lambda g: Q.sources(g).selectExpr("max(length(text) - length(replace(text, 'fn f', 'n f')))").first()[0]
+    assert longest(large) == longest(g)
+    assert Q.sources(large).count() == times * Q.sources(g).count() == Q.sources(large).select("path").distinct().count()
