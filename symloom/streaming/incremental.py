@@ -28,6 +28,10 @@ from symloom.streaming.feed import changes as tree_changes
 from symloom.streaming.links import Links
 
 STATE = "path string, hash string, mtime timestamp"
+#: The files of a bucket are read in so many tasks.
+SPLIT = 4
+#: Buckets of more files in the mean are dealt anew when they are written.
+FILES = 16
 
 
 def content_hash(sources: DataFrame) -> DataFrame:
@@ -133,6 +137,11 @@ class Store:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
 
+    def _scanned(self, files: DataFrame) -> DataFrame:
+        """The symbols of files. Texts are dealt by bucket before they are read, since their rows are many times as long and would be shuffled whole."""
+        dealt = files.select("path", "crate", "text").repartition(self._bucket(), F.pmod(F.xxhash64(F.lit(SPLIT), "path"), F.lit(SPLIT)))
+        return scan(dealt).select(F.coalesce(F.get_json_object("row", "$.file"), F.lit("")).alias("path"), "table", "row")
+
     def refresh(self, listing: DataFrame, *, whole: bool = True, removed: DataFrame | None = None, batch: str | None = None) -> int:
         """Bring the store up to a listing (path, crate, text, mtime); ``whole``: files that are not listed are gone; ``removed`` (path): these are gone
         where they are not listed; ``batch`` names a listing that is taken once. Returns the version."""
@@ -148,10 +157,12 @@ class Store:
             diff = kept if removed is None else kept.unionByName(diff.filter("change = 'Deleted'").join(removed.select("path").distinct(), "path", "left_semi"))
         touched = sorted(r["b"] for r in diff.select(self._bucket().alias("b")).distinct().collect())  # at most one for each bucket
         fresh = listed.join(diff.filter("change <> 'Deleted'"), "path", "left_semi")
-        rows = scan(fresh.select("path", "crate", "text")).withColumn("path", F.coalesce(F.get_json_object("row", "$.file"), F.lit("")))
-        kept = self.symbols(touched).join(diff, "path", "left_anti").unionByName(rows.select("path", "table", "row"))
+        old = self.symbols(touched)
+        if len(old.inputFiles()) > FILES * len(touched):  # few and small on the whole; else a bucket that many batches touch would be read from ever more files
+            old = old.repartition(self._bucket())
+        kept = old.join(diff, "path", "left_anti").unionByName(self._scanned(fresh))
         at = f"{self.root}/symbols/v{new}"
-        kept.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        kept.withColumn("bucket", self._bucket()).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(at)
         written = self._load(at, f"{self.SYMBOLS}, bucket int") if touched else None
         held = {r["bucket"] for r in written.select("bucket").distinct().collect()} if written is not None else set()
         manifest = {b: v for b, v in self.manifest().items() if b not in touched} | dict.fromkeys(held, new)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from symloom import queries as Q
 from symloom.operators import resolve as N
 from symloom.sources import rust
+from symloom.streaming import incremental
+from symloom.streaming.incremental import Store
 
 
 def plan(df) -> str:
@@ -79,3 +82,20 @@ def test_no_file_grows_with_the_tables(times, spark, sf):
     longest = lambda g: Q.sources(g).selectExpr("max(length(text) - length(replace(text, 'fn f', 'n f')))").first()[0]
     assert longest(large) == longest(g)
     assert Q.sources(large).count() == times * Q.sources(g).count() == Q.sources(large).select("path").distinct().count()
+
+
+def test_a_refresh_shuffles_texts_and_not_their_rows(spark, tmp_path):
+    files = spark.createDataFrame([("/ws/k/src/a.rs", "k", "fn f() { g(); }")], "path string, crate string, text string")
+    store = Store(spark, str(tmp_path))
+    above, below = plan(store._scanned(files)).split("MapInArrow", 1)
+    assert "Exchange" not in above and "Exchange" in below
+
+
+def test_a_bucket_is_not_read_from_ever_more_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "FILES", 6)
+    store = Store(spark, str(tmp_path), buckets=1)
+    text = lambda k, n: (f"/ws/k/src/m{n}.rs", "k", f"fn f{k}() {{ g(); }}", datetime(2024, 1, 1))
+    for k in range(5):
+        store.refresh(spark.createDataFrame([text(k, n) for n in range(k, k + 9)], "path string, crate string, text string, mtime timestamp"), whole=False)
+        assert len(store.symbols().inputFiles()) <= 6 + 2 * incremental.SPLIT + 4
+    assert rust.tables(store.symbols())["functions"].count() == 13
