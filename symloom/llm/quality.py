@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,14 +109,16 @@ UNLEARNED = Model(np.zeros(SIZE, np.float32), np.ones(SIZE, np.float32), np.zero
 
 
 def bradley_terry(x: np.ndarray, label: np.ndarray, *, pairs: int = 20_000, batch: int = 1000, steps: int = 400, decay: float = 1e-3, spread: float = 3.0, seed: int = 7) -> Model:
-    """``spread``: how far below the ratios a hashed count stands."""
+    """``spread``: how far below the ratios a hashed count stands. ``x`` is used up: it is standardised where it stands."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
         return UNLEARNED
     mean, scale = x.mean(0), x.std(0) + np.float32(1e-6)
     hashed = slice(len(NAMES), None)
     scale[hashed] = spread * np.sqrt((scale[hashed] ** 2).mean())  # a rare bucket is not blown up
-    z = (x - mean) / scale
+    x -= mean
+    x /= scale
+    z = x
     rng = np.random.default_rng(seed)
     left, right = rng.choice(good, pairs), rng.choice(bad, pairs)
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
@@ -125,7 +128,7 @@ def bradley_terry(x: np.ndarray, label: np.ndarray, *, pairs: int = 20_000, batc
         grad = np.float32(decay) * w - (1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))) @ diff / np.float32(len(diff))
         m, v = np.float32(0.9) * m + np.float32(0.1) * grad, np.float32(0.999) * v + np.float32(0.001) * grad**2
         w -= np.float32(0.05 if t < 0.7 * steps else 0.01) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(v / np.float32(1 - 0.999**t)) + np.float32(1e-8))
-    utility = z.astype(np.float64) @ w.astype(np.float64)
+    utility = np.concatenate([z[k : k + 512].astype(np.float64) @ w.astype(np.float64) for k in range(0, len(z), 512)])
     at = float(np.quantile(utility, len(bad) / len(label)))
     apart = max(1e-6, float(np.median(utility[good]) - np.median(utility[bad])))
     return Model(mean, scale, w, at, 8 / apart)
@@ -147,12 +150,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 8000) -> Model:
     def run(batch: pa.RecordBatch) -> dict:
         return {"quality": batch.column(0), "x": [features(t).tobytes() for t in batch.column(1).to_pylist()]}
 
-    got = map_rows(rows.select("quality", "text"), run, "quality int, x binary", pa.schema([("quality", pa.int32()), ("x", pa.binary())])).toPandas()
-    if got.empty:
+    got = map_rows(rows.select("quality", "text"), run, "quality int, x binary", pa.schema([("quality", pa.int32()), ("x", pa.binary())])).toArrow()
+    return learned(got)
+
+
+def learned(got: pa.Table) -> Model:
+    """The model of (quality, x) rows in any order. The vectors are held twice at most, and never as an object each: what the driver has freed of small objects does not go back to the system."""
+    if not got.num_rows:
         return UNLEARNED
-    got["x"] = got["x"].map(bytes)
-    got = got.sort_values(["x", "quality"])  # the fit does not depend on the order of rows
-    return bradley_terry(np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), SIZE), got["quality"].to_numpy())
+    order = pc.sort_indices(got, [("x", "ascending"), ("quality", "ascending")]).to_numpy()  # the fit does not depend on the order of rows
+    place, x, at = np.argsort(order), np.empty((got.num_rows, SIZE), np.float32), 0
+    for c in got["x"].cast(pa.binary()).chunks:
+        if len(c):
+            first, last = np.frombuffer(c.buffers()[1], np.int32)[[c.offset, c.offset + len(c)]]
+            x[place[at : at + len(c)]] = np.frombuffer(c.buffers()[2], np.uint8)[first:last].view(np.float32).reshape(len(c), SIZE)
+            at += len(c)
+    label = got["quality"].to_numpy()[order]
+    del got, c
+    return bradley_terry(x, label)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1051,3 +1051,15 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd, nothing):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, sf).count()
         assert stage(spark, nothing, sf).count() == 0
+
+
+def test_the_fit_holds_its_vectors_twice_at_most():
+    rng = np.random.default_rng(3)
+    x, label = rng.random((4_000, quality.SIZE), np.float32), rng.integers(0, 2, 4_000).astype(np.int32)
+    batches = [pa.record_batch({"quality": label[k : k + 700], "x": pa.array([v.tobytes() for v in x[k : k + 700]], pa.binary())}) for k in range(0, 4_000, 700)]
+    one, other = (quality.learned(pa.Table.from_batches(b)) for b in (batches, batches[::-1]))
+    assert one.cut == other.cut and (one.weights == other.weights).all()
+    tracemalloc.start()
+    quality.bradley_terry(x, label)
+    assert tracemalloc.get_traced_memory()[1] < 1.6 * x.nbytes
+    tracemalloc.stop()
