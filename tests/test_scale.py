@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from symloom import queries as Q
+from symloom.model import SCHEMAS
 from symloom.operators import resolve as N
 from symloom.sources import rust
 from symloom.streaming import incremental
 from symloom.streaming.incremental import Store
+from symloom.streaming.links import TABLES, Links
 
 
 def plan(df) -> str:
@@ -99,3 +101,12 @@ def test_a_bucket_is_not_read_from_ever_more_files(spark, tmp_path, monkeypatch)
         store.refresh(spark.createDataFrame([text(k, n) for n in range(k, k + 9)], "path string, crate string, text string, mtime timestamp"), whole=False)
         assert len(store.symbols().inputFiles()) <= 6 + 2 * incremental.SPLIT + 4
     assert rust.tables(store.symbols())["functions"].count() == 13
+
+
+def test_an_update_leaves_only_its_tables(spark, tmp_path):
+    links = Links(spark, str(tmp_path), buckets=2)
+    none = {t: spark.createDataFrame([], SCHEMAS[t]) for t in ("functions", "raw_calls", "imports")}
+    one = none | {"functions": spark.createDataFrame([{"id": "f", "name": "f", "qualified_name": "k::f", "crate": "k", "file": "a", "line_start": 1, "is_trait_impl": False}], SCHEMAS["functions"])}
+    links.apply(0, 1, spark.createDataFrame([("a",)], "path string"), none, one)
+    assert {p.name for p in tmp_path.iterdir()} <= {*TABLES, "manifest", "notes"}
+    assert not [p for p in tmp_path.glob("notes/**/*") if p.is_file()]
