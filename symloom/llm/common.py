@@ -41,9 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with an eager reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
+#: A file of a checkpoint holds so many rows where their number is known.
+ROWS_A_FILE = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with an eager reliable checkpoint in the shared folder.
+
+    Where there are ``rows`` rows or about so many, they go to two files for each core, or more as the rows grow, however many partitions a shuffle has:
+    on a local disk Hadoop starts processes for each file's permissions, and one that has just been forked counts as large as its executor.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 

@@ -187,11 +187,12 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float =
     """The rows of ``join`` with the key of their text and of their class (``root``), both null without words."""
     bands, rows = banding(similarity, recall, hashes)
     sig = cut(signatures(docs, bands, rows))
-    reps = cut(sig.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.any_value("bands").alias("bands")))
+    n_docs = sig.count()
+    reps = cut(sig.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.any_value("bands").alias("bands")), n_docs)
     in_band = reps.select("key", F.explode("bands").alias("band"))
     lead = in_band.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("m")).filter("m > 1").select("band", "lead")
     stars = spread_join(in_band, lead, "band", "key").filter("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
-    member = cut(components(stars).select(F.col("node").alias("key"), F.col("root").alias("cluster")))
+    member = cut(components(stars, most=bands * n_docs).select(F.col("node").alias("key"), F.col("root").alias("cluster")), n_docs)
 
     light = reps.select("key", "rep", "copies", "n")
     wanted = member.join(light, "key")
@@ -254,8 +255,8 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float =
     counts = verified.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     whole = verified.filter("blocks = 1").select("key", "root")
     parts = verified.filter("blocks > 1").select(F.col("key").alias("a"), F.col("root").alias("b"))
-    if not parts.isEmpty():
-        whole = whole.union(components(parts).select(F.col("node").alias("key"), "root"))
+    if n_parts := parts.count():
+        whole = whole.union(components(parts, most=n_parts).select(F.col("node").alias("key"), "root"))
     rooted = light.join(whole, "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
     class_of = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
     by_key = spread_join(rooted, class_of, "root", "key").select("key", "root", "class_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
@@ -268,12 +269,12 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
     found = classes(docs, **how)
     n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
-        kept = cut(found.filter("doc_id = class_id").select("doc_id"))
+        kept = cut(found.filter("doc_id = class_id").select("doc_id"), n)
         return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     # ids that repeat or are null name no row: the key of the text does
     k, best = free(docs.columns, "_k"), free(docs.columns, "_best")
     first = found.filter("key is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"))
-    kept = cut(first.select(F.col("b.key").alias(k), F.col("b.doc_id").alias(best)))
+    kept = cut(first.select(F.col("b.key").alias(k), F.col("b.doc_id").alias(best)), n)
     rows = keyed(docs, k)
     held = rows.join(kept, k).filter(F.col("doc_id").eqNullSafe(F.col(best))).drop(best)
     bare = rows.filter(F.col(k).isNull())
