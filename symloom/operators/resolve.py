@@ -226,9 +226,10 @@ def dispatched(functions: DataFrame, files: DataFrame, rules: DataFrame) -> Data
     return functions.join(marked, ["file", "name"]).select("id", "qualified_name", "confidence", *more)
 
 
-#: Length of the pieces by which texts find their patterns.
-PIECE = 3
-#: A pattern with more alternatives than this is tried wherever a piece of it stands.
+#: Lengths of the pieces by which texts find their patterns; a literal is found by the longest that it has.
+PIECES = (3, 5, 7)
+PIECE = PIECES[0]
+#: A pattern with more alternatives than this is tried on all texts.
 MOST_LITERALS = 8
 
 
@@ -278,26 +279,32 @@ def _held(tree: Iterable) -> tuple[str, ...]:
     return (best,) if len(best) >= PIECE else either
 
 
-def keyed_patterns(patterns: DataFrame) -> DataFrame:
-    """The patterns (configuration) with ``literals``, one of which their matches hold, and a piece of each in ``pieces``; an empty piece where there are none."""
+def keyed_patterns(patterns: DataFrame) -> tuple[DataFrame, list[int], int]:
+    """The patterns (configuration) with ``literals``, one of which their matches hold (none that holds another), and the longest piece of each in ``pieces``; an empty piece where
+    there are none or too many. Also the lengths of pieces that occur, and the most pieces that a pattern has."""
     spark = patterns.sparkSession
-    rows = [(r["regex"], list(required_literals(r["regex"]))) for r in patterns.select("regex").filter("regex is not null").distinct().collect()]
-    rows = [(p, x, sorted({t[-PIECE:] for t in x}) or [""]) for p, x in rows]
-    return patterns.join(F.broadcast(spark.createDataFrame(rows, "regex string, literals array<string>, pieces array<string>")), "regex")
+    rows = []
+    for r in patterns.select("regex").filter("regex is not null").distinct().collect():
+        held = required_literals(r["regex"])
+        least = [t for t in held if not any(o != t and o in t for o in held)]
+        if len(least) > MOST_LITERALS:
+            least = []
+        rows.append((r["regex"], least, sorted({t[: max(n for n in PIECES if n <= len(t))] for t in least}) or [""]))
+    keyed = patterns.join(F.broadcast(spark.createDataFrame(rows, "regex string, literals array<string>, pieces array<string>")), "regex")
+    return keyed, sorted({len(x) for r in rows for x in r[2]} - {0}), max((len(r[2]) for r in rows), default=0)
 
 
 def pattern_candidates(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(file, text, family, name, regex): a file meets the patterns one of whose literals its text holds, and those without one. One pass over the files, no shuffle: its pieces
-    that are some pattern's are joined with the patterns, each pattern by the first of its pieces that the text holds."""
-    keyed = keyed_patterns(patterns).withColumn("piece", F.explode("pieces"))
-    keys = [r["piece"] for r in keyed.select("piece").filter("piece <> ''").distinct().collect()]
-    held = F.array_intersect(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{PIECE}}}))"), F.lit(1)), F.lit(keys) if keys else F.array().cast("array<string>"))
-    rows = files.select("file", "text", F.array_append(held, F.lit("")).alias("held"))
-    rows = rows.select("*", F.explode_outer("held").alias("piece")).join(F.broadcast(keyed), "piece")
-    first = F.when(F.size("pieces") == 1, True).otherwise(F.element_at(F.array_intersect("pieces", "held"), 1) == F.col("piece"))
-    free = (F.size("literals") == 0) | (F.size("literals") > MOST_LITERALS)
-    sure = reduce(lambda x, k: x | F.contains(F.col("text"), F.try_element_at("literals", F.lit(k))), range(1, MOST_LITERALS + 1), free)
-    return rows.filter(first & sure).select("file", "text", "family", "name", "regex")
+    """(file, text, family, name, regex): a file meets the patterns one of whose literals its text holds, and those without one. One pass over the files, no shuffle: the pieces of
+    its text, each once, are joined with the patterns, each pattern by the first of its pieces that the text holds. A text's work does not grow with the number of patterns but by those that it meets."""
+    patterns, lengths, most = keyed_patterns(patterns)
+    keyed = patterns.select("*", F.posexplode("pieces").alias("place", "piece"))
+    pieces = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    rows = files.select("file", "text", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *pieces))).alias("piece")).join(F.broadcast(keyed), "piece")
+    holds = lambda c, k: F.contains(F.col("text"), F.try_element_at(c, F.lit(k)))
+    before = reduce(lambda x, k: x | (F.col("place") >= k) & holds("pieces", k), range(1, most), F.lit(False))
+    sure = reduce(lambda x, k: x | holds("literals", k), range(1, MOST_LITERALS + 1), F.size("literals") == 0)
+    return rows.filter(F.col("text").isNotNull() & F.coalesce(sure, F.lit(False)) & ~before).select("file", "text", "family", "name", "regex")
 
 
 def matched_patterns(files: DataFrame, patterns: DataFrame) -> DataFrame:

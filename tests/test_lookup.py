@@ -155,3 +155,20 @@ def test_names_in_tests_names(spark):
     n = {r["crate"]: len(r["lengths"]) for r in lengths.collect()}
     made = C.fingerprints(spark.createDataFrame(sorted(tests, key=str), "crate string, test string"), lengths).count()
     assert made <= sum(len(x) * n.get(c, 0) for c, x in tests)
+
+
+def test_patterns_of_few_syllables(spark):
+    """Where all short pieces occur everywhere, a text still meets only patterns whose literals it holds, without looking at the others' pieces."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["ti", "on", "en", "th"]) for _ in range(5))
+    words = sorted({word() for _ in range(200)})
+    texts = {str(k): " ".join(rng.choice(words) for _ in range(20)) for k in range(20)}
+    many = "|".join(words[::4])
+    rows = [*(f"{w}[a-z]*" for w in words), *(f"[A-Z]{w}|{w} [a-z]" for w in words), many, "a|b|" + many]
+    docs = spark.createDataFrame([*texts.items(), ("none", None)], "file string, text string")
+    patterns = spark.createDataFrame([("f", p, p) for p in rows], "family string, name string, regex string")
+    want = sorted((f, "f", p) for p in rows for f, t in texts.items() if re.search(p, t))
+    assert sorted(map(tuple, N.matched_patterns(docs, patterns).collect())) == want
+    keyed, lengths, most = N.keyed_patterns(patterns)
+    assert max(lengths) == 7 and most <= N.MOST_LITERALS
+    assert keyed.filter("length(regex) < 40 and (size(literals) <> 1 or length(pieces[0]) <> 7)").count() == 0  # not the three last letters, of which there are few
