@@ -1,7 +1,7 @@
 """A feed of file changes: created, modified and removed files of a tree as a stream, and a filter that lets a content through once.
 
 ``TreeSource`` is a streaming data source over the files below a folder. An offset is the number of a listing (a snapshot), which lies as one file in a folder of
-its own beside the checkpoint; a batch is the difference of two snapshots, dealt to partitions by folder. Files are read where a partition runs. A
+its own beside the checkpoint; a batch is the difference of two snapshots, dealt to partitions by folder, small folders together. Files are read where a partition runs. A
 snapshot goes when a later one is committed, so a batch that was planned before a restart is planned again from the same snapshots and one that was
 committed never comes back. A file that is changed between a listing and its reading comes as it is read, and once more from the next snapshot.
 
@@ -27,12 +27,12 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.types import StructType
 
 CHANGES = "path string, crate string, change string, text string, mtime timestamp"
-#: A folder's changes are cut to partitions of so many files.
-FILES = 256
+#: A folder's changes are cut to partitions of so many files; folders of few share one, but where there are few changes, they go to so many partitions.
+FILES, LEAST = 256, 32
 
 
 class Changed(InputPartition):
-    """Files of one folder: (path, change)."""
+    """Files of one folder, or of several small ones: (path, change)."""
 
     def __init__(self, files: list[tuple[str, str]]):
         self.files = files
@@ -86,10 +86,14 @@ class TreeReader(DataSourceStreamReader):
             return []
         old, new = self._snapshot(start["snapshot"]), self._snapshot(end["snapshot"])
         kind = {p: "Created" if p not in old else "Modified" for p in new if old.get(p) != new[p]} | {p: "Deleted" for p in old if p not in new}
-        out = []
+        room = min(FILES, -(-len(kind) // LEAST))
+        out: list[Changed] = []
         for _, group in groupby(sorted(kind.items(), key=lambda x: (x[0].rpartition("/")[0], x[0])), key=lambda x: x[0].rpartition("/")[0]):
             own = list(group)
-            out += [Changed(own[k : k + FILES]) for k in range(0, len(own), FILES)]
+            if out and len(out[-1].files) + len(own) <= room:
+                out[-1].files.extend(own)
+            else:
+                out += [Changed(own[k : k + FILES]) for k in range(0, len(own), FILES)]
         return out
 
     def read(self, partition: Changed) -> Iterator[tuple]:

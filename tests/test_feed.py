@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from symloom.sources import rust
 from symloom.streaming import feed
 from symloom.streaming.incremental import Store
@@ -63,3 +65,16 @@ def test_a_planned_batch_is_planned_again_from_its_snapshots(tmp_path):
     assert len([x for p in again.partitions(again.initialOffset(), first) for x in again.read(p)]) == 599  # one is gone
     again.commit(then)
     assert again._numbers() == [then["snapshot"]] and again.latestOffset() == then
+
+
+def test_partitions_follow_files_not_folders(tmp_path):
+    """Many folders of one file each: a partition takes several of them."""
+    (tmp_path / "snapshots").mkdir()
+    new = {f"/t/bin={k}/a.rs": [1, 1] for k in range(10_000)}
+    (tmp_path / "snapshots" / "1.json").write_text(json.dumps({"/t/gone.rs": [1, 1]}))
+    (tmp_path / "snapshots" / "2.json").write_text(json.dumps(new))
+    reader = feed.TreeReader({"root": "/t", "snapshots": str(tmp_path / "snapshots")})
+    got = reader.partitions({"snapshot": 1}, {"snapshot": 2})
+    assert len(got) == 40 and max(len(p.files) for p in got) <= feed.FILES
+    assert sorted(f for p in got for f in p.files) == sorted([("/t/gone.rs", "Deleted"), *((p, "Created") for p in new)])
+    assert [len(p.files) for p in reader.partitions({"snapshot": 0}, {"snapshot": 1})] == [1]
