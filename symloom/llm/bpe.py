@@ -15,7 +15,6 @@ mean the same pair, and the leftmost position is merged first.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -27,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from symloom.llm.common import map_rows
+from symloom.llm.common import held, map_rows
 
 
 def byte_alphabet() -> list[str]:
@@ -198,9 +197,8 @@ class Bpe:
         return between.join(map(self.strings.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
 def loaded(path: str) -> Bpe:
-    return Bpe(path)
+    return held(f"bpe {path}", lambda: Bpe(path))
 
 
 SCHEMA = "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -7,10 +7,11 @@ empty text has none.
 
 from __future__ import annotations
 
-import functools
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 SIMILARITY = 0.8
+T = TypeVar("T")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,6 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_A_FILE = 250_000
 
 
+def files_of(spark: SparkSession, rows: int) -> int:
+    """The files of a checkpoint of so many rows."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE))
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with an eager reliable checkpoint in the shared folder.
 
@@ -54,7 +61,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+        df = df.coalesce(files_of(spark, rows))
     return df.checkpoint(eager=True)
 
 
@@ -131,10 +138,23 @@ class WordHashes(dict):
         return h
 
 
-@functools.lru_cache(maxsize=1)
+_held: dict[str, object] = {}
+
+
+def held(kind: str, make: Callable[[], T]) -> T:
+    """What this Python worker keeps between its batches and tasks, of one kind at a time: Spark gives a worker to the next stage, and what an earlier one
+    knew (a tokenizer's pieces, say) would stay beside what the next one needs."""
+    if kind not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+        _held[kind] = make()
+    return _held[kind]
+
+
 def worker_words() -> WordHashes:
     """The words this Python worker knows, over all its batches."""
-    return WordHashes()
+    return held("words", WordHashes)
 
 
 def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from symloom.llm.common import SIMILARITY, cut, free, map_rows, shingles, small, spread_join, word_hashes, worker_words
+from symloom.llm.common import SIMILARITY, cut, files_of, free, map_rows, shingles, small, spread_join, word_hashes, worker_words
 from symloom.llm.components import components
 
 
@@ -251,7 +251,9 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float =
         if out:
             yield pa.RecordBatch.from_pydict(dict(zip(VERIFIED_ARROW.names, map(list, zip(*out, strict=True)), strict=True)), schema=VERIFIED_ARROW)
 
-    verified = cut(dealt.mapInArrow(check, VERIFIED))
+    # a row for each text and block it meets; dealt anew, so that pairs are verified in as many tasks as they were and few write files
+    n_verified = wanted.agg(F.sum("blocks")).first()[0] or 0
+    verified = cut(dealt.mapInArrow(check, VERIFIED).repartition(files_of(docs.sparkSession, n_verified)))
     counts = verified.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     whole = verified.filter("blocks = 1").select("key", "root")
     parts = verified.filter("blocks > 1").select(F.col("key").alias("a"), F.col("root").alias("b"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pathlib
+import weakref
 
 import pytest
 
-from symloom.llm import jaccard
-from symloom.llm.common import cut, shared_dir
+from symloom.llm import bpe, jaccard
+from symloom.llm.common import cut, shared_dir, worker_words
 from symloom.llm.components import components
+from symloom.llm.queries import vocabulary
 
 
 @pytest.fixture
@@ -41,6 +43,22 @@ def test_join_writes_few_files(spark, written):
     assert sum(n > 2 * spark.sparkContext.defaultParallelism for n in written()) <= 1  # the verified pairs are dealt as they were
 
 
+def test_join_verifies_in_all_partitions_and_writes_few_files(spark, written):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"{text} {k}") for k in range(40)], "doc_id long, text string")
+    found = {(r["class_id"], r["n_texts"]) for r in jaccard.join(docs, block_texts=7).collect()}
+    assert found == {(0, 39)}
+    assert max(written()) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_worker_holds_one_kind_of_cache():
+    words = worker_words()
+    assert worker_words() is words
+    tokenizer = weakref.ref(bpe.loaded(vocabulary()))
+    assert bpe.loaded(vocabulary()) is tokenizer()
+    assert worker_words() is not words and tokenizer() is None
+
+
 def test_many_rows_keep_their_partitions(spark, written):
     rows = spark.range(64).repartition(64, "id")
     assert cut(rows, 10**9).rdd.getNumPartitions() == 64 and cut(rows).rdd.getNumPartitions() == 64
