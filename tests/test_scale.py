@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from symloom import queries as Q
 from symloom.model import SCHEMAS
+from symloom.operators import actors as A
 from symloom.operators import resolve as N
 from symloom.sources import rust
 from symloom.streaming import incremental
@@ -110,3 +111,12 @@ def test_an_update_leaves_only_its_tables(spark, tmp_path):
     links.apply(0, 1, spark.createDataFrame([("a",)], "path string"), none, one)
     assert {p.name for p in tmp_path.iterdir()} <= {*TABLES, "manifest", "notes"}
     assert not [p for p in tmp_path.glob("notes/**/*") if p.is_file()]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5_000])
+def test_lines_of_a_diagram_meet_as_strings(n, spark):
+    """The one row is made of the strings of ranges: no list of all lines is sorted in its task."""
+    lines = [f"    a{k * 7919 % 5_003}{'é#'[k % 2]} --> b" for k in range(n)] + ["    A --> B"] * min(n, 2)
+    got = A._diagram(spark.createDataFrame([(x,) for x in lines], "line string"), "graph TD")
+    assert "flatten" not in plan(got) and "rangepartitioning(line" in plan(got)
+    assert tuple(got.first()) == ("graph TD\n" + "\n".join(sorted(lines)), len(lines))
