@@ -13,6 +13,7 @@ from symloom import queries as Q
 from symloom.model import SCHEMAS
 from symloom.operators import actors as A
 from symloom.operators import resolve as N
+from symloom.plans import ingest
 from symloom.sources import rust
 from symloom.streaming import incremental
 from symloom.streaming.incremental import Store
@@ -120,3 +121,23 @@ def test_lines_of_a_diagram_meet_as_strings(n, spark):
     got = A._diagram(spark.createDataFrame([(x,) for x in lines], "line string"), "graph TD")
     assert "flatten" not in plan(got) and "rangepartitioning(line" in plan(got)
     assert tuple(got.first()) == ("graph TD\n" + "\n".join(sorted(lines)), len(lines))
+
+
+SOURCE = "use o::g as h; mod m { pub fn f() { self::k(); super::a(); g(); n::z(); } pub fn k() {} } pub fn a() { h(); h(); f(); m::k(); crate::m::f(); x.g(); lost(); }"
+
+
+def test_calls_are_resolved_once(spark):
+    """The edges' plan reads what calls were answered, not the calls again for each kind of answer."""
+    built, _ = ingest.build(spark.createDataFrame([("/ws/k/src/lib.rs", "k", SOURCE)], "path string, crate string, text string"), width=8)
+    assert "raw_calls" not in built.calls._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("scope", ["workspace", "crate"])
+def test_edges_alone_are_those_of_the_resolved_calls(scope, spark):
+    files = [("/ws/k/src/lib.rs", "k", SOURCE), ("/ws/o/src/lib.rs", "o", "pub fn g() { k::m::f(); a(); } pub fn f() { g() }"), ("/ws/o/src/n.rs", "o", "pub fn z() { f(); z(); lost(); } pub fn lost() {}")]
+    t = rust.tables(rust.scan(spark.createDataFrame(files, "path string, crate string, text string")))
+    functions, imports = ingest.definitions(t), N.import_table(t["imports"])
+    whole = N.call_edges(ingest.scoped(N.resolve(ingest.named_calls(t["raw_calls"]), functions, imports), scope), functions)
+    alone = N.named_edges(ingest.written_calls(t["raw_calls"]), functions, imports, scope)
+    want = {tuple(r) for r in whole.select("src", "dst", "line").collect()}
+    assert len(want) > 5 and {tuple(r) for r in alone.select("src", "dst", "line").collect()} == want
