@@ -50,14 +50,20 @@ def distributed_edges(actors: DataFrame, sends: DataFrame) -> DataFrame:
 
 
 def routes(actors: DataFrame, sends: DataFrame, handles: DataFrame, *, same_crate: bool = True) -> DataFrame:
-    """sender -> message -> receiver of a message type that the receiver handles.
+    """sender -> message -> receiver of a message type that the receiver handles, each once; actors of one name and crate are one end.
 
     Distinct (sender, message) pairs are joined to handlers on message and, for routes within a crate, on the crate, so a very
-    common message type is spread over crates.
+    common message type is spread over crates. Routes are as many as senders times receivers while both tables are small, so their
+    sizes show nothing of the work: the keys are dealt to a fixed number of tasks, which are not merged for being small.
     """
-    of = actors.select("id", "name", "crate")
-    out = sends.select(F.col("sender").alias("id"), "message_type").distinct().join(of, "id").select(F.col("name").alias("sender"), F.col("crate").alias("sender_crate"), "message_type")
-    into = handles.select(F.col("actor").alias("id"), "message_type").distinct().join(of, "id").select(F.col("name").alias("receiver"), F.col("crate").alias("receiver_crate"), "message_type")
+    of, n = actors.select("id", "name", "crate"), int(actors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(rows: DataFrame, actor: str, name: str) -> DataFrame:
+        named = rows.select(F.col(actor).alias("id"), "message_type").distinct().join(of, "id")
+        ends = named.select(F.col("name").alias(name), F.col("crate").alias(f"{name}_crate"), "message_type")
+        return ends.repartition(n, "message_type", *[f"{name}_crate"] * same_crate).distinct()
+
+    out, into = side(sends, "sender", "sender"), side(handles, "actor", "receiver")
     on = (out["message_type"] == into["message_type"]) & ((out["sender_crate"] == into["receiver_crate"]) if same_crate else F.lit(True))
     return out.join(into, on).select("sender", "sender_crate", out["message_type"], "receiver", "receiver_crate")
 

@@ -141,3 +141,11 @@ def test_edges_alone_are_those_of_the_resolved_calls(scope, spark):
     alone = N.named_edges(ingest.written_calls(t["raw_calls"]), functions, imports, scope)
     want = {tuple(r) for r in whole.select("src", "dst", "line").collect()}
     assert len(want) > 5 and {tuple(r) for r in alone.select("src", "dst", "line").collect()} == want
+
+
+@pytest.mark.parametrize("same_crate", [True, False])
+def test_actors_of_one_name_and_crate_are_one_end_of_a_route(same_crate, spark):
+    actors = spark.range(60).selectExpr("id", "concat('a', id % 30) as name", "concat('k', id % 3) as crate")
+    rows = lambda c: spark.range(60).selectExpr(f"id as {c}", "'Ping' as message_type")
+    got = A.routes(actors, rows("sender"), rows("actor"), same_crate=same_crate)
+    assert got.count() == got.distinct().count() == (300 if same_crate else 900)
